@@ -60,3 +60,36 @@ def sql_row_index(order_by: str, partition_by: str | None = None, start: int = 0
     """Equivalent SQL expression (oracle side)."""
     part = f"PARTITION BY {partition_by} " if partition_by else ""
     return f"(row_number() OVER ({part}ORDER BY {order_by}) - 1 + {start})"
+
+
+def cumulative_sum(df: DataFrame, value_col: str, order_by: Sequence, partition_by: Sequence = (),
+                   name: str = "cum", exclusive: bool = False,
+                   num_partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value_col`` in ``order_by`` order inside each ``partition_by`` group.
+
+    Same plan shape as ``with_row_index``: range partitioning splits any hot
+    group over many tasks; per-(partition, group) totals (bounded by
+    #partitions + #groups) give each partition its starting offset.
+    ``order_by`` must be unique inside a group.
+    """
+    spark = df.sparkSession
+    group = _cols(partition_by)
+    keys = group + _cols(order_by)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    gnames = [f"_g{i}" for i in range(len(group))]
+    staged = df.withColumns({g: c for g, c in zip(gnames, group)}) if group else df
+    base = (staged.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+            .withColumn("_pid", F.spark_partition_id()))
+    ensure_checkpoint_dir(spark)
+    base = base.checkpoint(eager=True)
+    tot = base.groupBy("_pid", *gnames).agg(F.sum(value_col).alias("_t"))
+    w = Window.partitionBy(*gnames).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.withColumn("_off", F.coalesce(F.sum("_t").over(w), F.lit(0))).drop("_t")
+    wl = (Window.partitionBy("_pid", *gnames).orderBy(*_cols(order_by))
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = base.withColumn("_loc", F.sum(value_col).over(wl))
+    out = local.join(tot, ["_pid", *gnames], "inner")
+    cum = F.col("_off") + F.col("_loc")
+    if exclusive:
+        cum = cum - F.col(value_col)
+    return out.withColumn(name, cum).drop("_pid", "_off", "_loc", *gnames)
