@@ -62,16 +62,22 @@ def sql_row_index(order_by: str, partition_by: str | None = None, start: int = 0
     return f"(row_number() OVER ({part}ORDER BY {order_by}) - 1 + {start})"
 
 
-def cumulative_sum(df: DataFrame, value_col: str, order_by: Sequence, partition_by: Sequence = (),
-                   name: str = "cum", exclusive: bool = False,
-                   num_partitions: int | None = None) -> DataFrame:
-    """Running sum of ``value_col`` in ``order_by`` order inside each ``partition_by`` group.
+_AGG = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
+def cumulative(df: DataFrame, value_col: str, order_by: Sequence, partition_by: Sequence = (),
+               name: str = "cum", fn: str = "sum", exclusive: bool = False,
+               num_partitions: int | None = None) -> DataFrame:
+    """Running ``fn`` (sum / max / min) of ``value_col`` in ``order_by`` order per group.
 
     Same plan shape as ``with_row_index``: range partitioning splits any hot
-    group over many tasks; per-(partition, group) totals (bounded by
-    #partitions + #groups) give each partition its starting offset.
-    ``order_by`` must be unique inside a group.
+    group over many tasks; per-(partition, group) partials (bounded by
+    #partitions + #groups) give each partition its carried-in value, combined
+    with the running value inside the partition.  ``exclusive`` excludes the
+    current row (NULL before the first row of a group, like a SQL frame ending
+    at 1 PRECEDING).  ``order_by`` must be unique inside a group.
     """
+    agg = _AGG[fn]
     spark = df.sparkSession
     group = _cols(partition_by)
     keys = group + _cols(order_by)
@@ -82,14 +88,26 @@ def cumulative_sum(df: DataFrame, value_col: str, order_by: Sequence, partition_
             .withColumn("_pid", F.spark_partition_id()))
     ensure_checkpoint_dir(spark)
     base = base.checkpoint(eager=True)
-    tot = base.groupBy("_pid", *gnames).agg(F.sum(value_col).alias("_t"))
+    part = base.groupBy("_pid", *gnames).agg(agg(value_col).alias("_t"))
     w = Window.partitionBy(*gnames).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("_off", F.coalesce(F.sum("_t").over(w), F.lit(0))).drop("_t")
+    part = part.withColumn("_carry", agg("_t").over(w)).drop("_t")
     wl = (Window.partitionBy("_pid", *gnames).orderBy(*_cols(order_by))
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = base.withColumn("_loc", F.sum(value_col).over(wl))
-    out = local.join(tot, ["_pid", *gnames], "inner")
-    cum = F.col("_off") + F.col("_loc")
-    if exclusive:
-        cum = cum - F.col(value_col)
-    return out.withColumn(name, cum).drop("_pid", "_off", "_loc", *gnames)
+          .rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow))
+    local = base.withColumn("_loc", agg(value_col).over(wl))
+    out = local.join(part, ["_pid", *gnames], "inner")
+    if fn == "sum":
+        val = F.when(F.col("_carry").isNull() & F.col("_loc").isNull(), F.lit(None)) \
+            .otherwise(F.coalesce("_carry", F.lit(0)) + F.coalesce("_loc", F.lit(0)))
+    elif fn == "max":
+        val = F.greatest("_carry", "_loc")   # greatest/least skip NULLs
+    else:
+        val = F.least("_carry", "_loc")
+    return out.withColumn(name, val).drop("_pid", "_carry", "_loc", *gnames)
+
+
+def cumulative_sum(df: DataFrame, value_col: str, order_by: Sequence, partition_by: Sequence = (),
+                   name: str = "cum", exclusive: bool = False,
+                   num_partitions: int | None = None) -> DataFrame:
+    """Running sum; exclusive sums start at 0 (not NULL)."""
+    out = cumulative(df, value_col, order_by, partition_by, name, "sum", exclusive, num_partitions)
+    return out.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
