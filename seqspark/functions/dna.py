@@ -43,16 +43,13 @@ def recode_letters(text) -> Column:
 
 
 def tiles(seq, width: int = 81) -> Column:
-    """Cut a string into consecutive ``width``-long pieces (last one may be shorter).
+    """Consecutive ``width``-long pieces of a string (the last one may be shorter).
 
-    Returns ``array<struct<tile:int, sequence:string>>``; empty array for '' / NULL.
+    One linear regex pass (``regexp_extract_all``); pair with ``posexplode``
+    to get the tile number.  Empty array for '' / NULL.
     """
-    s = _c(seq)
-    n = F.length(s)
-    idx = F.when(n > 0, F.sequence(F.lit(0), (F.ceil(n / width) - 1).cast("int"))) \
-        .otherwise(F.array().cast("array<int>"))
-    return F.transform(idx, lambda i: F.struct(
-        i.alias("tile"), F.substring(s, i * width + 1, F.lit(width)).alias("sequence")))
+    return F.coalesce(F.regexp_extract_all(_c(seq), F.lit(f"(?s).{{1,{width}}}"), F.lit(0)),
+                      F.array().cast("array<string>"))
 
 
 def kmers(seq, k: int) -> Column:

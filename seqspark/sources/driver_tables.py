@@ -32,11 +32,10 @@ def promoters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """promoters(id, doc_id, tile, sequence, label): tiles of labelled documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    t = (docs.join(labels, "doc_id")
-         .select("doc_id", "label", F.explode(tiles(recode_letters("text"), TILE)).alias("t")))
-    return t.select((F.col("doc_id") * TILE_ID_STRIDE + F.col("t.tile")).alias("id"),
-                    "doc_id", F.col("t.tile").cast("int").alias("tile"),
-                    F.col("t.sequence").alias("sequence"), "label")
+    t = docs.join(labels, "doc_id").select("doc_id", "label", recode_letters("text").alias("letters"))
+    t = t.select("doc_id", "label", F.posexplode(tiles("letters", TILE)).alias("tile", "sequence"))
+    return t.select((F.col("doc_id") * TILE_ID_STRIDE + F.col("tile")).alias("id"),
+                    "doc_id", F.col("tile").cast("int").alias("tile"), "sequence", "label")
 
 
 def promoters_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,10 +46,9 @@ def promoters_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """generated(row_idx, id, sequence): benchmark texts re-coded and tiled, ordered by (item, tile)."""
-    b = table(spark, sf_dir, "benchmark").select(
-        "item_id", F.explode(tiles(recode_letters("text"), TILE)).alias("t"))
-    b = b.select((F.col("item_id") * TILE_ID_STRIDE + F.col("t.tile")).alias("id"),
-                 F.col("t.sequence").alias("sequence"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", recode_letters("text").alias("letters"))
+    b = b.select("item_id", F.posexplode(tiles("letters", TILE)).alias("tile", "sequence"))
+    b = b.select((F.col("item_id") * TILE_ID_STRIDE + F.col("tile")).alias("id"), "sequence")
     return with_row_index(b, ["id"])
 
 
