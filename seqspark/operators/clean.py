@@ -80,14 +80,41 @@ def dedup_first(df: DataFrame, order_cols: list[str], sequence_col: str = "seque
                     F.col(sequence_col))
 
 
+def resolve_sequences(df: DataFrame, order_cols: list[str], sequence_col: str = "sequence",
+                      label_col: str = "label") -> DataFrame:
+    """J1 + A2 fused: drop sequences with conflicting labels, keep the first row of the others.
+
+    One aggregation on the sequence key (one shuffle, map-side partial
+    aggregation) computes min/max label and the first row at once -- the
+    same result as the anti join followed by dedup, with a single scan.
+    """
+    rest = [c for c in df.columns if c not in order_cols and c != sequence_col]
+    packed = F.struct(*[F.col(c) for c in order_cols], *[F.col(c) for c in rest])
+    g = df.groupBy(sequence_col).agg(F.min(label_col).alias("_lo"), F.max(label_col).alias("_hi"),
+                                     F.min(packed).alias("_first"))
+    g = g.where(F.col("_lo") == F.col("_hi"))
+    return g.select(*[F.col(f"_first.{c}").alias(c) for c in order_cols + rest], F.col(sequence_col))
+
+
 def clean_pipeline(df: DataFrame, required_length: int = 81, order_cols: list[str] | None = None,
                    sequence_col: str = "sequence", label_col: str = "label") -> DataFrame:
-    """P1-P3, J1, A2 as one lazy plan (two shuffles on the sequence key)."""
+    """P1-P3, J1, A2 as one lazy plan: narrow cleaning, then one shuffle on the sequence key."""
     order_cols = order_cols or ["source_rank", "row_order"]
     out = clean_column(df, sequence_col)
     out = length_filter(out, required_length, sequence_col)
-    out = remove_conflicts(out, sequence_col, label_col)
-    return dedup_first(out, order_cols, sequence_col)
+    return resolve_sequences(out, order_cols, sequence_col, label_col)
+
+
+def tag_labeled(df: DataFrame, sequence_col: str = "sequence", id_col: str = "id",
+                label_col: str = "label", order_col: str | None = None) -> DataFrame:
+    """S3 for one already-labelled source: same columns as ``load_labeled`` in a single scan."""
+    order_col = order_col or id_col
+    lab = F.col(label_col).cast("int")
+    return df.select(F.col(id_col).cast("string").alias("id"), F.col(sequence_col).cast("string").alias("sequence"),
+                     lab.alias("label"),
+                     F.when(lab == 1, "strong").when(lab == 0, "weak").alias("source_sheet"),
+                     F.when(lab == 1, 0).when(lab == 0, 1).cast("int").alias("source_rank"),
+                     F.col(order_col).alias("row_order")).where(lab.isin(0, 1))
 
 
 def clean_report(df: DataFrame, required_length: int = 81, sequence_col: str = "sequence",
@@ -107,9 +134,10 @@ def clean_report(df: DataFrame, required_length: int = 81, sequence_col: str = "
         F.coalesce(F.sum(F.when(F.col("lo") != F.col("hi"), F.col("n"))), F.lit(0)).alias("n_conflict_rows"),
         F.coalesce(F.sum(F.when(F.col("lo") == F.col("hi"), F.col("n") - 1)), F.lit(0)).alias("n_duplicates"),
         F.count_if(F.col("lo") == F.col("hi")).alias("n_output"))
-    out = rows.crossJoin(seqs)   # 1 row x 1 row
-    return out.select("n_input", "n_empty", (F.col("n_nonempty") - F.col("n_length_ok")).alias("n_length_removed"),
-                      "n_conflict_sequences", "n_conflict_rows", "n_duplicates", "n_output")
+    # the per-sequence counts are one row: attach them as scalar subqueries
+    return rows.select("n_input", "n_empty", (F.col("n_nonempty") - F.col("n_length_ok")).alias("n_length_removed"),
+                       *[seqs.select(c).scalar().alias(c) for c in
+                         ("n_conflict_sequences", "n_conflict_rows", "n_duplicates", "n_output")])
 
 
 def ensure_not_empty(df: DataFrame, what: str = "cleaned data") -> DataFrame:

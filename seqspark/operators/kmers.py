@@ -50,15 +50,21 @@ def pearson(df: DataFrame, x: str, y: str, group_cols: Sequence[str] = (), name:
 
 
 def aligned_kmer_freqs(a: DataFrame, b: DataFrame, k: int, sequence_col: str = "sequence") -> DataFrame:
-    """J2 + U2: (kmer, f1, f2) over the union of observed k-mers, missing -> 0.
+    """J2 + U2: (kmer, n1, n2, f1, f2) over the union of observed k-mers, missing -> 0.
 
     Single shuffle: both corpora are tagged, unioned and aggregated once.
     """
     tagged = (a.select(F.lit(1).alias("_src"), sequence_col)
               .unionByName(b.select(F.lit(2).alias("_src"), sequence_col)))
-    ex = tagged.select("_src", F.explode(kmers(sequence_col, k)).alias("kmer"))
-    c = ex.groupBy("kmer").agg(F.count_if(F.col("_src") == 1).alias("n1"),
-                               F.count_if(F.col("_src") == 2).alias("n2"))
+    return aligned_by_tag(tagged, "_src", 1, 2, k, sequence_col)
+
+
+def aligned_by_tag(df: DataFrame, tag_col: str, tag_a, tag_b, k: int, sequence_col: str = "sequence") -> DataFrame:
+    """J2 for two corpora stored in one table (rows tagged ``tag_a`` / ``tag_b``): one scan, one shuffle."""
+    ex = df.where(F.col(tag_col).isin(tag_a, tag_b)).select(
+        tag_col, F.explode(kmers(sequence_col, k)).alias("kmer"))
+    c = ex.groupBy("kmer").agg(F.count_if(F.col(tag_col) == tag_a).alias("n1"),
+                               F.count_if(F.col(tag_col) == tag_b).alias("n2"))
     w = Window.partitionBy()   # over <= 5^k aggregated rows
     return c.select("kmer", "n1", "n2", F.try_divide(F.col("n1"), F.sum("n1").over(w)).alias("f1"),
                     F.try_divide(F.col("n2"), F.sum("n2").over(w)).alias("f2"))
@@ -67,10 +73,19 @@ def aligned_kmer_freqs(a: DataFrame, b: DataFrame, k: int, sequence_col: str = "
 def kmer_correlation(a: DataFrame, b: DataFrame, k: int = 6, sequence_col: str = "sequence",
                      with_vectors: bool = False) -> DataFrame:
     """Pearson r of the two k-mer frequency vectors (one row; ``with_vectors`` adds them)."""
-    al = aligned_kmer_freqs(a, b, k, sequence_col)
+    return correlation_of(aligned_kmer_freqs(a, b, k, sequence_col), with_vectors)
+
+
+def kmer_correlation_by(df: DataFrame, tag_col: str, tag_a, tag_b, k: int = 6,
+                        sequence_col: str = "sequence", with_vectors: bool = False) -> DataFrame:
+    """A7 for two corpora tagged inside one table (single scan of the source)."""
+    return correlation_of(aligned_by_tag(df, tag_col, tag_a, tag_b, k, sequence_col), with_vectors)
+
+
+def correlation_of(al: DataFrame, with_vectors: bool = False) -> DataFrame:
     r = pearson(al, "f1", "f2")
-    if with_vectors:
-        return al.crossJoin(r)
+    if with_vectors:   # r as a scalar subquery next to every aligned row
+        return al.withColumn("r", r.select("r").scalar())
     return r
 
 

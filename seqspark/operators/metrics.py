@@ -96,7 +96,9 @@ def binary_metrics(df: DataFrame, label: str = "label", pred: str = "predicted_l
     """A8-A10 together (the reference's compute_binary_metrics), one row per group."""
     m = metrics_from_confusion(confusion(df, label, pred, group_cols))
     a = roc_auc(df, label, score, group_cols).select(*group_cols, "auc")
-    return m.join(a, list(group_cols), "left") if group_cols else m.crossJoin(a)
+    if group_cols:
+        return m.join(a, list(group_cols), "left")
+    return m.withColumn("auc", a.select("auc").scalar())
 
 
 def model_accuracy(df: DataFrame, label: str = "label", pred: str = "predicted_label",

@@ -70,7 +70,7 @@ def masked_one_hot_long(df: DataFrame, id_col: str = "id", template_col: str = "
 
 def random_infill(df: DataFrame, seed: int = 0, regions: Regions = ACTIVE_REGIONS,
                   id_col: str = "id", sequence_col: str = "sequence",
-                  order_by: Sequence[str] | None = None) -> DataFrame:
+                  order_by: Sequence[str] | None = None, deterministic_input: bool = False) -> DataFrame:
     """Model-free generator.
 
     Row i (in ``order_by`` order) receives the core cells of row perm(i), where
@@ -115,24 +115,26 @@ def core_kept_rows(pairs: DataFrame, regions: Regions = ACTIVE_REGIONS) -> DataF
 
 
 def mutation_variants(df: DataFrame, id_col: str = "id", sequence_col: str = "sequence",
-                      window: int = 0) -> DataFrame:
+                      window: int = 0, keep: Sequence[str] = ()) -> DataFrame:
     """Every single-base substitution (3 per position), plus optional ``M``-window masks.
 
     Output (id, pos, ref, alt, variant).  Rows grow x3L; callers aggregate or
     score them and should not cache the exploded set.
     """
     s = F.col(sequence_col)
-    p = df.select(id_col, sequence_col, F.posexplode(chars(s)).alias("pos", "ref"))
-    p = p.select(id_col, sequence_col, "pos", "ref", F.explode(F.array(*[F.lit(b) for b in BASES])).alias("alt"))
+    keep = list(keep)
+    p = df.select(id_col, *keep, sequence_col, F.posexplode(chars(s)).alias("pos", "ref"))
+    p = p.select(id_col, *keep, sequence_col, "pos", "ref",
+                 F.explode(F.array(*[F.lit(b) for b in BASES])).alias("alt"))
     p = p.where(F.col("alt") != F.col("ref"))
     var = F.overlay(s, F.col("alt"), F.col("pos") + 1, F.lit(1))
-    out = p.select(id_col, F.col("pos").cast("bigint").alias("pos"), "ref", "alt", var.alias("variant"))
+    out = p.select(id_col, *keep, F.col("pos").cast("int").alias("pos"), "ref", "alt", var.alias("variant"))
     if window > 0:
-        w = df.select(id_col, sequence_col, F.explode(F.sequence(
+        w = df.select(id_col, *keep, sequence_col, F.explode(F.sequence(
             F.lit(0), F.greatest(F.length(s) - window, F.lit(-1)))).alias("pos"))
         w = w.where(F.col("pos") >= 0)
         mv = F.overlay(s, F.lit(MASK * window), F.col("pos") + 1, F.lit(window))
-        out = out.unionByName(w.select(id_col, F.col("pos").cast("bigint").alias("pos"),
+        out = out.unionByName(w.select(id_col, *keep, F.col("pos").cast("int").alias("pos"),
                                        F.substring(s, F.col("pos") + 1, F.lit(window)).alias("ref"),
                                        F.lit(MASK * window).alias("alt"), mv.alias("variant")))
     return out

@@ -22,27 +22,56 @@ def pwm_weights(train: DataFrame, sequence_col: str = "sequence", label_col: str
                 pseudo: float = 1.0) -> DataFrame:
     """Log-odds weight per (pos, base): log P(base | strong, pos) - log P(base | weak, pos), add-``pseudo``.
 
-    One explode + one aggregation over (pos, base) with per-class counts; the
-    result has at most L x 4 rows.
+    One explode + one aggregation by position with the 4 x 2 (base, class)
+    counts as columns; the result has at most L x 4 rows.
     """
     cells = train.select(F.col(label_col).alias("_y"), F.posexplode(chars(sequence_col)).alias("pos", "base"))
-    cells = cells.where(F.col("base").isin(*BASES))
-    cnt = cells.groupBy("pos", "base").agg(F.count_if(F.col("_y") == 1).alias("n1"),
-                                           F.count_if(F.col("_y") == 0).alias("n0"))
-    grid = cnt.select("pos").distinct().select("pos", F.explode(F.array(*[F.lit(b) for b in BASES])).alias("base"))
-    full = grid.join(cnt, ["pos", "base"], "left").fillna(0, ["n1", "n0"])
-    from pyspark.sql import Window
-    w = Window.partitionBy("pos")   # 4 rows per position
-    t1, t0 = F.sum("n1").over(w), F.sum("n0").over(w)
-    lw = (F.log((F.col("n1") + pseudo) / (t1 + 4 * pseudo)) - F.log((F.col("n0") + pseudo) / (t0 + 4 * pseudo)))
-    return full.select(F.col("pos").cast("int").alias("pos"), "base", lw.alias("w"))
+    counts = [F.count_if((F.col("_y") == y) & (F.col("base") == b)).alias(f"n{y}_{b}")
+              for y in (1, 0) for b in BASES]
+    g = cells.groupBy("pos").agg(*counts)
+    t1 = sum((F.col(f"n1_{b}") for b in BASES), F.lit(0))
+    t0 = sum((F.col(f"n0_{b}") for b in BASES), F.lit(0))
+    rows = F.array(*[F.struct(F.lit(b).alias("base"), (
+        F.log((F.col(f"n1_{b}") + pseudo) / (t1 + 4 * pseudo))
+        - F.log((F.col(f"n0_{b}") + pseudo) / (t0 + 4 * pseudo))).alias("w")) for b in BASES])
+    return g.select(F.col("pos").cast("int").alias("pos"), F.explode(rows).alias("r")) \
+        .select("pos", "r.base", "r.w")
+
+
+def _base_idx(c):
+    return F.instr(F.lit("ACGT"), c) - 1
+
+
+def weight_map(weights: DataFrame):
+    """The model as one dense array<double> scalar subquery (index pos*4 + base).
+
+    At most L x 4 entries (bounded by the sequence length): computed once,
+    inlined into every task; lookups are O(1) array accesses, so scoring
+    needs no join and no shuffle.  Positions absent from ``weights`` get 0.
+    """
+    k = (F.col("pos") * 4 + _base_idx(F.col("base"))).cast("int")
+    m = F.map_from_entries(F.collect_list(F.struct(k, F.col("w"))))
+    dense = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys(m))),
+                        lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))
+    return weights.where(_base_idx(F.col("base")) >= 0).select(dense).scalar()
+
+
+def _w(m, pos, base):
+    i = _base_idx(base)
+    return F.when(i >= 0, F.coalesce(F.try_element_at(m, (pos * 4 + i + 1).cast("int")), F.lit(0.0))) \
+        .otherwise(F.lit(0.0))
+
+
+def pwm_score_expr(seq, m):
+    """Sum of the weights along the sequence (a narrow per-row expression)."""
+    s = F.col(seq) if isinstance(seq, str) else seq
+    return F.aggregate(F.transform(chars(s), lambda c, i: _w(m, i, c)), F.lit(0.0), lambda a, x: a + x)
 
 
 def pwm_score(df: DataFrame, weights: DataFrame, id_col: str = "id", sequence_col: str = "sequence") -> DataFrame:
-    """Sum of weights over the sequence's cells (JVM path): (id, score)."""
-    cells = df.select(id_col, F.posexplode(chars(sequence_col)).alias("pos", "base"))
-    j = cells.join(F.broadcast(weights), ["pos", "base"], "left")
-    return j.groupBy(id_col).agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("score"))
+    """(id, score): per-row scoring with the model map, no shuffle."""
+    d = df.select(id_col, sequence_col, weight_map(weights).alias("_m"))
+    return d.select(id_col, pwm_score_expr(sequence_col, F.col("_m")).alias("score"))
 
 
 def sigmoid(x):
@@ -95,17 +124,16 @@ def mutation_effects(df: DataFrame, weights: DataFrame, id_col: str = "id",
     """R1 + scoring: every substitution variant with its score change under an additive model.
 
     score(variant) = score(wild type) - w[pos, ref] + w[pos, alt], so each of
-    the 3L variants is scored without re-reading the sequence.
+    the 3L variants is scored without re-reading the sequence.  The wild-type
+    score is computed before the explode and the model is a scalar map, so the
+    3L-fold expansion stays inside the task (nothing but the final partial
+    aggregates is shuffled).
     """
-    wt = pwm_score(df, weights, id_col, sequence_col)
-    v = mutation_variants(df, id_col, sequence_col).join(wt, id_col)
-    wref = weights.select("pos", F.col("base").alias("ref"), F.col("w").alias("w_ref"))
-    walt = weights.select("pos", F.col("base").alias("alt"), F.col("w").alias("w_alt"))
-    v = (v.withColumn("pos", F.col("pos").cast("int"))
-         .join(F.broadcast(wref), ["pos", "ref"], "left").join(F.broadcast(walt), ["pos", "alt"], "left"))
-    delta = F.coalesce("w_alt", F.lit(0.0)) - F.coalesce("w_ref", F.lit(0.0))
-    v = v.withColumn("delta", delta)
-    return v.withColumn("dp", F.abs(sigmoid(F.col("score") + F.col("delta")) - sigmoid("score")))
+    m = F.col("_m")   # the model map, projected once (subqueries cannot sit inside lambdas)
+    scored = df.withColumn("_m", weight_map(weights)).withColumn("score", pwm_score_expr(sequence_col, m))
+    v = mutation_variants(scored, id_col, sequence_col, keep=["score", "_m"])
+    v = v.withColumn("delta", _w(m, F.col("pos"), F.col("alt")) - _w(m, F.col("pos"), F.col("ref")))
+    return v.withColumn("dp", F.abs(sigmoid(F.col("score") + F.col("delta")) - sigmoid("score"))).drop("_m")
 
 
 def position_importance(effects: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seqspark.functions.dna import WHITESPACE_CLASS, clean_dna, recode_letters
 from seqspark.operators import clean as C
 from seqspark.plans.catalog import register
+from seqspark.session import materialize as _materialize
 from seqspark.sources import driver_tables as V
 
 L = 81
@@ -19,8 +20,8 @@ def sql_clean(x: str) -> str:
 
 
 def labeled(spark, sf):
-    p = V.promoters(spark, sf)
-    return C.load_labeled(p.where("label = 1"), p.where("label = 0"), order_col="id")
+    """Strong rows then weak rows, tagged in one scan of the promoter tiles."""
+    return C.tag_labeled(V.promoters(spark, sf), order_col="id")
 
 
 SQL_LABELED = """labeled AS (
@@ -45,8 +46,10 @@ SQL_PIPELINE = """pipeline AS (
     FROM noconflict) WHERE rn = 1)"""
 
 
-def pipeline(spark, sf):
-    return C.clean_pipeline(labeled(spark, sf), L)
+def pipeline(spark, sf, materialize: bool = False):
+    """Cleaned labelled tiles; ``materialize`` writes them once for multi-pass consumers."""
+    p = C.clean_pipeline(labeled(spark, sf), L)
+    return _materialize(p) if materialize else p
 
 
 OUT_COLS = ["id", "sequence", "label", "source_sheet", "source_rank", "row_order", "seq_len"]
@@ -63,7 +66,9 @@ def q_clean_dna(spark, sf):
 @register("load_labeled_union", V.with_views(f"""WITH {SQL_LABELED}
 SELECT * FROM labeled""", "promoters"))
 def q_load_labeled_union(spark, sf):
-    return labeled(spark, sf)
+    """S3 + U1 with two sources (strong / weak sheets) stacked by unionByName."""
+    p = V.promoters(spark, sf)
+    return C.load_labeled(p.where("label = 1"), p.where("label = 0"), order_col="id")
 
 
 @register("length_filter", V.with_views(f"""WITH {SQL_LABELED}, {SQL_CLEANED}

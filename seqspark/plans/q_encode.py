@@ -128,7 +128,8 @@ SQL_INFILL = f"""infill AS (
 @register("random_infill", V.with_views(f"""WITH {PIPE}, {SQL_INFILL}
 SELECT row_idx, id, donor_id, sequence FROM infill""", "promoters"))
 def q_random_infill(spark, sf):
-    return R.random_infill(pipeline(spark, sf).select("id", "sequence"), seed=INFILL_SEED)
+    p = pipeline(spark, sf, materialize=True).select("id", "sequence")
+    return R.random_infill(p, seed=INFILL_SEED, deterministic_input=True)
 
 
 @register("core_retention", V.with_views(f"""WITH {PIPE}, {SQL_NATIDX},
@@ -149,8 +150,9 @@ SELECT count(*) AS n_pairs,
 FROM infill""", "promoters"))
 def q_core_kept(spark, sf):
     """Random infill keeps every donor core: n_core_kept must equal n_pairs."""
-    inf = R.random_infill(pipeline(spark, sf).select("id", "sequence"), seed=INFILL_SEED)
-    donors = pipeline(spark, sf).select(F.col("id").alias("donor_id"), F.col("sequence").alias("nat"))
+    p = pipeline(spark, sf, materialize=True)
+    inf = R.random_infill(p.select("id", "sequence"), seed=INFILL_SEED, deterministic_input=True)
+    donors = p.select(F.col("id").alias("donor_id"), F.col("sequence").alias("nat"))
     pairs = inf.join(donors, "donor_id").select(F.col("sequence").alias("gen"), "nat")
     return R.core_kept_rows(pairs)
 

@@ -44,8 +44,7 @@ SELECT CASE WHEN count(*) > 1 AND min(f1) <> max(f1) AND min(f2) <> max(f2)
 
 
 def strong_weak_corr(spark, sf, k=K6):
-    p = pipeline(spark, sf)
-    r = K.kmer_correlation(p.where("label = 1"), p.where("label = 0"), k)
+    r = K.kmer_correlation_by(pipeline(spark, sf), "label", 1, 0, k)
     return r.select(F.round("r", 9).alias("r"), "n_kmers")
 
 
@@ -60,17 +59,17 @@ c AS (SELECT kmer, count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHE
 SELECT kmer, n1, n2, round(n1 / sum(n1) OVER (), 12) AS f1, round(n2 / sum(n2) OVER (), 12) AS f2 FROM c""",
                                        "promoters"))
 def q_kmer_aligned(spark, sf):
-    p = pipeline(spark, sf)
-    a = K.aligned_kmer_freqs(p.where("label = 1"), p.where("label = 0"), K6)
+    a = K.aligned_by_tag(pipeline(spark, sf), "label", 1, 0, K6)
     return a.select("kmer", "n1", "n2", F.round("f1", 12).alias("f1"), F.round("f2", 12).alias("f2"))
 
 
 def corpora(spark, sf):
     """natural (cleaned pipeline), strong, weak, generated (benchmark), random (hashdna)."""
-    p = pipeline(spark, sf).select("sequence", "label")
-    return (p.select(F.lit("natural").alias("corpus"), "sequence")
-            .unionByName(p.where("label = 1").select(F.lit("strong").alias("corpus"), "sequence"))
-            .unionByName(p.where("label = 0").select(F.lit("weak").alias("corpus"), "sequence"))
+    # one pass over the cleaned tiles: every row is in 'natural' and in its class corpus
+    p = pipeline(spark, sf).select(
+        "sequence", F.explode(F.array(F.lit("natural"), F.when(F.col("label") == 1, "strong")
+                                      .otherwise("weak"))).alias("corpus"))
+    return (p.select("corpus", "sequence")
             .unionByName(V.generated(spark, sf).select(F.lit("generated").alias("corpus"), "sequence"))
             .unionByName(V.hashdna(spark, sf).select(F.lit("random").alias("corpus"), "sequence")))
 

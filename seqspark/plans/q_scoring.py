@@ -45,8 +45,14 @@ SQL_EFFECTS = """eff AS (
   LEFT JOIN pwm wa ON wa.pos = v.pos AND wa.base = v.alt)"""
 
 
-def weights(spark, sf):
-    return Sc.pwm_weights(pipeline(spark, sf))
+def promoters_clean(spark, sf):
+    # one column set for every use, so the pipeline's shuffle can be shared
+    # written once: the model is fitted on it and then applied to it (two passes)
+    return pipeline(spark, sf, materialize=True).select("id", "sequence", "label")
+
+
+def weights(spark, sf, data=None):
+    return Sc.pwm_weights(data if data is not None else promoters_clean(spark, sf))
 
 
 @register("pwm_weights", V.with_views(f"WITH {PIPE}, {SQL_PWM} SELECT pos, base, round(w, 9) AS w FROM pwm",
@@ -58,7 +64,8 @@ def q_pwm_weights(spark, sf):
 @register("pwm_score", V.with_views(f"""WITH {PIPE}, {SQL_PWM}, {SQL_WT}
 SELECT id, round(score, 9) AS score FROM wt""", "promoters"))
 def q_pwm_score(spark, sf):
-    s = Sc.pwm_score(pipeline(spark, sf), weights(spark, sf))
+    d = promoters_clean(spark, sf)
+    s = Sc.pwm_score(d, weights(spark, sf, d))
     return s.select("id", F.round("score", 9).alias("score"))
 
 
@@ -68,8 +75,9 @@ SELECT id, round(score, 9) AS score, round(1.0 / (1.0 + exp(-score)), 9) AS prob
 def q_batch_score(spark, sf):
     # the model (<= L x 4 weights, bounded by sequence length) is fitted on the cluster,
     # shipped to the workers inside the factory and built once per task
-    w = {(int(r["pos"]), r["base"]): float(r["w"]) for r in weights(spark, sf).collect()}
-    s = Sc.batch_score(pipeline(spark, sf), lambda: Sc.PWMScorer(w))
+    d = promoters_clean(spark, sf)
+    w = {(int(r["pos"]), r["base"]): float(r["w"]) for r in weights(spark, sf, d).collect()}
+    s = Sc.batch_score(d, lambda: Sc.PWMScorer(w))
     return s.select("id", F.round("score", 9).alias("score"),
                     F.round(Sc.sigmoid("score"), 9).alias("prob_strong_promoter"),
                     F.when(F.col("score") > 0, 1).otherwise(0).alias("predicted_label"))
@@ -79,7 +87,8 @@ def q_batch_score(spark, sf):
 SELECT pos, alt, count(*) AS n_variants, round(avg(delta), 9) AS mean_delta, round(avg(dp), 9) AS mean_dp
 FROM eff GROUP BY pos, alt""", "promoters"))
 def q_mutation_scan(spark, sf):
-    e = Sc.mutation_effects(pipeline(spark, sf), weights(spark, sf))
+    d = promoters_clean(spark, sf)
+    e = Sc.mutation_effects(d, weights(spark, sf, d))
     g = e.groupBy("pos", "alt").agg(F.count(F.lit(1)).alias("n_variants"),
                                     F.round(F.avg("delta"), 9).alias("mean_delta"),
                                     F.round(F.avg("dp"), 9).alias("mean_dp"))
@@ -94,7 +103,8 @@ isl AS (SELECT pos, importance, pos - row_number() OVER (ORDER BY pos) AS grp FR
 SELECT min(pos) AS start, max(pos) + 1 AS "end", round(avg(importance), 9) AS mean_importance
 FROM isl GROUP BY grp""", "promoters"))
 def q_core_identify(spark, sf):
-    e = Sc.mutation_effects(pipeline(spark, sf), weights(spark, sf))
+    d = promoters_clean(spark, sf)
+    e = Sc.mutation_effects(d, weights(spark, sf, d))
     imp = Sc.position_importance(e).select("pos", F.round("importance", 9).alias("importance"))
     r = Sc.core_regions(imp, CORE_QUANTILE)
     return r.select(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),

@@ -54,3 +54,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder on this cluster")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="seqspark-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def materialize(df):
+    """Write ``df`` once as a reliable checkpoint (shared folder) and return the re-readable copy.
+
+    Used when one cleaned table feeds several passes (fit + apply, two
+    indexes): each pass then reads the written table instead of recomputing
+    the raw-text cleaning, and a lost executor does not trigger recomputation.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
