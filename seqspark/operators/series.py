@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from seqspark.operators.rowindex import _cols, cumulative
 from seqspark.session import ensure_checkpoint_dir
@@ -120,9 +121,10 @@ def ema_series(df: DataFrame, value: str, order_by: str, partition_by=(), name:
             .withColumn("_pid", F.spark_partition_id()))
     ensure_checkpoint_dir(spark)
     base = base.checkpoint(eager=True)
-    slim = base.select("_pid", *gnames, "_n", F.col(value).cast("double").alias("_x"))
-    types = dict(slim.dtypes)
-    gschema = ", ".join(f"{g} {types[g]}" for g in gnames)
+    cols = base.columns
+    out_schema = StructType(list(base.schema.fields) + [StructField("_copied", BooleanType()),
+                                                        StructField("_a", DoubleType()),
+                                                        StructField("_b", DoubleType())])
 
     def local(it):
         last_key, st = None, (False, 1.0, 0.0)
@@ -131,7 +133,7 @@ def ema_series(df: DataFrame, value: str, order_by: str, partition_by=(), name:
                 continue
             keys = list(zip(*[pdf[g].tolist() for g in gnames]))
             cop, aa, bb = [], [], []
-            for key, n, x in zip(keys, pdf["_n"].tolist(), pdf["_x"].tolist()):
+            for key, n, x in zip(keys, pdf["_n"].tolist(), pdf[value].astype("float64").tolist()):
                 if key != last_key:
                     last_key, st = key, (False, 1.0, 0.0)
                 k = _kind(n, rate, start)
@@ -142,13 +144,16 @@ def ema_series(df: DataFrame, value: str, order_by: str, partition_by=(), name:
                 cop.append(st[0])
                 aa.append(st[1])
                 bb.append(st[2])
-            out = pdf[["_pid", *gnames, "_n"]].copy()
+            out = pdf[cols].copy()
             out["_copied"], out["_a"], out["_b"] = cop, aa, bb
             yield out
 
-    rows = slim.mapInPandas(local, f"_pid int, {gschema}, _n long, _copied boolean, _a double, _b double")
+    # every column rides through the scan, so no join back to the input is needed
+    rows = base.mapInPandas(local, out_schema)
     seg = rows.groupBy("_pid", *gnames).agg(F.max_by(F.struct("_copied", "_a", "_b"), "_n").alias("_m"))
     seg = seg.select("_pid", *gnames, "_m._copied", "_m._a", "_m._b")
+    types = dict(base.dtypes)
+    gschema = ", ".join(f"{g} {types[g]}" for g in gnames)
 
     def carry(pdf):
         pdf = pdf.sort_values("_pid")
@@ -164,9 +169,8 @@ def ema_series(df: DataFrame, value: str, order_by: str, partition_by=(), name:
         out["_has"], out["_y"] = hs, ys
         return out
 
+    # one row per (partition, group): at most #partitions + #groups rows
     carries = seg.groupBy(*gnames).applyInPandas(carry, f"_pid int, {gschema}, _has boolean, _y double")
     j = rows.join(carries, ["_pid", *gnames])
     ema = F.when(F.col("_copied"), F.col("_b")).when(F.col("_has"), F.col("_a") * F.col("_y") + F.col("_b"))
-    res = j.select("_pid", *gnames, "_n", ema.alias(name))
-    final = base.join(res, ["_pid", *gnames, "_n"])
-    return final.drop("_pid", "_n", *gnames)
+    return j.withColumn(name, ema).drop("_pid", "_n", "_copied", "_a", "_b", "_has", "_y", *gnames)

@@ -87,7 +87,9 @@ def predicted(spark, sf):
     c = cells(spark, sf)
     f = D.forward_noise(c, lin(spark), key="vec_id")
     f = D.gather(f, lin(spark).select("t", "sqrt_alpha_bar", "sqrt_one_minus_alpha_bar"))
-    f = f.join(D.mean_predictor(c), "pos")   # one row per position: bounded by the matrix width
+    # one row per position: bounded by the matrix width, so broadcast (a join on the
+    # 64-valued pos key would otherwise shuffle every cell into 64 hot partitions)
+    f = f.join(F.broadcast(D.mean_predictor(c)), "pos")
     return f.withColumn("eps_hat", D.eps_from_x0())
 
 

@@ -58,7 +58,7 @@ FROM (SELECT id, pos, substr(template, (pos + 1)::BIGINT, 1) AS ch
             FROM (SELECT id, {sql_template('sequence')} AS template FROM generated))),
      (SELECT unnest(['A', 'C', 'G', 'T']) AS base)""", "generated"))
 def q_masked_one_hot(spark, sf):
-    g = V.generated(spark, sf).select("id", R.mask_template("sequence").alias("template"))
+    g = V.generated(spark, sf, indexed=False).select("id", R.mask_template("sequence").alias("template"))
     return R.masked_one_hot_long(g)
 
 

@@ -13,6 +13,7 @@ from seqspark.plans.q_experiments import SQL_SUMMARY, SUMMARY_COLS, _rspark, _rs
 from seqspark.plans.q_kmers import PIPE
 from seqspark.sources import driver_tables as V
 from seqspark.sources import files as IO
+from seqspark.session import materialize
 from seqspark.streaming.leader import run_leader_stream
 
 
@@ -52,7 +53,7 @@ def q_json_summary(spark, sf):
 
 @register("append_log", V.with_views("SELECT trial_id, fold, epoch, acc FROM eval_log", "eval_log"))
 def q_append_log(spark, sf):
-    ev = V.eval_log(spark, sf)
+    ev = materialize(V.eval_log(spark, sf))      # written once, appended fold by fold
     path = IO.scratch_path(spark, "log")
     for f in range(1, 6):        # one append per fold, as evaluations arrive
         IO.append_log(ev.where(F.col("fold") == f), path)
@@ -72,6 +73,6 @@ ORDER BY acc DESC, trial_id, fold, epoch LIMIT 1""", "eval_log"))
 def q_stream_best(spark, sf):
     src = IO.scratch_path(spark, "events")
     ev = V.eval_log(spark, sf)
-    ev.repartition(5, "fold").write.mode("overwrite").parquet(src)   # event files to replay
+    ev.write.mode("overwrite").parquet(src)   # event files to replay (one per task)
     root = IO.scratch_path(spark, "stream")
     return run_leader_stream(spark, src, ev.schema, f"{root}/log", f"{root}/leader", f"{root}/_checkpoint")

@@ -70,7 +70,7 @@ def corpora(spark, sf):
         "sequence", F.explode(F.array(F.lit("natural"), F.when(F.col("label") == 1, "strong")
                                       .otherwise("weak"))).alias("corpus"))
     return (p.select("corpus", "sequence")
-            .unionByName(V.generated(spark, sf).select(F.lit("generated").alias("corpus"), "sequence"))
+            .unionByName(V.generated(spark, sf, indexed=False).select(F.lit("generated").alias("corpus"), "sequence"))
             .unionByName(V.hashdna(spark, sf).select(F.lit("random").alias("corpus"), "sequence")))
 
 

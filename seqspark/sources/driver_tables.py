@@ -11,7 +11,7 @@ may be shorter), so every base of every labelled document is a record.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqspark.functions.dna import ALPHABET, ALPHABET_BASES, recode_letters, tiles
@@ -32,7 +32,10 @@ def promoters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """promoters(id, doc_id, tile, sequence, label): tiles of labelled documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    t = docs.join(labels, "doc_id").select("doc_id", "label", recode_letters("text").alias("letters"))
+    # re-code before the join: if labels is too large to broadcast, the shuffle
+    # carries the compact letter string instead of the raw text
+    letters = docs.select("doc_id", recode_letters("text").alias("letters"))
+    t = letters.join(labels, "doc_id").select("doc_id", "label", "letters")
     t = t.select("doc_id", "label", F.posexplode(tiles("letters", TILE)).alias("tile", "sequence"))
     return t.select((F.col("doc_id") * TILE_ID_STRIDE + F.col("tile")).alias("id"),
                     "doc_id", F.col("tile").cast("int").alias("tile"), "sequence", "label")
@@ -44,12 +47,15 @@ def promoters_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                     F.col("text").alias("sequence"))
 
 
-def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """generated(row_idx, id, sequence): benchmark texts re-coded and tiled, ordered by (item, tile)."""
+def generated(spark: SparkSession, sf_dir: str, indexed: bool = True) -> DataFrame:
+    """generated(row_idx, id, sequence): benchmark texts re-coded and tiled, ordered by (item, tile).
+
+    ``indexed=False`` skips the positional index for consumers that only need (id, sequence).
+    """
     b = table(spark, sf_dir, "benchmark").select("item_id", recode_letters("text").alias("letters"))
     b = b.select("item_id", F.posexplode(tiles("letters", TILE)).alias("tile", "sequence"))
     b = b.select((F.col("item_id") * TILE_ID_STRIDE + F.col("tile")).alias("id"), "sequence")
-    return with_row_index(b, ["id"])
+    return with_row_index(b, ["id"]) if indexed else b
 
 
 def hashdna(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +89,10 @@ def eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     (user, type) -> epoch (1-based), value / 1000 -> accuracy.
     """
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    types = ev.select("event_type").distinct()
-    types = types.withColumn("fold", F.dense_rank().over(Window.orderBy("event_type")).cast("bigint"))
-    ev = ev.join(types, "event_type")   # types is bounded by the number of event types
+    # fold = 1-based rank of the type among the sorted distinct types: a scalar subquery
+    # (no join on the 5-valued key, which would put a fifth of all events in one task)
+    types = ev.select(F.array_sort(F.collect_set("event_type"))).scalar()
+    ev = ev.withColumn("fold", F.array_position(types, F.col("event_type")))
     ev = with_row_index(ev, ["ts", "event_id"], partition_by=["user_id", "event_type"],
                         name="epoch", start=1)
     return ev.select(F.col("user_id").alias("trial_id"), "fold", "epoch",

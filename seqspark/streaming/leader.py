@@ -28,7 +28,7 @@ def _batch_best(df: DataFrame, acc: str, order: Sequence[str]) -> DataFrame:
 
 def run_leader_stream(spark: SparkSession, source_dir: str, schema: StructType | str, log_dir: str,
                       leader_dir: str, checkpoint_dir: str, acc: str = "acc",
-                      order: Sequence[str] = ORDER, max_files_per_trigger: int = 1) -> DataFrame:
+                      order: Sequence[str] = ORDER, max_files_per_trigger: int = 100) -> DataFrame:
     """Process every file in ``source_dir`` (availableNow) and return the leader table."""
     state = {"leader": None}
     try:   # resume: a restarted query continues from the stored leader

@@ -74,7 +74,7 @@ def test_stream_leader_tie_breaks_by_event_order(spark, tmp_path):
             if f.endswith(".parquet"):
                 os.replace(f"{src}/{d}/{f}", f"{src}/{d}-{f}")
     lead = run_leader_stream(spark, src, schema, str(tmp_path / "log"), str(tmp_path / "lead"),
-                             str(tmp_path / "ck")).first()
+                             str(tmp_path / "ck"), max_files_per_trigger=1).first()
     assert (lead["best_metric_value"], lead["trial_id"], lead["fold"]) == (0.9, 1, 3)
 
 
