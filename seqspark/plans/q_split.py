@@ -84,3 +84,17 @@ FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS row_idx FROM seqsplit WH
 def q_batches(spark, sf):
     tr = seq_split(spark, sf).where("split = 'train'").select("id")
     return S.batches(tr, BATCH, ["id"]).select("id", "row_idx", "batch_id")
+
+
+@register("fold_files", V.with_views(f"""WITH {PIPE}, {SQL_FOLDS}
+SELECT s.split_id::INTEGER AS split_id, CASE WHEN fold = s.split_id THEN 'test' ELSE 'train' END AS role,
+       count(*) AS n_rows, count(*) FILTER (WHERE label = 1) AS n_strong
+FROM folds, (SELECT unnest(range(1, {K} + 1)) AS split_id) s GROUP BY ALL""", "promoters"))
+def q_fold_files(spark, sf):
+    """E3 + S5: every fold's train/test rows written as a split_id=/role= tree, read back and counted."""
+    from seqspark.sources.files import scratch_path
+    path = scratch_path(spark, "folds")
+    S.write_folds(S.fold_membership(folds(spark, sf), K), path)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("split_id").cast("int").alias("split_id"), "role").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("label") == 1).alias("n_strong"))
