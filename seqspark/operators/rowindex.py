@@ -23,6 +23,14 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in (xs or [])]
 
 
+def _range(df: DataFrame, keys, num_partitions: int | None) -> DataFrame:
+    """Range partitioning on ``keys``.  Without an explicit count the session's
+    shuffle partitions apply and AQE may merge adjacent (still ordered) ranges."""
+    if num_partitions:
+        return df.repartitionByRange(num_partitions, *keys)
+    return df.repartitionByRange(*keys)
+
+
 def with_row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence = (),
                    name: str = "row_idx", start: int = 0,
                    num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
@@ -38,10 +46,9 @@ def with_row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence = (
     keys = group + _cols(order_by)
     if not keys:
         raise ValueError("with_row_index needs order_by (row order is never implicit)")
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     gnames = [f"_g{i}" for i in range(len(group))]
     staged = df.withColumns({g: c for g, c in zip(gnames, group)}) if group else df
-    ordered = staged.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ordered = _range(staged, keys, num_partitions).sortWithinPartitions(*keys)
     base = (ordered.withColumn("_pid", F.spark_partition_id())
             .withColumn("_mid", F.monotonically_increasing_id()))
     if checkpoint:
@@ -81,10 +88,9 @@ def cumulative(df: DataFrame, value_col: str, order_by: Sequence, partition_by:
     spark = df.sparkSession
     group = _cols(partition_by)
     keys = group + _cols(order_by)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     gnames = [f"_g{i}" for i in range(len(group))]
     staged = df.withColumns({g: c for g, c in zip(gnames, group)}) if group else df
-    base = (staged.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    base = (_range(staged, keys, num_partitions).sortWithinPartitions(*keys)
             .withColumn("_pid", F.spark_partition_id()))
     ensure_checkpoint_dir(spark)
     base = base.checkpoint(eager=True)

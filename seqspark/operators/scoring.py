@@ -168,8 +168,10 @@ def kmer_classifier_cv(df: DataFrame, k: int = 6, folds_col: str = "fold", n_spl
     from pyspark import StorageLevel
     data = df.select(folds_col, F.col(label_col).cast("double").alias("label"),
                      kmers(sequence_col, k).alias("tokens"))
-    # iterative fitting re-reads the input many times: keep it materialised (spills to disk)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    # iterative fitting re-reads the input many times: keep it materialised (spills to disk),
+    # one partition per core so every optimiser pass is a single wave of tasks
+    par = df.sparkSession.sparkContext.defaultParallelism
+    data = data.repartition(par).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     for f in range(1, n_splits + 1):
         train, test = data.where(F.col(folds_col) != f), data.where(F.col(folds_col) == f)

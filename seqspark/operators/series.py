@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from seqspark.operators.rowindex import _cols, cumulative
+from seqspark.operators.rowindex import _cols, _range, cumulative
 from seqspark.session import ensure_checkpoint_dir
 
 # Fixed values (reference defaults).
@@ -113,11 +113,11 @@ def ema_series(df: DataFrame, value: str, order_by: str, partition_by=(), name:
     spark = df.sparkSession
     group = _cols(partition_by)
     gnames = [f"_g{i}" for i in range(len(group))] or ["_g0"]
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     staged = (df.withColumns({g: c for g, c in zip(gnames, group)}) if group
               else df.withColumn("_g0", F.lit(0)))
     staged = staged.withColumn("_n", F.col(order_by).cast("long"))
-    base = (staged.repartitionByRange(n_parts, *gnames, "_n").sortWithinPartitions(*gnames, "_n")
+    base = (_range(staged, [F.col(g) for g in gnames] + [F.col("_n")], num_partitions)
+            .sortWithinPartitions(*gnames, "_n")
             .withColumn("_pid", F.spark_partition_id()))
     ensure_checkpoint_dir(spark)
     base = base.checkpoint(eager=True)

@@ -54,8 +54,8 @@ def write_fasta(df: DataFrame, path: str, order_by: list[str], sequence_col: str
                 num_files: int | None = None) -> None:
     """Overwrite ``path`` with FASTA text; part files follow record order."""
     rec = fasta_records(df, order_by, sequence_col)
-    n = num_files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (rec.repartitionByRange(n, "row_idx").sortWithinPartitions("row_idx").select("value")
+    ranged = rec.repartitionByRange(num_files, "row_idx") if num_files else rec.repartitionByRange("row_idx")
+    (ranged.sortWithinPartitions("row_idx").select("value")
      .write.mode("overwrite").text(path))
 
 
