@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqspark.functions.dna import WHITESPACE_CLASS, clean_dna, recode_letters
+from seqspark.functions.dna import WHITESPACE_CLASS, clean_dna
 from seqspark.operators import clean as C
 from seqspark.plans.catalog import register
 from seqspark.session import materialize as _materialize
@@ -153,6 +153,3 @@ SELECT id, doc_id, tile, sequence, label, length(sequence)::BIGINT AS n FROM pro
 def q_recode_tiles(spark, sf):
     return V.promoters(spark, sf).withColumn("n", F.length("sequence").cast("bigint"))
 
-
-__all__ = ["pipeline", "labeled", "sql_clean", "SQL_LABELED", "SQL_CLEANED", "SQL_NOCONFLICT",
-           "SQL_PIPELINE", "recode_letters"]

@@ -156,5 +156,3 @@ def q_core_kept(spark, sf):
     pairs = inf.join(donors, "donor_id").select(F.col("sequence").alias("gen"), "nat")
     return R.core_kept_rows(pairs)
 
-
-__all__ = ["sql_in_core", "sql_hash32"]

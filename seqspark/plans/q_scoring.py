@@ -9,7 +9,7 @@ from seqspark.operators import scoring as Sc
 from seqspark.plans.catalog import register
 from seqspark.plans.q_clean import pipeline
 from seqspark.plans.q_kmers import PIPE
-from seqspark.plans.q_split import SQL_FOLDS, folds
+from seqspark.plans.q_split import folds
 from seqspark.sources import driver_tables as V
 
 CORE_QUANTILE = 0.75
@@ -117,5 +117,3 @@ def q_kmer_classifier(spark, sf):
     f = folds(spark, sf).join(pipeline(spark, sf).select("id", "sequence"), "id")
     return Sc.kmer_classifier_cv(f, k=4, max_iter=30)
 
-
-__all__ = ["SQL_FOLDS"]

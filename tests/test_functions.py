@@ -2,7 +2,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from seqspark.functions import dna as D
 from seqspark.functions import numeric as N
