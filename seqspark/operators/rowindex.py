@@ -23,6 +23,25 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in (xs or [])]
 
 
+# Largest offsets table joined by broadcast (rows); above it a shuffle join is used.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def join_bounded(big: DataFrame, small: DataFrame, keys: list[str],
+                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Join ``small`` onto ``big``, broadcasting ``small`` only after checking its size.
+
+    ``small`` is written once (reliable checkpoint) so the row count is a cheap
+    read; at or below ``max_rows`` it is broadcast (no shuffle of ``big``),
+    otherwise a regular shuffle join is planned.
+    """
+    ensure_checkpoint_dir(small.sparkSession)
+    small = small.checkpoint(eager=True)
+    if small.count() <= max_rows:
+        return big.join(F.broadcast(small), keys, "inner")
+    return big.join(small, keys, "inner")
+
+
 def _range(df: DataFrame, keys, num_partitions: int | None) -> DataFrame:
     """Range partitioning on ``keys``.  Without an explicit count the session's
     shuffle partitions apply and AQE may merge adjacent (still ordered) ranges."""
@@ -58,7 +77,7 @@ def with_row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence = (
                                               F.min("_mid").alias("_m0"))
     w = Window.partitionBy(*gnames).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    out = base.join(stats.select("_pid", *gnames, "_off", "_m0"), ["_pid", *gnames], "inner")
+    out = join_bounded(base, stats.select("_pid", *gnames, "_off", "_m0"), ["_pid", *gnames])
     out = out.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_m0") + F.lit(start)).cast("bigint"))
     return out.drop("_pid", "_mid", "_off", "_m0", *gnames)
 
@@ -100,7 +119,7 @@ def cumulative(df: DataFrame, value_col: str, order_by: Sequence, partition_by:
     wl = (Window.partitionBy("_pid", *gnames).orderBy(*_cols(order_by))
           .rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow))
     local = base.withColumn("_loc", agg(value_col).over(wl))
-    out = local.join(part, ["_pid", *gnames], "inner")
+    out = join_bounded(local, part, ["_pid", *gnames])
     if fn == "sum":
         val = F.when(F.col("_carry").isNull() & F.col("_loc").isNull(), F.lit(None)) \
             .otherwise(F.coalesce("_carry", F.lit(0)) + F.coalesce("_loc", F.lit(0)))

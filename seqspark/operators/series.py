@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from seqspark.operators.rowindex import _cols, _range, cumulative
+from seqspark.operators.rowindex import _cols, _range, cumulative, join_bounded
 from seqspark.session import ensure_checkpoint_dir
 
 # Fixed values (reference defaults).
@@ -171,6 +171,6 @@ def ema_series(df: DataFrame, value: str, order_by: str, partition_by=(), name:
 
     # one row per (partition, group): at most #partitions + #groups rows
     carries = seg.groupBy(*gnames).applyInPandas(carry, f"_pid int, {gschema}, _has boolean, _y double")
-    j = rows.join(carries, ["_pid", *gnames])
+    j = join_bounded(rows, carries, ["_pid", *gnames])
     ema = F.when(F.col("_copied"), F.col("_b")).when(F.col("_has"), F.col("_a") * F.col("_y") + F.col("_b"))
     return j.withColumn(name, ema).drop("_pid", "_n", "_copied", "_a", "_b", "_has", "_y", *gnames)
