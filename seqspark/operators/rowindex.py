@@ -28,13 +28,14 @@ BROADCAST_MAX_ROWS = 2_000_000
 
 
 def join_bounded(big: DataFrame, small: DataFrame, keys: list[str],
-                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                 max_rows: int | None = None) -> DataFrame:
     """Join ``small`` onto ``big``, broadcasting ``small`` only after checking its size.
 
     ``small`` is written once (reliable checkpoint) so the row count is a cheap
     read; at or below ``max_rows`` it is broadcast (no shuffle of ``big``),
     otherwise a regular shuffle join is planned.
     """
+    max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
     ensure_checkpoint_dir(small.sparkSession)
     small = small.checkpoint(eager=True)
     if small.count() <= max_rows:

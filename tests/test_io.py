@@ -89,3 +89,18 @@ def test_golden_facts_of_shipped_fasta(spark):
     assert K.kmer_correlation(g5, nat, 6).first()["r"] == pytest.approx(0.9090050699, abs=1e-9)
     assert K.kmer_correlation(g4, nat, 6).first()["r"] == pytest.approx(0.8963260967, abs=1e-9)
     assert K.kmer_correlation(g4, nat, 3).first()["r"] == pytest.approx(0.9839678989, abs=1e-9)
+
+
+@pytest.mark.skipif(not NATURAL.exists(), reason="shipped FASTA files not available")
+def test_golden_core_regions_of_shipped_files(spark):
+    from seqspark.operators import regions as R
+    nat = IO.read_fasta(spark, str(NATURAL))
+    f5 = IO.read_fasta(spark, str(next((REF / "Result").glob("Supplementary_file5_*.fasta"))))
+    f6 = IO.read_fasta(spark, str(next((REF / "Result").glob("Supplementary_file6_*.fasta"))))
+    p5 = R.pair_by_index(f5, nat)
+    assert R.core_kept_rows(p5, R.SHIPPED_REGIONS).first()["n_core_kept"] == 2108     # H1
+    assert R.core_kept_rows(p5, R.ACTIVE_REGIONS).first()["n_core_kept"] == 9
+    assert R.core_kept_rows(R.pair_by_index(f6, nat), R.SHIPPED_REGIONS).first()["n_core_kept"] == 0
+    # file6 keeps the natural core tuples as a multiset, permuted across rows
+    cores = [sorted(r[0] for r in d.select(R.core_slice("sequence", R.SHIPPED_REGIONS)).collect()) for d in (nat, f6)]
+    assert cores[0] == cores[1] and len(set(cores[0])) == 1996

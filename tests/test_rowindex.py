@@ -39,3 +39,12 @@ def test_cumulative_matches_pandas(spark):
     ex = ex.sort_values(["g", "k"])
     exp = pdf.groupby("g")["v"].cumsum() - pdf["v"]
     assert (ex["c"].values - exp.values).__abs__().max() < 1e-9
+
+
+def test_offsets_join_falls_back_to_shuffle(spark, monkeypatch):
+    from seqspark.operators import rowindex
+    monkeypatch.setattr(rowindex, "BROADCAST_MAX_ROWS", 0)
+    df = spark.createDataFrame([(i % 3, i) for i in range(300)], "g long, k long")
+    out = rowindex.with_row_index(df, ["k"], partition_by=["g"], num_partitions=4).toPandas()
+    for _, part in out.groupby("g"):
+        assert part.sort_values("k")["row_idx"].tolist() == list(range(len(part)))
