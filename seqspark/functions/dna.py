@@ -53,12 +53,13 @@ def tiles(seq, width: int = 81) -> Column:
 
 
 def kmers(seq, k: int) -> Column:
-    """Overlapping k-mers with stride 1; empty when len < k (guards Spark's descending sequence())."""
-    s = _c(seq)
-    n = F.length(s)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1),
-                                      lambda i: F.substring(s, i, F.lit(k)))) \
-        .otherwise(F.array().cast("array<string>"))
+    """Overlapping k-mers with stride 1; empty when len < k or NULL.
+
+    One linear regex pass: a zero-width lookahead captures the k characters
+    that start at every position (no per-k-mer substring walk).
+    """
+    return F.coalesce(F.regexp_extract_all(_c(seq), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)),
+                      F.array().cast("array<string>"))
 
 
 def chars(seq) -> Column:
