@@ -30,10 +30,15 @@ def _c(x) -> Column:
 
 
 def clean_dna(seq) -> Column:
-    """upper -> drop all whitespace -> any char outside ACGTN becomes N. NULL stays NULL."""
-    s = F.upper(_c(seq))
+    """upper -> drop all whitespace -> any char outside ACGTN becomes N. NULL stays NULL.
+
+    Already-clean strings (the common case) take a one-regex fast path.
+    """
+    raw = _c(seq)
+    s = F.upper(raw)
     s = F.regexp_replace(s, WHITESPACE_CLASS, "")
-    return F.regexp_replace(s, f"[^{LEGAL}]", "N")
+    full = F.regexp_replace(s, f"[^{LEGAL}]", "N")
+    return F.when(raw.rlike(f"^[{LEGAL}]*$"), raw).otherwise(full)
 
 
 def recode_letters(text) -> Column:
