@@ -136,6 +136,34 @@ def mutation_effects(df: DataFrame, weights: DataFrame, id_col: str = "id",
     return v.withColumn("dp", F.abs(sigmoid(F.col("score") + F.col("delta")) - sigmoid("score"))).drop("_m")
 
 
+def mutation_summary(df: DataFrame, weights: DataFrame, sequence_col: str = "sequence") -> DataFrame:
+    """R1 aggregated: per (pos, alt) the number of variants, mean score change and mean |p_mut - p_wt|.
+
+    Same numbers as aggregating ``mutation_effects``, but the three (or four,
+    for a non-ACGT reference) substitutions of a cell are columns of one
+    (sequence, position) row, un-pivoted only after the per-position partial
+    aggregation: 3x fewer rows flow through the scan than one per variant.
+    """
+    m = F.col("_m")
+    scored = df.withColumn("_m", weight_map(weights)).withColumn("score", pwm_score_expr(sequence_col, m))
+    cells = scored.select("_m", "score", F.posexplode(chars(sequence_col)).alias("pos", "ref"))
+    p_wt = sigmoid("score")
+    cols = []
+    for b in BASES:
+        d = F.when(F.col("ref") != b, _w(m, F.col("pos"), F.lit(b)) - _w(m, F.col("pos"), F.col("ref")))
+        cols += [d.alias(f"d_{b}"), F.abs(sigmoid(F.col("score") + d) - p_wt).alias(f"p_{b}")]
+    c = cells.select(F.col("pos").cast("int").alias("pos"), *cols)
+    aggs = []
+    for b in BASES:
+        aggs += [F.count(f"d_{b}").alias(f"n_{b}"), F.sum(f"d_{b}").alias(f"sd_{b}"), F.sum(f"p_{b}").alias(f"sp_{b}")]
+    g = c.groupBy("pos").agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(b).alias("alt"), F.col(f"n_{b}").alias("n_variants"),
+                              (F.col(f"sd_{b}") / F.col(f"n_{b}")).alias("mean_delta"),
+                              (F.col(f"sp_{b}") / F.col(f"n_{b}")).alias("mean_dp")) for b in BASES])
+    out = g.select("pos", F.explode(rows).alias("r")).select("pos", "r.*")
+    return out.where(F.col("n_variants") > 0)
+
+
 def position_importance(effects: DataFrame) -> DataFrame:
     """R2: importance(pos) = mean |p_mut - p_wt| over all variants at the position."""
     return effects.groupBy("pos").agg(F.avg("dp").alias("importance"), F.count(F.lit(1)).alias("n_variants"))

@@ -46,10 +46,14 @@ def stratified_kfold(df: DataFrame, n_splits: int = 5, seed: int = 42, label_col
 
 
 def check_folds(df: DataFrame, n_splits: int, label_col: str = "label") -> None:
-    """Raise when a class is smaller than n_splits (sklearn's ValueError)."""
-    small = df.groupBy(label_col).count().where(F.col("count") < n_splits)
-    if not small.isEmpty():
-        raise ValueError(f"n_splits={n_splits} is larger than the number of members of a class")
+    """sklearn's checks: error when n_splits exceeds the largest class, warning when it
+    exceeds the smallest one.  One small aggregation (class counts)."""
+    c = df.groupBy(label_col).count().agg(F.min("count").alias("lo"), F.max("count").alias("hi")).first()
+    if c is None or c["hi"] is None or c["hi"] < n_splits:
+        raise ValueError(f"n_splits={n_splits} cannot be greater than the number of members in each class")
+    if c["lo"] < n_splits:
+        warnings.warn(f"the least populated class has only {c['lo']} members, less than n_splits={n_splits}",
+                      stacklevel=2)
 
 
 def fold_membership(df: DataFrame, n_splits: int = 5, fold_col: str = "fold") -> DataFrame:

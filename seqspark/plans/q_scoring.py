@@ -88,11 +88,9 @@ SELECT pos, alt, count(*) AS n_variants, round(avg(delta), 9) AS mean_delta, rou
 FROM eff GROUP BY pos, alt""", "promoters"))
 def q_mutation_scan(spark, sf):
     d = promoters_clean(spark, sf)
-    e = Sc.mutation_effects(d, weights(spark, sf, d))
-    g = e.groupBy("pos", "alt").agg(F.count(F.lit(1)).alias("n_variants"),
-                                    F.round(F.avg("delta"), 9).alias("mean_delta"),
-                                    F.round(F.avg("dp"), 9).alias("mean_dp"))
-    return g
+    g = Sc.mutation_summary(d, weights(spark, sf, d))
+    return g.select("pos", "alt", "n_variants", F.round("mean_delta", 9).alias("mean_delta"),
+                    F.round("mean_dp", 9).alias("mean_dp"))
 
 
 @register("core_identify", V.with_views(f"""WITH {PIPE}, {SQL_PWM}, {SQL_WT}, {SQL_EFFECTS},

@@ -57,6 +57,12 @@ def test_pwm_scoring_paths_agree(spark):
         assert jvm[k] == pytest.approx(py[k], abs=1e-9)
     eff = Sc.mutation_effects(df, w).toPandas()
     assert len(eff) == 30 * 20 * 3
+    exp = eff.groupby(["pos", "alt"]).agg(n=("dp", "size"), d=("delta", "mean"), p=("dp", "mean"))
+    got = {(r["pos"], r["alt"]): r for r in Sc.mutation_summary(df, w).collect()}
+    assert len(got) == len(exp)
+    for (pos, alt), e in exp.iterrows():
+        g = got[(pos, alt)]
+        assert g["n_variants"] == e["n"] and g["mean_delta"] == pytest.approx(e["d"]) and g["mean_dp"] == pytest.approx(e["p"])
 
 
 def test_linear_schedule_endpoints(spark):

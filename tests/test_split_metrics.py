@@ -71,3 +71,11 @@ def test_model_summary_failed_row(spark):
     out = {r["key"]: r["status"] for r in M.model_summary(reg, res).collect()}
     assert out["nt"] == "OK" and out["gemma"] == "FAILED" and len(out) == 4
     assert M.select_models(reg, "gemma_no_prompt").first()["key"] == "gemma"
+
+
+def test_check_folds_like_sklearn(spark):
+    big = spark.createDataFrame([(1,)] * 7 + [(0,)] * 3, "label int")
+    with pytest.warns(UserWarning):
+        S.check_folds(big, 5)
+    with pytest.raises(ValueError):
+        S.check_folds(big, 8)
