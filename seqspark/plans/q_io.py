@@ -9,7 +9,7 @@ from seqspark.operators import clean as C
 from seqspark.operators import experiments as X
 from seqspark.plans.catalog import register
 from seqspark.plans.q_clean import pipeline
-from seqspark.plans.q_experiments import SQL_SUMMARY, SUMMARY_COLS, _rspark, _rsql
+from seqspark.plans.q_experiments import SQL_SUMMARY, SQL_TRIALS, SUMMARY_COLS, _rspark, _rsql
 from seqspark.plans.q_kmers import PIPE
 from seqspark.sources import driver_tables as V
 from seqspark.sources import files as IO
@@ -76,3 +76,45 @@ def q_stream_best(spark, sf):
     ev.write.mode("overwrite").parquet(src)   # event files to replay (one per task)
     root = IO.scratch_path(spark, "stream")
     return run_leader_stream(spark, src, ev.schema, f"{root}/log", f"{root}/leader", f"{root}/_checkpoint")
+
+
+HP_OUT = ["lr", "lora_r", "lora_alpha_multiplier", "lora_alpha", "lora_dropout", "weight_decay", "batch_size",
+          "gradient_accumulation_steps"]
+
+
+@register("best_summary", V.with_views(f"""WITH {SQL_TRIALS}, {SQL_SUMMARY},
+b AS (SELECT *, lora_r * lora_alpha_multiplier AS lora_alpha FROM summary JOIN trials USING (trial_id)
+      ORDER BY round(mean_best_test_acc, 9) DESC, trial_id LIMIT 1),
+g AS (SELECT acc AS best_metric_value, trial_id, fold, epoch FROM eval_log
+      WHERE acc IS NOT NULL AND NOT isnan(acc) ORDER BY acc DESC, trial_id, fold, epoch LIMIT 1)
+SELECT 'mean_of_fold_best_test_acc' AS selection_metric, b.trial_id AS best_trial_id,
+       round(b.mean_best_test_acc, 9) AS best_mean_best_test_acc, round(b.loss, 9) AS best_loss,
+       {', '.join(f'b.{h} AS best_{h}' for h in HP_OUT)},
+       g.best_metric_value AS global_best_metric_value, g.trial_id AS global_best_trial_id,
+       g.fold AS global_best_fold, g.epoch AS global_best_epoch
+FROM b, g""", "eval_log"))
+def q_best_summary(spark, sf):
+    """S6 with the reference's nested layout: selection metric, best hyper-parameters, best trial
+    record and the global best single checkpoint, written as JSON and read back."""
+    ev = V.eval_log(spark, sf)
+    s = X.trial_summary(X.fold_best(ev)).withColumn("mean_best_test_acc", F.round("mean_best_test_acc", 9)) \
+        .withColumn("loss", F.round("loss", 9))
+    hp = X.normalize_hparams(X.sample_trials(ev.select("trial_id").distinct(), 42)).drop("point_id")
+    ranked = s.join(hp, "trial_id")
+    top = ranked.orderBy(F.desc("mean_best_test_acc"), F.asc("trial_id")).limit(1)
+    glob = X.global_best(ev).select(F.struct("*").alias("g")).scalar()
+    nested = top.select(F.lit("mean_of_fold_best_test_acc").alias("selection_metric"),
+                        F.struct(*HP_OUT).alias("best_hparams"),
+                        F.struct("trial_id", "mean_best_test_acc", "std_best_test_acc", "max_best_test_acc",
+                                 "loss", "global_best_test_acc_after_trial").alias("best_trial"),
+                        glob.alias("global_best_single_checkpoint"))
+    path = IO.scratch_path(spark, "best_summary")
+    IO.write_json(nested.coalesce(1), path)
+    back = spark.read.schema(nested.schema).json(path)
+    return back.select("selection_metric", F.col("best_trial.trial_id").alias("best_trial_id"),
+                       F.col("best_trial.mean_best_test_acc").alias("best_mean_best_test_acc"),
+                       F.col("best_trial.loss").alias("best_loss"),
+                       *[F.col(f"best_hparams.{h}").alias(f"best_{h}") for h in HP_OUT],
+                       *[F.col(f"global_best_single_checkpoint.{c}").alias(f"global_best_{c}" if c != "best_metric_value"
+                                                                          else "global_best_metric_value")
+                         for c in ("best_metric_value", "trial_id", "fold", "epoch")])
