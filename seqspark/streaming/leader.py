@@ -1,6 +1,7 @@
 """Evaluation events as a stream -> append log + global-best leader table.
 
-Each micro-batch is appended to the event log and its best event is merged
+Each micro-batch is written to the event log (one ``batch_id=`` folder per
+batch, so a retried batch replaces itself) and its best event is merged
 into a one-row leader table: a new event replaces the leader only when it is
 strictly better, or equal and earlier in event order, so the final leader
 does not depend on how events were grouped into batches (and equals the
@@ -38,7 +39,8 @@ def run_leader_stream(spark: SparkSession, source_dir: str, schema: StructType |
         pass
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(log_dir)
+        # idempotent: a retried micro-batch overwrites its own folder instead of appending twice
+        batch.write.mode("overwrite").parquet(f"{log_dir}/batch_id={batch_id}")
         cand = _batch_best(batch, acc, order).collect()          # at most one row
         if not cand:
             return

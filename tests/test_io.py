@@ -104,3 +104,13 @@ def test_golden_core_regions_of_shipped_files(spark):
     # file6 keeps the natural core tuples as a multiset, permuted across rows
     cores = [sorted(r[0] for r in d.select(R.core_slice("sequence", R.SHIPPED_REGIONS)).collect()) for d in (nat, f6)]
     assert cores[0] == cores[1] and len(set(cores[0])) == 1996
+
+
+def test_stream_log_is_complete(spark, tmp_path):
+    src = str(tmp_path / "src2")
+    schema = "trial_id long, fold long, epoch long, acc double"
+    spark.createDataFrame([(i, 1, 1, i / 10) for i in range(7)], schema).repartition(3).write.parquet(src)
+    run_leader_stream(spark, src, schema, str(tmp_path / "log2"), str(tmp_path / "lead2"), str(tmp_path / "ck2"),
+                      max_files_per_trigger=1)
+    log = spark.read.parquet(str(tmp_path / "log2"))
+    assert log.count() == 7 and log.select("batch_id").distinct().count() >= 2
