@@ -62,12 +62,12 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def metrics_from_confusion(c: DataFrame) -> DataFrame:
-    """Accuracy, precision, recall (=sn), sp, f1, mcc; 0 where a denominator is 0."""
+    """Accuracy (and its ``acc`` alias), precision, recall (=sn), sp, f1, mcc; 0 where a denominator is 0."""
     tn, fp, fn, tp = (F.col(x).cast("double") for x in ("tn", "fp", "fn", "tp"))
     n = tn + fp + fn + tp
     den = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
     return c.select(
-        "*", _ratio(tp + tn, n).alias("accuracy"), _ratio(tp, tp + fp).alias("precision"),
+        "*", _ratio(tp + tn, n).alias("accuracy"), _ratio(tp + tn, n).alias("acc"), _ratio(tp, tp + fp).alias("precision"),
         _ratio(tp, tp + fn).alias("recall"), _ratio(tp, tp + fn).alias("sn"), _ratio(tn, tn + fp).alias("sp"),
         _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), _ratio(tp * tn - fp * fn, den).alias("mcc"))
 

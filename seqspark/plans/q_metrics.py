@@ -82,13 +82,14 @@ def _sql_metrics_cols() -> str:
     def ratio(a, b):
         return f"round(CASE WHEN ({b}) = 0 THEN 0.0 ELSE ({a})::DOUBLE / ({b}) END, 9)"
     return ", ".join([
-        f"{ratio('tp + tn', 'tn + fp + fn + tp')} AS accuracy", f"{ratio('tp', 'tp + fp')} AS precision",
+        f"{ratio('tp + tn', 'tn + fp + fn + tp')} AS accuracy", f"{ratio('tp + tn', 'tn + fp + fn + tp')} AS acc",
+        f"{ratio('tp', 'tp + fp')} AS precision",
         f"{ratio('tp', 'tp + fn')} AS recall", f"{ratio('tp', 'tp + fn')} AS sn",
         f"{ratio('tn', 'tn + fp')} AS sp", f"{ratio('2 * tp', '2 * tp + fp + fn')} AS f1",
         f"{ratio('tp::DOUBLE * tn - fp::DOUBLE * fn', 'sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn))')} AS mcc"])
 
 
-METRIC_COLS = ["accuracy", "precision", "recall", "sn", "sp", "f1", "mcc"]
+METRIC_COLS = ["accuracy", "acc", "precision", "recall", "sn", "sp", "f1", "mcc"]
 
 
 @register("binary_metrics", f"""WITH {SQL_CONF}, {SQL_AUC[len(SQL_PRED) + 2:]}
