@@ -9,7 +9,7 @@ from seqspark.operators import scoring as Sc
 from seqspark.plans.catalog import register
 from seqspark.plans.q_clean import pipeline
 from seqspark.plans.q_kmers import PIPE
-from seqspark.plans.q_split import folds
+from seqspark.plans.q_split import SQL_FOLDS, folds
 from seqspark.sources import driver_tables as V
 
 CORE_QUANTILE = 0.75
@@ -115,3 +115,57 @@ def q_kmer_classifier(spark, sf):
     f = folds(spark, sf).join(pipeline(spark, sf).select("id", "sequence"), "id")
     return Sc.kmer_classifier_cv(f, k=4, max_iter=30)
 
+
+
+def _sql_cv() -> str:
+    bases = ["A", "C", "G", "T"]
+    ncols = [f"n{y}_{b}" for y in (1, 0) for b in bases]
+    cnt = ", ".join(f"count(*) FILTER (WHERE y = {y} AND base = '{b}') AS n{y}_{b}" for y in (1, 0) for b in bases)
+    tr = ", ".join(f"sum({c}) OVER (PARTITION BY pos) - {c} AS {c}" for c in ncols)
+    pick = lambda y: "CASE b.base " + " ".join(f"WHEN '{b}' THEN n{y}_{b}" for b in bases) + " END"
+    t = lambda y: " + ".join(f"n{y}_{b}" for b in bases)
+    return f"""WITH {PIPE}, {SQL_FOLDS},
+d AS (SELECT p.id, f.fold, p.label, p.sequence FROM pipeline p JOIN folds f USING (id)),
+cells AS (SELECT id, fold, label AS y, pos, substr(sequence, (pos + 1)::BIGINT, 1) AS base
+          FROM (SELECT id, fold, label, sequence, unnest(range(0, length(sequence))) AS pos FROM d)),
+fpc AS (SELECT fold, pos, {cnt} FROM cells GROUP BY fold, pos),
+tr AS (SELECT fold, pos, {tr} FROM fpc),
+w AS (SELECT fold, pos, b.base,
+             ln(({pick(1)} + 1.0) / ({t(1)} + 4.0)) - ln(({pick(0)} + 1.0) / ({t(0)} + 4.0)) AS w
+      FROM tr, (SELECT unnest(['A', 'C', 'G', 'T']) AS base) b),
+sc AS (SELECT c.id, c.fold, c.y AS label, round(coalesce(sum(w.w), 0.0), 9) AS score
+       FROM cells c LEFT JOIN w ON w.fold = c.fold AND w.pos = c.pos AND w.base = c.base
+       GROUP BY c.id, c.fold, c.y),
+pr AS (SELECT *, CASE WHEN score > 0 THEN 1 ELSE 0 END AS predicted_label FROM sc),
+conf AS (SELECT fold, count(*) AS n,
+                count(*) FILTER (WHERE label = 0 AND predicted_label = 0) AS tn,
+                count(*) FILTER (WHERE label = 0 AND predicted_label = 1) AS fp,
+                count(*) FILTER (WHERE label = 1 AND predicted_label = 0) AS fn,
+                count(*) FILTER (WHERE label = 1 AND predicted_label = 1) AS tp FROM pr GROUP BY fold),
+s AS (SELECT fold, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
+      FROM pr GROUP BY fold, score),
+c AS (SELECT fold, pos, neg, coalesce(sum(neg) OVER (PARTITION BY fold ORDER BY score
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s),
+auc AS (SELECT fold, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+                     THEN sum(pos * (below + neg / 2.0)) / (sum(pos)::DOUBLE * sum(neg)) END AS auc FROM c GROUP BY fold)
+SELECT fold, n, tn, fp, fn, tp,
+       round(CASE WHEN n = 0 THEN 0.0 ELSE (tp + tn)::DOUBLE / n END, 9) AS accuracy,
+       round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE (2 * tp)::DOUBLE / (2 * tp + fp + fn) END, 9) AS f1,
+       round(CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0.0
+                  ELSE (tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) END, 9) AS mcc,
+       round(auc, 9) AS auc
+FROM conf JOIN auc USING (fold)"""
+
+
+@register("cv_metrics", V.with_views(_sql_cv(), "promoters"))
+def q_cv_metrics(spark, sf):
+    """X3 + E2/E3: 5-fold cross-validated evaluation of the PWM classifier, all folds in one job."""
+    from seqspark.operators import metrics as M
+    d = promoters_clean(spark, sf)
+    f = folds(spark, sf).select("id", "fold")
+    pred = Sc.cv_pwm_predictions(d.join(f, "id")).withColumn("score", F.round("score", 9))
+    pred = pred.withColumn("predicted_label", F.when(F.col("score") > 0, 1).otherwise(0))
+    m = M.binary_metrics(pred, group_cols=["fold"])
+    n = pred.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    return m.join(n, "fold").select("fold", "n", "tn", "fp", "fn", "tp",
+                                    *[F.round(c, 9).alias(c) for c in ("accuracy", "f1", "mcc", "auc")])

@@ -100,3 +100,15 @@ def test_reverse_step_t0_has_no_noise(spark):
     s0 = {x["t"]: x for x in sched.collect()}[0]
     assert r["x_prev"] == pytest.approx((0.3 - s0["remove_noise_coeff"] * 0.1) * s0["reciprocal_sqrt_alpha"])
 
+
+
+def test_cv_scoring_equals_per_fold_fits(spark):
+    rows = [(f"i{i}", "".join("ACGT"[(i * 3 + j * j + (i % 5) * j) % 4] for j in range(12)), i % 2, 1 + i % 3)
+            for i in range(45)]
+    df = spark.createDataFrame(rows, "id string, sequence string, label int, fold int")
+    cv = {r["id"]: r["score"] for r in Sc.cv_pwm_predictions(df).collect()}
+    for f in (1, 2, 3):
+        train, test = df.where(f"fold <> {f}"), df.where(f"fold = {f}")
+        ref = {r["id"]: r["score"] for r in Sc.pwm_score(test, Sc.pwm_weights(train)).collect()}
+        for k, v in ref.items():
+            assert cv[k] == pytest.approx(v, abs=1e-9)
