@@ -164,43 +164,58 @@ def mutation_summary(df: DataFrame, weights: DataFrame, sequence_col: str = "seq
     return out.where(F.col("n_variants") > 0)
 
 
-def cv_pwm_predictions(df: DataFrame, fold_col: str = "fold", id_col: str = "id",
-                       sequence_col: str = "sequence", label_col: str = "label",
-                       pseudo: float = 1.0) -> DataFrame:
-    """k-fold cross-validated scoring in one job: every row scored by the model fitted without its fold.
-
-    PWM counts are additive, so the model of fold f is (all counts) - (counts
-    of fold f): one aggregation by (fold, pos) fits all k models.  The k
-    weight arrays (k x L x 4 numbers, bounded by folds and sequence length)
-    become one map<fold, array> scalar subquery; scoring stays a narrow
-    per-row expression.  Output: id, fold, label, score, predicted_label.
+def cv_pwm_search(df: DataFrame, pseudos: Sequence[float], fold_col: str = "fold", id_col: str = "id",
+                  sequence_col: str = "sequence", label_col: str = "label") -> DataFrame:
+    """Hyper-parameter search x k-fold cross-validation of the PWM classifier in one job.
+
+    PWM counts are additive and do not depend on the hyper-parameter (the
+    pseudo-count), so one aggregation by (fold, pos) fits every (trial, fold)
+    model: the model of fold f is (all counts) - (counts of fold f).  The
+    trials x folds weight arrays (bounded by #trials x k x L x 4 numbers) are
+    one map scalar subquery; each row is scored by every trial's model of its
+    held-out fold (rows x #trials, narrow).  Output: trial_id (1-based),
+    pseudo, id, fold, label, score, predicted_label.
     """
+    from pyspark.sql import Window
     cells = df.select(F.col(fold_col).alias("_f"), F.col(label_col).alias("_y"),
                       F.posexplode(chars(sequence_col)).alias("pos", "base"))
-    counts = [F.count_if((F.col("_y") == y) & (F.col("base") == b)).alias(f"n{y}_{b}")
-              for y in (1, 0) for b in BASES]
-    per_fold = cells.groupBy("_f", "pos").agg(*counts)
-    from pyspark.sql import Window
-    w = Window.partitionBy("pos")    # k rows per position
     names = [f"n{y}_{b}" for y in (1, 0) for b in BASES]
+    per_fold = cells.groupBy("_f", "pos").agg(*[F.count_if((F.col("_y") == y) & (F.col("base") == b)).alias(
+        f"n{y}_{b}") for y in (1, 0) for b in BASES])
+    w = Window.partitionBy("pos")    # k rows per position
     train = per_fold.select("_f", "pos", *[(F.sum(c).over(w) - F.col(c)).alias(c) for c in names])
+    trials = F.array(*[F.struct(F.lit(i + 1).alias("trial_id"), F.lit(float(p)).alias("pseudo"))
+                       for i, p in enumerate(pseudos)])
+    train = train.select("*", F.explode(trials).alias("_t")).select("*", "_t.trial_id", "_t.pseudo")
+    ps = F.col("pseudo")
     t1 = sum((F.col(f"n1_{b}") for b in BASES), F.lit(0))
     t0 = sum((F.col(f"n0_{b}") for b in BASES), F.lit(0))
     wcols = F.array(*[F.struct(F.lit(b).alias("base"), (
-        F.log((F.col(f"n1_{b}") + pseudo) / (t1 + 4 * pseudo))
-        - F.log((F.col(f"n0_{b}") + pseudo) / (t0 + 4 * pseudo))).alias("w")) for b in BASES])
-    weights = train.select("_f", "pos", F.explode(wcols).alias("r")).select("_f", "pos", "r.base", "r.w")
+        F.log((F.col(f"n1_{b}") + ps) / (t1 + 4 * ps))
+        - F.log((F.col(f"n0_{b}") + ps) / (t0 + 4 * ps))).alias("w")) for b in BASES])
+    weights = train.select("trial_id", "_f", "pos", F.explode(wcols).alias("r")).select(
+        "trial_id", "_f", "pos", "r.base", "r.w")
     k = (F.col("pos") * 4 + _base_idx(F.col("base"))).cast("int")
-    per = weights.groupBy("_f").agg(F.map_from_entries(F.collect_list(F.struct(k, F.col("w")))).alias("_mm"))
-    dense = per.select("_f", F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_mm"))),
-                                         lambda i: F.coalesce(F.try_element_at("_mm", i), F.lit(0.0))).alias("_a"))
-    models = dense.select(F.map_from_entries(F.collect_list(F.struct("_f", "_a")))).scalar()
-    scored = df.select(id_col, F.col(fold_col).alias(fold_col), F.col(label_col).alias(label_col), sequence_col,
-                       models.alias("_models"))
-    scored = scored.withColumn("_m", F.try_element_at("_models", F.col(fold_col)))
-    scored = scored.withColumn("score", pwm_score_expr(sequence_col, F.col("_m")))
-    return scored.select(id_col, fold_col, label_col, "score",
-                         F.when(F.col("score") > 0, 1).otherwise(0).alias("predicted_label"))
+    per = weights.groupBy("trial_id", "_f").agg(F.map_from_entries(F.collect_list(F.struct(k, F.col("w")))).alias("_mm"))
+    dense = per.select((F.col("trial_id") * 100000 + F.col("_f")).cast("long").alias("_key"),
+                       F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_mm"))),
+                                   lambda i: F.coalesce(F.try_element_at("_mm", i), F.lit(0.0))).alias("_a"))
+    models = dense.select(F.map_from_entries(F.collect_list(F.struct("_key", "_a")))).scalar()
+    rows = df.select(id_col, F.col(fold_col).alias(fold_col), F.col(label_col).alias(label_col), sequence_col,
+                     models.alias("_models"), F.explode(trials).alias("_t"))
+    rows = rows.select("*", "_t.trial_id", "_t.pseudo").withColumn(
+        "_m", F.try_element_at("_models", (F.col("trial_id") * 100000 + F.col(fold_col)).cast("long")))
+    rows = rows.withColumn("score", pwm_score_expr(sequence_col, F.col("_m")))
+    return rows.select("trial_id", "pseudo", id_col, fold_col, label_col, "score",
+                       F.when(F.col("score") > 0, 1).otherwise(0).alias("predicted_label"))
+
+
+def cv_pwm_predictions(df: DataFrame, fold_col: str = "fold", id_col: str = "id",
+                       sequence_col: str = "sequence", label_col: str = "label",
+                       pseudo: float = 1.0) -> DataFrame:
+    """k-fold cross-validated scoring: every row scored by the model fitted without its fold."""
+    out = cv_pwm_search(df, [pseudo], fold_col, id_col, sequence_col, label_col)
+    return out.drop("trial_id", "pseudo")
 
 
 def position_importance(effects: DataFrame) -> DataFrame:

@@ -169,3 +169,62 @@ def q_cv_metrics(spark, sf):
     n = pred.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
     return m.join(n, "fold").select("fold", "n", "tn", "fp", "fn", "tp",
                                     *[F.round(c, 9).alias(c) for c in ("accuracy", "f1", "mcc", "auc")])
+
+
+# Query parameter: the searched pseudo-counts (one trial each).
+PSEUDOS = [0.1, 0.5, 1.0, 2.0, 5.0]
+
+
+def _sql_search() -> str:
+    bases = ["A", "C", "G", "T"]
+    ncols = [f"n{y}_{b}" for y in (1, 0) for b in bases]
+    cnt = ", ".join(f"count(*) FILTER (WHERE y = {y} AND base = '{b}') AS n{y}_{b}" for y in (1, 0) for b in bases)
+    tr = ", ".join(f"sum({c}) OVER (PARTITION BY pos) - {c} AS {c}" for c in ncols)
+    pick = lambda y: "CASE b.base " + " ".join(f"WHEN '{b}' THEN n{y}_{b}" for b in bases) + " END"
+    t = lambda y: " + ".join(f"n{y}_{b}" for b in bases)
+    tri = ", ".join(f"({i + 1}, {p!r}::DOUBLE)" for i, p in enumerate(PSEUDOS))
+    return f"""WITH {PIPE}, {SQL_FOLDS},
+d AS (SELECT p.id, f.fold, p.label, p.sequence FROM pipeline p JOIN folds f USING (id)),
+cells AS (SELECT id, fold, label AS y, pos, substr(sequence, (pos + 1)::BIGINT, 1) AS base
+          FROM (SELECT id, fold, label, sequence, unnest(range(0, length(sequence))) AS pos FROM d)),
+fpc AS (SELECT fold, pos, {cnt} FROM cells GROUP BY fold, pos),
+tr AS (SELECT fold, pos, {tr} FROM fpc),
+tri AS (SELECT * FROM (VALUES {tri}) t(trial_id, pseudo)),
+w AS (SELECT tri.trial_id, fold, pos, b.base,
+             ln(({pick(1)} + pseudo) / ({t(1)} + 4 * pseudo)) - ln(({pick(0)} + pseudo) / ({t(0)} + 4 * pseudo)) AS w
+      FROM tr, tri, (SELECT unnest(['A', 'C', 'G', 'T']) AS base) b),
+sc AS (SELECT tri.trial_id, c.id, c.fold, c.y AS label, round(coalesce(sum(w.w), 0.0), 9) AS score
+       FROM cells c CROSS JOIN tri
+       LEFT JOIN w ON w.trial_id = tri.trial_id AND w.fold = c.fold AND w.pos = c.pos AND w.base = c.base
+       GROUP BY tri.trial_id, c.id, c.fold, c.y),
+fa AS (SELECT trial_id, fold, avg(((CASE WHEN score > 0 THEN 1 ELSE 0 END) = label)::INTEGER::DOUBLE) AS acc
+       FROM sc GROUP BY trial_id, fold),
+ts AS (SELECT trial_id, count(*) AS n_folds, avg(acc) AS mean_best_test_acc, stddev_samp(acc) AS std_best_test_acc,
+              max(acc) AS max_best_test_acc, -avg(acc) AS loss FROM fa GROUP BY trial_id),
+summary AS (SELECT *, max(max_best_test_acc) OVER (ORDER BY trial_id ROWS UNBOUNDED PRECEDING)
+                      AS global_best_test_acc_after_trial FROM ts)
+SELECT trial_id, pseudo AS param_pseudo, n_folds, round(mean_best_test_acc, 9) AS mean_best_test_acc,
+       round(std_best_test_acc, 9) AS std_best_test_acc, round(max_best_test_acc, 9) AS max_best_test_acc,
+       round(loss, 9) AS loss, round(global_best_test_acc_after_trial, 9) AS global_best_test_acc_after_trial,
+       row_number() OVER (ORDER BY round(mean_best_test_acc, 9) DESC, trial_id) AS rank
+FROM summary JOIN tri USING (trial_id)"""
+
+
+@register("pwm_search", V.with_views(_sql_search(), "promoters"))
+def q_pwm_search(spark, sf):
+    """L1 lifecycle: hyper-parameter trials x 5 folds of the PWM classifier in one job, then the
+    reference's fold -> trial -> ranking chain (A11, W8, O1)."""
+    from seqspark.operators import experiments as X
+    d = promoters_clean(spark, sf)
+    f = folds(spark, sf).select("id", "fold")
+    pred = Sc.cv_pwm_search(d.join(f, "id"), PSEUDOS).withColumn("score", F.round("score", 9))
+    pred = pred.withColumn("predicted_label", F.when(F.col("score") > 0, 1).otherwise(0))
+    fold_rows = pred.groupBy("trial_id", "fold").agg(
+        F.avg((F.col("label") == F.col("predicted_label")).cast("double")).alias("fold_best_test_acc"))
+    s = X.trial_summary(fold_rows)
+    r = ["mean_best_test_acc", "std_best_test_acc", "max_best_test_acc", "loss", "global_best_test_acc_after_trial"]
+    s = s.select("trial_id", "n_folds", *[F.round(c, 9).alias(c) for c in r])
+    ranked = X.rank_trials(s)
+    params = spark.createDataFrame([(i + 1, float(p)) for i, p in enumerate(PSEUDOS)], "trial_id int, param_pseudo double")
+    return ranked.join(F.broadcast(params), "trial_id").select(
+        F.col("trial_id").cast("int").alias("trial_id"), "param_pseudo", "n_folds", *r, "rank")
