@@ -89,8 +89,3 @@ def batches(df: DataFrame, batch_size: int, order_by: list[str]) -> DataFrame:
     idx = with_row_index(df, order_by)
     return idx.withColumn("batch_id", F.floor(F.col("row_idx") / batch_size).cast("bigint"))
 
-
-def fold_seed(seed, trial_id, fold) -> "F.Column":
-    """Seed + trial * 1000 + fold."""
-    return F.lit(seed) + F.col(trial_id) * 1000 + F.col(fold) if isinstance(trial_id, str) else \
-        F.lit(seed) + trial_id * 1000 + fold
