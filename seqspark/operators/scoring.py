@@ -136,6 +136,29 @@ def mutation_effects(df: DataFrame, weights: DataFrame, id_col: str = "id",
     return v.withColumn("dp", F.abs(sigmoid(F.col("score") + F.col("delta")) - sigmoid("score"))).drop("_m")
 
 
+def window_mask_effects(df: DataFrame, weights: DataFrame, window: int, id_col: str = "id",
+                        sequence_col: str = "sequence") -> DataFrame:
+    """R1 window masks: for every start p the variant with cells [p, p+window) set to ``M``.
+
+    ``M`` has no weight, so score(variant) = score - (sum of the masked cells'
+    weights).  The per-cell weights are computed once per sequence; each
+    variant is then a ``window``-long slice sum (no re-scoring of the string).
+    Output: id, pos, delta, dp (|p_mut - p_wt|).
+    """
+    m = F.col("_m")
+    s = F.col(sequence_col)
+    base = df.select(id_col, sequence_col, weight_map(weights).alias("_m"))
+    base = base.withColumn("_cw", F.transform(chars(s), lambda c, i: _w(m, i, c)))
+    base = base.withColumn("score", F.aggregate("_cw", F.lit(0.0), lambda a, x: a + x))
+    starts = F.when(F.size("_cw") >= window, F.sequence(F.lit(0), F.size("_cw") - window)) \
+        .otherwise(F.array().cast("array<int>"))
+    v = base.select(id_col, "score", "_cw", F.explode(starts).alias("pos"))
+    masked = F.aggregate(F.slice("_cw", F.col("pos") + 1, F.lit(window)), F.lit(0.0), lambda a, x: a + x)
+    v = v.withColumn("delta", -masked)
+    return v.select(id_col, F.col("pos").cast("int").alias("pos"), "delta",
+                    F.abs(sigmoid(F.col("score") + F.col("delta")) - sigmoid("score")).alias("dp"))
+
+
 def mutation_summary(df: DataFrame, weights: DataFrame, sequence_col: str = "sequence") -> DataFrame:
     """R1 aggregated: per (pos, alt) the number of variants, mean score change and mean |p_mut - p_wt|.
 

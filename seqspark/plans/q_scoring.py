@@ -228,3 +228,26 @@ def q_pwm_search(spark, sf):
     params = spark.createDataFrame([(i + 1, float(p)) for i, p in enumerate(PSEUDOS)], "trial_id int, param_pseudo double")
     return ranked.join(F.broadcast(params), "trial_id").select(
         F.col("trial_id").cast("int").alias("trial_id"), "param_pseudo", "n_folds", *r, "rank")
+
+
+MASK_W = 5
+
+
+@register("mask_scan", V.with_views(f"""WITH {PIPE}, {SQL_PWM}, {SQL_WT},
+cw AS (SELECT id, pos, coalesce(pwm.w, 0.0) AS w, length(sequence) AS n
+       FROM (SELECT id, sequence, pos, substr(sequence, (pos + 1)::BIGINT, 1) AS base
+             FROM (SELECT id, sequence, unnest(range(0, length(sequence))) AS pos FROM pipeline)) c
+       LEFT JOIN pwm USING (pos, base)),
+win AS (SELECT id, pos, n, sum(w) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {MASK_W - 1} FOLLOWING)
+               AS masked FROM cw),
+eff AS (SELECT win.pos, -masked AS delta,
+               abs(1.0 / (1.0 + exp(-(wt.score - masked))) - 1.0 / (1.0 + exp(-wt.score))) AS dp
+        FROM win JOIN wt USING (id) WHERE win.pos <= n - {MASK_W})
+SELECT pos::INTEGER AS pos, count(*) AS n_variants, round(avg(delta), 9) AS mean_delta, round(avg(dp), 9) AS mean_dp
+FROM eff GROUP BY pos""", "promoters"))
+def q_mask_scan(spark, sf):
+    """R1 window masks: every window of MASK_W cells replaced by M and scored."""
+    d = promoters_clean(spark, sf)
+    v = Sc.window_mask_effects(d, weights(spark, sf, d), MASK_W)
+    return v.groupBy("pos").agg(F.count(F.lit(1)).alias("n_variants"), F.round(F.avg("delta"), 9).alias("mean_delta"),
+                                F.round(F.avg("dp"), 9).alias("mean_dp"))

@@ -2,6 +2,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 
@@ -112,3 +113,18 @@ def test_cv_scoring_equals_per_fold_fits(spark):
         ref = {r["id"]: r["score"] for r in Sc.pwm_score(test, Sc.pwm_weights(train)).collect()}
         for k, v in ref.items():
             assert cv[k] == pytest.approx(v, abs=1e-9)
+
+
+def test_window_mask_effects_equal_full_rescoring(spark):
+    rows = [(f"i{i}", "".join("ACGT"[(i + j * 3 + j * j) % 4] for j in range(15)), i % 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "id string, sequence string, label int")
+    w = Sc.pwm_weights(df)
+    fast = {(r["id"], r["pos"]): r["delta"] for r in Sc.window_mask_effects(df, w, 4).collect()}
+    v = R.mutation_variants(df, window=4).where("alt = 'MMMM'")
+    vs = {r["id"]: r["score"] for r in Sc.pwm_score(df, w).collect()}
+    full = Sc.pwm_score(v.select(F.concat_ws(":", "id", F.col("pos").cast("string")).alias("k"),
+                                 F.col("variant").alias("sequence")).withColumnRenamed("k", "id"), w)
+    assert len(fast) == 20 * 12
+    for r in full.collect():
+        i, p = r["id"].split(":")
+        assert fast[(i, int(p))] == pytest.approx(r["score"] - vs[i], abs=1e-9)
