@@ -58,8 +58,11 @@ def with_row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence = (
 
     ``order_by`` must be a total order (unique per group) for the index to be
     reproducible.  ``checkpoint`` fixes the partition ids with a reliable
-    checkpoint in ``spark.checkpoint.dir``; it can be turned off when the
-    input is a deterministic scan.
+    checkpoint in ``spark.checkpoint.dir``.  It may be turned off only when
+    the input's partitions and row order are reproducible (a direct file
+    scan or a materialized table): the range partitioner samples rows by
+    position, so a post-shuffle input could get different range bounds in
+    the separate jobs that compute the offsets and the final numbering.
     """
     spark = df.sparkSession
     group = _cols(partition_by)

@@ -21,6 +21,7 @@ TILE = 81
 # id of a tile = doc_id * TILE_ID_STRIDE + tile (a document has far fewer tiles than this)
 TILE_ID_STRIDE = 1_000_000
 STEPS_PER_EPOCH = 4
+MAX_FOLD_TYPES = 1000   # event types mapped to folds are few; refuse to inline a data-sized array
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,10 +92,15 @@ def eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     # fold = 1-based rank of the type among the sorted distinct types: a scalar subquery
     # (no join on the 5-valued key, which would put a fifth of all events in one task)
-    types = ev.select(F.array_sort(F.collect_set("event_type"))).scalar()
+    # (guarded: the array is inlined into every task, so its size is checked)
+    arr = F.array_sort(F.collect_set("event_type"))
+    types = ev.select(F.when(F.size(arr) <= MAX_FOLD_TYPES, arr).otherwise(
+        F.raise_error(F.lit("eval_log: too many distinct event types")))).scalar()
     ev = ev.withColumn("fold", F.array_position(types, F.col("event_type")))
+    # a direct parquet scan has fixed partitions and row order, and (ts, event_id) is a total
+    # order: the range sampling and numbering are reproducible without a checkpoint
     ev = with_row_index(ev, ["ts", "event_id"], partition_by=["user_id", "event_type"],
-                        name="epoch", start=1)
+                        name="epoch", start=1, checkpoint=False)
     return ev.select(F.col("user_id").alias("trial_id"), "fold", "epoch",
                      (F.col("value") / 1000.0).alias("acc"))
 
@@ -105,7 +111,8 @@ def loss_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     user -> run, order of ts -> step (1-based), 4 batches per epoch, value / 100 -> loss.
     """
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
-    ev = with_row_index(ev, ["ts", "event_id"], partition_by=["user_id"], name="step", start=1)
+    ev = with_row_index(ev, ["ts", "event_id"], partition_by=["user_id"], name="step", start=1,
+                        checkpoint=False)   # deterministic scan input, total order (see eval_log)
     return ev.select(F.col("user_id").alias("run"), "step",
                      (F.floor((F.col("step") - 1) / STEPS_PER_EPOCH) + 1).cast("bigint").alias("epoch"),
                      ((F.col("step") - 1) % STEPS_PER_EPOCH).cast("bigint").alias("batch"),
