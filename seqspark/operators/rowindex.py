@@ -53,16 +53,15 @@ def _range(df: DataFrame, keys, num_partitions: int | None) -> DataFrame:
 
 def with_row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence = (),
                    name: str = "row_idx", start: int = 0,
-                   num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+                   num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = start + rank of the row inside its ``partition_by`` group by ``order_by``.
 
     ``order_by`` must be a total order (unique per group) for the index to be
-    reproducible.  ``checkpoint`` fixes the partition ids with a reliable
-    checkpoint in ``spark.checkpoint.dir``.  It may be turned off only when
-    the input's partitions and row order are reproducible (a direct file
-    scan or a materialized table): the range partitioner samples rows by
-    position, so a post-shuffle input could get different range bounds in
-    the separate jobs that compute the offsets and the final numbering.
+    reproducible.  The range-partitioned rows are always fixed by a reliable
+    checkpoint in ``spark.checkpoint.dir`` before numbering: Spark's range
+    partitioner seeds its sample with the RDD id, so two separately executed
+    jobs (offsets, numbering) would otherwise get different range bounds even
+    from identical input.
     """
     spark = df.sparkSession
     group = _cols(partition_by)
@@ -74,9 +73,8 @@ def with_row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence = (
     ordered = _range(staged, keys, num_partitions).sortWithinPartitions(*keys)
     base = (ordered.withColumn("_pid", F.spark_partition_id())
             .withColumn("_mid", F.monotonically_increasing_id()))
-    if checkpoint:
-        ensure_checkpoint_dir(spark)
-        base = base.checkpoint(eager=True)
+    ensure_checkpoint_dir(spark)
+    base = base.checkpoint(eager=True)
     stats = base.groupBy("_pid", *gnames).agg(F.count(F.lit(1)).alias("_n"),
                                               F.min("_mid").alias("_m0"))
     w = Window.partitionBy(*gnames).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -129,7 +129,7 @@ SQL_INFILL = f"""infill AS (
 SELECT row_idx, id, donor_id, sequence FROM infill""", "promoters"))
 def q_random_infill(spark, sf):
     p = pipeline(spark, sf, materialize=True).select("id", "sequence")
-    return R.random_infill(p, seed=INFILL_SEED, deterministic_input=True)
+    return R.random_infill(p, seed=INFILL_SEED)
 
 
 @register("core_retention", V.with_views(f"""WITH {PIPE}, {SQL_NATIDX},
@@ -151,7 +151,7 @@ FROM infill""", "promoters"))
 def q_core_kept(spark, sf):
     """Random infill keeps every donor core: n_core_kept must equal n_pairs."""
     p = pipeline(spark, sf, materialize=True)
-    inf = R.random_infill(p.select("id", "sequence"), seed=INFILL_SEED, deterministic_input=True)
+    inf = R.random_infill(p.select("id", "sequence"), seed=INFILL_SEED)
     donors = p.select(F.col("id").alias("donor_id"), F.col("sequence").alias("nat"))
     pairs = inf.join(donors, "donor_id").select(F.col("sequence").alias("gen"), "nat")
     return R.core_kept_rows(pairs)
