@@ -79,9 +79,56 @@ def with_row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence = (
                                               F.min("_mid").alias("_m0"))
     w = Window.partitionBy(*gnames).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    out = join_bounded(base, stats.select("_pid", *gnames, "_off", "_m0"), ["_pid", *gnames])
-    out = out.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_m0") + F.lit(start)).cast("bigint"))
-    return out.drop("_pid", "_mid", "_off", "_m0", *gnames)
+    ensure_checkpoint_dir(spark)
+    stats = stats.select("_pid", *gnames, "_off", "_m0").checkpoint(eager=True)
+    if stats.count() <= BROADCAST_MAX_ROWS:
+        out = base.join(F.broadcast(stats), ["_pid", *gnames], "inner")
+        idx = F.col("_off") + F.col("_mid") - F.col("_m0")
+    else:
+        # very many groups: number the group runs inside each partition with one
+        # Python pass (no shuffle); only groups continuing from an earlier partition
+        # carry an offset, at most one per partition -> bounded broadcast
+        out = _local_runs(base, gnames).join(
+            F.broadcast(stats.where(F.col("_off") > 0).select("_pid", *gnames, "_off")),
+            ["_pid", *gnames], "left")
+        idx = F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))
+    out = out.withColumn(name, (idx + F.lit(start)).cast("bigint"))
+    return out.drop("_pid", "_mid", "_off", "_m0", "_local", *gnames)
+
+
+def _local_runs(base: DataFrame, gnames: list[str]) -> DataFrame:
+    """Position of each row inside its run of equal group keys within the partition.
+
+    Rows arrive sorted by (group, key) in each partition; state is carried
+    across Arrow batches.  Adds ``_local`` (0-based).
+    """
+    from pyspark.sql.types import LongType, StructField, StructType
+    schema = StructType(list(base.schema.fields) + [StructField("_local", LongType())])
+
+    def run(it):
+        last_key, last_n = None, 0
+        for pdf in it:
+            if pdf.empty:
+                continue
+            if not gnames:                      # one run per partition
+                pdf["_local"] = range(last_n, last_n + len(pdf))
+                last_n += len(pdf)
+                yield pdf
+                continue
+            keys = pdf[gnames].astype(object)
+            new = (keys != keys.shift()).any(axis=1)
+            first = tuple(keys.iloc[0])
+            new.iloc[0] = first != last_key
+            runs = new.cumsum()
+            local = pdf.groupby(runs).cumcount()
+            if not new.iloc[0]:
+                local[runs == runs.iloc[0]] += last_n
+            pdf["_local"] = local.astype("int64")
+            last_key = tuple(keys.iloc[-1])
+            last_n = int(pdf["_local"].iloc[-1]) + 1
+            yield pdf
+
+    return base.mapInPandas(run, schema)
 
 
 def sql_row_index(order_by: str, partition_by: str | None = None, start: int = 0) -> str:

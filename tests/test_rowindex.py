@@ -60,3 +60,17 @@ def test_row_index_over_multifile_scan_is_exact(spark, tmp_path):
     assert len(out) == 20000
     for _, part in out.groupby("g"):
         assert part.sort_values(["v", "k"])["row_idx"].tolist() == list(range(1, len(part) + 1))
+
+
+def test_many_groups_path_matches_broadcast_path(spark, monkeypatch):
+    from seqspark.operators import rowindex
+    rnd = random.Random(5)
+    rows = [(rnd.randint(0, 300), i, rnd.random()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "g long, k long, v double")
+    fast = rowindex.with_row_index(df, ["v", "k"], partition_by=["g"], num_partitions=7).toPandas()
+    monkeypatch.setattr(rowindex, "BROADCAST_MAX_ROWS", 0)
+    scan = rowindex.with_row_index(df, ["v", "k"], partition_by=["g"], num_partitions=7).toPandas()
+    key = ["g", "k"]
+    assert fast.sort_values(key)["row_idx"].tolist() == scan.sort_values(key)["row_idx"].tolist()
+    glob = rowindex.with_row_index(df, ["v", "k"], num_partitions=5).toPandas()
+    assert sorted(glob["row_idx"]) == list(range(6000))
