@@ -4,9 +4,12 @@
 one task.  Instead the rows are range-partitioned on the sort keys (so a hot
 group is split across tasks), sorted inside each partition, and numbered as
 ``offset(partition, group) + position inside the partition``.  The offsets
-come from a tiny per-(partition, group) count table whose size is bounded by
-``#partitions + #groups``; AQE turns its join into a broadcast only when the
-measured size is under the broadcast threshold.
+come from a per-(partition, group) count table of at most
+``#partitions + #groups`` rows, which is written once and broadcast after a
+size check; with very many groups the runs are numbered inside each
+partition instead and only the boundary groups (at most one per partition)
+need a broadcast offset.  ``cumulative`` applies the same plan to running
+sums / maxima / minima.
 """
 
 from __future__ import annotations
