@@ -9,6 +9,7 @@ from seqspark.operators import clean as C
 from seqspark.operators import experiments as X
 from seqspark.plans.catalog import register
 from seqspark.plans.q_clean import pipeline
+from seqspark.plans.q_encode import INFILL_SEED, SQL_INFILL
 from seqspark.plans.q_experiments import SQL_SUMMARY, SQL_TRIALS, SUMMARY_COLS, _rspark, _rsql
 from seqspark.plans.q_kmers import PIPE
 from seqspark.sources import driver_tables as V
@@ -118,3 +119,28 @@ def q_best_summary(spark, sf):
                        *[F.col(f"global_best_single_checkpoint.{c}").alias(f"global_best_{c}" if c != "best_metric_value"
                                                                           else "global_best_metric_value")
                          for c in ("best_metric_value", "trial_id", "fold", "epoch")])
+
+
+@register("generate_compare", V.with_views(f"""WITH {PIPE}, {SQL_INFILL},
+c AS (SELECT kmer, count(*) FILTER (WHERE src = 1) AS n1, count(*) FILTER (WHERE src = 2) AS n2
+      FROM (SELECT 1 AS src, substr(sequence, i::BIGINT, 6) AS kmer
+            FROM (SELECT sequence, unnest(range(1, length(sequence) - 6 + 2)) AS i FROM infill)
+            UNION ALL
+            SELECT 2 AS src, substr(sequence, i::BIGINT, 6) AS kmer
+            FROM (SELECT sequence, unnest(range(1, length(sequence) - 6 + 2)) AS i FROM pipeline))
+      GROUP BY kmer),
+f AS (SELECT kmer, n1 / sum(n1) OVER () AS f1, n2 / sum(n2) OVER () AS f2 FROM c)
+SELECT (SELECT count(*) FROM infill) AS n_generated,
+       CASE WHEN count(*) > 1 AND min(f1) <> max(f1) AND min(f2) <> max(f2)
+            THEN round(corr(f1, f2), 9) END AS r, count(*) AS n_kmers FROM f""", "promoters"))
+def q_generate_compare(spark, sf):
+    """L2 lifecycle: generate (random infill) -> FASTA sink -> FASTA scan -> 6-mer r vs the natural corpus."""
+    from seqspark.operators import kmers as K
+    from seqspark.operators import regions as R
+    p = pipeline(spark, sf, materialize=True)
+    gen = R.random_infill(p.select("id", "sequence"), seed=INFILL_SEED)
+    path = IO.scratch_path(spark, "generated")
+    IO.write_fasta(gen, path, ["row_idx"])
+    back = IO.read_fasta(spark, path)
+    r = K.kmer_correlation(back, p, 6).select(F.round("r", 9).alias("r"), "n_kmers")
+    return r.select(back.select(F.count(F.lit(1))).scalar().alias("n_generated"), "r", "n_kmers")

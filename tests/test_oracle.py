@@ -53,4 +53,4 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_every_query_has_oracle_or_is_documented():
     assert set(E.queries()) - set(SQL) == {"kmer_classifier"}
-    assert len(E.queries()) >= 84
+    assert len(E.queries()) >= 86
