@@ -148,12 +148,16 @@ def cumulative(df: DataFrame, value_col: str, order_by: Sequence, partition_by:
                num_partitions: int | None = None) -> DataFrame:
     """Running ``fn`` (sum / max / min) of ``value_col`` in ``order_by`` order per group.
 
-    Same plan shape as ``with_row_index``: range partitioning splits any hot
-    group over many tasks; per-(partition, group) partials (bounded by
-    #partitions + #groups) give each partition its carried-in value, combined
-    with the running value inside the partition.  ``exclusive`` excludes the
-    current row (NULL before the first row of a group, like a SQL frame ending
-    at 1 PRECEDING).  ``order_by`` must be unique inside a group.
+    Same plan shape as ``with_row_index``: range partitioning on (group, key)
+    splits any hot group over many tasks and is checkpointed; one vectorised
+    pass inside each partition (mapInPandas, state carried across Arrow
+    batches) computes the running value of every group run with SQL NULL
+    semantics; the value carried in from earlier partitions exists only for
+    each partition's first group, so that table has at most #partitions
+    rows and is broadcast.  No shuffle of the data after the range shuffle.
+    ``exclusive`` excludes the current row (NULL before the first row of a
+    group, like a frame ending at 1 PRECEDING).  ``order_by`` must be unique
+    inside a group.
     """
     agg = _AGG[fn]
     spark = df.sparkSession
@@ -161,6 +165,11 @@ def cumulative(df: DataFrame, value_col: str, order_by: Sequence, partition_by:
     keys = group + _cols(order_by)
     gnames = [f"_g{i}" for i in range(len(group))]
     staged = df.withColumns({g: c for g, c in zip(gnames, group)}) if group else df
+    in_type = dict(staged.dtypes)[value_col]
+    if fn == "sum":
+        out_type = "double" if in_type in ("double", "float") else "bigint"
+    else:
+        out_type = in_type
     base = (_range(staged, keys, num_partitions).sortWithinPartitions(*keys)
             .withColumn("_pid", F.spark_partition_id()))
     ensure_checkpoint_dir(spark)
@@ -168,18 +177,75 @@ def cumulative(df: DataFrame, value_col: str, order_by: Sequence, partition_by:
     part = base.groupBy("_pid", *gnames).agg(agg(value_col).alias("_t"))
     w = Window.partitionBy(*gnames).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("_carry", agg("_t").over(w)).drop("_t")
-    wl = (Window.partitionBy("_pid", *gnames).orderBy(*_cols(order_by))
-          .rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow))
-    local = base.withColumn("_loc", agg(value_col).over(wl))
-    out = join_bounded(local, part, ["_pid", *gnames])
+    # non-NULL carries only for groups continuing from an earlier partition: <= one per partition
+    carries = part.where(F.col("_carry").isNotNull()).select("_pid", *gnames, F.col("_carry").cast("double"))
+    local = _local_running(base, gnames, value_col, fn, exclusive)
+    out = local.join(F.broadcast(carries), ["_pid", *gnames], "left")
     if fn == "sum":
         val = F.when(F.col("_carry").isNull() & F.col("_loc").isNull(), F.lit(None)) \
-            .otherwise(F.coalesce("_carry", F.lit(0)) + F.coalesce("_loc", F.lit(0)))
+            .otherwise(F.coalesce("_carry", F.lit(0.0)) + F.coalesce("_loc", F.lit(0.0)))
     elif fn == "max":
         val = F.greatest("_carry", "_loc")   # greatest/least skip NULLs
     else:
         val = F.least("_carry", "_loc")
-    return out.withColumn(name, val).drop("_pid", "_carry", "_loc", *gnames)
+    return out.withColumn(name, val.cast(out_type)).drop("_pid", "_carry", "_loc", *gnames)
+
+
+def _local_running(base: DataFrame, gnames: list[str], value_col: str, fn: str, exclusive: bool) -> DataFrame:
+    """Running ``fn`` of ``value_col`` per run of equal group keys inside each partition (``_loc``).
+
+    NULLs are skipped; the result is NULL until a non-NULL value was seen.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.types import DoubleType, StructField, StructType
+    schema = StructType(list(base.schema.fields) + [StructField("_loc", DoubleType())])
+    comb = {"sum": lambda a, b: a + b, "max": np.fmax, "min": np.fmin}[fn]
+
+    def run(it):
+        last_key, carry = None, np.nan            # running value of the open run (NaN = none yet)
+        for pdf in it:
+            if pdf.empty:
+                continue
+            n = len(pdf)
+            if gnames:
+                keys = pdf[gnames].astype(object)
+                new = (keys != keys.shift()).any(axis=1)
+                new.iloc[0] = tuple(keys.iloc[0]) != last_key
+                lk = tuple(keys.iloc[-1])
+            else:                                  # a single run per partition
+                new = pd.Series(False, index=pdf.index)
+                new.iloc[0] = last_key is None
+                lk = ()
+            runs = new.cumsum().to_numpy()
+            v = pdf[value_col].astype("float64")
+            if fn == "sum":
+                seen = v.notna().groupby(runs).cumsum().to_numpy() > 0
+                incl = v.fillna(0.0).groupby(runs).cumsum().to_numpy()
+                incl = np.where(seen, incl, np.nan)
+            else:
+                g = v.groupby(runs)
+                incl = (g.cummax() if fn == "max" else g.cummin()).groupby(runs).ffill().to_numpy()
+            cont = (runs == runs[0]) & (not bool(new.iloc[0]))     # rows continuing the previous batch's run
+            if cont.any() and not np.isnan(carry):
+                base_v = np.where(np.isnan(incl), carry, comb(np.nan_to_num(incl, nan=0.0) if fn == "sum"
+                                                               else incl, carry))
+                incl = np.where(cont, base_v, incl)
+            if exclusive:
+                prev = np.empty(n)
+                prev[0] = carry if cont[0] else np.nan
+                prev[1:] = incl[:-1]
+                starts = np.r_[True, runs[1:] != runs[:-1]]
+                starts[0] = not cont[0]
+                loc = np.where(starts, np.nan, prev)
+            else:
+                loc = incl
+            carry, last_key = incl[-1], lk             # running value of the run left open
+            out = pdf.copy()
+            out["_loc"] = loc
+            yield out
+
+    return base.mapInPandas(run, schema)
 
 
 def cumulative_sum(df: DataFrame, value_col: str, order_by: Sequence, partition_by: Sequence = (),

@@ -2,6 +2,7 @@
 import random
 
 import pandas as pd
+import pytest
 
 from seqspark.operators.rowindex import cumulative, cumulative_sum, with_row_index
 
@@ -69,8 +70,35 @@ def test_many_groups_path_matches_broadcast_path(spark, monkeypatch):
     df = spark.createDataFrame(rows, "g long, k long, v double")
     fast = rowindex.with_row_index(df, ["v", "k"], partition_by=["g"], num_partitions=7).toPandas()
     monkeypatch.setattr(rowindex, "BROADCAST_MAX_ROWS", 0)
-    scan = rowindex.with_row_index(df, ["v", "k"], partition_by=["g"], num_partitions=7).toPandas()
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")     # runs cross Arrow batches
+    try:
+        scan = rowindex.with_row_index(df, ["v", "k"], partition_by=["g"], num_partitions=7).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     key = ["g", "k"]
     assert fast.sort_values(key)["row_idx"].tolist() == scan.sort_values(key)["row_idx"].tolist()
     glob = rowindex.with_row_index(df, ["v", "k"], num_partitions=5).toPandas()
     assert sorted(glob["row_idx"]) == list(range(6000))
+
+
+@pytest.mark.parametrize("fn", ["sum", "max", "min"])
+@pytest.mark.parametrize("exclusive", [False, True])
+def test_cumulative_small_batches_and_nulls_match_sql_window(spark, fn, exclusive):
+    rnd = random.Random(hash((fn, exclusive)) % 1000)
+    rows = [(rnd.randint(0, 4), i, None if rnd.random() < 0.2 else round(rnd.uniform(-5, 5), 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g long, k long, v double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r["g"], r["k"]): r["c"] for r in
+               cumulative(df, "v", ["k"], ["g"], name="c", fn=fn, exclusive=exclusive, num_partitions=5).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND " + ("1 PRECEDING" if exclusive else "CURRENT ROW")
+    df.createOrReplaceTempView("cum_src")
+    exp = {(r["g"], r["k"]): r["c"] for r in spark.sql(
+        f"SELECT g, k, {fn}(v) OVER (PARTITION BY g ORDER BY k {frame}) AS c FROM cum_src").collect()}
+    assert set(got) == set(exp)
+    for key, e in exp.items():
+        assert (e is None and got[key] is None) or got[key] == pytest.approx(e, abs=1e-9)
