@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from seqspark.operators.rowindex import _cols, _range, cumulative, join_bounded
+from seqspark.operators.rowindex import _cols, _range, cumulative
 from seqspark.session import ensure_checkpoint_dir
 
 # Fixed values (reference defaults).
@@ -105,10 +105,10 @@ def ema_series(df: DataFrame, value: str, order_by: str, partition_by=(), name:
     Distributed affine scan: rows are range-partitioned by (group, step) and
     checkpointed; each partition folds its rows in order (mapInPandas, state
     carried across Arrow batches), giving per row y = B if a copy happened
-    else A*y_in + B.  The carried-in y_in of every (partition, group) comes
-    from composing the earlier partitions' last maps -- a table of at most
-    #partitions + #groups rows -- and one join applies it.  No group is ever
-    gathered into one task.
+    else A*y_in + B.  Only groups spanning several partitions need a
+    carried-in y_in, composed from the earlier partitions' last maps (an
+    applyInPandas over fewer than 2 x #partitions rows) and applied with a
+    broadcast join.  No group is ever gathered into one task.
     """
     spark = df.sparkSession
     group = _cols(partition_by)
@@ -169,8 +169,12 @@ def ema_series(df: DataFrame, value: str, order_by: str, partition_by=(), name:
         out["_has"], out["_y"] = hs, ys
         return out
 
-    # one row per (partition, group): at most #partitions + #groups rows
-    carries = seg.groupBy(*gnames).applyInPandas(carry, f"_pid int, {gschema}, _has boolean, _y double")
-    j = join_bounded(rows, carries, ["_pid", *gnames])
-    ema = F.when(F.col("_copied"), F.col("_b")).when(F.col("_has"), F.col("_a") * F.col("_y") + F.col("_b"))
+    # only groups spanning several partitions receive a carried-in value: fewer than #partitions
+    # such groups, so the composed table has at most 2 x #partitions rows and is broadcast
+    spanning = seg.groupBy(*gnames).agg(F.count(F.lit(1)).alias("_np")).where(F.col("_np") > 1).select(*gnames)
+    carries = (seg.join(spanning, gnames, "left_semi").groupBy(*gnames)
+               .applyInPandas(carry, f"_pid int, {gschema}, _has boolean, _y double")
+               .where(F.col("_has")))
+    j = rows.join(F.broadcast(carries), ["_pid", *gnames], "left")
+    ema = F.when(F.col("_copied"), F.col("_b")).when(F.col("_has").isNotNull(), F.col("_a") * F.col("_y") + F.col("_b"))
     return j.withColumn(name, ema).drop("_pid", "_n", "_copied", "_a", "_b", "_has", "_y", *gnames)
