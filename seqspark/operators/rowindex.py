@@ -26,26 +26,11 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in (xs or [])]
 
 
-# Largest offsets table joined by broadcast (rows); above it a shuffle join is used.
+# Largest per-(partition, group) offsets table that is broadcast (rows); above it the
+# group runs are numbered inside each partition and only boundary offsets are broadcast.
 BROADCAST_MAX_ROWS = 2_000_000
 
 
-def join_bounded(big: DataFrame, small: DataFrame, keys: list[str],
-                 max_rows: int | None = None) -> DataFrame:
-    """Join ``small`` onto ``big``, broadcasting ``small`` only after checking its size.
-
-    ``small`` is written once (reliable checkpoint) so the row count is a cheap
-    read; at or below ``max_rows`` it is broadcast (no shuffle of ``big``),
-    otherwise a regular shuffle join is planned.
-    """
-    max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    ensure_checkpoint_dir(small.sparkSession)
-    small = small.checkpoint(eager=True)
-    if small.count() <= max_rows:
-        return big.join(F.broadcast(small), keys, "inner")
-    return big.join(small, keys, "inner")
-
-
 def _range(df: DataFrame, keys, num_partitions: int | None) -> DataFrame:
     """Range partitioning on ``keys``.  Without an explicit count the session's
     shuffle partitions apply and AQE may merge adjacent (still ordered) ranges."""
