@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 
 from seqspark.functions.dna import clean_dna
 
+# Default sheet names of the labelled workbook (stored as source_sheet).
+STRONG_SHEET = "Strong promoters"
+WEAK_SHEET = "Weak promoters"
+
 
 def load_labeled(strong: DataFrame, weak: DataFrame, sequence_col: str = "sequence",
-                 id_col: str = "id", order_col: str | None = None) -> DataFrame:
+                 id_col: str = "id", order_col: str | None = None,
+                 strong_sheet: str = STRONG_SHEET, weak_sheet: str = WEAK_SHEET) -> DataFrame:
     """S3 + U1: stack strong (label 1) before weak (label 0).
 
     Output: id, sequence, label, source_sheet, source_rank (0 strong, 1 weak), row_order.
@@ -31,7 +36,7 @@ def load_labeled(strong: DataFrame, weak: DataFrame, sequence_col: str = "sequen
                          F.lit(sheet).alias("source_sheet"),
                          F.lit(rank).cast("int").alias("source_rank"),
                          F.col(order_col).alias("row_order"))
-    return tag(strong, 1, "strong", 0).unionByName(tag(weak, 0, "weak", 1))
+    return tag(strong, 1, strong_sheet, 0).unionByName(tag(weak, 0, weak_sheet, 1))
 
 
 def clean_column(df: DataFrame, sequence_col: str = "sequence") -> DataFrame:
@@ -106,13 +111,14 @@ def clean_pipeline(df: DataFrame, required_length: int = 81, order_cols: list[st
 
 
 def tag_labeled(df: DataFrame, sequence_col: str = "sequence", id_col: str = "id",
-                label_col: str = "label", order_col: str | None = None) -> DataFrame:
+                label_col: str = "label", order_col: str | None = None,
+                strong_sheet: str = STRONG_SHEET, weak_sheet: str = WEAK_SHEET) -> DataFrame:
     """S3 for one already-labelled source: same columns as ``load_labeled`` in a single scan."""
     order_col = order_col or id_col
     lab = F.col(label_col).cast("int")
     return df.select(F.col(id_col).cast("string").alias("id"), F.col(sequence_col).cast("string").alias("sequence"),
                      lab.alias("label"),
-                     F.when(lab == 1, "strong").when(lab == 0, "weak").alias("source_sheet"),
+                     F.when(lab == 1, strong_sheet).when(lab == 0, weak_sheet).alias("source_sheet"),
                      F.when(lab == 1, 0).when(lab == 0, 1).cast("int").alias("source_rank"),
                      F.col(order_col).alias("row_order")).where(lab.isin(0, 1))
 

@@ -25,10 +25,10 @@ def labeled(spark, sf):
 
 
 SQL_LABELED = """labeled AS (
-  SELECT id::VARCHAR AS id, sequence, 1 AS label, 'strong' AS source_sheet, 0 AS source_rank, id AS row_order
+  SELECT id::VARCHAR AS id, sequence, 1 AS label, 'Strong promoters' AS source_sheet, 0 AS source_rank, id AS row_order
   FROM promoters WHERE label = 1
   UNION ALL
-  SELECT id::VARCHAR AS id, sequence, 0 AS label, 'weak' AS source_sheet, 1 AS source_rank, id AS row_order
+  SELECT id::VARCHAR AS id, sequence, 0 AS label, 'Weak promoters' AS source_sheet, 1 AS source_rank, id AS row_order
   FROM promoters WHERE label = 0)"""
 
 SQL_CLEANED = f"""cleaned AS (
