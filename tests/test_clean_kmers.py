@@ -101,3 +101,9 @@ def test_corpus_comparison_matches_pairwise(spark):
         for k in (2, 3):
             exp = pearson_bruteforce(nat, [s for c, s in rows if c == other], k)
             assert out[(other, k)] == pytest.approx(exp, abs=1e-12) or (math.isnan(exp) and out[(other, k)] is None)
+
+
+def test_length_report_counts_without_filtering(spark):
+    df = spark.createDataFrame([("a", "ACGT", 1), ("b", "ACG", 1), ("c", "ACGTA", 0)], "id string, sequence string, g int")
+    r = {x["g"]: (x["n_rows"], x["n_wrong_length"]) for x in C.length_report(df, 4, group_cols=["g"]).collect()}
+    assert r == {1: (2, 1), 0: (1, 1)}

@@ -128,3 +128,13 @@ def test_window_mask_effects_equal_full_rescoring(spark):
     for r in full.collect():
         i, p = r["id"].split(":")
         assert fast[(i, int(p))] == pytest.approx(r["score"] - vs[i], abs=1e-9)
+
+
+def test_masked_one_hot_values_and_illegal_base(spark):
+    df = spark.createDataFrame([(1, "AMC")], "id long, template string")
+    rows = {(r["pos"], r["base"]): r["value"] for r in R.masked_one_hot_long(df).collect()}
+    assert rows[(0, "A")] == 1.0 and rows[(0, "C")] == 0.0 and rows[(2, "C")] == 1.0
+    assert all(0.0 <= rows[(1, b)] < 1.0 for b in "ACGT") and len({rows[(1, b)] for b in "ACGT"}) == 4
+    bad = spark.createDataFrame([(2, "AXC")], "id long, template string")
+    with pytest.raises(Exception, match="illegal base"):
+        R.masked_one_hot_long(bad).collect()
