@@ -140,10 +140,11 @@ def clean_report(df: DataFrame, required_length: int = 81, sequence_col: str = "
         F.coalesce(F.sum(F.when(F.col("lo") != F.col("hi"), F.col("n"))), F.lit(0)).alias("n_conflict_rows"),
         F.coalesce(F.sum(F.when(F.col("lo") == F.col("hi"), F.col("n") - 1)), F.lit(0)).alias("n_duplicates"),
         F.count_if(F.col("lo") == F.col("hi")).alias("n_output"))
-    # the per-sequence counts are one row: attach them as scalar subqueries
+    # the per-sequence counts are one row: attach them as ONE struct-valued scalar subquery
+    names = ("n_conflict_sequences", "n_conflict_rows", "n_duplicates", "n_output")
+    sq = seqs.select(F.struct(*names).alias("s")).scalar()
     return rows.select("n_input", "n_empty", (F.col("n_nonempty") - F.col("n_length_ok")).alias("n_length_removed"),
-                       *[seqs.select(c).scalar().alias(c) for c in
-                         ("n_conflict_sequences", "n_conflict_rows", "n_duplicates", "n_output")])
+                       *[sq[c].alias(c) for c in names])
 
 
 def ensure_not_empty(df: DataFrame, what: str = "cleaned data") -> DataFrame:
