@@ -59,14 +59,18 @@ def generated(spark: SparkSession, sf_dir: str, indexed: bool = True) -> DataFra
     return with_row_index(b, ["id"]) if indexed else b
 
 
-def hashdna(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """hashdna(id, sequence): 81 uniform pseudo-random bases per promoter id (md5 based)."""
-    p = promoters(spark, sf_dir).select("id")
-
+def hash_bases(id_col: str = "id"):
+    """81 uniform pseudo-random bases per id: three md5 digests read as A/C/G/T."""
     def hx(i):
-        return F.translate(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"#{i}"))),
+        return F.translate(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"#{i}"))),
                            "0123456789abcdef", "ACGTACGTACGTACGT")
-    return p.select("id", F.substring(F.concat(hx(0), hx(1), hx(2)), 1, TILE).alias("sequence"))
+    return F.substring(F.concat(hx(0), hx(1), hx(2)), 1, TILE)
+
+
+def hashdna(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """hashdna(id, sequence): a uniform random corpus, one sequence per id (default: promoter ids)."""
+    p = ids if ids is not None else promoters(spark, sf_dir).select("id")
+    return p.select("id", hash_bases("id").alias("sequence"))
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
