@@ -290,3 +290,36 @@ def kmer_classifier_cv(df: DataFrame, k: int = 6, folds_col: str = "fold", n_spl
         rows.append((f, pred.count(), float(acc), float(auc)))
     data.unpersist()
     return df.sparkSession.createDataFrame(rows, "fold int, n_test long, accuracy double, auc double")
+
+
+def kmer_classifier_search(df: DataFrame, reg_params: Sequence[float], k: int = 4, folds_col: str = "fold",
+                           label_col: str = "label", sequence_col: str = "sequence", max_iter: int = 20,
+                           parallelism: int = 4, n_splits: int = 5) -> DataFrame:
+    """X4 as Spark ML's own search x k-fold loop: CrossValidator over a regParam grid with the
+    caller's (stratified) fold column; fold models are fitted in parallel.
+
+    Returns one row per trial: trial_id, reg_param, mean_auc, std_auc.
+    """
+    from pyspark import StorageLevel
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    from seqspark.functions.dna import kmers
+    par = df.sparkSession.sparkContext.defaultParallelism
+    data = df.select((F.col(folds_col) - 1).cast("int").alias("_fold"), F.col(label_col).cast("double").alias("label"),
+                     kmers(sequence_col, k).alias("tokens")).repartition(par).persist(StorageLevel.MEMORY_AND_DISK)
+    lr = LogisticRegression(maxIter=max_iter)
+    pipe = Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=4 ** k), lr])
+    grid = ParamGridBuilder().addGrid(lr.regParam, [float(r) for r in reg_params]).build()
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, foldCol="_fold", numFolds=n_splits,
+                        evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
+                        parallelism=parallelism)
+    model = cv.fit(data)
+    data.unpersist()
+    std = list(model.stdMetrics) if model.stdMetrics else [None] * len(grid)
+    rows = [(i + 1, float(r), float(m), None if s is None else float(s))
+            for i, (r, m, s) in enumerate(zip(reg_params, model.avgMetrics, std))]
+    return df.sparkSession.createDataFrame(rows, "trial_id int, reg_param double, mean_auc double, std_auc double")

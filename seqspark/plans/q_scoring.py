@@ -111,9 +111,10 @@ def q_core_identify(spark, sf):
 
 @register("kmer_classifier")
 def q_kmer_classifier(spark, sf):
-    """Per-fold k-mer logistic regression (no SQL twin: iterative model fitting)."""
+    """K-mer logistic regression, regParam grid x the stratified folds via CrossValidator
+    (no SQL twin: iterative model fitting)."""
     f = folds(spark, sf).join(pipeline(spark, sf).select("id", "sequence"), "id")
-    return Sc.kmer_classifier_cv(f, k=4, max_iter=30)
+    return Sc.kmer_classifier_search(f, [0.01, 0.1], k=4)
 
 
 
