@@ -1,5 +1,6 @@
-"""Source/sink queries: FASTA round trip, CSV/JSON sinks, append log, streaming leader, guards
-(S1-S8, P4, X5).  Files go to a fresh folder under the shared checkpoint directory."""
+"""Source/sink queries: FASTA round trip, CSV / JSON (incl. the nested best summary) sinks, append log,
+streaming leader, empty guard, and the generate -> FASTA -> compare lifecycle (S1-S8, P4, X5, L2).
+Files go to a fresh folder under the shared checkpoint directory."""
 
 from __future__ import annotations
 
