@@ -85,13 +85,6 @@ def checkpoint_epochs(df: DataFrame, rate: int = CHECKPOINT_RATE, epoch: str = "
 
 
 # ------------------------------------------------------------------ EMA
-def _kind(n: int, rate: int, start: int) -> int:
-    """0 keep, 1 copy (before ``start`` or the first update), 2 decay update."""
-    if n % rate != 0:
-        return 0
-    return 1 if (n < start or n == rate) else 2
-
-
 def ema_series(df: DataFrame, value: str, order_by: str, partition_by=(), name: str = "ema",
                decay: float = EMA_DECAY, rate: int = EMA_RATE, start: int = EMA_START,
                num_partitions: int | None = None) -> DataFrame:
@@ -127,16 +120,20 @@ def ema_series(df: DataFrame, value: str, order_by: str, partition_by=(), name:
                                                         StructField("_b", DoubleType())])
 
     def local(it):
+        import numpy as np
         last_key, st = None, (False, 1.0, 0.0)
         for pdf in it:
             if pdf.empty:
                 continue
             keys = list(zip(*[pdf[g].tolist() for g in gnames]))
+            n = pdf["_n"].to_numpy()
+            # step kind: 0 keep, 1 copy (before ``start`` or the first update), 2 decay update
+            kinds = np.where(n % rate != 0, 0, np.where((n < start) | (n == rate), 1, 2)).tolist()
+            xs = pdf[value].astype("float64").tolist()
             cop, aa, bb = [], [], []
-            for key, n, x in zip(keys, pdf["_n"].tolist(), pdf[value].astype("float64").tolist()):
+            for key, k, x in zip(keys, kinds, xs):      # the recurrence itself is sequential
                 if key != last_key:
                     last_key, st = key, (False, 1.0, 0.0)
-                k = _kind(n, rate, start)
                 if k == 1:
                     st = (True, 0.0, x)
                 elif k == 2:
