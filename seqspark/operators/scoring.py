@@ -247,14 +247,17 @@ def position_importance(effects: DataFrame) -> DataFrame:
     return effects.groupBy("pos").agg(F.avg("dp").alias("importance"), F.count(F.lit(1)).alias("n_variants"))
 
 
-def core_regions(importance: DataFrame, quantile: float = 0.75) -> DataFrame:
-    """R2: positions with importance >= the ``quantile`` of all positions, merged to [start, end)."""
-    q = importance.select(F.percentile("importance", F.lit(quantile)).alias("_thr")).scalar()
-    core = importance.where(F.col("importance") >= q)
+def core_regions(importance: DataFrame, quantile: float = 0.75, score_col: str = "importance",
+                 mean_col: str | None = None) -> DataFrame:
+    """R2: positions with ``score_col`` >= its ``quantile`` over all positions, merged to [start, end);
+    ``mean_importance`` averages ``mean_col`` (default ``score_col``) over each region."""
+    mean_col = mean_col or score_col
+    q = importance.select(F.percentile(score_col, F.lit(quantile)).alias("_thr")).scalar()
+    core = importance.where(F.col(score_col) >= q)
     merged = merge_positions(core.select("pos"))
-    stats = core.select("pos", "importance")
+    stats = core.select("pos", F.col(mean_col).alias("_v"))
     j = merged.join(stats, (stats["pos"] >= merged["start"]) & (stats["pos"] < merged["end"]))
-    return j.groupBy("start", "end").agg(F.avg("importance").alias("mean_importance"))
+    return j.groupBy("start", "end").agg(F.avg("_v").alias("mean_importance"))
 
 
 def kmer_classifier_cv(df: DataFrame, k: int = 6, folds_col: str = "fold", n_splits: int = 5,

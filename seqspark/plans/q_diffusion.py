@@ -101,10 +101,10 @@ def q_random_timestep(spark, sf):
 def _gathered(spark, sf, sched):
     ts = V.matrix(spark, sf).select("vec_id", D.random_timestep("vec_id").alias("t"))
     g = D.gather(ts, sched)
-    return g.select("vec_id", "t", *[_r(c, 12) for c in COEFS])
+    return g.select("vec_id", "t", *[_r(c, 9) for c in COEFS])
 
 
-_GATHER_SQL = "SELECT vec_id, t, " + ", ".join(f"round({c}, 12) AS {c}" for c in COEFS)
+_GATHER_SQL = "SELECT vec_id, t, " + ", ".join(f"round({c}, 9) AS {c}" for c in COEFS)
 
 
 @register("linear_schedule", V.with_views(f"WITH {SQL_LIN}, {SQL_TS} {_GATHER_SQL} FROM ts JOIN lin USING (t)",
@@ -120,14 +120,14 @@ def q_cosine_schedule(spark, sf):
 
 
 @register("alpha_bar", V.with_views(f"""WITH {SQL_LIN}, {SQL_COS}, {SQL_TS}
-SELECT t, count(*) AS n_rows, round(any_value(lin.alpha_bar), 12) AS alpha_bar_linear,
-       round(any_value(cosi.alpha_bar), 12) AS alpha_bar_cosine
+SELECT t, count(*) AS n_rows, round(any_value(lin.alpha_bar), 9) AS alpha_bar_linear,
+       round(any_value(cosi.alpha_bar), 9) AS alpha_bar_cosine
 FROM ts JOIN lin USING (t) JOIN cosi USING (t) GROUP BY t""", "matrix"))
 def q_alpha_bar(spark, sf):
     ts = V.matrix(spark, sf).select("vec_id", D.random_timestep("vec_id").alias("t"))
     used = ts.groupBy("t").agg(F.count(F.lit(1)).alias("n_rows"))
-    la = lin(spark).select("t", F.round("alpha_bar", 12).alias("alpha_bar_linear"))
-    ca = D.schedule_table(D.cosine_betas(spark)).select("t", F.round("alpha_bar", 12).alias("alpha_bar_cosine"))
+    la = lin(spark).select("t", F.round("alpha_bar", 9).alias("alpha_bar_linear"))
+    ca = D.schedule_table(D.cosine_betas(spark)).select("t", F.round("alpha_bar", 9).alias("alpha_bar_cosine"))
     return used.join(F.broadcast(la), "t").join(F.broadcast(ca), "t")
 
 

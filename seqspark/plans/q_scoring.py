@@ -94,17 +94,20 @@ def q_mutation_scan(spark, sf):
 
 
 @register("core_identify", V.with_views(f"""WITH {PIPE}, {SQL_PWM}, {SQL_WT}, {SQL_EFFECTS},
-imp AS (SELECT pos, round(avg(dp), 9) AS importance FROM eff GROUP BY pos),
-core AS (SELECT pos, importance FROM imp
+imp AS (SELECT pos, round(avg(dp), 9) AS importance, avg(dp) AS raw FROM eff GROUP BY pos),
+core AS (SELECT pos, raw FROM imp
          WHERE importance >= (SELECT quantile_cont(importance, {CORE_QUANTILE}) FROM imp)),
-isl AS (SELECT pos, importance, pos - row_number() OVER (ORDER BY pos) AS grp FROM core)
-SELECT min(pos) AS start, max(pos) + 1 AS "end", round(avg(importance), 9) AS mean_importance
+isl AS (SELECT pos, raw, pos - row_number() OVER (ORDER BY pos) AS grp FROM core)
+SELECT min(pos) AS start, max(pos) + 1 AS "end", round(avg(raw), 9) AS mean_importance
 FROM isl GROUP BY grp""", "promoters"))
 def q_core_identify(spark, sf):
     d = promoters_clean(spark, sf)
     e = Sc.mutation_effects(d, weights(spark, sf, d))
-    imp = Sc.position_importance(e).select("pos", F.round("importance", 9).alias("importance"))
-    r = Sc.core_regions(imp, CORE_QUANTILE)
+    # rounded importance picks the positions (same threshold in any engine); the region mean
+    # averages the unrounded values
+    imp = Sc.position_importance(e).select("pos", F.round("importance", 9).alias("importance"),
+                                           F.col("importance").alias("raw"))
+    r = Sc.core_regions(imp, CORE_QUANTILE, mean_col="raw")
     return r.select(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
                     F.round("mean_importance", 9).alias("mean_importance"))
 
