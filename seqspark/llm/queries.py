@@ -5,7 +5,11 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op5_license_scan": "op05_license",
     "op6_lpt_shards": "op06_shard",
+    "op8_cross_parsing": "op08_langid",
+    "op9_ppm": "op09_ppm",
+    "op10_path_ratio": "op10_html",
 }
 
 
