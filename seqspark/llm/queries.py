@@ -5,8 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op4_minimum_bin_slack": "op04_pack",
     "op5_license_scan": "op05_license",
     "op6_lpt_shards": "op06_shard",
+    "op7_winnowing": "op07_winnow",
     "op8_cross_parsing": "op08_langid",
     "op9_ppm": "op09_ppm",
     "op10_path_ratio": "op10_html",
@@ -18,4 +20,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    from seqspark.llm.op07_winnow import OP7_SQL
+    return {"op7_winnowing": OP7_SQL}
