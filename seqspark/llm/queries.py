@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op2_parity_sketch_join": "op02_jaccard",
     "op4_minimum_bin_slack": "op04_pack",
     "op5_license_scan": "op05_license",
     "op6_lpt_shards": "op06_shard",
@@ -20,5 +21,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
+    from seqspark.llm.op02_jaccard import OP2_SQL
     from seqspark.llm.op07_winnow import OP7_SQL
-    return {"op7_winnowing": OP7_SQL}
+    return {"op2_parity_sketch_join": OP2_SQL, "op7_winnowing": OP7_SQL}
