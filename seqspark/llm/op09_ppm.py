@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from seqspark.llm.common import LOWER_ASCII, save
 from seqspark.llm.op08_langid import remainder
 
-ORDER = 4                       # context bytes
-BLOCK_BYTES = 8 << 20           # text per block
+ORDER = 3                       # context bytes
+BLOCK_BYTES = 16 << 20          # text per block
 BITS = 9                        # bits per symbol in a gram's code: 256 bytes and the start mark
 START = 256                     # stands before the first byte of a text
 WORD, GRAM = 0, 1
@@ -69,6 +69,18 @@ def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return code[body], np.repeat(np.arange(len(texts)), n)
 
 
+def in_parts(texts: list, marks: list, size: int = 1 << 20):
+    """Runs of whole texts (with their marks) of about ``size`` bytes."""
+    at = 0
+    while at < len(texts):
+        stop, n = at, 0
+        while stop < len(texts) and (stop == at or n < size):
+            n += len(texts[stop])
+            stop += 1
+        yield texts[at:stop], marks[at:stop]
+        at = stop
+
+
 def word_hash(word: bytes) -> int:
     import xxhash
     h = xxhash.xxh3_64_intdigest(word)
@@ -84,10 +96,14 @@ def block_features(blocks: DataFrame, order: int) -> DataFrame:
             for w in t.translate(LOWER_ASCII).split():
                 words[w] = words.get(w, 0) + use
         yield block, WORD, np.array([word_hash(w) for w in words], np.int64), np.array(list(words.values()), np.int64)
-        code, owner = grams(texts, order)
-        keys, counts = np.unique(code[np.array(train, bool)[owner]], return_counts=True)
-        other = np.setdiff1d(code[~np.array(train, bool)[owner]], keys)
-        yield block, GRAM, np.concatenate([keys, other]), np.concatenate([counts, np.zeros(len(other), np.int64)])
+        keys = counts = np.zeros(0, np.int64)
+        for part, use in in_parts(texts, train):
+            code, owner = grams(part, order)
+            new, at = np.unique(code, return_inverse=True)
+            seen = np.bincount(at, np.array(use)[owner], len(new)).astype(np.int64)
+            keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, seen]), len(keys)).astype(np.int64)
+        yield block, GRAM, keys, counts
 
     def run(batches):
         for b in batches:
@@ -180,9 +196,10 @@ def score_corpus(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: st
                        F.coalesce(held_out, F.lit(False)).alias("held_out"))
     blocks = save(in_blocks(rows, block_bytes), "ppm-blocks")
     per_key = Window.partitionBy("kind", "key")
-    features = block_features(blocks, order).groupBy("block", "kind", "key").agg(F.sum("own").alias("own"))
-    counts = save(features.select("block", "kind", "key", "own", F.sum("own").over(per_key).alias("c"),
-                                  (F.col("block") == F.min("block").over(per_key)).alias("first")), "ppm-counts")
+    # A block whose rows are read by two tasks has two rows for some keys, which does no harm.
+    counts = save(block_features(blocks, order).select(
+        "block", "kind", "key", "own", F.sum("own").over(per_key).alias("c"),
+        (F.row_number().over(per_key.orderBy("block", "own")) == 1).alias("first")), "ppm-counts")
     totals = counts.agg(F.sum(F.when(F.col("kind") == WORD, F.col("own"))).alias("n"),
                         F.sum(F.expr(f"int(kind = {WORD} and first and c > 0)")).alias("v")).first()
     ends = blocks.where("not held_out").count()
@@ -202,34 +219,28 @@ def score_corpus(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: st
         g_key, g_val = g_key[by], g_val[by]
         texts = [t or b"" for t in left.column("text").cast(pa.binary()).to_pylist()]
         held = left.column("held_out").to_pylist()
-        split = [t.translate(LOWER_ASCII).split() for t in texts]
         own: dict[bytes, int] = {}
-        for ws, h in zip(split, held):
-            for w in ws:
-                own[w] = own.get(w, 0) + (not h)
-        value, new = {}, 0
-        zero = set()
+        for t, h in zip(texts, held):
+            use = int(not h)
+            for w in t.translate(LOWER_ASCII).split():
+                own[w] = own.get(w, 0) + use
         for w, c in own.items():
-            c = known.get(word_hash(w), c)
-            value[w] = math.log10((c + 1) / denominator)
-            if not c:
-                zero.add(w)
+            own[w] = known.get(word_hash(w), c)
+        unknown = {w for w, c in own.items() if not c}
+        value = {w: math.log10((c + 1) / denominator) for w, c in own.items()}
         end = math.log10((ends + 1) / denominator)
-        base = [math.fsum(map(value.__getitem__, ws)) + end for ws in split]
-        n_known = [len(ws) - (sum(w in zero for w in ws) if h and zero else 0) + (ends > 0) for ws, h in zip(split, held)]
-        total = np.zeros(len(texts))
-        at = 0
-        while at < len(texts):                                  # a few MB of text at a time
-            stop, size = at, 0
-            while stop < len(texts) and (stop == at or size < 2_000_000):
-                size += len(texts[stop])
-                stop += 1
-            code, owner = grams(texts[at:stop], order)
-            if len(code):
-                total[at:stop] = np.bincount(owner, g_val[np.searchsorted(g_key, code)], stop - at)
-            at = stop
+        base, n_tokens, n_known = [], [], []
+        for t, h in zip(texts, held):
+            ws = t.translate(LOWER_ASCII).split()
+            base.append(math.fsum(map(value.__getitem__, ws)) + end)
+            n_tokens.append(len(ws) + 1)
+            n_known.append(len(ws) + (ends > 0) - (sum(w in unknown for w in ws) if h and unknown else 0))
+        total = []
+        for part, _ in in_parts(texts, held):
+            code, owner = grams(part, order)
+            total += np.bincount(owner, g_val[np.searchsorted(g_key, code)], len(part)).tolist() if len(code) else [0.0] * len(part)
         return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"),
-                         "n_tokens": pa.array([len(ws) + 1 for ws in split], pa.int64()),
+                         "n_tokens": pa.array(n_tokens, pa.int64()),
                          "n_known": pa.array(n_known, pa.int64()),
                          "train_tokens": pa.array([n_all] * len(texts), pa.int64()),
                          "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64()),

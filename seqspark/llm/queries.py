@@ -6,6 +6,7 @@ from importlib import import_module
 
 _MODULES = {
     "op2_parity_sketch_join": "op02_jaccard",
+    "op3_nn_descent": "op03_nndescent",
     "op4_minimum_bin_slack": "op04_pack",
     "op5_license_scan": "op05_license",
     "op6_lpt_shards": "op06_shard",
