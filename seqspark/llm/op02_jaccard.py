@@ -16,8 +16,8 @@ partners in at least ``occ - D`` non-empty blocks, and partners meet on equal bl
 *Frequent blocks* (more than ``max_group`` sets) come from text that many documents share.  A set with
 more than D non-frequent, non-empty blocks must meet every partner in one that is not frequent, so its
 frequent blocks may be passed over.  Only pairs of sets that both lack that many need them: these sets
-are gathered by a star per frequent block (an edge to its smallest member), which keeps them together
-without listing their pairs.
+are gathered by a star per frequent block (an edge to its smallest member, whatever that one has), which
+keeps them together without listing their pairs.
 
 *Verification.*  Pairs with fewer shared blocks than the bound demands are discarded; what is left, with
 the stars, is split into connected clusters.  Inside a cluster all pairs are compared, in chunks of
@@ -46,7 +46,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 class _WordHashes(dict):
     """word -> 64-bit hash, kept for the life of a worker process and emptied at ``LIMIT`` words."""
-    LIMIT = 1_000_000
+    LIMIT = 300_000
 
     def __missing__(self, word):
         import xxhash
@@ -175,14 +175,15 @@ def signatures(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def meetings(keys: DataFrame, max_group: int) -> DataFrame:
-    """From (key, sh): pairs (a, b, band, n shared blocks) of small groups; rows (key as a, sh as b, n = 0) of frequent blocks.
+    """From (key, sh): pairs (a, b, band, n shared blocks) of small groups; for frequent blocks a row (smallest member as a,
+    member as b, n = 0) per member.
 
     Each task streams its keys in order and holds one group of at most ``max_group`` sets.
     """
     def run(batches):
         import pandas as pd
         key, sh = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        frequent = None                                         # key of an open frequent group
+        frequent = hub = None                                   # key and smallest member of an open frequent group
         pairs: list[tuple] = []
         held = 0
 
@@ -198,8 +199,8 @@ def meetings(keys: DataFrame, max_group: int) -> DataFrame:
             return out(ix.get_level_values(0).to_numpy(), ix.get_level_values(1).to_numpy(),
                        (ix.get_level_values(2).to_numpy(), g.to_numpy()))
 
-        def hot(k, s):
-            return out(k, s, ((k & 63), np.zeros(len(k))))
+        def hot(k, h, s):
+            return out(h, s, (k & 63, np.zeros(len(k))))
 
         for b in _with_end(batches):
             if b is not None:
@@ -212,7 +213,7 @@ def meetings(keys: DataFrame, max_group: int) -> DataFrame:
             if frequent is not None and len(key):               # the rest of a frequent group
                 same = int(np.searchsorted(key, frequent, side="right")) if key[0] == frequent else 0
                 if same:
-                    yield hot(key[:same], sh[:same])
+                    yield hot(key[:same], np.full(same, hub), sh[:same])
                     key, sh = key[same:], sh[same:]
                 if len(key):
                     frequent = None
@@ -224,11 +225,11 @@ def meetings(keys: DataFrame, max_group: int) -> DataFrame:
             size = np.diff(np.append(start, len(key)))
             rest = len(key) if b is None else start[-1]         # the last group may go on
             if b is not None and size[-1] > max_group:
-                frequent, rest = int(key[-1]), len(key)
+                frequent, hub, rest = int(key[-1]), int(sh[start[-1]]), len(key)
             per_row = np.repeat(size, size)
             big = (per_row > max_group) & (np.arange(len(key)) < rest)
             if big.any():
-                yield hot(key[big], sh[big])
+                yield hot(key[big], np.repeat(sh[start], size)[big], sh[big])
             small = np.flatnonzero((per_row > 1) & (per_row <= max_group) & (np.arange(len(key)) < rest))
             k, s = key[small], sh[small]
             for d in range(1, max_group):
@@ -256,8 +257,8 @@ def candidate_edges(met: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v): pairs with enough shared blocks, and stars of the sets that only frequent blocks may link."""
     signed = sets.select("sh", "n", F.explode("signed").alias("_s")).select(
         "sh", F.col("n").alias("size"), F.col("_s.band").alias("band"), F.col("_s.occ").alias("occ"))
-    hot = met.where("n = 0").select(F.col("a").alias("key"), F.col("b").alias("sh"), "band")
-    n_hot = hot.groupBy("sh", "band").agg(F.count(F.lit(1)).alias("hot"))
+    hot = met.where("n = 0").groupBy(F.col("a").alias("hub"), F.col("b").alias("sh"), "band").agg(F.count(F.lit(1)).alias("m"))
+    n_hot = hot.groupBy("sh", "band").agg(F.sum("m").alias("hot"))
     signed = signed.join(n_hot, ["sh", "band"], "left").select(
         "sh", "band", "size", (F.col("occ") - F.coalesce("hot", F.lit(0))).alias("free"))
     side = lambda x: signed.select(F.col("sh").alias(x), "band", F.col("size").alias(f"size_{x}"),
@@ -270,8 +271,7 @@ def candidate_edges(met: DataFrame, sets: DataFrame) -> DataFrame:
     # A linked pair differs in at most a third of the smaller set and two sevenths of the larger one.
     limits = met.sparkSession.createDataFrame([(v, most_different(v)) for v in range(64)], "band int, d long")
     open_sets = signed.join(F.broadcast(limits), "band").where("free <= least(d, size div 3)")    # 64 bands
-    left = save(hot.join(open_sets.select("sh", "band"), ["sh", "band"]).select("key", "sh"), "frequent")
-    stars = left.join(left.groupBy("key").agg(F.min("sh").alias("u")), "key").select("u", F.col("sh").alias("v"))
+    stars = hot.join(open_sets.select("sh", "band"), ["sh", "band"]).select(F.col("hub").alias("u"), F.col("sh").alias("v"))
     return pairs.unionByName(stars).where("u <> v").distinct()
 
 
