@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_range_coder": "op01_tokens",
     "op2_parity_sketch_join": "op02_jaccard",
     "op3_nn_descent": "op03_nndescent",
     "op4_minimum_bin_slack": "op04_pack",
