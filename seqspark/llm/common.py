@@ -108,14 +108,14 @@ class WordTokenizer:
     SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
     UNSAFE = re.compile(r"\A |\s | \s| \Z")
 
-    def __init__(self, path: str, max_words: int = 800_000):
+    def __init__(self, path: str, max_words: int = 500_000, chars: int = 2_000_000):
         cache = process_cache("tokenizers")
         if path not in cache:
             from tokenizers import Tokenizer
             tok = Tokenizer.from_file(path)
             tok.encode_special_tokens = True
             cache[path] = {"tok": tok, "newline": tok.encode("\n", add_special_tokens=False).ids}
-        self.state, self.max_words = cache[path], max_words
+        self.state, self.max_words, self.chars = cache[path], max_words, chars
         if "index" not in self.state:
             self._reset()
 
@@ -146,7 +146,25 @@ class WordTokenizer:
         s["flat"], s["n"] = np.concatenate([s["flat"], *parts]), np.concatenate([s["n"], n])
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """(flat uint32 ids, int64 bounds): ids of text i are ``flat[bounds[i]:bounds[i + 1]]``; null is empty."""
+        """(flat uint32 ids, int64 bounds): ids of text i are ``flat[bounds[i]:bounds[i + 1]]``; null is empty.
+
+        Runs of whole texts of about ``chars`` characters are worked on at a time.
+        """
+        parts, at = [], 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and (stop == at or size < self.chars):
+                size += len(texts[stop] or "")
+                stop += 1
+            parts.append(self._encode(texts[at:stop]))
+            at = stop
+        if not parts:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        shift = np.cumsum([0] + [int(b[-1]) for _, b in parts])
+        return (np.concatenate([f for f, _ in parts]),
+                np.concatenate([[0], *[b[1:] + s for (_, b), s in zip(parts, shift)]]).astype(np.int64))
+
+    def _encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         if len(self.state["index"]) > self.max_words:
             self._reset()
         words: list = []
