@@ -38,7 +38,7 @@ def clean_dna(seq) -> Column:
     s = F.upper(raw)
     s = F.regexp_replace(s, WHITESPACE_CLASS, "")
     full = F.regexp_replace(s, f"[^{LEGAL}]", "N")
-    return F.when(raw.rlike(f"^[{LEGAL}]*$"), raw).otherwise(full)
+    return F.when(raw.rlike(rf"\A[{LEGAL}]*\z"), raw).otherwise(full)   # $ would also match before a final line end
 
 
 def recode_letters(text) -> Column:
@@ -69,7 +69,7 @@ def kmers(seq, k: int) -> Column:
 
 def chars(seq) -> Column:
     """Characters of a string as an array (never ``['']`` for the empty string)."""
-    return F.filter(F.split(_c(seq), ""), lambda c: c != "")
+    return F.regexp_extract_all(_c(seq), F.lit("(?s)."), F.lit(0))
 
 
 def one_hot(seq) -> Column:

@@ -9,6 +9,7 @@ keys before the shuffle, so the shuffle volume is bounded by
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +28,12 @@ def kmer_freq(df: DataFrame, k: int, sequence_col: str = "sequence",
               group_cols: Sequence[str] = ()) -> DataFrame:
     """(group..., kmer, n, freq = n / sum n); an empty corpus gives no rows."""
     c = kmer_counts(df, k, sequence_col, group_cols)
-    tot = F.sum("n").over(Window.partitionBy(*group_cols)) if group_cols else F.sum("n").over(Window.partitionBy())
-    return c.withColumn("freq", F.try_divide(F.col("n"), tot))
+    if not group_cols:
+        return c.withColumn("freq", F.try_divide(F.col("n"), c.agg(F.sum("n")).scalar()))
+    tot = c.groupBy(*group_cols).agg(F.sum("n").alias("_tot"))
+    same = [F.col(f"c.{g}").eqNullSafe(F.col(f"t.{g}")) for g in group_cols]
+    return c.alias("c").join(tot.alias("t"), reduce(lambda a, b: a & b, same)).select(
+        "c.*", F.try_divide(F.col("n"), F.col("_tot")).alias("freq"))
 
 
 def pearson(df: DataFrame, x: str, y: str, group_cols: Sequence[str] = (), name: str = "r") -> DataFrame:
@@ -37,9 +42,12 @@ def pearson(df: DataFrame, x: str, y: str, group_cols: Sequence[str] = (), name:
     Used on aggregated k-mer tables (at most 5^k rows per group), so the
     window that supplies the group means is small.
     """
-    w = Window.partitionBy(*group_cols)
-    c = df.select(*group_cols, (F.col(x) - F.avg(x).over(w)).alias("_dx"),
-                  (F.col(y) - F.avg(y).over(w)).alias("_dy"))
+    if group_cols:
+        w = Window.partitionBy(*group_cols)
+        mx, my = F.avg(x).over(w), F.avg(y).over(w)
+    else:                       # one group: the means are scalars, not a window in one task
+        mx, my = df.agg(F.avg(x)).scalar(), df.agg(F.avg(y)).scalar()
+    c = df.select(*group_cols, (F.col(x) - mx).alias("_dx"), (F.col(y) - my).alias("_dy"))
     g = c.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_kmers"),
                                    F.sum(F.col("_dx") * F.col("_dy")).alias("_sxy"),
                                    F.sum(F.col("_dx") * F.col("_dx")).alias("_sxx"),
@@ -65,9 +73,8 @@ def aligned_by_tag(df: DataFrame, tag_col: str, tag_a, tag_b, k: int, sequence_c
         tag_col, F.explode(kmers(sequence_col, k)).alias("kmer"))
     c = ex.groupBy("kmer").agg(F.count_if(F.col(tag_col) == tag_a).alias("n1"),
                                F.count_if(F.col(tag_col) == tag_b).alias("n2"))
-    w = Window.partitionBy()   # over <= 5^k aggregated rows
-    return c.select("kmer", "n1", "n2", F.try_divide(F.col("n1"), F.sum("n1").over(w)).alias("f1"),
-                    F.try_divide(F.col("n2"), F.sum("n2").over(w)).alias("f2"))
+    return c.select("kmer", "n1", "n2", F.try_divide(F.col("n1"), c.agg(F.sum("n1")).scalar()).alias("f1"),
+                    F.try_divide(F.col("n2"), c.agg(F.sum("n2")).scalar()).alias("f2"))
 
 
 def kmer_correlation(a: DataFrame, b: DataFrame, k: int = 6, sequence_col: str = "sequence",

@@ -79,10 +79,12 @@ def random_infill(df: DataFrame, seed: int = 0, regions: Regions = ACTIVE_REGION
     shuffle join, no broadcast of data-sized tables).
     """
     order_by = list(order_by or [id_col])
-    rows = with_row_index(df.select(id_col, sequence_col, *[c for c in order_by if c != id_col]), order_by)
-    donors = with_row_index(df.select(F.col(id_col).alias("_did"), F.col(sequence_col).alias("_donor"),
-                                      hash32(id_col, seed).alias("_h")), ["_h", "_did"])
-    paired = rows.join(donors, "row_idx")
+    rows = with_row_index(df.select(id_col, *[c for c in order_by if c != id_col]), order_by).select(id_col, "row_idx")
+    donors = with_row_index(df.select(F.col(id_col).alias("_did"), hash32(id_col, seed).alias("_h")), ["_h", "_did"])
+    # only ids are numbered and paired; each side then fetches its sequence once
+    seqs = df.select(id_col, sequence_col)
+    paired = rows.join(donors.select("_did", "row_idx"), "row_idx").join(seqs, id_col).join(
+        df.select(F.col(id_col).alias("_did"), F.col(sequence_col).alias("_donor")), "_did")
     seqc = F.col(sequence_col)
     new = F.array_join(F.transform(chars(seqc), lambda c, i: F.when(
         in_core(i, regions) & (i < F.length("_donor")), F.substring("_donor", i + 1, F.lit(1)))

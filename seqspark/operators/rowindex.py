@@ -2,22 +2,25 @@
 
 ``row_number() over (order by k)`` with no PARTITION BY moves every row into
 one task.  Instead the rows are range-partitioned on the sort keys (so a hot
-group is split across tasks), sorted inside each partition, and numbered as
-``offset(partition, group) + position inside the partition``.  The offsets
-come from a per-(partition, group) count table of at most
-``#partitions + #groups`` rows, which is written once and broadcast after a
-size check; with very many groups the runs are numbered inside each
-partition instead and only the boundary groups (at most one per partition)
-need a broadcast offset.  ``cumulative`` applies the same plan to running
-sums / maxima / minima.
+group is split across tasks), sorted inside each partition and fixed by a
+reliable checkpoint.  One pass per partition numbers the runs of equal group
+keys; only the first run of a partition can go on from an earlier one, so
+the numbers carried in are at most one row per partition, which is the bound
+of the one broadcast.  There is one path for every size, and group keys are
+compared null-safely.  ``cumulative`` applies the same plan to running sums /
+maxima / minima.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from seqspark.session import ensure_checkpoint_dir
 
@@ -26,11 +29,6 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in (xs or [])]
 
 
-# Largest per-(partition, group) offsets table that is broadcast (rows); above it the
-# group runs are numbered inside each partition and only boundary offsets are broadcast.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
 def _range(df: DataFrame, keys, num_partitions: int | None) -> DataFrame:
     """Range partitioning on ``keys``.  Without an explicit count the session's
     shuffle partitions apply and AQE may merge adjacent (still ordered) ranges."""
@@ -39,84 +37,80 @@ def _range(df: DataFrame, keys, num_partitions: int | None) -> DataFrame:
     return df.repartitionByRange(*keys)
 
 
+def _ordered(df: DataFrame, order_by: Sequence, partition_by: Sequence, num_partitions: int | None):
+    """(checkpointed rows ordered by group and key with ``_pid``, names of the group columns).
+
+    Spark's range partitioner seeds its sample with the RDD id, so two jobs over the same plan would
+    get different bounds; the checkpoint fixes them for the offsets and the numbering.
+    """
+    group = _cols(partition_by)
+    keys = group + _cols(order_by)
+    gnames = [f"_g{i}" for i in range(len(group))]
+    staged = df.withColumns(dict(zip(gnames, group))) if group else df
+    base = _range(staged, keys, num_partitions).sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id())
+    ensure_checkpoint_dir(df.sparkSession)
+    return base.checkpoint(eager=True), gnames
+
+
+def _changes(col: pa.Array) -> np.ndarray:
+    """Whether each element but the first differs from the one before (null = null, NaN = NaN)."""
+    a, b = col.slice(1), col.slice(0, len(col) - 1)
+    if pa.types.is_nested(col.type):
+        return np.array([x != y for x, y in zip(a.to_pylist(), b.to_pylist())], bool)
+    differs = pc.fill_null(pc.not_equal(a, b), False)
+    if pa.types.is_floating(col.type):
+        nan = pc.and_(pc.fill_null(pc.is_nan(a), False), pc.fill_null(pc.is_nan(b), False))
+        differs = pc.and_(differs, pc.invert(nan))
+    return np.asarray(pc.or_(differs, pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False), bool)
+
+
+def _runs(batches, gnames: list[str]):
+    """(batch, starts a run?, lies in the partition's first run?) for batches sorted by the group columns."""
+    last, first_run = None, True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.zeros(b.num_rows, bool)
+        for i, g in enumerate(gnames):
+            col = b.column(b.schema.get_field_index(g))
+            new |= _changes(pa.concat_arrays([last[i] if last else col.slice(0, 1), col]))
+        last = [b.column(b.schema.get_field_index(g)).slice(b.num_rows - 1) for g in gnames]
+        inside = np.zeros(b.num_rows, bool)
+        if first_run:
+            inside[:int(np.argmax(new)) if new.any() else b.num_rows] = True
+            first_run = not new.any()
+        yield b, new, inside
+
+
 def with_row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence = (),
                    name: str = "row_idx", start: int = 0,
                    num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = start + rank of the row inside its ``partition_by`` group by ``order_by``.
 
     ``order_by`` must be a total order (unique per group) for the index to be
-    reproducible.  The range-partitioned rows are always fixed by a reliable
-    checkpoint in ``spark.checkpoint.dir`` before numbering: Spark's range
-    partitioner seeds its sample with the RDD id, so two separately executed
-    jobs (offsets, numbering) would otherwise get different range bounds even
-    from identical input.
+    reproducible.  Null is a group like any other.
     """
-    spark = df.sparkSession
-    group = _cols(partition_by)
-    keys = group + _cols(order_by)
-    if not keys:
+    if not order_by:
         raise ValueError("with_row_index needs order_by (row order is never implicit)")
-    gnames = [f"_g{i}" for i in range(len(group))]
-    staged = df.withColumns({g: c for g, c in zip(gnames, group)}) if group else df
-    ordered = _range(staged, keys, num_partitions).sortWithinPartitions(*keys)
-    base = (ordered.withColumn("_pid", F.spark_partition_id())
-            .withColumn("_mid", F.monotonically_increasing_id()))
-    ensure_checkpoint_dir(spark)
-    base = base.checkpoint(eager=True)
-    stats = base.groupBy("_pid", *gnames).agg(F.count(F.lit(1)).alias("_n"),
-                                              F.min("_mid").alias("_m0"))
+    base, gnames = _ordered(df, order_by, partition_by, num_partitions)
+    schema = StructType([*base.schema.fields, StructField("_local", LongType()), StructField("_first", BooleanType())])
+
+    def run(batches):
+        held = 0                                                # rows of the open run so far
+        for b, new, inside in _runs(batches, gnames):
+            at = np.arange(b.num_rows)
+            begin = np.maximum.accumulate(np.where(new, at, -held))
+            local = at - begin
+            held = int(local[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local.astype(np.int64)), pa.array(inside)],
+                                             [*b.schema.names, "_local", "_first"])
+
     w = Window.partitionBy(*gnames).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    ensure_checkpoint_dir(spark)
-    stats = stats.select("_pid", *gnames, "_off", "_m0").checkpoint(eager=True)
-    if stats.count() <= BROADCAST_MAX_ROWS:
-        out = base.join(F.broadcast(stats), ["_pid", *gnames], "inner")
-        idx = F.col("_off") + F.col("_mid") - F.col("_m0")
-    else:
-        # very many groups: number the group runs inside each partition with one
-        # Python pass (no shuffle); only groups continuing from an earlier partition
-        # carry an offset, at most one per partition -> bounded broadcast
-        out = _local_runs(base, gnames).join(
-            F.broadcast(stats.where(F.col("_off") > 0).select("_pid", *gnames, "_off")),
-            ["_pid", *gnames], "left")
-        idx = F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))
-    out = out.withColumn(name, (idx + F.lit(start)).cast("bigint"))
-    return out.drop("_pid", "_mid", "_off", "_m0", "_local", *gnames)
-
-
-def _local_runs(base: DataFrame, gnames: list[str]) -> DataFrame:
-    """Position of each row inside its run of equal group keys within the partition.
-
-    Rows arrive sorted by (group, key) in each partition; state is carried
-    across Arrow batches.  Adds ``_local`` (0-based).
-    """
-    from pyspark.sql.types import LongType, StructField, StructType
-    schema = StructType(list(base.schema.fields) + [StructField("_local", LongType())])
-
-    def run(it):
-        last_key, last_n = None, 0
-        for pdf in it:
-            if pdf.empty:
-                continue
-            if not gnames:                      # one run per partition
-                pdf["_local"] = range(last_n, last_n + len(pdf))
-                last_n += len(pdf)
-                yield pdf
-                continue
-            keys = pdf[gnames].astype(object)
-            new = (keys != keys.shift()).any(axis=1)
-            first = tuple(keys.iloc[0])
-            new.iloc[0] = first != last_key
-            runs = new.cumsum()
-            local = pdf.groupby(runs).cumcount()
-            if not new.iloc[0]:
-                local[runs == runs.iloc[0]] += last_n
-            pdf["_local"] = local.astype("int64")
-            last_key = tuple(keys.iloc[-1])
-            last_n = int(pdf["_local"].iloc[-1]) + 1
-            yield pdf
-
-    return base.mapInPandas(run, schema)
+    sizes = base.groupBy("_pid", *gnames).agg(F.count(F.lit(1)).alias("_n"))
+    carried = sizes.select("_pid", F.sum("_n").over(w).alias("_off")).where("_off > 0")   # <= one row per partition
+    out = base.mapInArrow(run, schema).join(F.broadcast(carried), "_pid", "left")
+    idx = F.col("_local") + F.when(F.col("_first"), F.coalesce("_off", F.lit(0))).otherwise(F.lit(0)) + F.lit(start)
+    return out.withColumn(name, idx.cast("bigint")).drop("_pid", "_off", "_local", "_first", *gnames)
 
 
 def sql_row_index(order_by: str, partition_by: str | None = None, start: int = 0) -> str:
@@ -128,109 +122,86 @@ def sql_row_index(order_by: str, partition_by: str | None = None, start: int = 0
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
 def cumulative(df: DataFrame, value_col: str, order_by: Sequence, partition_by: Sequence = (),
                name: str = "cum", fn: str = "sum", exclusive: bool = False,
                num_partitions: int | None = None) -> DataFrame:
     """Running ``fn`` (sum / max / min) of ``value_col`` in ``order_by`` order per group.
 
-    Same plan shape as ``with_row_index``: range partitioning on (group, key)
-    splits any hot group over many tasks and is checkpointed; one vectorised
-    pass inside each partition (mapInPandas, state carried across Arrow
-    batches) computes the running value of every group run with SQL NULL
-    semantics; the value carried in from earlier partitions exists only for
-    each partition's first group, so that table has at most #partitions
-    rows and is broadcast.  No shuffle of the data after the range shuffle.
-    ``exclusive`` excludes the current row (NULL before the first row of a
-    group, like a frame ending at 1 PRECEDING).  ``order_by`` must be unique
-    inside a group.
+    Same plan as ``with_row_index``: a hot group is split over many tasks, one
+    vectorised pass per partition, and at most one value carried into each
+    partition.  NULLs are skipped (the result is NULL until a value was seen),
+    NaN is skipped by max and min; null group keys form a group.  Integers are
+    added and compared as 64-bit integers, float and double as double; other
+    types are refused.  ``exclusive`` excludes the current row (NULL before
+    the first row of a group, like a frame ending at 1 PRECEDING).
+    ``order_by`` must be unique inside a group.
     """
     agg = _AGG[fn]
-    spark = df.sparkSession
-    group = _cols(partition_by)
-    keys = group + _cols(order_by)
-    gnames = [f"_g{i}" for i in range(len(group))]
-    staged = df.withColumns({g: c for g, c in zip(gnames, group)}) if group else df
-    in_type = dict(staged.dtypes)[value_col]
-    if fn == "sum":
-        out_type = "double" if in_type in ("double", "float") else "bigint"
-    else:
-        out_type = in_type
-    base = (_range(staged, keys, num_partitions).sortWithinPartitions(*keys)
-            .withColumn("_pid", F.spark_partition_id()))
-    ensure_checkpoint_dir(spark)
-    base = base.checkpoint(eager=True)
-    part = base.groupBy("_pid", *gnames).agg(agg(value_col).alias("_t"))
+    in_type = dict(df.dtypes)[value_col]
+    if in_type not in (*_INTEGERS, "float", "double"):
+        raise ValueError(f"cumulative needs an integer, float or double column, not {in_type}")
+    whole = in_type in _INTEGERS
+    out_type = in_type if fn != "sum" else "bigint" if whole else "double"
+    base, gnames = _ordered(df.withColumn("_v", F.col(value_col).cast("bigint" if whole else "double")),
+                            order_by, partition_by, num_partitions)
+    value = F.col("_v") if whole or fn == "sum" else F.when(~F.isnan("_v"), F.col("_v"))
+    part = base.groupBy("_pid", *gnames).agg(agg(value).alias("_t"))
     w = Window.partitionBy(*gnames).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.withColumn("_carry", agg("_t").over(w)).drop("_t")
-    # non-NULL carries only for groups continuing from an earlier partition: <= one per partition
-    carries = part.where(F.col("_carry").isNotNull()).select("_pid", *gnames, F.col("_carry").cast("double"))
-    local = _local_running(base, gnames, value_col, fn, exclusive)
-    out = local.join(F.broadcast(carries), ["_pid", *gnames], "left")
+    carried = part.select("_pid", agg("_t").over(w).alias("_carry")).where("_carry is not null")   # <= one row per partition
+    out = _local_running(base, gnames, fn, exclusive, whole).join(F.broadcast(carried), "_pid", "left")
+    carry = F.when(F.col("_first"), F.col("_carry"))
     if fn == "sum":
-        val = F.when(F.col("_carry").isNull() & F.col("_loc").isNull(), F.lit(None)) \
-            .otherwise(F.coalesce("_carry", F.lit(0.0)) + F.coalesce("_loc", F.lit(0.0)))
-    elif fn == "max":
-        val = F.greatest("_carry", "_loc")   # greatest/least skip NULLs
+        zero = F.lit(0).cast("bigint" if whole else "double")
+        val = F.when(carry.isNull() & F.col("_loc").isNull(), F.lit(None)).otherwise(
+            F.coalesce(carry, zero) + F.coalesce(F.col("_loc"), zero))
     else:
-        val = F.least("_carry", "_loc")
-    return out.withColumn(name, val.cast(out_type)).drop("_pid", "_carry", "_loc", *gnames)
-
+        val = (F.greatest if fn == "max" else F.least)(carry, F.col("_loc"))   # both skip NULLs
+    return out.withColumn(name, val.cast(out_type)).drop("_pid", "_v", "_carry", "_loc", "_first", *gnames)
 
-def _local_running(base: DataFrame, gnames: list[str], value_col: str, fn: str, exclusive: bool) -> DataFrame:
-    """Running ``fn`` of ``value_col`` per run of equal group keys inside each partition (``_loc``).
 
-    NULLs are skipped; the result is NULL until a non-NULL value was seen.
-    """
-    import numpy as np
+def _local_running(base: DataFrame, gnames: list[str], fn: str, exclusive: bool, whole: bool) -> DataFrame:
+    """Running ``fn`` of ``_v`` per run of equal group keys inside each partition (``_loc``), and ``_first``."""
     import pandas as pd
-    from pyspark.sql.types import DoubleType, StructField, StructType
-    schema = StructType(list(base.schema.fields) + [StructField("_loc", DoubleType())])
-    comb = {"sum": lambda a, b: a + b, "max": np.fmax, "min": np.fmin}[fn]
-
-    def run(it):
-        last_key, carry = None, np.nan            # running value of the open run (NaN = none yet)
-        for pdf in it:
-            if pdf.empty:
-                continue
-            n = len(pdf)
-            if gnames:
-                keys = pdf[gnames].astype(object)
-                new = (keys != keys.shift()).any(axis=1)
-                new.iloc[0] = tuple(keys.iloc[0]) != last_key
-                lk = tuple(keys.iloc[-1])
-            else:                                  # a single run per partition
-                new = pd.Series(False, index=pdf.index)
-                new.iloc[0] = last_key is None
-                lk = ()
-            runs = new.cumsum().to_numpy()
-            v = pdf[value_col].astype("float64")
-            if fn == "sum":
-                seen = v.notna().groupby(runs).cumsum().to_numpy() > 0
-                incl = v.fillna(0.0).groupby(runs).cumsum().to_numpy()
-                incl = np.where(seen, incl, np.nan)
-            else:
-                g = v.groupby(runs)
-                incl = (g.cummax() if fn == "max" else g.cummin()).groupby(runs).ffill().to_numpy()
-            cont = (runs == runs[0]) & (not bool(new.iloc[0]))     # rows continuing the previous batch's run
-            if cont.any() and not np.isnan(carry):
-                base_v = np.where(np.isnan(incl), carry, comb(np.nan_to_num(incl, nan=0.0) if fn == "sum"
-                                                               else incl, carry))
-                incl = np.where(cont, base_v, incl)
+    kind, number = (np.int64, LongType()) if whole else (np.float64, DoubleType())
+    schema = StructType([*base.schema.fields, StructField("_loc", number), StructField("_first", BooleanType())])
+    if fn == "sum":
+        neutral, combine = kind(0), np.add
+    else:
+        low, high = (np.iinfo(np.int64).min, np.iinfo(np.int64).max) if whole else (-np.inf, np.inf)
+        neutral, combine = (kind(low), np.maximum) if fn == "max" else (kind(high), np.minimum)
+
+    def run(batches):
+        held, seen_held = neutral, False                        # running value of the open run
+        for b, new, inside in _runs(batches, gnames):
+            col = b.column(b.schema.get_field_index("_v"))
+            null = np.asarray(col.is_null().to_numpy(zero_copy_only=False), bool)
+            v = np.asarray(col.fill_null(neutral.item()).to_numpy(zero_copy_only=False), kind).copy()
+            if fn != "sum" and not whole:
+                null |= np.isnan(v)
+            v[null] = neutral
+            runs = np.cumsum(new)
+            groups = pd.Series(v).groupby(runs)
+            inc = (groups.cumsum() if fn == "sum" else groups.cummax() if fn == "max" else groups.cummin()).to_numpy().copy()
+            seen = pd.Series(~null).astype("int64").groupby(runs).cumsum().to_numpy() > 0
+            on = runs == 0                                      # rows that continue the open run
+            if seen_held:
+                inc[on] = combine(inc[on], held)
+                seen[on] = True
             if exclusive:
-                prev = np.empty(n)
-                prev[0] = carry if cont[0] else np.nan
-                prev[1:] = incl[:-1]
-                starts = np.r_[True, runs[1:] != runs[:-1]]
-                starts[0] = not cont[0]
-                loc = np.where(starts, np.nan, prev)
+                prev, prev_seen = np.empty_like(inc), np.empty(len(inc), bool)
+                prev[0], prev_seen[0] = held, seen_held
+                prev[1:], prev_seen[1:] = inc[:-1], seen[:-1]
+                loc, ok = prev, prev_seen & ~new
             else:
-                loc = incl
-            carry, last_key = incl[-1], lk             # running value of the run left open
-            out = pdf.copy()
-            out["_loc"] = loc
-            yield out
+                loc, ok = inc, seen
+            held, seen_held = kind(inc[-1]), bool(seen[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(loc, mask=~ok), pa.array(inside)],
+                                             [*b.schema.names, "_loc", "_first"])
 
-    return base.mapInPandas(run, schema)
+    return base.mapInArrow(run, schema)
 
 
 def cumulative_sum(df: DataFrame, value_col: str, order_by: Sequence, partition_by: Sequence = (),

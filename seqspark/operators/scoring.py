@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions.dna import BASES, chars
-from seqspark.operators.regions import merge_positions, mutation_variants
+from seqspark.session import materialize
 
 
 def pwm_weights(train: DataFrame, sequence_col: str = "sequence", label_col: str = "label",
@@ -130,11 +130,30 @@ def mutation_effects(df: DataFrame, weights: DataFrame, id_col: str = "id",
     3L-fold expansion stays inside the task (nothing but the final partial
     aggregates is shuffled).
     """
-    m = F.col("_m")   # the model map, projected once (subqueries cannot sit inside lambdas)
-    scored = df.withColumn("_m", weight_map(weights)).withColumn("score", pwm_score_expr(sequence_col, m))
-    v = mutation_variants(scored, id_col, sequence_col, keep=["score", "_m"])
-    v = v.withColumn("delta", _w(m, F.col("pos"), F.col("alt")) - _w(m, F.col("pos"), F.col("ref")))
-    return v.withColumn("dp", F.abs(sigmoid(F.col("score") + F.col("delta")) - sigmoid("score"))).drop("_m")
+    cells = _cells(df, weights, sequence_col, [id_col, sequence_col])
+    alts = F.array(*[F.struct(F.lit(b).alias("alt"), F.col(f"d_{b}").alias("delta")) for b in BASES])
+    v = cells.select(id_col, sequence_col, "score", "pos", "ref", F.explode(alts).alias("_a")).where("_a.alt <> ref")
+    variant = F.overlay(F.col(sequence_col), F.col("_a.alt"), F.col("pos") + 1, F.lit(1))
+    return v.select(id_col, "score", "pos", "ref", F.col("_a.alt").alias("alt"), variant.alias("variant"),
+                    F.col("_a.delta").alias("delta"),
+                    F.abs(sigmoid(F.col("score") + F.col("_a.delta")) - sigmoid("score")).alias("dp"))
+
+
+def _cells(df: DataFrame, weights: DataFrame, sequence_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per (sequence, position): keep..., score, pos, ref and the change d_<base> of every base.
+
+    The changes are laid out as one small array per sequence before the explode, so an exploded row
+    carries four numbers and not the model.
+    """
+    m = F.col("_m")   # the model array, projected once (subqueries cannot sit inside lambdas)
+    d = df.select(*keep, *([] if sequence_col in keep else [sequence_col]), weight_map(weights).alias("_m"))
+    cell = F.transform(chars(sequence_col), lambda c, i: F.struct(
+        c.alias("ref"), _w(m, i, c).alias("w"), *[_w(m, i, F.lit(b)).alias(b) for b in BASES]))
+    d = d.select(*keep, cell.alias("_c"))
+    d = d.select(*keep, "_c", F.aggregate("_c", F.lit(0.0), lambda a, x: a + x["w"]).alias("score"))
+    d = d.select(*keep, "score", F.posexplode("_c").alias("pos", "_x"))
+    return d.select(*keep, "score", F.col("pos").cast("int").alias("pos"), F.col("_x.ref").alias("ref"),
+                    *[(F.col(f"_x.{b}") - F.col("_x.w")).alias(f"d_{b}") for b in BASES])
 
 
 def window_mask_effects(df: DataFrame, weights: DataFrame, window: int, id_col: str = "id",
@@ -168,22 +187,20 @@ def mutation_summary(df: DataFrame, weights: DataFrame, sequence_col: str = "seq
     (sequence, position) row, un-pivoted only after the per-position partial
     aggregation: 3x fewer rows flow through the scan than one per variant.
     """
-    m = F.col("_m")
-    scored = df.withColumn("_m", weight_map(weights)).withColumn("score", pwm_score_expr(sequence_col, m))
-    cells = scored.select("_m", "score", F.posexplode(chars(sequence_col)).alias("pos", "ref"))
     p_wt = sigmoid("score")
     cols = []
     for b in BASES:
-        d = F.when(F.col("ref") != b, _w(m, F.col("pos"), F.lit(b)) - _w(m, F.col("pos"), F.col("ref")))
+        d = F.when(F.col("ref") != b, F.col(f"d_{b}"))
         cols += [d.alias(f"d_{b}"), F.abs(sigmoid(F.col("score") + d) - p_wt).alias(f"p_{b}")]
-    c = cells.select(F.col("pos").cast("int").alias("pos"), *cols)
+    c = _cells(df, weights, sequence_col).select("pos", *cols)
     aggs = []
     for b in BASES:
         aggs += [F.count(f"d_{b}").alias(f"n_{b}"), F.sum(f"d_{b}").alias(f"sd_{b}"), F.sum(f"p_{b}").alias(f"sp_{b}")]
     g = c.groupBy("pos").agg(*aggs)
     rows = F.array(*[F.struct(F.lit(b).alias("alt"), F.col(f"n_{b}").alias("n_variants"),
-                              (F.col(f"sd_{b}") / F.col(f"n_{b}")).alias("mean_delta"),
-                              (F.col(f"sp_{b}") / F.col(f"n_{b}")).alias("mean_dp")) for b in BASES])
+                              F.try_divide(F.col(f"sd_{b}"), F.col(f"n_{b}")).alias("mean_delta"),
+                              F.try_divide(F.col(f"sp_{b}"), F.col(f"n_{b}")).alias("mean_dp"),
+                              F.col(f"sp_{b}").alias("sum_dp")) for b in BASES])
     out = g.select("pos", F.explode(rows).alias("r")).select("pos", "r.*")
     return out.where(F.col("n_variants") > 0)
 
@@ -194,10 +211,9 @@ def cv_pwm_search(df: DataFrame, pseudos: Sequence[float], fold_col: str = "fold
 
     PWM counts are additive and do not depend on the hyper-parameter (the
     pseudo-count), so one aggregation by (fold, pos) fits every (trial, fold)
-    model: the model of fold f is (all counts) - (counts of fold f).  The
-    trials x folds weight arrays (bounded by #trials x k x L x 4 numbers) are
-    one map scalar subquery; each row is scored by every trial's model of its
-    held-out fold (rows x #trials, narrow).  Output: trial_id (1-based),
+    model: the model of fold f is (all counts) - (counts of fold f).  Each
+    row is scored by every trial's model of its held-out fold (rows x #trials,
+    narrow).  Output: trial_id (1-based),
     pseudo, id, fold, label, score, predicted_label.
     """
     from pyspark.sql import Window
@@ -221,17 +237,19 @@ def cv_pwm_search(df: DataFrame, pseudos: Sequence[float], fold_col: str = "fold
         "trial_id", "_f", "pos", "r.base", "r.w")
     k = (F.col("pos") * 4 + _base_idx(F.col("base"))).cast("int")
     per = weights.groupBy("trial_id", "_f").agg(F.map_from_entries(F.collect_list(F.struct(k, F.col("w")))).alias("_mm"))
-    dense = per.select((F.col("trial_id") * 100000 + F.col("_f")).cast("long").alias("_key"),
-                       F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_mm"))),
-                                   lambda i: F.coalesce(F.try_element_at("_mm", i), F.lit(0.0))).alias("_a"))
-    models = dense.select(F.map_from_entries(F.collect_list(F.struct("_key", "_a")))).scalar()
-    rows = df.select(id_col, F.col(fold_col).alias(fold_col), F.col(label_col).alias(label_col), sequence_col,
-                     models.alias("_models"), F.explode(trials).alias("_t"))
-    rows = rows.select("*", "_t.trial_id", "_t.pseudo").withColumn(
-        "_m", F.try_element_at("_models", (F.col("trial_id") * 100000 + F.col(fold_col)).cast("long")))
-    rows = rows.withColumn("score", pwm_score_expr(sequence_col, F.col("_m")))
-    return rows.select("trial_id", "pseudo", id_col, fold_col, label_col, "score",
-                       F.when(F.col("score") > 0, 1).otherwise(0).alias("predicted_label"))
+    dense = per.select("trial_id", "_f", F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_mm"))),
+                                                     lambda i: F.coalesce(F.try_element_at("_mm", i), F.lit(0.0))).alias("_a"))
+    # one row per fold with the arrays of its trials: folds x trials x L x 4 numbers, broadcast under that bound;
+    # a row is scored by all trials of its fold before the explode, which carries scores only
+    by_fold = dense.groupBy("_f").agg(F.sort_array(F.collect_list(F.struct("trial_id", "_a"))).alias("_models"))
+    pseudo = F.array(*[F.lit(float(p)) for p in pseudos])
+    rows = df.select(id_col, fold_col, label_col, chars(sequence_col).alias("_chars")).join(
+        F.broadcast(by_fold), F.col(fold_col) == F.col("_f"))
+    scores = F.transform("_models", lambda t: F.struct(t["trial_id"].alias("trial_id"), F.aggregate(
+        F.transform(F.col("_chars"), lambda c, i: _w(t["_a"], i, c)), F.lit(0.0), lambda a, x: a + x).alias("score")))
+    rows = rows.select(id_col, fold_col, label_col, F.explode(scores).alias("_s"))
+    return rows.select("_s.trial_id", F.element_at(pseudo, F.col("_s.trial_id")).alias("pseudo"), id_col, fold_col, label_col,
+                       "_s.score", F.when(F.col("_s.score") > 0, 1).otherwise(0).alias("predicted_label"))
 
 
 def cv_pwm_predictions(df: DataFrame, fold_col: str = "fold", id_col: str = "id",
@@ -252,47 +270,13 @@ def core_regions(importance: DataFrame, quantile: float = 0.75, score_col: str =
     """R2: positions with ``score_col`` >= its ``quantile`` over all positions, merged to [start, end);
     ``mean_importance`` averages ``mean_col`` (default ``score_col``) over each region."""
     mean_col = mean_col or score_col
+    from pyspark.sql import Window
     q = importance.select(F.percentile(score_col, F.lit(quantile)).alias("_thr")).scalar()
     core = importance.where(F.col(score_col) >= q)
-    merged = merge_positions(core.select("pos"))
-    stats = core.select("pos", F.col(mean_col).alias("_v"))
-    j = merged.join(stats, (stats["pos"] >= merged["start"]) & (stats["pos"] < merged["end"]))
-    return j.groupBy("start", "end").agg(F.avg("_v").alias("mean_importance"))
-
-
-def kmer_classifier_cv(df: DataFrame, k: int = 6, folds_col: str = "fold", n_splits: int = 5,
-                       label_col: str = "label", sequence_col: str = "sequence",
-                       reg_param: float = 0.01, max_iter: int = 50) -> DataFrame:
-    """K-mer bag-of-words logistic regression evaluated per fold (stand-in for LoRA fine-tuning).
-
-    Returns per fold: n_test, accuracy, auc.  Each fit is a distributed
-    pyspark.ml job; the folds run one after another.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import CountVectorizer
-
-    from seqspark.functions.dna import kmers
-    from pyspark import StorageLevel
-    data = df.select(folds_col, F.col(label_col).cast("double").alias("label"),
-                     kmers(sequence_col, k).alias("tokens"))
-    # iterative fitting re-reads the input many times: keep it materialised (spills to disk),
-    # one partition per core so every optimiser pass is a single wave of tasks
-    par = df.sparkSession.sparkContext.defaultParallelism
-    data = data.repartition(par).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    for f in range(1, n_splits + 1):
-        train, test = data.where(F.col(folds_col) != f), data.where(F.col(folds_col) == f)
-        pipe = Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=4 ** k),
-                                LogisticRegression(regParam=reg_param, maxIter=max_iter)])
-        pred = pipe.fit(train).transform(test)
-        auc = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", metricName="areaUnderROC",
-                                            numBins=0).evaluate(pred)
-        acc = pred.select(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-        rows.append((f, pred.count(), float(acc), float(auc)))
-    data.unpersist()
-    return df.sparkSession.createDataFrame(rows, "fold int, n_test long, accuracy double, auc double")
+    # at most L positions; the sum and the count ride through the aggregate that merges the islands
+    island = F.col("pos") - F.row_number().over(Window.orderBy("pos"))
+    return core.withColumn("_island", island).groupBy("_island").agg(
+        F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.avg(mean_col).alias("mean_importance")).drop("_island")
 
 
 def kmer_classifier_search(df: DataFrame, reg_params: Sequence[float], k: int = 4, folds_col: str = "fold",
@@ -303,7 +287,6 @@ def kmer_classifier_search(df: DataFrame, reg_params: Sequence[float], k: int =
 
     Returns one row per trial: trial_id, reg_param, mean_auc, std_auc.
     """
-    from pyspark import StorageLevel
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -311,9 +294,9 @@ def kmer_classifier_search(df: DataFrame, reg_params: Sequence[float], k: int =
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
     from seqspark.functions.dna import kmers
-    par = df.sparkSession.sparkContext.defaultParallelism
-    data = df.select((F.col(folds_col) - 1).cast("int").alias("_fold"), F.col(label_col).cast("double").alias("label"),
-                     kmers(sequence_col, k).alias("tokens")).repartition(par).persist(StorageLevel.MEMORY_AND_DISK)
+    # every pass of the optimiser rereads its input: it is written once to the shared folder
+    data = materialize(df.select((F.col(folds_col) - 1).cast("int").alias("_fold"),
+                                 F.col(label_col).cast("double").alias("label"), kmers(sequence_col, k).alias("tokens")))
     lr = LogisticRegression(maxIter=max_iter)
     pipe = Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=4 ** k), lr])
     grid = ParamGridBuilder().addGrid(lr.regParam, [float(r) for r in reg_params]).build()
@@ -321,7 +304,6 @@ def kmer_classifier_search(df: DataFrame, reg_params: Sequence[float], k: int =
                         evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
                         parallelism=parallelism)
     model = cv.fit(data)
-    data.unpersist()
     std = list(model.stdMetrics) if model.stdMetrics else [None] * len(grid)
     rows = [(i + 1, float(r), float(m), None if s is None else float(s))
             for i, (r, m, s) in enumerate(zip(reg_params, model.avgMetrics, std))]

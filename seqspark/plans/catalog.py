@@ -13,7 +13,8 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 HEADLINE = ["clean_pipeline", "kmer_corr", "strat_kfold", "binary_metrics", "roc_auc",
-            "random_infill", "mutation_scan", "trial_summary", "early_stop", "forward_noise"]
+            "random_infill", "mutation_scan", "trial_summary", "early_stop", "forward_noise",
+            "pwm_search", "cv_metrics", "core_identify", "corpus_compare", "generate_compare", "kmer_classifier"]
 
 
 def register(name: str, sql: str | None = None):

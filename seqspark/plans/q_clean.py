@@ -102,7 +102,7 @@ def q_length_describe(spark, sf):
 @register("conflict_removal", V.with_views(f"""WITH {SQL_LABELED}, {SQL_CLEANED}, {SQL_NOCONFLICT}
 SELECT * FROM noconflict""", "promoters"))
 def q_conflict_removal(spark, sf):
-    d = C.length_filter(C.clean_column(labeled(spark, sf)), L)
+    d = _materialize(C.length_filter(C.clean_column(labeled(spark, sf)), L))     # both join sides read the cleaned rows
     return C.remove_conflicts(d).select(*OUT_COLS)
 
 

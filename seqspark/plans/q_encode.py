@@ -97,24 +97,16 @@ def q_core_slice(spark, sf):
     return pipeline(spark, sf).select("id", R.core_slice("sequence").alias("core"))
 
 
-def natural_indexed(spark, sf):
-    """Cleaned natural corpus with its positional index (order of the source rows)."""
-    return with_row_index(pipeline(spark, sf).select("row_order", "sequence"), ["row_order"])
+def generated_and_natural(spark, sf):
+    """Random infill of the cleaned corpus, and the cleaned corpus with its positional index (order of the source rows)."""
+    p = pipeline(spark, sf, materialize=True)
+    natural = with_row_index(p.select("row_order", "sequence"), ["row_order"])
+    return R.random_infill(p.select("id", "sequence"), seed=INFILL_SEED), natural
 
 
 SQL_NATIDX = """natidx AS (SELECT row_number() OVER (ORDER BY row_order) - 1 AS row_idx, sequence FROM pipeline)"""
 
 
-@register("core_clamp", V.with_views(f"""WITH {PIPE}, {SQL_NATIDX}
-SELECT g.row_idx, array_to_string(list_transform(string_split(g.sequence, ''), lambda c, i:
-         CASE WHEN {sql_in_core('(i - 1)')} AND i - 1 < length(n.sequence) THEN substr(n.sequence, i, 1) ELSE c END), '')
-       AS clamped
-FROM generated g JOIN natidx n USING (row_idx)""", "promoters", "generated"))
-def q_core_clamp(spark, sf):
-    pairs = R.pair_by_index(V.generated(spark, sf), natural_indexed(spark, sf))
-    return pairs.select("row_idx", R.overlay_core("gen", "nat").alias("clamped"))
-
-
 SQL_INFILL = f"""infill AS (
   SELECT row_idx, id, donor_id, donor,
          array_to_string(list_transform(string_split(sequence, ''), lambda c, i:
@@ -125,6 +117,17 @@ SQL_INFILL = f"""infill AS (
                id AS donor_id, sequence AS donor FROM pipeline) d USING (row_idx))"""
 
 
+@register("core_clamp", V.with_views(f"""WITH {PIPE}, {SQL_NATIDX}, {SQL_INFILL}
+SELECT g.row_idx, array_to_string(list_transform(string_split(g.sequence, ''), lambda c, i:
+         CASE WHEN {sql_in_core('(i - 1)')} AND i - 1 < length(n.sequence) THEN substr(n.sequence, i, 1) ELSE c END), '')
+       AS clamped
+FROM infill g JOIN natidx n USING (row_idx)""", "promoters"))
+def q_core_clamp(spark, sf):
+    """Every natural row is paired with the generated row of its index."""
+    pairs = R.pair_by_index(*generated_and_natural(spark, sf))
+    return pairs.select("row_idx", R.overlay_core("gen", "nat").alias("clamped"))
+
+
 @register("random_infill", V.with_views(f"""WITH {PIPE}, {SQL_INFILL}
 SELECT row_idx, id, donor_id, sequence FROM infill""", "promoters"))
 def q_random_infill(spark, sf):
@@ -132,14 +135,14 @@ def q_random_infill(spark, sf):
     return R.random_infill(p, seed=INFILL_SEED)
 
 
-@register("core_retention", V.with_views(f"""WITH {PIPE}, {SQL_NATIDX},
-p AS (SELECT g.sequence AS gen, n.sequence AS nat FROM generated g JOIN natidx n USING (row_idx)),
+@register("core_retention", V.with_views(f"""WITH {PIPE}, {SQL_NATIDX}, {SQL_INFILL},
+p AS (SELECT g.sequence AS gen, n.sequence AS nat FROM infill g JOIN natidx n USING (row_idx)),
 c AS (SELECT pos, (substr(gen, (pos + 1)::BIGINT, 1) = substr(nat, (pos + 1)::BIGINT, 1))::INTEGER AS m
       FROM (SELECT gen, nat, unnest(range(0, length(gen))) AS pos FROM p) WHERE pos < length(nat))
 SELECT pos, {sql_in_core('pos')} AS in_core, count(*) AS n_pairs, sum(m)::BIGINT AS n_match,
-       sum(m) / count(*) AS match_rate FROM c GROUP BY pos""", "promoters", "generated"))
+       sum(m) / count(*) AS match_rate FROM c GROUP BY pos""", "promoters"))
 def q_core_retention(spark, sf):
-    pairs = R.pair_by_index(V.generated(spark, sf), natural_indexed(spark, sf))
+    pairs = R.pair_by_index(*generated_and_natural(spark, sf))
     return R.core_retention(pairs)
 
 

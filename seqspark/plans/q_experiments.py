@@ -56,11 +56,11 @@ def _rspark(cols):
 
 
 def trials(spark, sf):
-    return X.sample_trials(V.eval_log(spark, sf).select("trial_id").distinct(), SEED)
+    return X.sample_trials(V.trial_ids(spark, sf), SEED)
 
 
 def summary(spark, sf):
-    return X.trial_summary(X.fold_best(V.eval_log(spark, sf)))
+    return X.trial_summary(X.fold_best(V.eval_events(spark, sf), epoch="at"))
 
 
 @register("search_space", V.with_views(f"""WITH {SQL_TRIALS},
@@ -88,7 +88,7 @@ def q_hparam_normalize(spark, sf):
 SELECT trial_id, fold::INTEGER AS fold, ({SEED} + trial_id * 1000 + fold)::BIGINT AS fold_seed
 FROM (SELECT trial_id, unnest(range(1, 6)) AS fold FROM (SELECT DISTINCT trial_id FROM eval_log))""", "eval_log"))
 def q_fold_seeds(spark, sf):
-    t = X.trial_folds(V.eval_log(spark, sf).select("trial_id").distinct(), 5, SEED)
+    t = X.trial_folds(V.trial_ids(spark, sf), 5, SEED)
     return t.select("trial_id", F.col("fold").cast("int").alias("fold"), "fold_seed")
 
 
@@ -112,7 +112,7 @@ def q_running_best(spark, sf):
 
 @register("fold_best", V.with_views(f"WITH {SQL_FOLD_BEST} SELECT * FROM fb", "eval_log"))
 def q_fold_best(spark, sf):
-    return X.fold_best(V.eval_log(spark, sf))
+    return X.fold_best(V.eval_events(spark, sf), epoch="at")
 
 
 @register("trial_summary", V.with_views(f"WITH {SQL_SUMMARY} SELECT {_rsql(SUMMARY_COLS)} FROM summary",
@@ -152,15 +152,12 @@ def q_best_trial(spark, sf):
     return b.join(hp, "trial_id")
 
 
-# Metric key each fold's events carry (fold 4 has no accuracy key -> NULL; fold 5 matches the pattern).
-FOLD_KEYS = {1: "eval_accuracy", 2: "eval_acc", 3: "test_accuracy", 4: "train_loss", 5: "final_test_acc"}
+# Metric keys that the folds' events carry in turn (the fourth is no accuracy key -> NULL; the fifth matches the pattern).
+FOLD_KEYS = ["eval_accuracy", "eval_acc", "test_accuracy", "train_loss", "final_test_acc"]
 
 
 def _key_expr_spark():
-    e = F.lit(None).cast("string")
-    for f, k in sorted(FOLD_KEYS.items(), reverse=True):
-        e = F.when(F.col("fold") == f, F.lit(k)).otherwise(e)
-    return e
+    return F.element_at(F.array(*[F.lit(k) for k in FOLD_KEYS]), ((F.col("fold") - 1) % len(FOLD_KEYS) + 1).cast("int"))
 
 
 @register("acc_from_metrics", V.with_views(f"""
@@ -169,7 +166,7 @@ SELECT trial_id, fold, epoch,
                 list_filter(map_entries(m), lambda e: contains(e.key, '_test_')
                             AND (ends_with(e.key, '_accuracy') OR ends_with(e.key, '_acc')))[1].value) AS test_acc
 FROM (SELECT trial_id, fold, epoch,
-             map(['eval_steps', CASE {' '.join(f"WHEN fold = {f} THEN '{k}'" for f, k in FOLD_KEYS.items())} END],
+             map(['eval_steps', {FOLD_KEYS}[((fold - 1) % {len(FOLD_KEYS)} + 1)::INTEGER]],
                  [epoch::DOUBLE, acc]) AS m FROM eval_log)""", "eval_log"))
 def q_acc_from_metrics(spark, sf):
     ev = V.eval_log(spark, sf)

@@ -1,12 +1,16 @@
 """Prediction and metric queries.
 
 ``model_logits`` reads the embeddings table as the score output of the four
-registered models: model m uses embedding elements 2m+1 and 2m+2 as its two
-class logits and ``label % 2`` as the truth.
+registered models: the 64 cells of a row are cut into 4 models x 2 classes x 8
+cells, a logit is the sum of its 8 cells, and ``label % 2`` is the truth.  The
+AUC ranks by the probability of strong, rounded to 12 digits so that any two
+engines see the same ties.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from seqspark.operators import metrics as M
@@ -16,11 +20,21 @@ from seqspark.sources import driver_tables as V
 MODELS = [k for k, *_ in M.MODEL_REGISTRY]
 
 
+CELLS = 8   # cells per model and class
+
+
+def _logit(block: int):
+    cells = [F.element_at("embedding", CELLS * block + j + 1).cast("double") for j in range(CELLS)]
+    return reduce(lambda a, b: a + b, cells)
+
+
+def _sql_logit(block: int) -> str:
+    return "(" + " + ".join(f"embedding[{CELLS * block + j + 1}]::DOUBLE" for j in range(CELLS)) + ")"
+
+
 def model_logits(spark, sf):
     e = V.table(spark, sf, "embeddings")
-    arr = F.array(*[F.struct(F.lit(m).alias("model"),
-                             F.element_at("embedding", 2 * i + 1).cast("double").alias("z0"),
-                             F.element_at("embedding", 2 * i + 2).cast("double").alias("z1"))
+    arr = F.array(*[F.struct(F.lit(m).alias("model"), _logit(2 * i).alias("z0"), _logit(2 * i + 1).alias("z1"))
                     for i, m in enumerate(MODELS)])
     x = e.select(F.col("vec_id").alias("id"), (F.col("label") % 2).cast("int").alias("label"),
                  F.explode(arr).alias("m"))
@@ -29,15 +43,16 @@ def model_logits(spark, sf):
 
 def predictions(spark, sf):
     p = M.prediction_table(model_logits(spark, sf))
-    return p.withColumn("score", F.col("logit_strong_promoter") - F.col("logit_weak_promoter"))
+    return p.withColumn("score", F.round("prob_strong_promoter", 12))
 
 
 SQL_ML = "model_logits AS (" + " UNION ALL ".join(
-    f"SELECT '{m}' AS model, vec_id AS id, (label % 2)::INTEGER AS label, embedding[{2 * i + 1}]::DOUBLE AS z0, "
-    f"embedding[{2 * i + 2}]::DOUBLE AS z1 FROM embeddings" for i, m in enumerate(MODELS)) + ")"
+    f"SELECT '{m}' AS model, vec_id AS id, (label % 2)::INTEGER AS label, {_sql_logit(2 * i)} AS z0, "
+    f"{_sql_logit(2 * i + 1)} AS z1 FROM embeddings" for i, m in enumerate(MODELS)) + ")"
 
 SQL_PRED = f"""{SQL_ML},
-pred AS (SELECT model, id, label, z0, z1, z1 - z0 AS score,
+pred AS (SELECT model, id, label, z0, z1,
+                round(exp(z1 - greatest(z0, z1)) / (exp(z0 - greatest(z0, z1)) + exp(z1 - greatest(z0, z1))), 12) AS score,
                 CASE WHEN z1 > z0 THEN 1 ELSE 0 END AS predicted_label FROM model_logits)"""
 
 SQL_CONF = f"""{SQL_PRED},

@@ -102,10 +102,11 @@ SELECT min(pos) AS start, max(pos) + 1 AS "end", round(avg(raw), 9) AS mean_impo
 FROM isl GROUP BY grp""", "promoters"))
 def q_core_identify(spark, sf):
     d = promoters_clean(spark, sf)
-    e = Sc.mutation_effects(d, weights(spark, sf, d))
+    e = Sc.mutation_summary(d, weights(spark, sf, d)).groupBy("pos").agg(
+        (F.sum("sum_dp") / F.sum("n_variants")).alias("importance"))
     # rounded importance picks the positions (same threshold in any engine); the region mean
     # averages the unrounded values
-    imp = Sc.position_importance(e).select("pos", F.round("importance", 9).alias("importance"),
+    imp = e.select("pos", F.round("importance", 9).alias("importance"),
                                            F.col("importance").alias("raw"))
     r = Sc.core_regions(imp, CORE_QUANTILE, mean_col="raw")
     return r.select(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
@@ -116,7 +117,7 @@ def q_core_identify(spark, sf):
 def q_kmer_classifier(spark, sf):
     """K-mer logistic regression, regParam grid x the stratified folds via CrossValidator
     (no SQL twin: iterative model fitting)."""
-    f = folds(spark, sf).join(pipeline(spark, sf).select("id", "sequence"), "id")
+    f = folds(spark, sf, pipeline(spark, sf).select("id", "label", "sequence"))
     return Sc.kmer_classifier_search(f, [0.01, 0.1], k=4)
 
 
@@ -165,9 +166,7 @@ FROM conf JOIN auc USING (fold)"""
 def q_cv_metrics(spark, sf):
     """X3 + E2/E3: 5-fold cross-validated evaluation of the PWM classifier, all folds in one job."""
     from seqspark.operators import metrics as M
-    d = promoters_clean(spark, sf)
-    f = folds(spark, sf).select("id", "fold")
-    pred = Sc.cv_pwm_predictions(d.join(f, "id")).withColumn("score", F.round("score", 9))
+    pred = Sc.cv_pwm_predictions(folds(spark, sf, promoters_clean(spark, sf))).withColumn("score", F.round("score", 9))
     pred = pred.withColumn("predicted_label", F.when(F.col("score") > 0, 1).otherwise(0))
     m = M.binary_metrics(pred, group_cols=["fold"])
     n = pred.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
@@ -219,9 +218,7 @@ def q_pwm_search(spark, sf):
     """L1 lifecycle: hyper-parameter trials x 5 folds of the PWM classifier in one job, then the
     reference's fold -> trial -> ranking chain (A11, W8, O1)."""
     from seqspark.operators import experiments as X
-    d = promoters_clean(spark, sf)
-    f = folds(spark, sf).select("id", "fold")
-    pred = Sc.cv_pwm_search(d.join(f, "id"), PSEUDOS).withColumn("score", F.round("score", 9))
+    pred = Sc.cv_pwm_search(folds(spark, sf, promoters_clean(spark, sf)), PSEUDOS).withColumn("score", F.round("score", 9))
     pred = pred.withColumn("predicted_label", F.when(F.col("score") > 0, 1).otherwise(0))
     fold_rows = pred.groupBy("trial_id", "fold").agg(
         F.avg((F.col("label") == F.col("predicted_label")).cast("double")).alias("fold_best_test_acc"))

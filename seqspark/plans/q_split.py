@@ -31,8 +31,9 @@ def seq_split(spark, sf):
     return S.sequential_split(V.promoters(spark, sf).select("id"), ["id"])
 
 
-def folds(spark, sf):
-    return S.stratified_kfold(pipeline(spark, sf).select("id", "label"), K, SEED)
+def folds(spark, sf, data=None):
+    """Fold of every row of ``data`` (default: the cleaned corpus; its other columns are kept)."""
+    return S.stratified_kfold(data if data is not None else pipeline(spark, sf).select("id", "label"), K, SEED)
 
 
 @register("row_index", V.with_views("""

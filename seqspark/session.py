@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shlex
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -12,31 +13,56 @@ def get_session(master: str | None = None, app: str = "seqspark",
                 shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session with AQE and Arrow enabled.
 
-    On a cluster the caller's ``spark-submit`` settings win; the defaults
-    here are only applied when a new local session is started.
+    A running session is used as it is, and settings given on submit (command
+    line, ``PYSPARK_SUBMIT_ARGS``, defaults file) win: the values here are set
+    only where none is given.  ``master`` and ``shuffle_partitions`` as
+    arguments are the caller's own and are always set.
     """
-    master = master or os.environ.get("SEQSPARK_MASTER", "local[8]")
-    cpus = master[6:-1] if master.startswith("local[") else "8"
-    parts = shuffle_partitions or (int(cpus) if cpus.isdigit() else 8)
-    builder = (
-        SparkSession.builder.master(master).appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("SEQSPARK_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-    )
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ensure_checkpoint_dir(active)
+        return active
+    given = _given_settings()
+    wanted = {
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.driver.memory": os.environ.get("SEQSPARK_DRIVER_MEMORY", "16g"),
+        "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
+    master = master or given.get("spark.master") or os.environ.get("SEQSPARK_MASTER", "local[8]")
+    cpus = master[6:-1] if master.startswith("local[") else ""
+    if cpus.isdigit():
+        wanted["spark.sql.shuffle.partitions"] = cpus
+    builder = SparkSession.builder.master(master).appName(app)
+    for key, value in wanted.items():
+        if key not in given:
+            builder = builder.config(key, value)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def _given_settings() -> dict[str, str]:
+    """Settings of the submit command: from its JVM, if it started this program, else from PYSPARK_SUBMIT_ARGS."""
+    if "PYSPARK_GATEWAY_PORT" in os.environ:
+        from pyspark import SparkConf, SparkContext
+        SparkContext._ensure_initialized()
+        return dict(SparkConf(_jvm=SparkContext._jvm).getAll())
+    words = shlex.split(os.environ.get("PYSPARK_SUBMIT_ARGS", ""))
+    out = {}
+    for flag, value in zip(words, words[1:]):
+        if flag in ("--conf", "-c") and "=" in value:
+            key, _, val = value.partition("=")
+            out[key] = val
+        elif flag in ("--master", "--driver-memory"):
+            out[{"--master": "spark.master", "--driver-memory": "spark.driver.memory"}[flag]] = value
+    return out
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

@@ -18,10 +18,17 @@ from seqspark.functions.dna import ALPHABET, ALPHABET_BASES, recode_letters, til
 from seqspark.operators.rowindex import with_row_index
 
 TILE = 81
-# id of a tile = doc_id * TILE_ID_STRIDE + tile (a document has far fewer tiles than this)
-TILE_ID_STRIDE = 1_000_000
 STEPS_PER_EPOCH = 4
-MAX_FOLD_TYPES = 1000   # event types mapped to folds are few; refuse to inline a data-sized array
+BROADCAST_TYPES = 10_000   # a dictionary of at most so many event types is broadcast, a larger one joined as Spark likes
+
+
+def tile_id(doc: str, tile: str = "tile"):
+    """Id of a tile: both numbers in full, padded so that ids sort like (doc, tile)."""
+    return F.concat(F.lpad(F.col(doc).cast("string"), 20, "0"), F.lit("-"), F.lpad(F.col(tile).cast("string"), 10, "0"))
+
+
+def sql_tile_id(doc: str, tile: str = "t") -> str:
+    return f"lpad({doc}::VARCHAR, 20, '0') || '-' || lpad({tile}::VARCHAR, 10, '0')"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +45,7 @@ def promoters(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = docs.select("doc_id", recode_letters("text").alias("letters"))
     t = letters.join(labels, "doc_id").select("doc_id", "label", "letters")
     t = t.select("doc_id", "label", F.posexplode(tiles("letters", TILE)).alias("tile", "sequence"))
-    return t.select((F.col("doc_id") * TILE_ID_STRIDE + F.col("tile")).alias("id"),
+    return t.select(tile_id("doc_id").alias("id"),
                     "doc_id", F.col("tile").cast("int").alias("tile"), "sequence", "label")
 
 
@@ -55,7 +62,7 @@ def generated(spark: SparkSession, sf_dir: str, indexed: bool = True) -> DataFra
     """
     b = table(spark, sf_dir, "benchmark").select("item_id", recode_letters("text").alias("letters"))
     b = b.select("item_id", F.posexplode(tiles("letters", TILE)).alias("tile", "sequence"))
-    b = b.select((F.col("item_id") * TILE_ID_STRIDE + F.col("tile")).alias("id"), "sequence")
+    b = b.select(tile_id("item_id").alias("id"), "sequence")
     return with_row_index(b, ["id"]) if indexed else b
 
 
@@ -73,14 +80,6 @@ def hashdna(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> D
     return p.select("id", hash_bases("id").alias("sequence"))
 
 
-def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """logits(id, label, z0, z1): two embedding elements as class scores, label parity as truth."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), (F.col("label") % 2).cast("int").alias("label"),
-                    F.element_at("embedding", 1).cast("double").alias("z0"),
-                    F.element_at("embedding", 2).cast("double").alias("z1"))
-
-
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """matrix(vec_id, x): the embedding as a double array."""
     e = table(spark, sf_dir, "embeddings")
@@ -94,17 +93,30 @@ def eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     (user, type) -> epoch (1-based), value / 1000 -> accuracy.
     """
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    # fold = 1-based rank of the type among the sorted distinct types: a scalar subquery
-    # (no join on the 5-valued key, which would put a fifth of all events in one task)
-    # (guarded: the array is inlined into every task, so its size is checked)
-    arr = F.array_sort(F.collect_set("event_type"))
-    types = ev.select(F.when(F.size(arr) <= MAX_FOLD_TYPES, arr).otherwise(
-        F.raise_error(F.lit("eval_log: too many distinct event types")))).scalar()
-    ev = ev.withColumn("fold", F.array_position(types, F.col("event_type")))
     ev = with_row_index(ev, ["ts", "event_id"], partition_by=["user_id", "event_type"],
                         name="epoch", start=1)
-    return ev.select(F.col("user_id").alias("trial_id"), "fold", "epoch",
-                     (F.col("value") / 1000.0).alias("acc"))
+    return _with_fold(ev).select(F.col("user_id").alias("trial_id"), "fold", "epoch",
+                                 (F.col("value") / 1000.0).alias("acc"))
+
+
+def eval_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """eval_log without the numbered epoch: ``at`` = (ts, event_id) orders the events of a fold; no index is made."""
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return _with_fold(ev).select(F.col("user_id").alias("trial_id"), "fold", F.struct("ts", "event_id").alias("at"),
+                                 (F.col("value") / 1000.0).alias("acc"))
+
+
+def trial_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("trial_id")).distinct()
+
+
+def _with_fold(ev: DataFrame) -> DataFrame:
+    """fold = 1-based rank of the event type among the sorted distinct types (null last), from a dictionary table."""
+    types = with_row_index(ev.select("event_type").distinct(), [F.col("event_type").asc_nulls_last()], name="fold", start=1)
+    types = types.select(F.col("event_type").alias("_type"), "fold")
+    if types.count() <= BROADCAST_TYPES:
+        types = F.broadcast(types)
+    return ev.join(types, F.col("event_type").eqNullSafe(F.col("_type"))).drop("_type")
 
 
 def loss_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +138,7 @@ SQL_RECODE = (f"translate(regexp_replace(lower({{x}}), '[^a-z]', '', 'g'), "
 
 SQL_VIEWS = {
     "promoters": f"""promoters AS (
-  SELECT doc_id * {TILE_ID_STRIDE} + t AS id, doc_id, t::INTEGER AS tile,
+  SELECT {sql_tile_id('doc_id')} AS id, doc_id, t::INTEGER AS tile,
          substr(letters, (t * {TILE} + 1)::BIGINT, {TILE}) AS sequence, label
   FROM (SELECT doc_id, letters, label,
                unnest(range(0, ceil(length(letters) / {TILE}.0)::BIGINT)) AS t
@@ -135,7 +147,7 @@ SQL_VIEWS = {
     "promoters_raw": """promoters_raw AS (SELECT doc_id AS id, text AS sequence FROM documents)""",
     "generated": f"""generated AS (
   SELECT id, sequence, row_number() OVER (ORDER BY id) - 1 AS row_idx
-  FROM (SELECT item_id * {TILE_ID_STRIDE} + t AS id,
+  FROM (SELECT {sql_tile_id('item_id')} AS id,
                substr(letters, (t * {TILE} + 1)::BIGINT, {TILE}) AS sequence
         FROM (SELECT item_id, letters,
                      unnest(range(0, ceil(length(letters) / {TILE}.0)::BIGINT)) AS t
@@ -146,9 +158,6 @@ SQL_VIEWS = {
                           translate(md5(concat(id::VARCHAR, '#2')), '0123456789abcdef', 'ACGTACGTACGTACGT')),
                    1, {TILE}) AS sequence
   FROM promoters)""",
-    "logits": """logits AS (
-  SELECT vec_id AS id, (label % 2)::INTEGER AS label, embedding[1]::DOUBLE AS z0, embedding[2]::DOUBLE AS z1
-  FROM embeddings)""",
     "matrix": """matrix AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)""",
     "eval_log": """eval_log AS (
   SELECT user_id AS trial_id, dense_rank() OVER (ORDER BY event_type) AS fold,

@@ -28,7 +28,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(row_idx, id, sequence) per record in file order.
 
     Multi-line records are joined, whitespace (incl. CR of CRLF files) is
-    removed from the sequence, case is kept, the header (without '>') is the id.
+    removed from the sequence, case is kept, the first word of the header is the id.
     """
     raw = spark.read.option("lineSep", "\n>").text(path)
     raw = raw.select("value", F.col("_metadata.file_path").alias("_f"),
@@ -38,35 +38,52 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     rec = rec.where(F.length(F.regexp_replace("v", WHITESPACE_CLASS, "")) > 0)
     parts = F.split("v", "\n", 2)
     rec = rec.select("_f", "_b", "_m",
-                     F.regexp_replace(parts[0], WHITESPACE_CLASS, "").alias("id"),
+                     F.regexp_extract(parts[0], f"{WHITESPACE_CLASS}*([^{WHITESPACE_CLASS[1:]}*)", 1).alias("id"),
                      F.regexp_replace(F.coalesce(F.get(parts, 1), F.lit("")), WHITESPACE_CLASS, "").alias("sequence"))
     return with_row_index(rec, ["_f", "_b", "_m"]).select("row_idx", "id", "sequence")
 
 
-def fasta_records(df: DataFrame, order_by: list[str], sequence_col: str = "sequence") -> DataFrame:
-    """S2 body: one text row '>Sequence_<i>\\n<UPPER SEQ>' per row, i 1-based in ``order_by`` order."""
-    idx = with_row_index(df.select(*order_by, sequence_col), order_by)
+def fasta_records(df: DataFrame, order_by: list[str], sequence_col: str = "sequence", indexed: bool = False) -> DataFrame:
+    """S2 body: one text row '>Sequence_<i>\\n<UPPER SEQ>' per row, i 1-based in ``order_by`` order.
+
+    ``indexed``: ``df`` already has the 0-based ``row_idx`` of that order.
+    """
+    idx = df if indexed else with_row_index(df.select(*order_by, sequence_col), order_by)
     return idx.select("row_idx", F.concat(F.lit(">Sequence_"), (F.col("row_idx") + 1).cast("string"), F.lit("\n"),
                                           F.upper(sequence_col)).alias("value"))
 
 
 def write_fasta(df: DataFrame, path: str, order_by: list[str], sequence_col: str = "sequence",
                 num_files: int | None = None) -> None:
-    """Overwrite ``path`` with FASTA text; part files follow record order."""
-    rec = fasta_records(df, order_by, sequence_col)
-    ranged = rec.repartitionByRange(num_files, "row_idx") if num_files else rec.repartitionByRange("row_idx")
-    (ranged.sortWithinPartitions("row_idx").select("value")
-     .write.mode("overwrite").text(path))
+    """Overwrite ``path`` with FASTA text; part files follow record order.
+
+    Numbering leaves the rows ordered over the partitions, so they are written as they lie; only input
+    that brings its own ``row_idx`` (``order_by = ["row_idx"]``), or an asked number of files, is dealt out again.
+    """
+    indexed = list(order_by) == ["row_idx"]
+    rec = fasta_records(df, order_by, sequence_col, indexed)
+    if num_files:
+        rec = rec.repartitionByRange(num_files, "row_idx").sortWithinPartitions("row_idx")
+    elif indexed:
+        rec = rec.repartitionByRange("row_idx").sortWithinPartitions("row_idx")
+    rec.select("value").write.mode("overwrite").text(path)
 
 
 def read_csv_checked(spark: SparkSession, path: str, schema: StructType | str,
                      required: list[str]) -> DataFrame:
-    """CSV with header and a declared schema; error listing every missing required column."""
-    header = spark.read.option("header", True).csv(path).columns
-    missing = [c for c in required if c not in header]
+    """CSV with header, columns taken by their header names and cast to the declared types.
+
+    Columns may stand in any order and others may be present; a declared column that is missing is NULL
+    unless it is required: the error lists every missing required column.  A cell that does not fit its
+    type is NULL.
+    """
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    missing = [c for c in required if c not in raw.columns]
     if missing:
         raise ValueError(f"missing required columns: {missing}")
-    return spark.read.option("header", True).schema(schema).csv(path)
+    declared = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return raw.select(*[(F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in raw.columns
+                         else F.lit(None).cast(f.dataType)).alias(f.name) for f in declared.fields])
 
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:

@@ -21,7 +21,7 @@ def write(path, text, mode="w"):
 def test_fasta_multiline_crlf_no_final_newline(spark, tmp_path):
     p = write(tmp_path / "a.fasta", ">r1\r\nACG\r\nTT\r\n>r2 desc\r\nggcc")
     out = [tuple(r) for r in IO.read_fasta(spark, p).orderBy("row_idx").collect()]
-    assert out == [(0, "r1", "ACGTT"), (1, "r2desc", "ggcc")]
+    assert out == [(0, "r1", "ACGTT"), (1, "r2", "ggcc")]
 
 
 def test_fasta_empty_file(spark, tmp_path):

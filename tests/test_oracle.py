@@ -1,5 +1,6 @@
 """Every registered query against its DuckDB oracle on the smallest driver tables."""
 import math
+import re
 from pathlib import Path
 
 import pytest
@@ -52,5 +53,6 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_oracle_or_is_documented():
-    assert set(E.queries()) - set(SQL) == {"kmer_classifier"}
-    assert len(E.queries()) >= 86
+    own = {q for q in E.queries() if not re.match(r"op\d+_|pipeline$", q)}      # the others are tested beside their operators
+    assert own - set(SQL) == {"kmer_classifier"}
+    assert len(own) >= 86
