@@ -27,7 +27,9 @@ SEARCH_SPACE = {
     "gradient_accumulation_steps": [1, 2, 4],
 }
 INT_PARAMS = {"lora_r", "lora_alpha_multiplier", "batch_size", "gradient_accumulation_steps", "lora_alpha"}
-# Accuracy keys tried in order by get_acc_from_metrics.
+# The prompt experiments search the same lists with one batch size.
+PROMPT_SEARCH_SPACE = {**SEARCH_SPACE, "batch_size": [128]}
+# Accuracy keys tried in order by get_acc_from_metrics.
 ACC_KEYS = ["eval_accuracy", "eval_acc", "test_accuracy", "test_acc"]
 
 

@@ -106,6 +106,20 @@ def q_conflict_removal(spark, sf):
     return C.remove_conflicts(d).select(*OUT_COLS)
 
 
+# Query parameter: line ends and blanks appended to the tiles in turn.
+LINE_ENDS = ["", "\n", "\r\n", "\r", "\u2028", " \t"]
+
+
+@register("clean_line_ends", V.with_views(f"""WITH {SQL_LABELED}, {SQL_CLEANED}, {SQL_NOCONFLICT}, {SQL_PIPELINE}
+SELECT id, sequence, label FROM pipeline""", "promoters"))
+def q_clean_line_ends(spark, sf):
+    """A sheet whose cells end in any line end or blank cleans to the same rows as one without."""
+    ends = F.array(*[F.lit(e) for e in LINE_ENDS])
+    tail = F.element_at(ends, (F.pmod(F.xxhash64("id"), F.lit(len(LINE_ENDS))) + 1).cast("int"))
+    return C.clean_pipeline(labeled(spark, sf).withColumn("sequence", F.concat("sequence", tail)), L).select(
+        "id", "sequence", "label")
+
+
 @register("conflict_sequences", V.with_views(f"""WITH {SQL_LABELED}, {SQL_CLEANED}
 SELECT sequence FROM cleaned GROUP BY sequence HAVING count(DISTINCT label) > 1""", "promoters"))
 def q_conflict_sequences(spark, sf):

@@ -14,9 +14,9 @@ SIZE = X.space_size()
 PARAMS = list(X.SEARCH_SPACE)
 
 
-def _sql_decode(point: str) -> str:
+def _sql_decode(point: str, space: dict = X.SEARCH_SPACE) -> str:
     out, stride = [], 1
-    for name, values in X.SEARCH_SPACE.items():
+    for name, values in space.items():
         typ = "INTEGER" if name in X.INT_PARAMS else "DOUBLE"
         lst = "[" + ", ".join(f"{v}::{typ}" for v in values) + "]"
         out.append(f"{lst}[(({point} // {stride}) % {len(values)} + 1)::INTEGER] AS {name}")
@@ -73,6 +73,45 @@ def q_search_space(spark, sf):
     return s.select("point_id", *PARAMS, F.coalesce("n", F.lit(0)).alias("n_trials"))
 
 
+PROMPT_SIZE = X.space_size(X.PROMPT_SEARCH_SPACE)
+
+
+@register("prompt_search_space", V.with_views(f"""WITH used AS (
+  SELECT ({sql_hash32(f"concat(trial_id::VARCHAR, '#', '{SEED}')")} % {PROMPT_SIZE}) AS point_id, count(*) AS n
+  FROM (SELECT DISTINCT trial_id FROM eval_log) GROUP BY 1)
+SELECT pts.*, coalesce(used.n, 0) AS n_trials
+FROM (SELECT p AS point_id, {_sql_decode('p', X.PROMPT_SEARCH_SPACE)} FROM (SELECT unnest(range(0, {PROMPT_SIZE})) AS p)) pts
+LEFT JOIN used USING (point_id)""", "eval_log"))
+def q_prompt_search_space(spark, sf):
+    """E4 for the prompt experiments: batch size fixed, 1,800 points, and how many trials drew each."""
+    used = X.sample_trials(V.trial_ids(spark, sf), SEED, X.PROMPT_SEARCH_SPACE).groupBy("point_id").agg(
+        F.count(F.lit(1)).alias("n"))
+    s = X.search_space(spark, X.PROMPT_SEARCH_SPACE).join(used, "point_id", "left")
+    return s.select("point_id", *PARAMS, F.coalesce("n", F.lit(0)).alias("n_trials"))
+
+
+@register("fold_rows", V.with_views(f"""WITH {SQL_TRIALS}, {SQL_FOLD_BEST}
+SELECT fb.*, {SEED} + trial_id * 1000 + fold AS fold_seed, {', '.join(f'{p} AS param_{p}' for p in PARAMS)},
+       lora_r * lora_alpha_multiplier AS param_lora_alpha
+FROM fb JOIN trials USING (trial_id)""", "eval_log"))
+def q_fold_rows(spark, sf):
+    """The complete row of a fold: its best and final accuracy, its seed and the trial's ``param_*``."""
+    fb = X.fold_best(V.eval_events(spark, sf), epoch="at")
+    hp = X.flatten_params(X.normalize_hparams(trials(spark, sf)).drop("point_id"), PARAMS + ["lora_alpha"])
+    return fb.withColumn("fold_seed", (F.lit(SEED) + F.col("trial_id") * 1000 + F.col("fold")).cast("bigint")).join(hp, "trial_id")
+
+
+@register("global_best_checkpoint", V.with_views(f"""WITH {SQL_TRIALS},
+g AS (SELECT acc AS best_metric_value, trial_id, fold, epoch AS global_step FROM eval_log
+      WHERE acc IS NOT NULL AND NOT isnan(acc) ORDER BY acc DESC, trial_id, fold, epoch LIMIT 1)
+SELECT best_metric_value, trial_id, fold, global_step, {', '.join(f'{p} AS param_{p}' for p in PARAMS)}
+FROM g JOIN trials USING (trial_id)""", "eval_log"))
+def q_global_best_checkpoint(spark, sf):
+    """The best single checkpoint with its step and its trial's hyper-parameters."""
+    best = X.global_best(V.eval_log(spark, sf)).withColumnRenamed("epoch", "global_step")
+    return best.join(X.flatten_params(trials(spark, sf).drop("point_id"), PARAMS), "trial_id")
+
+
 @register("random_trials", V.with_views(f"WITH {SQL_TRIALS} SELECT * FROM trials", "eval_log"))
 def q_random_trials(spark, sf):
     return trials(spark, sf)

@@ -61,6 +61,31 @@ def q_append_log(spark, sf):
     return IO.read_log(spark, path).select("trial_id", "fold", "epoch", "acc")
 
 
+@register("ragged_log", V.with_views("""
+SELECT trial_id, fold, epoch, 'train' AS phase, 1.0 - acc AS train_loss, NULL::DOUBLE AS test_accuracy, trial_id % 7 AS param_seed
+FROM eval_log
+UNION ALL
+SELECT trial_id, fold, epoch, 'test' AS phase, NULL::DOUBLE AS train_loss, acc AS test_accuracy, trial_id % 7 AS param_seed
+FROM eval_log""", "eval_log"))
+def q_ragged_log(spark, sf):
+    """Train and test events carry different metric columns; the log holds both and its schema is merged on read."""
+    ev = materialize(V.eval_log(spark, sf)).withColumn("param_seed", F.col("trial_id") % 7)
+    path = IO.scratch_path(spark, "ragged")
+    common = ["trial_id", "fold", "epoch", "param_seed"]
+    IO.append_log(ev.select(*common, F.lit("train").alias("phase"), (F.lit(1.0) - F.col("acc")).alias("train_loss")), path)
+    IO.append_log(ev.select(*common, F.lit("test").alias("phase"), F.col("acc").alias("test_accuracy")), path)
+    return IO.read_log(spark, path).select("trial_id", "fold", "epoch", "phase", "train_loss", "test_accuracy", "param_seed")
+
+
+@register("csv_by_name", V.with_views(f"""WITH {PIPE}
+SELECT id, sequence, label FROM pipeline""", "promoters"))
+def q_csv_by_name(spark, sf):
+    """Columns in another order and a column that nobody asked for; cells are found by the header."""
+    path = IO.scratch_path(spark, "csv_named")
+    IO.write_csv(pipeline(spark, sf).select("label", F.lit("x").alias("note"), "sequence", "id"), path)
+    return IO.read_csv_checked(spark, path, "id string, sequence string, label int", ["id", "sequence"])
+
+
 @register("empty_guard", V.with_views(f"WITH {PIPE} SELECT count(*) AS n FROM pipeline", "promoters"))
 def q_empty_guard(spark, sf):
     n = F.count(F.lit(1))        # the guard and the count are one aggregate

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqspark.operators import scoring as Sc
+from seqspark.operators.metrics import MODEL_REGISTRY
 from seqspark.plans.catalog import register
 from seqspark.plans.q_clean import pipeline
 from seqspark.plans.q_kmers import PIPE
@@ -231,6 +232,42 @@ def q_pwm_search(spark, sf):
         F.col("trial_id").cast("int").alias("trial_id"), "param_pseudo", "n_folds", *r, "rank")
 
 
+# Query parameter: the registered model whose sheet lacks its label column, so that its validation fails.
+BROKEN_MODEL = "nt"
+VALIDATION_REG = "(VALUES " + ", ".join(f"('{k}', '{n}')" for k, n, *_ in MODEL_REGISTRY) + ") t(key, name)"
+
+
+@register("validation_lifecycle", V.with_views(f"""WITH {PIPE}, {SQL_PWM}, {SQL_WT},
+res AS (SELECT round(avg(((CASE WHEN wt.score > 0 THEN 1 ELSE 0 END) = p.label)::INTEGER::DOUBLE), 9) AS acc, count(*) AS n
+        FROM wt JOIN pipeline p USING (id))
+SELECT key, name, CASE WHEN key <> '{BROKEN_MODEL}' THEN acc END AS acc, CASE WHEN key <> '{BROKEN_MODEL}' THEN n END AS n,
+       CASE WHEN key = '{BROKEN_MODEL}' THEN 'FAILED' ELSE 'OK' END AS status
+FROM {VALIDATION_REG}, res""", "promoters"))
+def q_validation_lifecycle(spark, sf):
+    """L3: every registered model reads its own sheet, checks the columns, builds its input with or without the
+    prompt, scores in batches and reports its accuracy; a broken sheet gives a FAILED row and the others go on."""
+    from seqspark.functions.dna import prompt_text
+    from seqspark.operators import metrics as M
+    from seqspark.plans.q_encode import PROMPT
+    from seqspark.sources import files as IO
+    d = promoters_clean(spark, sf)
+    scorer = Sc.PWMScorer({(int(r["pos"]), r["base"]): float(r["w"]) for r in weights(spark, sf, d).collect()})
+    results = spark.createDataFrame([], "model string, acc double, n long")
+    for key, _, _, batch_size, _, use_prompt in M.MODEL_REGISTRY:
+        sheet = IO.scratch_path(spark, f"sheet-{key}")
+        IO.write_csv(d.drop("label") if key == BROKEN_MODEL else d, sheet)
+        try:
+            rows = IO.read_csv_checked(spark, sheet, "id string, sequence string, label int", ["sequence", "label"])
+        except ValueError:
+            continue                                            # model_summary reports it as FAILED
+        text = rows.withColumn("text", prompt_text("sequence", PROMPT if use_prompt else None))
+        scored = Sc.batch_score(text, lambda: (lambda t: scorer(t.str.rsplit(" ", n=1).str[-1])), "text",
+                                keep=("id", "label"), batch_size=1024 * batch_size)
+        pred = scored.select(F.lit(key).alias("model"), "label", F.when(F.col("score") > 0, 1).otherwise(0).alias("predicted_label"))
+        results = results.unionByName(M.model_accuracy(pred).select("model", F.round("acc", 9).alias("acc"), "n"))
+    return M.model_summary(M.select_models(M.registry(spark), "all"), results)
+
+
 MASK_W = 5
 
 
