@@ -98,17 +98,24 @@ def _stamp(df: DataFrame):
 class WordTokenizer:
     """Ids of whole texts by a ``tokenizers`` file, each distinct piece encoded once per worker process.
 
-    The byte-level pattern of the file always ends a pre-token before a single space that stands
-    between two non-white characters, so a text may be cut there and the ids of its pieces joined.
-    Pieces (with their leading space) are encoded by the library and kept in a cache that is emptied
-    at ``max_words`` entries; texts are never shortened.  Special-token strings inside a text are
-    ordinary text.
+    The byte-level pattern of the file always ends a pre-token in three places: before a single space
+    between two non-white characters, on both sides of a single line feed between two such characters, and
+    before a comma or full stop that follows a letter or digit and precedes white space.  A text is cut at
+    the spaces; a piece that is met for the first time is cut at the other places into atoms, which the
+    library encodes, and the ids are joined.  Pieces are kept in a cache that is emptied at ``max_words``
+    entries; texts are never shortened.  Special-token strings inside a text are ordinary text.
+
+    A piece is written without its leading space; ``BARE`` before it marks that it has none.
     """
 
+    BARE = "\0"
+    # White space by Unicode, apart from the space and the line feed.
+    WHITE = ("\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+             "\u200a\u2028\u2029\u202f\u205f\u3000")
+    UNSAFE = ("  ", " \n", "\n ", BARE, *WHITE)
     SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-    UNSAFE = re.compile(r"\A |\s | \s| \Z")
 
-    def __init__(self, path: str, max_words: int = 500_000, chars: int = 2_000_000):
+    def __init__(self, path: str, max_words: int = 700_000, chars: int = 2_000_000):
         cache = process_cache("tokenizers")
         if path not in cache:
             from tokenizers import Tokenizer
@@ -122,26 +129,57 @@ class WordTokenizer:
     def _reset(self):
         self.state.update(index={}, flat=np.zeros(0, np.uint32), start=np.zeros(0, np.int64), n=np.zeros(0, np.int64))
 
-    def _learn(self, pieces: list):
-        """Encode new pieces: str = piece after a space, 1-tuple = first piece of a text."""
-        tok, newline = self.state["tok"], self.state["newline"]
-        plain = [p for p in pieces if isinstance(p, str) and not any(c.isspace() for c in p)]
-        known = set(plain)
-        other = [p for p in pieces if p not in known]
-        parts: list[np.ndarray] = []
-        if len(newline) == 1:
-            for i in range(0, len(plain), 2000):
-                some = plain[i:i + 2000]
-                ids = np.array(tok.encode("\n".join(" " + p for p in some), add_special_tokens=False).ids, np.uint32)
-                parts += np.split(ids, np.flatnonzero(ids == newline[0]))
-            parts = [p[1:] if len(p) and p[0] == newline[0] else p for p in parts]
+    def _pieces(self, text: str) -> list[str]:
+        if text[0].isspace() or text[-1].isspace() or any(x in text for x in self.UNSAFE):
+            pieces = [text] if self.BARE in text else self.SAFE_CUT.split(text)
         else:
-            other, plain = pieces, []
-        for e in tok.encode_batch([" " + p if isinstance(p, str) else p[0] for p in other], add_special_tokens=False):
+            pieces = text.split(" ")
+        pieces[0] = self.BARE + pieces[0]
+        return pieces
+
+    def _atoms(self, piece: str) -> list[str]:
+        body = piece[1:] if piece[0] == self.BARE else piece
+        lines = body.split("\n")
+        if "" in lines or self.BARE in body or len(body.split()) != len(lines):
+            return [piece]
+        lines[0] = piece[:len(piece) - len(body)] + lines[0]
+        out: list[str] = []
+        for k, line in enumerate(lines):
+            if k:
+                line = self.BARE + line
+                out.append(self.BARE + "\n")
+            if line[-1] in ",." and len(line) > 1 and line[-2].isalnum() and ord(line[-2]) < 0x250:
+                out += [line[:-1], self.BARE + line[-1]]
+            else:
+                out.append(line)
+        return out
+
+    def _learn(self, pieces: list[str]):
+        """Encode new pieces: plain atoms many in one call with line feeds between them, those with white space alone."""
+        tok, newline, s = self.state["tok"], self.state["newline"], self.state
+        index = s["index"]
+        made = [(p, self._atoms(p)) for p in pieces]
+        new = list(dict.fromkeys(a for _, atoms in made for a in atoms if a not in index))
+        text = lambda p: p[1:] if p[0] == self.BARE else " " + p
+        plain, other = [], []
+        for p in new:
+            body = text(p).removeprefix(" ")
+            easy = len(newline) == 1 and body and self.BARE not in body and body.split() == [body]
+            (plain if easy else other).append(p)
+        parts: list[np.ndarray] = []
+        for i in range(0, len(plain), 2000):
+            some = plain[i:i + 2000]
+            ids = np.array(tok.encode("\n".join(map(text, some)), add_special_tokens=False).ids, np.uint32)
+            parts += np.split(ids, np.flatnonzero(ids == newline[0]))
+        parts = [p[1:] if len(p) and p[0] == newline[0] else p for p in parts]
+        for e in tok.encode_batch(list(map(text, other)), add_special_tokens=False):
             parts.append(np.array(e.ids, np.uint32))
-        s = self.state
+        at = dict(zip(plain + other, range(len(parts))))
+        known = lambda a: parts[at[a]] if a in at else s["flat"][s["start"][index[a]]:][:s["n"][index[a]]]
+        joined = [(p, np.concatenate([known(a) for a in atoms])) for p, atoms in made if len(atoms) > 1]
+        names, parts = plain + other + [p for p, _ in joined], parts + [x for _, x in joined]
         n = np.array([len(p) for p in parts], np.int64)
-        s["index"].update(zip(plain + other, range(len(s["n"]), len(s["n"]) + len(n))))
+        index.update(zip(names, range(len(s["n"]), len(s["n"]) + len(n))))
         s["start"] = np.concatenate([s["start"], len(s["flat"]) + np.cumsum(n) - n])
         s["flat"], s["n"] = np.concatenate([s["flat"], *parts]), np.concatenate([s["n"], n])
 
@@ -167,15 +205,13 @@ class WordTokenizer:
     def _encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         if len(self.state["index"]) > self.max_words:
             self._reset()
-        words: list = []
+        words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            if not t:
-                continue
-            p = self.SAFE_CUT.split(t) if self.UNSAFE.search(t) else t.split(" ")
-            p[0] = (p[0],)
-            words += p
-            counts[i] = len(p)
+            if t:
+                p = self._pieces(t)
+                words += p
+                counts[i] = len(p)
         index = self.state["index"]
         got = list(map(index.get, words))
         if None in got:
