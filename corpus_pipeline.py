@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import save, table
+from seqspark.llm.common import save, table, without
 from seqspark.llm.op02_jaccard import jaccard_components
 from seqspark.llm.op04_pack import pack
 from seqspark.llm.op07_winnow import contamination
@@ -23,23 +23,30 @@ TOKENIZER = "byte_bpe_50k.json"
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be told (no text or no letter) go; the rest is kept as it is.
 
-    The classifier learns from the stage's own input as ``op8`` does.  A document is judged by its
-    text alone, so rows that share an id each get their own decision.
+    The classifier learns from the stage's own input as ``op8`` does.  Rows that share an id go together.
     """
     model = fit(docs.where(remainder("doc_id", 5) != 0))
-    return _keep(docs, predict(docs, model).where("lang_pred <> 'und'").select("doc_id"))
+    return without(docs, predict(docs, model).where("lang_pred = 'und'").select("doc_id"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents (5-word shingles, similarity of at least 0.75) the smallest id stays."""
-    found = jaccard_components(docs)
-    return _keep(docs, found.where("doc_id <=> component_id").select("doc_id")).dropDuplicates(["doc_id"])
+    """Of each group of linked documents (5-word shingles, similarity of at least 0.75) the smallest id stays.
+
+    Rows that repeat an id and its text count once; rows without an id stay where their group has no id.
+    """
+    found = save(jaccard_components(docs).select("doc_id", F.expr("doc_id <=> component_id").alias("first")), "groups")
+    first = found.where("first").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    gone = found.where("not first").select("doc_id").join(
+        first.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    kept = without(docs, gone)
+    repeated = first.where("n > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept      # the texts are shuffled only if they must be
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with at least one word in twenty inside a benchmark window go."""
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _keep(docs, found.where("not contaminated").select("doc_id"))
+    return without(docs, found.where("contaminated").select("doc_id"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +54,6 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path(TOKENIZER))
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id (null included) is among ``ids``."""
-    chosen = save(ids.distinct().withColumnRenamed("doc_id", "_id"), "kept")
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-
-
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate),
           ("packing", packing)]
 

@@ -15,6 +15,7 @@ import types
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,14 +40,46 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, removed: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` (null included) is not in ``removed(doc_id)``.
+
+    A bitmap of fixed size tells for most rows that they stay; only the rest, the removed ids and the few
+    that share a bit with them, is shuffled for the exact anti-join.  No row is decided by the bitmap alone
+    unless its bit is unset, which proves that its id is not removed.
+    """
+    gone = save(removed.select(F.col("doc_id").alias("_id")).distinct(), "removed")
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = gone.select(at("_id").alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("b")).collect()         # at most bits / 64 rows
+    bitmap = np.zeros(bits // 64, np.int64)
+    for r in words:
+        bitmap[r["w"]] = r["b"]
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def rows(maybe: bool):
+        def run(batches):
+            for b in batches:
+                p = b.column(b.num_columns - 1).to_numpy()
+                hit = ((shared.value[p >> 6].view(np.uint64) >> (p & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+                yield b.filter(pa.array(hit if maybe else ~hit))
+
+        marked = docs.withColumn("_bit", at("doc_id"))
+        return marked.mapInArrow(run, marked.schema).drop("_bit")
+
+    return rows(False).unionByName(rows(True).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def process_cache(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker process (tasks of one worker share it)."""
+    """A dictionary that lives in the Python worker process (tasks of one worker share it) until another one is asked for."""
     holder = sys.modules.setdefault("_seqspark_process_cache", types.ModuleType("_seqspark_process_cache"))
-    return holder.__dict__.setdefault(name, {})
+    held = holder.__dict__.setdefault("caches", {})
+    if name not in held:
+        held.clear()
+    return held.setdefault(name, {})
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
@@ -115,7 +148,7 @@ class WordTokenizer:
     UNSAFE = ("  ", " \n", "\n ", BARE, *WHITE)
     SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str, max_words: int = 700_000, chars: int = 2_000_000):
+    def __init__(self, path: str, max_words: int = 400_000, chars: int = 2_000_000):
         cache = process_cache("tokenizers")
         if path not in cache:
             from tokenizers import Tokenizer

@@ -222,8 +222,8 @@ def nearest(embeddings: DataFrame, query_mod: int = 100, k: int = 10, id_col: st
     """(query_id, rank, vec_id, score): the k nearest rows found for each row whose id is divisible by ``query_mod``.
 
     Vectors that are null, empty, zero or not finite take no part, nor do those of another length than
-    the most frequent one.  Ties go to the smaller id; a repeated row is a candidate of its own for
-    other rows and for its twin (one row of the query's id is left out).  Other columns are ignored;
+    the most frequent one.  Ties go to the smaller id; a repeated row is a candidate of its own, but
+    no row with the query's own id is.  Other columns are ignored;
     with fewer than k candidates all are given; an empty table gives an empty result.
     """
     spark = embeddings.sparkSession

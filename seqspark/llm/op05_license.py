@@ -112,7 +112,7 @@ def automaton():
     found = ahocorasick.Automaton()
     for base, phrases in ((True, BASE_PHRASES), (False, MORE_PHRASES), (False, {TAG_WORDS: None})):
         for phrase, label in phrases.items():
-            found.add_word(f" {phrase} ", (len(phrase) + 2, base, label))
+            found.add_word(f" {phrase} ", (phrase.count(" ") + 1, base, label))
     found.make_automaton()
     return found
 
@@ -123,13 +123,14 @@ def scan_text(text: str | None, found) -> dict:
     words = raw.translate(LOWER_ASCII).translate(_KEEP).split()
     line = f" {b' '.join(words).decode('latin-1')} "            # one character per byte
     n_base, starts, base, more, tags, spans = 0, [], set(), set(), 0, []
+    at = passed = 0                                             # spaces before ``at``; ends do not go back
     for end, (size, is_base, label) in found.iter(line):
-        begin = end - size + 1
-        first = line.count(" ", 0, begin)
+        passed += line.count(" ", at, end)
+        at, first = end, passed - size
         if label is None:
             tags += 1
             continue
-        spans.append((label, first, first + line.count(" ", begin + 1, end)))
+        spans.append((label, first, first + size - 1))
         if is_base:
             n_base += 1
             starts.append(first)

@@ -71,7 +71,7 @@ def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
     bench = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
     clean = " ".join(f"clean{i} words{i % 7}" for i in range(40))
-    docs = [(0, clean, "en"), (1, clean, "en"), (2, clean + " tail", "en"), (3, None, "en"), (4, "12 34", "en"), (5, "", None),
+    docs = [(8, "short text", "fr"), (None, "no id at all here", "en"), (None, "nor here", "en"), (0, clean, "en"), (1, clean, "en"), (2, clean + " tail", "en"), (3, None, "en"), (4, "12 34", "en"), (5, "", None),
             (6, f"some {bench} text", "en"), (7, " ".join(f"other{i}" for i in range(700)) + " " + bench, "fr"), (8, "short text", "fr")]
     full = [(d, t, x, "s", len(t or "")) for d, t, x in docs]
     spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
@@ -82,7 +82,7 @@ def test_pipeline_stages(spark, tmp_path):
     for name, stage in P.STAGES[:-1]:
         kept = P.save(stage(spark, kept, str(tmp_path)), name)
         assert kept.columns == table.columns
-        ids.append(sorted(r["doc_id"] for r in kept.collect()))
-    assert ids == [[0, 1, 2, 6, 7, 8], [0, 6, 7, 8], [0, 7, 8]]
+        ids.append(sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()))
+    assert ids == [[-1, -1, 0, 1, 2, 6, 7, 8, 8], [-1, -1, 0, 6, 7, 8], [-1, -1, 0, 7, 8]]
     out = P.run(spark, str(tmp_path))
-    assert sorted({r["doc_id"] for r in out.collect()}) == [0, 7, 8] and len(P.STAGES) == 4
+    assert {r["doc_id"] for r in out.collect()} == {None, 0, 7, 8} and len(P.STAGES) == 4
