@@ -135,8 +135,8 @@ class WordTokenizer:
     between two non-white characters, on both sides of a single line feed between two such characters, and
     before a comma or full stop that follows a letter or digit and precedes white space.  A text is cut at
     the spaces; a piece that is met for the first time is cut at the other places into atoms, which the
-    library encodes, and the ids are joined.  Pieces are kept in a cache that is emptied at ``max_words``
-    entries; texts are never shortened.  Special-token strings inside a text are ordinary text.
+    library encodes, and the ids are joined.  Pieces are kept in a cache; at ``max_words`` entries those that
+    were met once are forgotten.  Texts are never shortened.  Special-token strings inside a text are ordinary text.
 
     A piece is written without its leading space; ``BARE`` before it marks that it has none.
     """
@@ -148,7 +148,7 @@ class WordTokenizer:
     UNSAFE = ("  ", " \n", "\n ", BARE, *WHITE)
     SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str, max_words: int = 400_000, chars: int = 2_000_000):
+    def __init__(self, path: str, max_words: int = 800_000, chars: int = 2_000_000):
         cache = process_cache("tokenizers")
         if path not in cache:
             from tokenizers import Tokenizer
@@ -160,7 +160,20 @@ class WordTokenizer:
             self._reset()
 
     def _reset(self):
-        self.state.update(index={}, flat=np.zeros(0, np.uint32), start=np.zeros(0, np.int64), n=np.zeros(0, np.int64))
+        self.state.update(index={}, flat=np.zeros(0, np.uint32), start=np.zeros(0, np.int64), n=np.zeros(0, np.int64),
+                          uses=np.zeros(0, np.int32))
+
+    def _forget(self):
+        """Keep the pieces met most often, at most half of ``max_words``."""
+        s, least = self.state, 2
+        while (s["uses"] >= least).sum() > self.max_words // 2:
+            least *= 2
+        kept = [(w, i) for w, i in s["index"].items() if s["uses"][i] >= least]
+        old = np.array([i for _, i in kept], np.int64)
+        n = s["n"][old]
+        ends = np.cumsum(n)
+        at = np.repeat(s["start"][old] - (ends - n), n) + np.arange(int(n.sum()))
+        s.update(index={w: k for k, (w, _) in enumerate(kept)}, flat=s["flat"][at], start=ends - n, n=n, uses=s["uses"][old] // 2)
 
     def _pieces(self, text: str) -> list[str]:
         if text[0].isspace() or text[-1].isspace() or any(x in text for x in self.UNSAFE):
@@ -215,6 +228,7 @@ class WordTokenizer:
         index.update(zip(names, range(len(s["n"]), len(s["n"]) + len(n))))
         s["start"] = np.concatenate([s["start"], len(s["flat"]) + np.cumsum(n) - n])
         s["flat"], s["n"] = np.concatenate([s["flat"], *parts]), np.concatenate([s["n"], n])
+        s["uses"] = np.concatenate([s["uses"], np.zeros(len(n), np.int32)])
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(flat uint32 ids, int64 bounds): ids of text i are ``flat[bounds[i]:bounds[i + 1]]``; null is empty.
@@ -237,7 +251,7 @@ class WordTokenizer:
 
     def _encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         if len(self.state["index"]) > self.max_words:
-            self._reset()
+            self._forget()
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -251,6 +265,7 @@ class WordTokenizer:
             self._learn(list(dict.fromkeys(w for w, k in zip(words, got) if k is None)))
             got = list(map(index.get, words))
         k = np.array(got, np.int64)
+        self.state["uses"] += np.bincount(k, minlength=len(self.state["uses"])).astype(np.int32)
         n = self.state["n"][k] if len(k) else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(n)])
         total = int(ends[-1])
