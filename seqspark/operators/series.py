@@ -125,7 +125,7 @@ def ema_series(df: DataFrame, value: str, order_by: str, partition_by=(), name:
         for pdf in it:
             if pdf.empty:
                 continue
-            keys = list(zip(*[pdf[g].tolist() for g in gnames]))
+            keys = list(zip(*[[None if v != v else v for v in pdf[g].tolist()] for g in gnames]))   # null equals null
             n = pdf["_n"].to_numpy()
             # step kind: 0 keep, 1 copy (before ``start`` or the first update), 2 decay update
             kinds = np.where(n % rate != 0, 0, np.where((n < start) | (n == rate), 1, 2)).tolist()
@@ -169,9 +169,13 @@ def ema_series(df: DataFrame, value: str, order_by: str, partition_by=(), name:
     # only groups spanning several partitions receive a carried-in value: fewer than #partitions
     # such groups, so the composed table has at most 2 x #partitions rows and is broadcast
     spanning = seg.groupBy(*gnames).agg(F.count(F.lit(1)).alias("_np")).where(F.col("_np") > 1).select(*gnames)
-    carries = (seg.join(spanning, gnames, "left_semi").groupBy(*gnames)
+    spanning = spanning.select(*[F.col(g).alias(f"_s{g}") for g in gnames])
+    same = [F.col(g).eqNullSafe(F.col(f"_s{g}")) for g in gnames]
+    carries = (seg.join(spanning, same, "left_semi").groupBy(*gnames)
                .applyInPandas(carry, f"_pid int, {gschema}, _has boolean, _y double")
-               .where(F.col("_has")))
-    j = rows.join(F.broadcast(carries), ["_pid", *gnames], "left")
+               .where(F.col("_has")).select(F.col("_pid").alias("_cpid"), *[F.col(g).alias(f"_c{g}") for g in gnames], "_has", "_y"))
+    j = rows.join(F.broadcast(carries), [F.col("_pid") == F.col("_cpid"),
+                                         *[F.col(g).eqNullSafe(F.col(f"_c{g}")) for g in gnames]], "left")
     ema = F.when(F.col("_copied"), F.col("_b")).when(F.col("_has").isNotNull(), F.col("_a") * F.col("_y") + F.col("_b"))
-    return j.withColumn(name, ema).drop("_pid", "_n", "_copied", "_a", "_b", "_has", "_y", *gnames)
+    return j.withColumn(name, ema).drop("_pid", "_n", "_copied", "_a", "_b", "_has", "_y", "_cpid",
+                                      *gnames, *[f"_c{g}" for g in gnames])

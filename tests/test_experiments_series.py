@@ -108,3 +108,24 @@ def test_lr_and_checkpoint_epochs(spark):
     df = spark.createDataFrame([(e,) for e in (1, 50, 51, 100, 101)], "epoch long")
     assert [r[0] for r in df.select(S.lr_at_epoch("epoch")).collect()] == [1e-3, 1e-3, 5e-4, 5e-4, 2.5e-4]
     assert [r[0] for r in S.checkpoint_epochs(df).collect()] == [50, 100]
+
+
+def test_series_operators_treat_a_null_run_as_a_run(spark):
+    rows = [(None if r == 0 else r, n, float((n * 7 + r) % 11)) for r in range(3) for n in range(1, 41)]
+    df = spark.createDataFrame(rows, "run long, n long, x double")
+    got = {(r["run"], r["n"]): r["e"] for r in S.ema_series(df, "x", "n", ["run"], name="e", decay=0.9, start=5,
+                                                            num_partitions=6).collect()}
+    assert len(got) == len(rows)
+    for run in (None, 1, 2):
+        y = None
+        for n in range(1, 41):
+            x = float((n * 7 + (run or 0)) % 11)
+            y = x if n < 5 or y is None else y * 0.9 + 0.1 * x
+            assert got[(run, n)] == pytest.approx(y, abs=1e-12)
+    best = {(r["run"], r["n"]): r["is_best"] for r in S.best_checkpoints(df, "run", "n", "x").collect()}
+    for run in (None, 1, 2):
+        low = math.inf
+        for n in range(1, 41):
+            x = float((n * 7 + (run or 0)) % 11)
+            assert best[(run, n)] == (x < low)
+            low = min(low, x)
