@@ -18,6 +18,7 @@ from seqspark.llm.op07_winnow import contamination
 from seqspark.llm.op08_langid import fit, predict, remainder
 
 TOKENIZER = "byte_bpe_50k.json"
+CACHE_WORDS = 200_000           # workers still hold what earlier stages left in them
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of at most 2048 tokens."""
-    return pack(docs, public_tokenizers.path(TOKENIZER))
+    return pack(docs, public_tokenizers.path(TOKENIZER), cache_words=CACHE_WORDS)
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate),

@@ -82,6 +82,13 @@ def process_cache(name: str) -> dict:
     return held.setdefault(name, {})
 
 
+def sliced(batches, rows: int = 1000):
+    """Arrow batches of at most ``rows`` rows, so that only so many texts are Python strings at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Add ``name``: 0-based gapless rank of each row inside its ``keys`` group.
 
@@ -148,7 +155,7 @@ class WordTokenizer:
     UNSAFE = ("  ", " \n", "\n ", BARE, *WHITE)
     SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str, max_words: int = 800_000, chars: int = 2_000_000):
+    def __init__(self, path: str, max_words: int = 600_000, chars: int = 2_000_000):
         cache = process_cache("tokenizers")
         if path not in cache:
             from tokenizers import Tokenizer

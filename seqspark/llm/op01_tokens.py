@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqspark.llm.codec import decode_frame, encode_frame
-from seqspark.llm.common import WordTokenizer, shared_path
+from seqspark.llm.common import WordTokenizer, shared_path, sliced
 
 END_ID = 2
 FRAME_TOKENS = 4 << 20
@@ -46,7 +46,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 [pa.array([part], pa.int32()), pa.array([frame], pa.int32()), pa.array([len(ids)], pa.int64()),
                  pa.array([data], pa.binary())], ["part", "frame", "n_tokens", "data"])
 
-        for b in batches:
+        for b in sliced(batches):
             flat, bounds = words.encode(b.column(1).to_pylist())
             for i, doc in enumerate(b.column(0).to_pylist()):
                 ids_held.append(np.append(flat[bounds[i]:bounds[i + 1]], np.uint32(end_id)))

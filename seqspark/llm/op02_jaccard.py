@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import LOWER_ASCII, components, process_cache, save, shuffle_partitions
+from seqspark.llm.common import LOWER_ASCII, components, process_cache, save, shuffle_partitions, sliced
 
 SHINGLE = 5
 MAX_GROUP = 32                  # a block shared by more sets is frequent
@@ -130,7 +130,7 @@ def block_keys(s: np.ndarray, level: int) -> np.ndarray:
 def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n, sh, signed): set size, hash of the set (null: empty) and (band, non-empty blocks) per band."""
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             hashes = word_hashes()
             n, sh, signed = [], [], []
             for text in b.column(1).to_pylist():
@@ -150,7 +150,7 @@ def signatures(docs: DataFrame, text_col: str) -> DataFrame:
     """(key, sh): one row per non-empty block of every distinct set; a set that a task has met is not repeated."""
     def run(batches):
         met: set[int] = set()
-        for b in batches:
+        for b in sliced(batches):
             hashes = word_hashes()
             keys, owners, size = [], [], 0
             for text in b.column(0).to_pylist():
@@ -377,7 +377,7 @@ def only_ids(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> Dat
 def with_set_hash(docs: DataFrame) -> DataFrame:
     """(sh, text) of ``docs(doc_id, text)`` with at least one shingle."""
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             hashes = word_hashes()
             texts = b.column(0).to_pylist()
             sets = [shingles(t, hashes) for t in texts]

@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import WordTokenizer, rank_within, save
+from seqspark.llm.common import WordTokenizer, rank_within, save, sliced
 
 CAPACITY = 2048
 END_ID = 1
+CACHE_WORDS = 600_000
 
 
 def fill_window(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -124,14 +125,14 @@ def piece_place(number: int, b: int, plan_: dict) -> tuple[int, int]:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, cuts): full windows and the remainder of every text.
 
     ``cuts``: checksums of the remainder's power-of-two pieces, largest first, should it be dissolved.
     """
     def run(batches):
-        words = WordTokenizer(tokenizer)
-        for b in batches:
+        words = WordTokenizer(tokenizer, cache_words)
+        for b in sliced(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             flat, bounds = words.encode(texts)
             rows = []
@@ -158,16 +159,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, tolerance: int | None = None,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row per piece.
 
     Null text is empty (its end id alone is packed); repeated rows are packed as often as they occur;
     null ids stay null; other columns are ignored; an empty table gives an empty result.  ``capacity``
-    must be a power of two.  ``tolerance``: padding a window may have (default 2 % of the capacity).
+    must be a power of two.  ``cache_words``: pieces a worker remembers (memory against speed, never results).  ``tolerance``: padding a window may have (default 2 % of the capacity).
     """
     spark = docs.sparkSession
     tolerance = capacity // 50 if tolerance is None else tolerance
-    pieces = save(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col), "pack-pieces")
+    pieces = save(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, cache_words), "pack-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     histogram.pop(capacity, None)                               # at most ``capacity`` lengths come to the driver
     shared = spark.sparkContext.broadcast(plan(histogram, capacity, tolerance))

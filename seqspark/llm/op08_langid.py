@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqspark.llm.common import sliced
+
 CHARS_PER_LANGUAGE = 40_000     # bound of the reference sample, in characters per language
 DOCS_PER_LANGUAGE = 400         # and in documents; whole texts only
 MAX_SYMBOLS = 250
@@ -161,7 +163,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(1).to_pylist()
             langs, scores, rates = [], [], []
             at = 0
