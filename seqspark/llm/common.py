@@ -15,7 +15,6 @@ import types
 import uuid
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,24 +48,14 @@ def without(docs: DataFrame, removed: DataFrame, bits: int = 1 << 23) -> DataFra
     """
     gone = save(removed.select(F.col("doc_id").alias("_id")).distinct(), "removed")
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    words = gone.select(at("_id").alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("b")).collect()         # at most bits / 64 rows
-    bitmap = np.zeros(bits // 64, np.int64)
-    for r in words:
-        bitmap[r["w"]] = r["b"]
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def rows(maybe: bool):
-        def run(batches):
-            for b in batches:
-                p = b.column(b.num_columns - 1).to_numpy()
-                hit = ((shared.value[p >> 6].view(np.uint64) >> (p & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-                yield b.filter(pa.array(hit if maybe else ~hit))
-
-        marked = docs.withColumn("_bit", at("doc_id"))
-        return marked.mapInArrow(run, marked.schema).drop("_bit")
-
-    return rows(False).unionByName(rows(True).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti"))
+    words = gone.select(at("_id").alias("p")).groupBy((F.col("p") / 64).cast("int").alias("_w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("_bits"))               # at most bits / 64 rows
+    marked = docs.withColumn("_p", at("doc_id")).withColumn("_w", (F.col("_p") / 64).cast("int"))
+    marked = marked.join(F.broadcast(save(words, "removed-bits")), "_w", "left")
+    maybe = F.coalesce(F.expr("(shiftright(_bits, int(_p % 64)) & 1L) = 1"), F.lit(False))
+    doubtful = marked.where(maybe).select(*docs.columns)
+    return marked.where(~maybe).select(*docs.columns).unionByName(
+        doubtful.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti"))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
