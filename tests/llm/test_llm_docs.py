@@ -412,3 +412,14 @@ def test_op9_equals_brute_force(docs, empty, block):
              round(r["score"], 7) + 0.0) for r in got]
     assert sorted(have) == sorted(want)
     assert score_corpus(empty, held).count() == 0
+
+
+def test_op9_default_order(spark):
+    """Unless told otherwise, four bytes are the context."""
+    from seqspark.llm.op09_ppm import score_corpus
+    data = [(i, "abcde xbcdf abcde ybcdg " * (i + 1)) for i in range(4)]
+    raw = [t.encode() for _, t in data]
+    got = score_corpus(spark.createDataFrame(data, "doc_id long, text string"), F.col("doc_id") == 3).collect()
+    have = {r["doc_id"]: r["score"] for r in got}
+    for (d, _), s in zip(data, brute_ppm(raw[:3], raw, 4)):
+        assert have[d] == pytest.approx(s, abs=1e-7)
