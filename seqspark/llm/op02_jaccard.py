@@ -13,6 +13,10 @@ partner of up to 4/3 its size may lie in the next band, there too.  K exceeds th
 that a pair in the band can have.  A set with ``occ`` non-empty blocks then agrees with each of its
 partners in at least ``occ - D`` non-empty blocks, and partners meet on equal blocks.
 
+*Exact keys.*  The shingles of a small set can fall into so few blocks that two partners agree in none.
+That takes at most D non-empty blocks on both sides; such sets are also signed by every single shingle,
+of which partners share at least one.  These keys have a band of their own, ``EXACT``.
+
 *Frequent blocks* (more than ``max_group`` sets) come from text that many documents share.  A set with
 more than D non-frequent, non-empty blocks must meet every partner in one that is not frequent, so its
 frequent blocks may be passed over.  Only pairs of sets that both lack that many need them: these sets
@@ -41,6 +45,7 @@ MAX_GROUP = 32                  # a block shared by more sets is frequent
 CHUNK = 1024                    # sets compared at once with as many others
 FILTER_BITS = 1 << 23           # size of the bitmap that preselects rows by id
 BAND = (4 / 3) ** 2
+EXACT = 63                      # band of the exact keys; no set is large enough for band 63 itself
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -106,6 +111,12 @@ def most_different(level: int) -> int:
     return 2 * (band_start(level + 1) - 1) // 7
 
 
+def bound(size: int, level: int) -> int:
+    """Largest symmetric difference of a set of ``size`` and a partner that it meets in the band: at most a third of the
+    smaller set and two sevenths of the larger one."""
+    return min(most_different(level), size // 3)
+
+
 def n_blocks(level: int) -> int:
     return math.ceil(1.15 * (most_different(level) + 1)) + 4
 
@@ -127,6 +138,20 @@ def block_keys(s: np.ndarray, level: int) -> np.ndarray:
     return ((k & ~np.uint64(63)) | np.uint64(level)).astype(np.int64)
 
 
+def exact_keys(s: np.ndarray) -> np.ndarray:
+    """int64 keys of the single shingles."""
+    k = s * _M1
+    k ^= k >> np.uint64(31)
+    return ((k & ~np.uint64(63)) | np.uint64(EXACT)).astype(np.int64)
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """All keys of a set: its blocks in every band, and its shingles if the blocks of a band are too few to meet every partner."""
+    by_band = [(v, block_keys(s, v)) for v in bands(len(s))]
+    few = any(len(k) <= bound(len(s), v) for v, k in by_band)
+    return np.concatenate([*[k for _, k in by_band], *([exact_keys(s)] if few else [])])
+
+
 def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n, sh, signed): set size, hash of the set (null: empty) and (band, non-empty blocks) per band."""
     def run(batches):
@@ -147,7 +172,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, text_col: str) -> DataFrame:
-    """(key, sh): one row per non-empty block of every distinct set; a set that a task has met is not repeated."""
+    """(key, sh): one row per key of every distinct set; a set that a task has met is not repeated."""
     def run(batches):
         met: set[int] = set()
         for b in sliced(batches):
@@ -158,11 +183,10 @@ def signatures(docs: DataFrame, text_col: str) -> DataFrame:
                 if len(s) < 3 or (sh := set_hash(s)) in met:
                     continue
                 met.add(sh)
-                for level in bands(len(s)):
-                    k = block_keys(s, level)
-                    keys.append(k)
-                    owners.append(np.full(len(k), sh))
-                    size += len(k)
+                k = signature(s)
+                keys.append(k)
+                owners.append(np.full(len(k), sh))
+                size += len(k)
                 if size > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))],
                                                      ["key", "sh"])
@@ -254,7 +278,7 @@ def _with_end(batches):
 
 
 def candidate_edges(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v): pairs with enough shared blocks, and stars of the sets that only frequent blocks may link."""
+    """(u, v): pairs with enough shared blocks or an exact key, and stars of the sets that only frequent keys may link."""
     signed = sets.select("sh", "n", F.explode("signed").alias("_s")).select(
         "sh", F.col("n").alias("size"), F.col("_s.band").alias("band"), F.col("_s.occ").alias("occ"))
     hot = met.where("n = 0").groupBy(F.col("a").alias("hub"), F.col("b").alias("sh"), "band").agg(F.count(F.lit(1)).alias("m"))
@@ -272,7 +296,8 @@ def candidate_edges(met: DataFrame, sets: DataFrame) -> DataFrame:
     limits = met.sparkSession.createDataFrame([(v, most_different(v)) for v in range(64)], "band int, d long")
     open_sets = signed.join(F.broadcast(limits), "band").where("free <= least(d, size div 3)")    # 64 bands
     stars = hot.join(open_sets.select("sh", "band"), ["sh", "band"]).select(F.col("hub").alias("u"), F.col("sh").alias("v"))
-    return pairs.unionByName(stars).where("u <> v").distinct()
+    exact = met.where(f"band = {EXACT}").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return pairs.unionByName(stars).unionByName(exact).where("u <> v").distinct()
 
 
 def compare(left: list[np.ndarray], right: list[np.ndarray] | None) -> list[tuple[int, int]]:

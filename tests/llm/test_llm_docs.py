@@ -164,6 +164,26 @@ def test_op2_frequent_blocks_and_chunks(spark, max_group, chunk, seed):
     assert collected(jaccard_components(df, max_group=max_group, chunk=chunk), *COLS2) == brute_components(data)
 
 
+@pytest.mark.parametrize("max_group", [2, 32])
+def test_op2_few_blocks(spark, max_group):
+    """Sets of 3 and 4 shingles that all fall into one block of their band agree in no block."""
+    from seqspark.llm.op02_jaccard import bands, blocks, jaccard_components, shingles, word_hashes
+    rng, hashes, data = random.Random(3), word_hashes(), []
+    in_one = lambda t: len(blocks(shingles(t, hashes), 2)[0]) == 1
+    assert bands(3)[-1] == bands(4)[0] == 2
+    while len(data) < 12:
+        short = " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(7))
+        if not in_one(short):
+            continue
+        longer = [t for t in (f"{short} e{i}" for i in range(200)) if in_one(t)][:5]
+        data += [(len(data) + i, t) for i, t in enumerate([short, *longer])]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = jaccard_components(df, max_group=max_group)
+    want = brute_components(data)
+    assert sum(n for *_, n in want) > 0
+    assert collected(got, *COLS2) == want
+
+
 def check_pack(pieces, data, end_id, capacity):
     by_doc = collections.defaultdict(list)
     for r in pieces:
