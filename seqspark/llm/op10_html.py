@@ -4,15 +4,16 @@ A page is read as a stream of tags and text.  Every text node has a root-to-leaf
 class/id words); per path the text length, the punctuation and the number of nodes are added up.  The
 two ratios (characters per node, punctuation per node) are smoothed along the page, multiplied (fused)
 with a prior for the tag names on the path, and paths above a threshold are content.  The content
-container is the path prefix that gathers most of the fused weight; every block in it is kept in page
-order, apart from sub-trees whose own names say menu, advert, form, comment and the like.
+container is what all content paths and headings have in common, up to the outermost article or main on
+the way; every block in it is kept in page order, apart from sub-trees whose own names say menu, advert,
+form, comment and the like.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +39,8 @@ _DROP_WORDS = re.compile(
 _PUNCT = frozenset(".,;:!?…。，、！？；：")
 _SPACE = re.compile(r"[ \t\n\r\f\v\x1c-\x1f\x85\xa0  -     　]+")
 _PRIOR = {"article": 4.0, "main": 4.0}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+THRESHOLD = 0.04                # of the median text node's fused ratio
 
 
 def text_nodes(page: str) -> list[tuple[tuple, int, str]]:
@@ -128,34 +131,38 @@ def path_scores(nodes: list[tuple[tuple, int, str]], width: int = 1) -> dict[tup
     return out
 
 
-def content_container(scores: dict[tuple, float]) -> tuple | None:
-    """Path prefix of the content: go down from the root while one child holds nearly all the weight."""
-    if not any(scores.values()):
+def content_container(nodes: list[tuple[tuple, int, str]], scores: dict[tuple, float]) -> tuple | None:
+    """Path prefix of the content: the outermost landmark around, or else the common ancestor of, all paths whose fused
+    ratio is at least ``THRESHOLD`` of the median text node's, and of all headings."""
+    count = Counter(path for path, _, _ in nodes)
+    ratio = {p: s / count[p] for p, s in scores.items() if s}
+    if not ratio:
         return None
-    prefix: tuple = ()
-    while True:
-        total, own, children = 0.0, scores.get(prefix, 0.0), defaultdict(float)
-        for p, s in scores.items():
-            if p[:len(prefix)] == prefix:
-                total += s
-                if len(p) > len(prefix):
-                    children[p[len(prefix)]] += s
-        if not children:
-            return prefix
-        step, best = max(children.items(), key=lambda x: x[1])
+    left = sum(count[p] for p in ratio) / 2
+    for middle, p in sorted((r, p) for p, r in ratio.items()):
+        left -= count[p]
+        if left <= 0:
+            break
+    content = [p for p, r in ratio.items() if r >= THRESHOLD * middle or any(s.split(".")[0] in _HEADINGS for s in p)]
+    common = content[0]
+    for p in content:
+        same = 0
+        while same < min(len(common), len(p)) and common[same] == p[same]:
+            same += 1
+        common = common[:same]
+    for k, step in enumerate(common):
         name = step.split(".")[0]
-        landmark = name in _PRIOR or name in ("html", "body")
-        if own >= best or name in _INLINE or (name in _BLOCKS and name not in ("div", "section", "article", "main")):
-            return prefix
-        if not landmark and best < 0.8 * total:                # several children share the content: stop above them
-            return prefix
-        prefix += (step,)
+        if name in _PRIOR:
+            return common[:k + 1]
+        if name in _INLINE or (name in _BLOCKS and name not in ("div", "section")):
+            return common[:k]
+    return common
 
 
 def main_text(page: str | None) -> str:
     """The article's text: blocks in page order, joined by one line feed."""
     nodes = text_nodes(page or "")
-    container = content_container(path_scores(nodes))
+    container = content_container(nodes, path_scores(nodes))
     if container is None:
         return ""
     blocks: dict[int, list[str]] = {}

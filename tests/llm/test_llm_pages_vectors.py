@@ -27,6 +27,24 @@ def test_op10_cases(page, text):
     assert main_text(page) == text
 
 
+BODY = "".join(f"<p>Paragraph {i}, with words, and some more of them.</p>" for i in range(20))
+LINES = "\n".join(f"Paragraph {i}, with words, and some more of them." for i in range(20))
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<article><h1>Title</h1><p class=lead>The lead, short.</p><div class=body>{BODY}</div><p>The end.</p></article>",
+     f"Title\nThe lead, short.\n{LINES}\nThe end."),
+    (f"<body><div id=page><h1>Title</h1><div class=body><div class=inner>{BODY}</div><p>The end, at last.</p></div></div></body>",
+     f"Title\n{LINES}\nThe end, at last."),
+    (f"<body><div><p>Before it, a part.</p></div><article>{BODY}</article><div><p>After it, a part.</p></div></body>",
+     f"Before it, a part.\n{LINES}\nAfter it, a part."),
+    (f"<main><p>An opening, short.</p><article><section><h2>Part</h2>{BODY}</section></article></main>",
+     f"An opening, short.\nPart\n{LINES}"),
+])
+def test_op10_nothing_beside_the_body_is_lost(page, text):
+    assert main_text(page) == text
+
+
 def test_op10_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (3, "v", "")],
                                "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(2))
