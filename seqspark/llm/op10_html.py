@@ -6,7 +6,9 @@ two ratios (characters per node, punctuation per node) are smoothed along the pa
 with a prior for the tag names on the path, and paths above a threshold are content.  The content
 container is what all content paths and headings have in common, up to the outermost article or main on
 the way; every block in it is kept in page order, apart from sub-trees whose own names say menu, advert,
-form, comment and the like.
+form, comment and the like.  Class, id and role words and ``form`` alone never drop an article or main, or
+what holds most of the page's text or fused weight; they lower the prior.  Beside an article or main the
+fused weight decides.
 """
 
 from __future__ import annotations
@@ -30,15 +32,19 @@ _INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd la
 # A start tag closes these open tags (nearest first), as page authors leave them open.
 _BLOCKS = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure "
                     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
-_DROP_TAGS = frozenset("nav footer aside form button menu dialog header head select option".split())
+_DROP_TAGS = frozenset("nav footer aside button menu dialog header head select option".split())
 _DROP_WORDS = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|adverts?|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|side-?bars?|aside|"
     r"footer|header|masthead|comments?|replies|respond|discuss\w*|disqus|notices?|cookies?|consent|gdpr|popup|modal|"
     r"newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|"
     r"pager|copyright|legal|hidden)(?:$|[-_ ])", re.I)
+# Words on the state or topic of a whole page or article.
+_STATE_WORDS = re.compile(r"(?:^|(?<= ))(?:(?:has|with|without|no|tag|category)-\S+|\S+-(?:open|closed|enabled|disabled))(?= |$)", re.I)
 _PUNCT = frozenset(".,;:!?…。，、！？；：")
 _SPACE = re.compile(r"[ \t\n\r\f\v\x1c-\x1f\x85\xa0  -     　]+")
 _PRIOR = {"article": 4.0, "main": 4.0}
+_KEPT = frozenset(("html", "body", *_PRIOR))
+_DOUBT = 0.25                   # prior of an element named like something to drop
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 THRESHOLD = 0.04                # of the median text node's fused ratio
 
@@ -46,7 +52,7 @@ THRESHOLD = 0.04                # of the median text node's fused ratio
 def text_nodes(page: str) -> list[tuple[tuple, int, str]]:
     """(path, block number, decoded text) of every text node, in page order."""
     out: list[tuple[tuple, int, str]] = []
-    stack: list[tuple[str, str, bool]] = []                     # name, path step, dropped
+    stack: list[tuple[str, str]] = []                           # name, path step (!: dropped, ?: named like something to drop)
     block, at = 0, 0
 
     def emit(text: str):
@@ -82,9 +88,12 @@ def text_nodes(page: str) -> list[tuple[tuple, int, str]]:
         if name not in _INLINE:
             block += 1
         words, hidden = _names(m[4])
-        stack.append((name, f"{name}.{words}" if words else name, False))
-        if hidden or (words and name not in ("html", "body") and _DROP_WORDS.search(words)) or name in _DROP_TAGS:
-            stack[-1] = (name, f"!{stack[-1][1]}", True)
+        step = f"{name}.{words}" if words else name
+        if hidden or name in _DROP_TAGS:
+            step = f"!{step}"
+        elif name == "form" or (words and name not in _KEPT and _DROP_WORDS.search(_STATE_WORDS.sub("", words))):
+            step = f"?{m.start()}?{step}"                       # an element of its own, until it is settled
+        stack.append((name, step))
     if at < len(page):
         emit(page[at:])
     return out
@@ -126,11 +135,38 @@ def path_scores(nodes: list[tuple[tuple, int, str]], width: int = 1) -> dict[tup
     for p, r, q in zip(order, smooth(ratio), smooth(marks)):
         prior = 0.0 if any(s[0] == "!" for s in p) else 1.0
         for step in p:
-            prior *= _PRIOR.get(step.split(".")[0], 1.0)
+            prior *= _DOUBT if step[0] == "?" else _PRIOR.get(step.split(".")[0], 1.0)
         out[p] = r * (1.0 + q) * prior * count[p] if length[p] else 0.0
     return out
 
 
+def settled(nodes: list[tuple[tuple, int, str]]) -> list[tuple[tuple, int, str]]:
+    """Nodes with every step marked ``?`` either kept (no mark) or dropped (``!``): it is kept if it holds more than half of
+    the fused weight of all that is not dropped for certain, or of its text and no article or main stands apart from it."""
+    doubtful = {p[:k + 1] for p in {path for path, _, _ in nodes} for k, step in enumerate(p) if step[0] == "?"}
+    if not doubtful:
+        return nodes
+    scores, length = path_scores(nodes), defaultdict(int)
+    for path, _, text in nodes:
+        if not any(s[0] == "!" for s in path):
+            length[path] += len(text.strip())
+    weights = [(sum(w.values()), w) for w in (length, scores)]
+    held: dict[tuple, list[float]] = {p: [0.0, 0.0] for p in doubtful}
+    for i, (_, w) in enumerate(weights):
+        for path, x in w.items():
+            for k, step in enumerate(path):
+                if step[0] == "?":
+                    held[path[:k + 1]][i] += x
+    landmarks = {path[:k + 1] for path, n in length.items() if n for k, s in enumerate(path)
+                 if s.split(".")[0] in _PRIOR and not any(x[0] == "?" for x in path[:k])}
+    (all_text, _), (all_weight, _) = weights
+    kept = {p for p, (text, weight) in held.items() if 2 * weight > all_weight or (
+        2 * text > all_text and not any(x[:len(p)] != p and p[:len(x)] != x for x in landmarks))}
+    names = {path: tuple(("" if path[:k + 1] in kept else "!") + s.split("?", 2)[2] if s[0] == "?" else s
+                         for k, s in enumerate(path)) for path in {path for path, _, _ in nodes}}
+    return [(names[path], block, text) for path, block, text in nodes]
+
+
 def content_container(nodes: list[tuple[tuple, int, str]], scores: dict[tuple, float]) -> tuple | None:
     """Path prefix of the content: the outermost landmark around, or else the common ancestor of, all paths whose fused
     ratio is at least ``THRESHOLD`` of the median text node's, and of all headings."""
@@ -161,7 +197,7 @@ def content_container(nodes: list[tuple[tuple, int, str]], scores: dict[tuple, f
 
 def main_text(page: str | None) -> str:
     """The article's text: blocks in page order, joined by one line feed."""
-    nodes = text_nodes(page or "")
+    nodes = settled(text_nodes(page or ""))
     container = content_container(nodes, path_scores(nodes))
     if container is None:
         return ""

@@ -45,6 +45,28 @@ def test_op10_nothing_beside_the_body_is_lost(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("open_, close", [
+    ("<main class='has-sidebar'>", "</main>"), ("<div class='content with-sidebar'>", "</div>"),
+    ("<article class='post category-legal'>", "</article>"), ("<article class=related>", "</article>"),
+    ("<div class='tag-search'>", "</div>"), ("<div class=social-science>", "</div>"), ("<div class='comments-open'>", "</div>"),
+    ("<form action=x><div class=page>", "</div></form>"), ("<div class='social-share'><div class=search>", "</div></div>"),
+])
+def test_op10_a_name_does_not_drop_the_page(open_, close):
+    small = "<div class=ad>Buy, now.</div><div class='with-ads related'><p>More, of that.</p></div><form>Mail, please</form>"
+    for page in (f"<body>{small}{open_}<h1>Title</h1>{BODY}{close}</body>", f"<body>{open_}<h1>Title</h1>{small}{BODY}{close}</body>"):
+        assert main_text(page) == f"Title\n{LINES}"
+
+
+def test_op10_an_advert_longer_than_the_article_is_dropped():
+    page = "<body><div class=ad>Buy now, buy cheap, buy more. Buy again, and then buy once more!</div>{}<h1>A title.</h1><p>Text, short.</p>{}</body>"
+    assert main_text(page.format("<article>", "</article>")) == "A title.\nText, short."
+
+
+def test_op10_a_part_with_a_state_word_stays():
+    page = f"<body><div class=page><div>{BODY}</div><div class='part with-sidebar'><p>One, two, three more.</p></div></div></body>"
+    assert main_text(page) == f"{LINES}\nOne, two, three more."
+
+
 def test_op10_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (3, "v", "")],
                                "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(2))
