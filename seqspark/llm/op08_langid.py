@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from seqspark.llm.common import sliced
 
 CHARS_PER_LANGUAGE = 40_000     # bound of the reference sample, in characters per language
-DOCS_PER_LANGUAGE = 400         # and in documents; whole texts only
+DOCS_PER_LANGUAGE = 400         # and in documents; the text that reaches the bound is cut
 MAX_SYMBOLS = 250
 SEGMENT = 1024                  # symbols parsed in a row; every segment starts a new phrase
 
@@ -101,19 +101,20 @@ def to_symbols(text: str, points: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         chars: int = CHARS_PER_LANGUAGE, max_docs: int = DOCS_PER_LANGUAGE) -> dict:
-    """Fit on a bounded sample: per language, at most ``max_docs`` whole texts in an order given by a hash of the id,
-    until ``chars`` characters are gathered.  Rows with null id, text or language are not used."""
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("_h"),
-                       F.col(id_col).alias("_i"))
-    rows = rows.where(F.expr(f"lang is not null and _i is not null and length(text) between 1 and {max(1, chars // 4)}"))
+    """Fit on a bounded sample: per language, at most ``max_docs`` texts in an order given by a hash of the id, until
+    ``chars`` characters are gathered; the last text is cut there.  A text counts from its first letter on; every
+    language with a letter is learned.  Rows with null id, text or language and texts without letters are not used."""
+    # No text gives more than ``chars`` characters, so longer ones are cut before they are shuffled.
+    start = F.regexp_extract(text_col, rf"(?s)\p{{L}}.{{0,{chars - 1}}}", 0)
+    rows = docs.select(F.col(lang_col).alias("lang"), start.alias("text"), F.xxhash64(id_col).alias("_h"),
+                       F.col(id_col).alias("_i")).where("lang is not null and _i is not null and text <> ''")
     order = Window.partitionBy("lang").orderBy("_h", "_i", "text")
-    picked = rows.withColumn("_k", F.row_number().over(order)).where(f"_k <= {max_docs}").select("lang", "text", "_k")
+    picked = rows.withColumn("_k", F.row_number().over(order)).where(f"_k <= {max_docs}")
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))
+    picked = picked.withColumn("_n", F.coalesce(before, F.lit(0))).where(f"_n < {chars}").select("lang", "text", "_k", "_n")
     by_lang: dict[str, list[str]] = {}
-    size: dict[str, int] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["_k"])):
-        if size.get(r["lang"], 0) < chars:
-            by_lang.setdefault(r["lang"], []).append(r["text"])
-            size[r["lang"]] = size.get(r["lang"], 0) + len(r["text"])
+        by_lang.setdefault(r["lang"], []).append(r["text"][:chars - r["_n"]])
     points, n_symbols = symbol_map([t for ts in by_lang.values() for t in ts])
     tables, lengths = [], []
     for lang in sorted(by_lang):

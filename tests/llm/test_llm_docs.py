@@ -377,6 +377,25 @@ def test_op8_cross_parsing(spark, docs, empty):
     assert {r["lang_pred"] for r in predict(df, fit(empty.withColumn("lang", F.lit("en")))).collect()} == {"und"}
 
 
+def test_op8_long_texts_are_learned(spark):
+    """A language whose texts are all long, or start without letters, is learned; the bound cuts the last text only."""
+    from seqspark.llm.op08_langid import fit, predict
+    rng = random.Random(2)
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    english, french, german = "the cat sat on mats".split(), "le chat était sur des tapis".split(), "der Hund lag im Zwinger".split()
+    data = [(i, text(english, 40), "en") for i in range(30)]
+    data += [(100 + i, text(french, 12_000), "fr") for i in range(3)] + [(200, "1 2 " * 20_000 + text(german, 300), "de")]
+    data += [(300, "12 34", "xx"), (301, None, "yy"), (302, text(english, 9), None)]
+    schema = "doc_id long, text string, lang string"
+    model = fit(spark.createDataFrame(data, schema))
+    assert model["langs"] == ["de", "en", "fr"]
+    assert model["lengths"][2] == 40_000
+    new = spark.createDataFrame([(1, text(french, 50)), (2, text(english, 50)), (3, text(german, 50))], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in predict(new, model).collect()} == {1: "fr", 2: "en", 3: "de"}
+    alone = fit(spark.createDataFrame([r for r in data if r[2] == "fr"], schema))
+    assert {r["lang_pred"] for r in predict(new, alone).collect()} == {"fr"}
+
+
 def test_op8_held_out_accuracy(spark):
     from seqspark.llm.op08_langid import op8_cross_parsing
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang")
