@@ -76,19 +76,22 @@ def random_infill(df: DataFrame, seed: int = 0, regions: Regions = ACTIVE_REGION
     Row i (in ``order_by`` order) receives the core cells of row perm(i), where
     perm orders rows by md5(id, seed); every non-core cell is an i.i.d. uniform
     base from md5(id, pos, seed).  Two exact indexes joined on the index (one
-    shuffle join, no broadcast of data-sized tables).
+    shuffle join, no broadcast of data-sized tables).  Every row gets one donor:
+    rows that repeat an id are ordered by sequence, a null id hashes as ''.
     """
     order_by = list(order_by or [id_col])
-    rows = with_row_index(df.select(id_col, *[c for c in order_by if c != id_col]), order_by).select(id_col, "row_idx")
-    donors = with_row_index(df.select(F.col(id_col).alias("_did"), hash32(id_col, seed).alias("_h")), ["_h", "_did"])
-    # only ids are numbered and paired; each side then fetches its sequence once
-    seqs = df.select(id_col, sequence_col)
-    paired = rows.join(donors.select("_did", "row_idx"), "row_idx").join(seqs, id_col).join(
-        df.select(F.col(id_col).alias("_did"), F.col(sequence_col).alias("_donor")), "_did")
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    # the sequences go with the numbered rows: an id need not be unique
+    cols = list(dict.fromkeys([id_col, *order_by, sequence_col]))
+    rows = with_row_index(df.select(*cols), list(dict.fromkeys([*order_by, id_col, sequence_col]))).select(
+        id_col, sequence_col, "row_idx")
+    donors = with_row_index(df.select(F.col(id_col).alias("_did"), F.col(sequence_col).alias("_donor"),
+                                      hash32(key, seed).alias("_h")), ["_h", "_did", "_donor"])
+    paired = rows.join(donors.select("_did", "_donor", "row_idx"), "row_idx")
     seqc = F.col(sequence_col)
     new = F.array_join(F.transform(chars(seqc), lambda c, i: F.when(
         in_core(i, regions) & (i < F.length("_donor")), F.substring("_donor", i + 1, F.lit(1)))
-        .otherwise(random_base(id_col, i, seed))), "")
+        .otherwise(random_base(key, i, seed))), "")
     return paired.select("row_idx", id_col, F.col("_did").alias("donor_id"), new.alias(sequence_col))
 
 

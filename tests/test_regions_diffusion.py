@@ -24,6 +24,16 @@ def test_core_slice_and_template(spark):
     assert r["t"].count("M") == 61 and core_of(r["t"]) == core_of(SEQ)
 
 
+def test_random_infill_repeated_and_null_ids(spark):
+    rows = [("a", "A" * 81), ("a", "C" * 81), ("a", "C" * 81), (None, "G" * 81), (None, "T" * 81), ("b", "AC" * 40 + "A")]
+    out = R.random_infill(spark.createDataFrame(rows, "id string, sequence string"), seed=3).collect()
+    assert sorted(r["row_idx"] for r in out) == list(range(len(rows)))
+    assert sorted(map(str, (r["id"] for r in out))) == sorted(str(i) for i, _ in rows)
+    assert all(len(r["sequence"]) == 81 for r in out)
+    core = lambda s: "".join(s[a:b] for a, b in R.ACTIVE_REGIONS)
+    assert sorted((str(r["donor_id"]), core(r["sequence"])) for r in out) == sorted((str(i), core(s)) for i, s in rows)
+
+
 def test_random_infill_keeps_donor_cores(spark):
     rows = [(f"r{i}", "".join("ACGT"[(i * j + j // 3) % 4] for j in range(81))) for i in range(40)]
     df = spark.createDataFrame(rows, "id string, sequence string")
