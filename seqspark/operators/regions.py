@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions.dna import BASES, chars
-from seqspark.functions.rand import hash32, random_base, uniform
+from seqspark.functions.permute import permute
+from seqspark.functions.rand import random_base, uniform
 from seqspark.operators.rowindex import with_row_index
 
 # Core regions of the 81-base promoter.
@@ -73,10 +74,9 @@ def random_infill(df: DataFrame, seed: int = 0, regions: Regions = ACTIVE_REGION
                   order_by: Sequence[str] | None = None) -> DataFrame:
     """Model-free generator.
 
-    Row i (in ``order_by`` order) receives the core cells of row perm(i), where
-    perm orders rows by md5(id, seed); every non-core cell is an i.i.d. uniform
-    base from md5(id, pos, seed).  Two exact indexes joined on the index (one
-    shuffle join, no broadcast of data-sized tables).  Every row gets one donor:
+    Row i (in ``order_by`` order) receives the core cells of row perm(i), perm being the keyed permutation of
+    the row index; every non-core cell is an i.i.d. uniform base from md5(id, pos, seed).  One exact index,
+    joined with itself on the donor's index (no broadcast of data-sized tables).  Every row gets one donor:
     rows that repeat an id are ordered by sequence, a null id hashes as ''.
     """
     order_by = list(order_by or [id_col])
@@ -85,9 +85,9 @@ def random_infill(df: DataFrame, seed: int = 0, regions: Regions = ACTIVE_REGION
     cols = list(dict.fromkeys([id_col, *order_by, sequence_col]))
     rows = with_row_index(df.select(*cols), list(dict.fromkeys([*order_by, id_col, sequence_col]))).select(
         id_col, sequence_col, "row_idx")
-    donors = with_row_index(df.select(F.col(id_col).alias("_did"), F.col(sequence_col).alias("_donor"),
-                                      hash32(key, seed).alias("_h")), ["_h", "_did", "_donor"])
-    paired = rows.join(donors.select("_did", "_donor", "row_idx"), "row_idx")
+    n = df.select(F.count(F.lit(1))).scalar()
+    donors = rows.select(F.col("row_idx").alias("_at"), F.col(id_col).alias("_did"), F.col(sequence_col).alias("_donor"))
+    paired = rows.withColumn("_n", n).withColumn("_at", permute("row_idx", F.col("_n"), seed)).join(donors, "_at")
     seqc = F.col(sequence_col)
     new = F.array_join(F.transform(chars(seqc), lambda c, i: F.when(
         in_core(i, regions) & (i < F.length("_donor")), F.substring("_donor", i + 1, F.lit(1)))

@@ -1,6 +1,6 @@
 """Splits and experiment design over rows.
 
-All randomness is an md5 hash of (key, seed), so membership is reproducible,
+Membership is an md5 hash of (key, seed), order a keyed permutation of the row index: both are reproducible,
 independent of partitioning, and checkable in SQL.  Ordered numbering uses
 ``with_row_index`` (range partitioning), never a global single-partition window.
 """
@@ -12,6 +12,7 @@ import warnings
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqspark.functions.permute import permute
 from seqspark.functions.rand import hash32
 from seqspark.operators.rowindex import with_row_index
 
@@ -77,11 +78,19 @@ def write_folds(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
      .partitionBy("split_id", "role").save(path))
 
 
-def shuffle_epochs(df: DataFrame, epochs: int, seed: int = 0, id_col: str = "id") -> DataFrame:
-    """O3: per-epoch shuffled order of rows: (epoch, position, ...) by md5(id, epoch, seed)."""
-    e = df.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
-    e = e.withColumn("_h", hash32(id_col, "epoch", seed))
-    return with_row_index(e, ["_h", id_col], partition_by=["epoch"], name="position").drop("_h")
+def shuffle_epochs(df: DataFrame, epochs: int, seed: int = 0, id_col: str = "id",
+                   index_col: str | None = None) -> DataFrame:
+    """O3: (epoch, position, ...): every epoch is another permutation of the rows.
+
+    The rows are numbered once by ``id_col`` (or bring a dense 0-based ``index_col``); an epoch's position is
+    the keyed permutation of that number, so no epoch is sorted or shuffled.  Rows that repeat an id need an
+    ``index_col`` to be reproducible; a null id is an id like any other.
+    """
+    idx = df if index_col else with_row_index(df, [id_col], name="_idx")
+    n = df.select(F.count(F.lit(1))).scalar()
+    e = idx.withColumn("_n", n).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    out = e.withColumn("position", permute(index_col or "_idx", F.col("_n"), seed, F.col("epoch")))
+    return out.drop("_idx", "_n")
 
 
 def batches(df: DataFrame, batch_size: int, order_by: list[str]) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqspark.functions import dna as D
-from seqspark.functions.rand import sql_hash32, sql_random_base, sql_uniform
+from seqspark.functions.permute import sql_permuted
+from seqspark.functions.rand import sql_random_base, sql_uniform
 from seqspark.operators import regions as R
 from seqspark.operators.rowindex import with_row_index
 from seqspark.plans.catalog import register
@@ -107,17 +108,19 @@ def generated_and_natural(spark, sf):
 SQL_NATIDX = """natidx AS (SELECT row_number() OVER (ORDER BY row_order) - 1 AS row_idx, sequence FROM pipeline)"""
 
 
-SQL_INFILL = f"""infill AS (
+SQL_INFILL = f"""numbered AS (SELECT row_number() OVER (ORDER BY id) - 1 AS row_idx, count(*) OVER () AS n_rows, id, sequence
+             FROM pipeline),
+{sql_permuted("given", "numbered", "row_idx", "n_rows", "donor_idx", seed=INFILL_SEED)},
+infill AS (
   SELECT row_idx, id, donor_id, donor,
          array_to_string(list_transform(string_split(sequence, ''), lambda c, i:
            CASE WHEN {sql_in_core('(i - 1)')} AND i - 1 < length(donor) THEN substr(donor, i, 1)
                 ELSE {sql_random_base(f"concat(id, '#', (i - 1)::VARCHAR, '#', '{INFILL_SEED}')")} END), '') AS sequence
-  FROM (SELECT row_number() OVER (ORDER BY id) - 1 AS row_idx, id, sequence FROM pipeline) r
-  JOIN (SELECT row_number() OVER (ORDER BY {sql_hash32(f"concat(id, '#', '{INFILL_SEED}')")}, id) - 1 AS row_idx,
-               id AS donor_id, sequence AS donor FROM pipeline) d USING (row_idx))"""
+  FROM (SELECT row_idx, id, sequence, donor_idx FROM given) r
+  JOIN (SELECT row_idx AS donor_idx, id AS donor_id, sequence AS donor FROM numbered) d USING (donor_idx))"""
 
 
-@register("core_clamp", V.with_views(f"""WITH {PIPE}, {SQL_NATIDX}, {SQL_INFILL}
+@register("core_clamp", V.with_views(f"""WITH RECURSIVE {PIPE}, {SQL_NATIDX}, {SQL_INFILL}
 SELECT g.row_idx, array_to_string(list_transform(string_split(g.sequence, ''), lambda c, i:
          CASE WHEN {sql_in_core('(i - 1)')} AND i - 1 < length(n.sequence) THEN substr(n.sequence, i, 1) ELSE c END), '')
        AS clamped
@@ -128,14 +131,14 @@ def q_core_clamp(spark, sf):
     return pairs.select("row_idx", R.overlay_core("gen", "nat").alias("clamped"))
 
 
-@register("random_infill", V.with_views(f"""WITH {PIPE}, {SQL_INFILL}
+@register("random_infill", V.with_views(f"""WITH RECURSIVE {PIPE}, {SQL_INFILL}
 SELECT row_idx, id, donor_id, sequence FROM infill""", "promoters"))
 def q_random_infill(spark, sf):
     p = pipeline(spark, sf, materialize=True).select("id", "sequence")
     return R.random_infill(p, seed=INFILL_SEED)
 
 
-@register("core_retention", V.with_views(f"""WITH {PIPE}, {SQL_NATIDX}, {SQL_INFILL},
+@register("core_retention", V.with_views(f"""WITH RECURSIVE {PIPE}, {SQL_NATIDX}, {SQL_INFILL},
 p AS (SELECT g.sequence AS gen, n.sequence AS nat FROM infill g JOIN natidx n USING (row_idx)),
 c AS (SELECT pos, (substr(gen, (pos + 1)::BIGINT, 1) = substr(nat, (pos + 1)::BIGINT, 1))::INTEGER AS m
       FROM (SELECT gen, nat, unnest(range(0, length(gen))) AS pos FROM p) WHERE pos < length(nat))
@@ -146,7 +149,7 @@ def q_core_retention(spark, sf):
     return R.core_retention(pairs)
 
 
-@register("core_kept", V.with_views(f"""WITH {PIPE}, {SQL_INFILL}
+@register("core_kept", V.with_views(f"""WITH RECURSIVE {PIPE}, {SQL_INFILL}
 SELECT count(*) AS n_pairs,
        count(*) FILTER (WHERE {' || '.join(f'substr(sequence, {a + 1}, {b - a})' for a, b in REG)}
                             = {' || '.join(f'substr(donor, {a + 1}, {b - a})' for a, b in REG)}) AS n_core_kept

@@ -147,7 +147,7 @@ def q_best_summary(spark, sf):
                          for c in ("best_metric_value", "trial_id", "fold", "epoch")])
 
 
-@register("generate_compare", V.with_views(f"""WITH {PIPE}, {SQL_INFILL},
+@register("generate_compare", V.with_views(f"""WITH RECURSIVE {PIPE}, {SQL_INFILL},
 c AS (SELECT kmer, count(*) FILTER (WHERE src = 1) AS n1, count(*) FILTER (WHERE src = 2) AS n2
       FROM (SELECT 1 AS src, substr(sequence, i::BIGINT, 6) AS kmer
             FROM (SELECT sequence, unnest(range(1, length(sequence) - 6 + 2)) AS i FROM infill)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seqspark.functions.permute import sql_permuted
 from seqspark.functions.rand import sql_hash32
 from seqspark.operators import split as S
 from seqspark.operators.rowindex import with_row_index
@@ -68,13 +69,17 @@ def q_fold_membership(spark, sf):
     return m.select("id", "label", "fold", F.col("split_id").cast("int").alias("split_id"), "role")
 
 
-@register("shuffle_epoch", V.with_views(f"""WITH {SQL_SEQ_SPLIT}
-SELECT epoch::INTEGER AS epoch, id, row_number() OVER (PARTITION BY epoch
-         ORDER BY {sql_hash32("concat(id::VARCHAR, '#', epoch::VARCHAR, '#', '0')")}, id) - 1 AS position
-FROM (SELECT id, unnest(range(1, {EPOCHS} + 1)) AS epoch FROM seqsplit WHERE split = 'train')""", "promoters"))
+SQL_EPOCHS = f"""train AS (SELECT id, row_idx, count(*) OVER () AS n_train, unnest(range(1, {EPOCHS} + 1)) AS epoch
+           FROM seqsplit WHERE split = 'train'),
+{sql_permuted("shuffled", "train", "row_idx", "n_train", "position", seed=0, tweak="epoch")}"""
+
+
+@register("shuffle_epoch", V.with_views(f"""WITH RECURSIVE {SQL_SEQ_SPLIT}, {SQL_EPOCHS}
+SELECT epoch::INTEGER AS epoch, id, position FROM shuffled""", "promoters"))
 def q_shuffle_epoch(spark, sf):
-    tr = seq_split(spark, sf).where("split = 'train'").select("id")
-    out = S.shuffle_epochs(tr, EPOCHS, seed=0)
+    """The train rows come first in the split's own index, which therefore numbers them without gaps."""
+    tr = seq_split(spark, sf).where("split = 'train'").select("id", "row_idx")
+    out = S.shuffle_epochs(tr, EPOCHS, seed=0, index_col="row_idx")
     return out.select(F.col("epoch").cast("int").alias("epoch"), "id", "position")
 
 
