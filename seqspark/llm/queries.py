@@ -16,6 +16,7 @@ _MODULES = {
     "op9_ppm": "op09_ppm",
     "op10_path_ratio": "op10_html",
     "op11_splitting_tree": "op11_mix",
+    "op12_scalar_dag": "op12_repair",
 }
 
 
@@ -27,4 +28,6 @@ def oracle_sql() -> dict:
     from seqspark.llm.op02_jaccard import OP2_SQL
     from seqspark.llm.op07_winnow import OP7_SQL
     from seqspark.llm.op11_mix import OP11_SQL
-    return {"op2_parity_sketch_join": OP2_SQL, "op7_winnowing": OP7_SQL, "op11_splitting_tree": OP11_SQL}
+    from seqspark.llm.op12_repair import OP12_SQL
+    return {"op2_parity_sketch_join": OP2_SQL, "op7_winnowing": OP7_SQL, "op11_splitting_tree": OP11_SQL,
+            "op12_scalar_dag": OP12_SQL}
