@@ -17,6 +17,7 @@ _MODULES = {
     "op10_path_ratio": "op10_html",
     "op11_splitting_tree": "op11_mix",
     "op12_scalar_dag": "op12_repair",
+    "op13_pattern_tree": "op13_audit",
 }
 
 
@@ -29,5 +30,6 @@ def oracle_sql() -> dict:
     from seqspark.llm.op07_winnow import OP7_SQL
     from seqspark.llm.op11_mix import OP11_SQL
     from seqspark.llm.op12_repair import OP12_SQL
+    from seqspark.llm.op13_audit import OP13_SQL
     return {"op2_parity_sketch_join": OP2_SQL, "op7_winnowing": OP7_SQL, "op11_splitting_tree": OP11_SQL,
-            "op12_scalar_dag": OP12_SQL}
+            "op12_scalar_dag": OP12_SQL, "op13_pattern_tree": OP13_SQL}
