@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqspark.functions.permute import permute, sql_permuted
-from seqspark.llm.common import save
+from seqspark.llm.common import save, shuffle_partitions
 
 BLOCK = 256                     # words of a block; a source under BLOCK * LEAST_BLOCKS words has shorter ones
 LEAST_BLOCKS = 512              # so a source's quota is exact to a thousandth of it, or to a word
@@ -165,6 +165,7 @@ def draw(plan_: DataFrame, shards: DataFrame, seed: int = SEED) -> DataFrame:
     """
     before = Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     spans = shards.withColumn("_first", F.coalesce(F.sum("quota").over(before), F.lit(0).cast("long"))).where("quota > 0")
+    spans = spans.repartition(shuffle_partitions(spans.sparkSession), "shard")       # a row becomes many: spread before it does
     drawn = (spans.withColumnRenamed("quota", "_n").join(plan_.select("k", "source", "blocks"), "k")
              .select("shard", "k", "source", "blocks", F.explode(F.expr("sequence(_first, _first + _n - 1)")).alias("_r")))
     epoch = F.floor(F.col("_r") / F.col("blocks")).cast("long")
