@@ -31,4 +31,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module (they register themselves)."""
     from seqspark.plans import (q_clean, q_diffusion, q_encode, q_experiments, q_kmers, q_metrics,  # noqa: F401
-                                q_io, q_scoring, q_series, q_split)
+                                q_io, q_reverse, q_scoring, q_series, q_split)
