@@ -11,15 +11,24 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions.dna import kmers
+from seqspark.operators.superkmers import kmer_counts_by_minimizer
+from seqspark.session import materialize
+
+COMBINE_K = 11                  # 5^11 possible k-mers: beyond, a task's k-mers are mostly distinct
 
 
 def kmer_counts(df: DataFrame, k: int, sequence_col: str = "sequence",
                 group_cols: Sequence[str] = ()) -> DataFrame:
-    """A5: (group..., kmer, n) over all overlapping k-mers."""
+    """A5: (group..., kmer, n) over all overlapping k-mers.
+
+    Up to ``COMBINE_K`` map-side combining keeps the shuffle small; above, super-k-mers are shuffled instead.
+    """
+    if k > COMBINE_K:
+        return kmer_counts_by_minimizer(df, k, sequence_col, group_cols)
     ex = df.select(*group_cols, F.explode(kmers(sequence_col, k)).alias("kmer"))
     return ex.groupBy(*group_cols, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
@@ -39,15 +48,17 @@ def kmer_freq(df: DataFrame, k: int, sequence_col: str = "sequence",
 def pearson(df: DataFrame, x: str, y: str, group_cols: Sequence[str] = (), name: str = "r") -> DataFrame:
     """Two-pass Pearson r per group; NULL when undefined (n < 2 or a constant vector).
 
-    Used on aggregated k-mer tables (at most 5^k rows per group), so the
-    window that supplies the group means is small.
+    The group means are aggregated and joined back (scalars without groups), so that no group's rows meet in
+    one task.
     """
     if group_cols:
-        w = Window.partitionBy(*group_cols)
-        mx, my = F.avg(x).over(w), F.avg(y).over(w)
-    else:                       # one group: the means are scalars, not a window in one task
+        means = df.groupBy(*group_cols).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
+        same = [F.col(f"d.{g}").eqNullSafe(F.col(f"m.{g}")) for g in group_cols]
+        c = df.alias("d").join(means.alias("m"), reduce(lambda a, b: a & b, same)).select(
+            *[F.col(f"d.{g}").alias(g) for g in group_cols], (F.col(x) - F.col("_mx")).alias("_dx"), (F.col(y) - F.col("_my")).alias("_dy"))
+    else:
         mx, my = df.agg(F.avg(x)).scalar(), df.agg(F.avg(y)).scalar()
-    c = df.select(*group_cols, (F.col(x) - mx).alias("_dx"), (F.col(y) - my).alias("_dy"))
+        c = df.select((F.col(x) - mx).alias("_dx"), (F.col(y) - my).alias("_dy"))
     g = c.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_kmers"),
                                    F.sum(F.col("_dx") * F.col("_dy")).alias("_sxy"),
                                    F.sum(F.col("_dx") * F.col("_dx")).alias("_sxx"),
@@ -103,7 +114,7 @@ def corpus_comparison(corpora: DataFrame, reference: str, others: Sequence[str],
 
     ``corpora`` is a long table (corpus, sequence).  One explode and one
     aggregation over (k, kmer) with a count per corpus (single shuffle, at most
-    5^k rows per k afterwards); then each pair is restricted to the union of
+    5^k rows per k afterwards, written once); then each pair is restricted to the union of
     its two observed k-mer sets (missing -> 0) and correlated.
     """
     ks, names = list(ks), [reference, *others]
@@ -112,10 +123,11 @@ def corpus_comparison(corpora: DataFrame, reference: str, others: Sequence[str],
     ex = ex.select(corpus_col, F.col("_k.k").alias("k"), F.explode("_k.km").alias("kmer"))
     counts = ex.groupBy("k", "kmer").agg(*[F.count_if(F.col(corpus_col) == n).alias(f"_n{i}")
                                           for i, n in enumerate(names)])
-    w = Window.partitionBy("k")   # <= 5^k rows per k
-    freqs = counts.select("k", *[F.col(f"_n{i}") for i in range(len(names))],
-                          *[F.try_divide(F.col(f"_n{i}"), F.sum(f"_n{i}").over(w)).alias(f"_f{i}")
-                            for i in range(len(names))])
+    counts = materialize(counts)   # <= 5^k rows per k; read for the totals, the means and the sums
+    totals = counts.groupBy(F.col("k").alias("_k")).agg(*[F.sum(f"_n{i}").alias(f"_t{i}") for i in range(len(names))])
+    freqs = counts.join(totals, F.col("k") == F.col("_k")).select(
+        "k", *[F.col(f"_n{i}") for i in range(len(names))],
+        *[F.try_divide(F.col(f"_n{i}"), F.col(f"_t{i}")).alias(f"_f{i}") for i in range(len(names))])
     pairs = freqs.select("k", F.explode(F.array(*[
         F.struct(F.lit(n).alias(corpus_col), F.col("_f0").alias("x"), F.col(f"_f{i}").alias("y"),
                  ((F.col("_n0") > 0) | (F.col(f"_n{i}") > 0)).alias("_in"))

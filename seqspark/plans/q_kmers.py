@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqspark.operators import kmers as K
@@ -35,6 +36,22 @@ def q_kmer_freq(spark, sf):
     return f.withColumn("freq", F.round("freq", 12))
 
 
+LARGE_K = 15
+
+
+@register("kmer_spectrum", V.with_views(f"""WITH {PIPE},
+c AS (SELECT label, kmer, count(*) AS n FROM ({sql_kmers('pipeline', LARGE_K, 'label')}) GROUP BY label, kmer)
+SELECT label, n, count(*) AS n_kmers, min(kmer) AS first_kmer, max(kmer) AS last_kmer,
+       round(n * count(*) / any_value(t), 12) AS share
+FROM (SELECT *, sum(n) OVER (PARTITION BY label) AS t FROM c) GROUP BY label, n""", "promoters"))
+def q_kmer_spectrum(spark, sf):
+    """A5 + A6 for k = 15: how many 15-mers of each class occur n times, and the share of all positions they hold."""
+    c = K.kmer_counts(pipeline(spark, sf, materialize=True), LARGE_K, group_cols=["label"])
+    s = c.groupBy("label", "n").agg(F.count(F.lit(1)).alias("n_kmers"), F.min("kmer").alias("first_kmer"), F.max("kmer").alias("last_kmer"))
+    s = s.withColumn("_t", F.sum(F.col("n") * F.col("n_kmers")).over(Window.partitionBy("label")))    # one row per count
+    return s.select("label", "n", "n_kmers", "first_kmer", "last_kmer", F.round(F.col("n") * F.col("n_kmers") / F.col("_t"), 12).alias("share"))
+
+
 SQL_CORR = f"""WITH {PIPE},
 c AS (SELECT kmer, count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n2
       FROM ({sql_kmers('pipeline', K6, 'label')}) GROUP BY kmer),
