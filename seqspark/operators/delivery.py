@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 _ROW_IN_PARTITION = (1 << 33) - 1           # low bits of monotonically_increasing_id
 
 
+def first_row_only(df: DataFrame, *columns: str) -> DataFrame:
+    """Null the columns but in every partition's first row."""
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_PARTITION)) == 0
+    marked = df.withColumn("_first_row", first)
+    return marked.select(*[F.when(F.col("_first_row"), F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
 def with_model(df: DataFrame, **models: DataFrame) -> DataFrame:
     """Add one column per model (a DataFrame of one row and one column); non-null in a partition's first row only.
 
     Pass the result straight to ``mapInArrow`` / ``mapInPandas``: a filter or shuffle in between may drop the row.
     """
-    first = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_PARTITION)) == 0
-    marked = df.withColumns({f"_scalar_{n}": m.scalar() for n, m in models.items()}).withColumn("_first_row", first)
-    return marked.select(*df.columns, *[F.when(F.col("_first_row"), F.col(f"_scalar_{n}")).alias(n) for n in models])
+    return first_row_only(df.withColumns({n: m.scalar() for n, m in models.items()}), *models)

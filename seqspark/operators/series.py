@@ -2,18 +2,21 @@
 
 Per-run windows would put a run's whole history into one task; the operators
 here use aggregations with partial aggregation, the exact distributed
-running min/max of ``rowindex.cumulative``, and (for the EMA recurrence) a
-distributed affine scan.
+running min/max of ``rowindex.cumulative``, sliding windows over range
+partitions with a halo, and (for the EMA recurrence) a distributed affine scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from seqspark.operators.rowindex import _cols, _range, cumulative
-from seqspark.session import ensure_checkpoint_dir
+from seqspark.operators.delivery import first_row_only
+from seqspark.operators.rowindex import _changes, _cols, _ordered, _range, _runs, cumulative
+from seqspark.session import ensure_checkpoint_dir, materialize
 
 # Fixed values (reference defaults).
 EARLY_STOP_WINDOW = 10
@@ -42,20 +45,92 @@ def best_checkpoints(df: DataFrame, run: str = "run", epoch: str = "epoch", loss
 
 
 def sliding_stats(df: DataFrame, window: int = EARLY_STOP_WINDOW, run: str = "run", epoch: str = "epoch",
-                  loss: str = "val_loss") -> DataFrame:
-    """min/max/count of ``loss`` over epochs (e-window, e] per (run, e).
+                  loss: str = "val_loss", num_partitions: int | None = None) -> DataFrame:
+    """(run, epoch, win_min, win_max, win_n): min, max and number of rows over a run's last ``window`` rows by epoch.
 
-    Each row is copied to the ``window`` epochs whose window contains it and
-    aggregated: a bounded x``window`` expansion with partial aggregation, so
-    a long (hot) run is spread over all tasks.  Epochs must be integers.
+    The rows are range-partitioned by (run, epoch), so a long run lies in many tasks; every partition is given
+    the ``window - 1`` rows before it as a halo (at most that many per partition, attached to its first row) and
+    makes one vectorised pass.  Epochs need not be dense.  Null losses are skipped (null if a window has no
+    other); NaN counts as the largest value, as in Spark's min and max.
     """
-    ex = df.select(run, F.col(epoch).alias("_src"), loss,
-                   F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("_j"))
-    ex = ex.withColumn(epoch, F.col("_src") + F.col("_j"))
-    g = ex.groupBy(run, epoch).agg(F.min(loss).alias("win_min"), F.max(loss).alias("win_max"),
-                                   F.count(F.lit(1)).alias("win_n"), F.max("_src").alias("_last"))
-    # keep only epochs that exist (the copy of the epoch itself is in its own window)
-    return g.where(F.col("_last") == F.col(epoch)).drop("_last")
+    rows = df.select(F.col(run).alias(run), F.col(epoch).alias(epoch), F.col(loss).cast("double").alias("_v"))
+    base, (gname,) = _ordered(rows, [epoch], [run], num_partitions)
+    tail_schema = StructType([base.schema["_pid"], base.schema[gname], base.schema["_v"], StructField("_at", LongType())])
+
+    def ends(batches):
+        held = None
+        for b in batches:
+            if b.num_rows < window - 1 and held is not None and b.num_rows:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            if b.num_rows:
+                held = b.slice(max(0, b.num_rows - window + 1))
+        if held is not None and held.num_rows:
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array(np.arange(held.num_rows))], names=tail_schema.names)
+
+    tails = base.select("_pid", gname, "_v").mapInArrow(ends, tail_schema)
+    order = Window.partitionBy(F.lit(0)).orderBy("_pid", "_at")                  # < window rows per partition
+    tails = materialize(tails.withColumn("_no", F.row_number().over(order)))
+    seen = tails.groupBy("_pid").agg(F.max("_no").alias("_upto"))
+    needs = seen.select((F.lead("_pid").over(Window.partitionBy(F.lit(0)).orderBy("_pid"))).alias("_for"), "_upto").where("_for is not null")
+    needs = needs.withColumn("_no", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_upto") - (window - 2)), F.col("_upto"))))
+    halo = needs.join(tails, "_no").groupBy("_for").agg(
+        F.array_sort(F.collect_list(F.struct("_no", F.col(gname).alias("g"), F.col("_v").alias("v")))).alias("_halo"))
+    given = first_row_only(base.join(F.broadcast(halo), base["_pid"] == halo["_for"], "left"), "_halo").select(
+        run, epoch, "_v", gname, "_halo")
+    schema = StructType([base.schema[run], base.schema[epoch], StructField("win_min", DoubleType()),
+                         StructField("win_max", DoubleType()), StructField("win_n", LongType())])
+
+    def scan(batches):
+        held = None                                                             # the last window - 1 rows: groups and values
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, v = b.column(3), b.column(2)
+            if held is None:
+                before = b.column(4)[0].as_py() or []
+                held = (pa.array([x["g"] for x in before], g.type), pa.array([x["v"] for x in before], pa.float64()))
+            n_held = len(held[0])
+            g, v = pa.concat_arrays([held[0], g]), pa.concat_arrays([held[1], v])
+            lo, hi, n = window_stats(_changes(g), v, window)
+            held = (g.slice(max(0, len(g) - window + 1)), v.slice(max(0, len(v) - window + 1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lo.slice(n_held), hi.slice(n_held), n.slice(n_held)],
+                                             names=schema.names)
+
+    return given.mapInArrow(scan, schema)
+
+
+def window_stats(changes: np.ndarray, values: pa.Array, window: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(min, max, rows) over the last ``window`` rows of each row's run; ``changes``: rows but the first that start a run.
+
+    Minima over the last 2^j rows come from two of the last 2^(j-1); a window is covered by two such spans.
+    """
+    size = len(values)
+    new = np.concatenate([[True], changes])[:size]
+    at = np.arange(size)
+    pos = at - np.maximum.accumulate(np.where(new, at, 0))
+    n = np.minimum(pos + 1, window)
+    null = np.asarray(values.is_null().to_numpy(zero_copy_only=False), bool)
+    v = np.asarray(values.fill_null(0.0).to_numpy(zero_copy_only=False), float)
+    nan = np.isnan(v) & ~null
+    low, high = np.where(null | nan, np.inf, v), np.where(null, -np.inf, np.where(nan, np.inf, v))
+    level = np.floor(np.log2(n)).astype(np.int64) if size else n
+    mins, maxs, span = np.full(size, np.inf), np.full(size, -np.inf), 1
+    for j in range(int(level.max(initial=0)) + 1):
+        here = level == j
+        back = at[here] - (n[here] - span)
+        mins[here], maxs[here] = np.minimum(low[here], low[back]), np.maximum(high[here], high[back])
+        full = np.flatnonzero(pos >= span)
+        low, high = low.copy(), high.copy()
+        low[full], high[full] = np.minimum(low[full], low[full - span]), np.maximum(high[full], high[full - span])
+        span *= 2
+
+    def inside(mask):
+        total = np.concatenate([[0], np.cumsum(mask)])
+        return total[at + 1] - total[at + 1 - n]
+
+    some, nans = inside(~null), inside(nan)
+    mins, maxs = np.where((some > 0) & (nans == some), np.nan, mins), np.where(nans > 0, np.nan, maxs)
+    return pa.array(mins, mask=some == 0), pa.array(maxs, mask=some == 0), pa.array(n.astype(np.int64))
 
 
 def early_stop(df: DataFrame, window: int = EARLY_STOP_WINDOW, tol: float = EARLY_STOP_TOL,
@@ -85,6 +160,43 @@ def checkpoint_epochs(df: DataFrame, rate: int = CHECKPOINT_RATE, epoch: str = "
 
 
 # ------------------------------------------------------------------ EMA
+BLOCK = 64
+
+
+def affine_scan(a: np.ndarray, b: np.ndarray, copied: np.ndarray, new: np.ndarray, held=(False, 1.0, 0.0)):
+    """Running composition of the maps y -> a*y + b inside runs (``new``: a run starts), after the map ``held``.
+
+    Rows stand in columns of blocks; one pass over the ``BLOCK`` rows of all blocks at once composes inside the
+    blocks, one over the blocks carries on, so that Python runs BLOCK + n / BLOCK steps for n rows.
+    """
+    n = len(a)
+    if not n:
+        return copied, a, b
+    width = -(-n // BLOCK)
+    pad = lambda x, fill: np.concatenate([x, np.full(width * BLOCK - n, fill, x.dtype)]).reshape(width, BLOCK).T.copy()
+    A, B, C, R = pad(a, 1.0), pad(b, 0.0), pad(copied, False), pad(new, False)
+    for i in range(1, BLOCK):
+        go = ~R[i]
+        B[i] = np.where(go, np.where(A[i] == 0, 0.0, A[i] * B[i - 1]) + B[i], B[i])      # a copy forgets NaN as well
+        A[i] = np.where(go, A[i] * A[i - 1], A[i])
+        C[i] |= go & C[i - 1]
+        R[i] |= R[i - 1]
+    ca, cb, cc = np.empty(width), np.empty(width), np.empty(width, bool)
+    cc_, ca_, cb_ = held
+    for k, (la, lb, lc, lr) in enumerate(zip(A[-1].tolist(), B[-1].tolist(), C[-1].tolist(), R[-1].tolist())):
+        cc[k], ca[k], cb[k] = cc_, ca_, cb_
+        if lr:
+            cc_, ca_, cb_ = lc, la, lb
+        else:
+            cc_, ca_, cb_ = cc_ or lc, la * ca_, (la * cb_ if la else 0.0) + lb
+    go = ~R
+    B = np.where(go, np.where(A == 0, 0.0, A * cb) + B, B)
+    C |= go & cc
+    A = np.where(go, A * ca, A)
+    flat = lambda x: x.T.reshape(-1)[:n]
+    return flat(C), flat(A), flat(B)
+
+
 def ema_series(df: DataFrame, value: str, order_by: str, partition_by=(), name: str = "ema",
                decay: float = EMA_DECAY, rate: int = EMA_RATE, start: int = EMA_START,
                num_partitions: int | None = None) -> DataFrame:
@@ -96,57 +208,42 @@ def ema_series(df: DataFrame, value: str, order_by: str, partition_by=(), name:
     the first update.
 
     Distributed affine scan: rows are range-partitioned by (group, step) and
-    checkpointed; each partition folds its rows in order (mapInPandas, state
-    carried across Arrow batches), giving per row y = B if a copy happened
-    else A*y_in + B.  Only groups spanning several partitions need a
-    carried-in y_in, composed from the earlier partitions' last maps (an
-    applyInPandas over fewer than 2 x #partitions rows) and applied with a
-    broadcast join.  No group is ever gathered into one task.
+    checkpointed; each partition scans its rows' maps y -> a*y + b in blocks
+    (``affine_scan``, the open run's map carried across Arrow batches), giving
+    per row y = B if a copy happened else A*y_in + B.  Only groups spanning
+    several partitions need a carried-in y_in, composed from the earlier
+    partitions' last maps (an applyInPandas over fewer than 2 x #partitions
+    rows) and applied with a broadcast join.  No group is ever gathered into one task.
     """
     spark = df.sparkSession
     group = _cols(partition_by)
     gnames = [f"_g{i}" for i in range(len(group))] or ["_g0"]
     staged = (df.withColumns({g: c for g, c in zip(gnames, group)}) if group
               else df.withColumn("_g0", F.lit(0)))
-    staged = staged.withColumn("_n", F.col(order_by).cast("long"))
+    staged = staged.withColumn("_n", F.col(order_by).cast("long")).withColumn("_x", F.col(value).cast("double"))
     base = (_range(staged, [F.col(g) for g in gnames] + [F.col("_n")], num_partitions)
             .sortWithinPartitions(*gnames, "_n")
             .withColumn("_pid", F.spark_partition_id()))
     ensure_checkpoint_dir(spark)
     base = base.checkpoint(eager=True)
-    cols = base.columns
     out_schema = StructType(list(base.schema.fields) + [StructField("_copied", BooleanType()),
                                                         StructField("_a", DoubleType()),
                                                         StructField("_b", DoubleType())])
 
-    def local(it):
-        import numpy as np
-        last_key, st = None, (False, 1.0, 0.0)
-        for pdf in it:
-            if pdf.empty:
-                continue
-            keys = list(zip(*[[None if v != v else v for v in pdf[g].tolist()] for g in gnames]))   # null equals null
-            n = pdf["_n"].to_numpy()
-            # step kind: 0 keep, 1 copy (before ``start`` or the first update), 2 decay update
-            kinds = np.where(n % rate != 0, 0, np.where((n < start) | (n == rate), 1, 2)).tolist()
-            xs = pdf[value].astype("float64").tolist()
-            cop, aa, bb = [], [], []
-            for key, k, x in zip(keys, kinds, xs):      # the recurrence itself is sequential
-                if key != last_key:
-                    last_key, st = key, (False, 1.0, 0.0)
-                if k == 1:
-                    st = (True, 0.0, x)
-                elif k == 2:
-                    st = (st[0], st[1] * decay, st[2] * decay + (1.0 - decay) * x)
-                cop.append(st[0])
-                aa.append(st[1])
-                bb.append(st[2])
-            out = pdf[cols].copy()
-            out["_copied"], out["_a"], out["_b"] = cop, aa, bb
-            yield out
+    def local(batches):
+        held = (False, 1.0, 0.0)                        # map of the open run so far
+        for batch, new, _ in _runs(batches, gnames):
+            n = batch.column(batch.schema.get_field_index("_n")).to_numpy(zero_copy_only=False)
+            x = batch.column(batch.schema.get_field_index("_x")).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+            keep, copy = n % rate != 0, (n < start) | (n == rate)     # a copy: before ``start`` or the first update
+            a = np.where(keep, 1.0, np.where(copy, 0.0, decay))
+            m = np.where(keep, 0.0, np.where(copy, x, (1.0 - decay) * x))
+            copied, aa, bb = affine_scan(a, m, copy & ~keep, new, held)
+            held = (bool(copied[-1]), float(aa[-1]), float(bb[-1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copied), pa.array(aa), pa.array(bb)], names=out_schema.names)
 
     # every column rides through the scan, so no join back to the input is needed
-    rows = base.mapInPandas(local, out_schema)
+    rows = base.mapInArrow(local, out_schema)
     seg = rows.groupBy("_pid", *gnames).agg(F.max_by(F.struct("_copied", "_a", "_b"), "_n").alias("_m"))
     seg = seg.select("_pid", *gnames, "_m._copied", "_m._a", "_m._b")
     types = dict(base.dtypes)
@@ -177,5 +274,5 @@ def ema_series(df: DataFrame, value: str, order_by: str, partition_by=(), name:
     j = rows.join(F.broadcast(carries), [F.col("_pid") == F.col("_cpid"),
                                          *[F.col(g).eqNullSafe(F.col(f"_c{g}")) for g in gnames]], "left")
     ema = F.when(F.col("_copied"), F.col("_b")).when(F.col("_has").isNotNull(), F.col("_a") * F.col("_y") + F.col("_b"))
-    return j.withColumn(name, ema).drop("_pid", "_n", "_copied", "_a", "_b", "_has", "_y", "_cpid",
+    return j.withColumn(name, ema).drop("_pid", "_n", "_x", "_copied", "_a", "_b", "_has", "_y", "_cpid",
                                       *gnames, *[f"_c{g}" for g in gnames])

@@ -129,3 +129,78 @@ def test_series_operators_treat_a_null_run_as_a_run(spark):
             x = float((n * 7 + (run or 0)) % 11)
             assert best[(run, n)] == (x < low)
             low = min(low, x)
+
+
+def brute_windows(rows, window):
+    out = {}
+    for run in {r for r, _, _ in rows}:
+        mine = sorted((e, v) for r, e, v in rows if r == run)
+        for i, (e, _) in enumerate(mine):
+            seen = [v for _, v in mine[max(0, i - window + 1):i + 1]]
+            some = [v for v in seen if v is not None]
+            real = [v for v in some if v == v]
+            lo = None if not some else min(real) if real else math.nan
+            hi = None if not some else math.nan if len(real) < len(some) else max(real)
+            out[(run, e)] = (lo, hi, len(seen))
+    return out
+
+
+@pytest.mark.parametrize("window,parts", [(1, 3), (2, 7), (10, 1), (10, 9), (25, 40)])
+def test_sliding_windows_over_a_hot_sparse_run(spark, window, parts):
+    """One run holds most rows and lies in many partitions, epochs have gaps, values are null or NaN now and then."""
+    rnd = random.Random(window)
+    rows = []
+    for run, n in ((None, 30), (1, 900), (2, 5), (3, 1)):
+        epochs = sorted(rnd.sample(range(5 * n), n))
+        rows += [(run, e, rnd.choice([None, math.nan, rnd.random(), rnd.random(), rnd.random()])) for e in epochs]
+    df = spark.createDataFrame(rows, "run long, epoch long, val_loss double").repartition(5)
+    got = S.sliding_stats(df, window, num_partitions=parts).collect()
+    want = brute_windows(rows, window)
+    key = lambda v: tuple("nan" if x is not None and x != x else x for x in v)
+    assert len(got) == len(rows)
+    assert {(r["run"], r["epoch"]): key((r["win_min"], r["win_max"], r["win_n"])) for r in got} == {k: key(v) for k, v in want.items()}
+    assert S.sliding_stats(df.limit(0), window).count() == 0
+
+
+def test_sliding_windows_run_in_many_tasks(spark):
+    df = spark.range(4000).selectExpr("1L as run", "id as epoch", "cast(id % 17 as double) as val_loss")
+    out = S.sliding_stats(df, 10, num_partitions=8)
+    assert out.rdd.getNumPartitions() == 8
+    sizes = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 1000
+
+
+def test_affine_scan_equals_loop():
+    import numpy as np
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 63, 64, 65, 1000):
+        a = rng.choice([1.0, 0.0, 0.9], n)
+        copied = a == 0
+        b = np.where(a == 1.0, 0.0, rng.normal(size=n))
+        new = rng.random(n) < 0.02
+        c, A, B = S.affine_scan(a, b, copied, new, (True, 0.5, 2.0))
+        st = (True, 0.5, 2.0)
+        for i in range(n):
+            st = (False, 1.0, 0.0) if new[i] else st
+            st = (st[0] or bool(copied[i]), a[i] * st[1], a[i] * st[2] + b[i])
+            assert (c[i], A[i]) == (st[0], pytest.approx(st[1], rel=1e-12)) and B[i] == pytest.approx(st[2], abs=1e-12)
+
+
+def test_affine_scan_is_much_faster_than_a_loop():
+    import time
+
+    import numpy as np
+    n, decay = 400_000, 0.99
+    x = np.random.default_rng(1).normal(size=n)
+    t = time.process_time()
+    S.affine_scan(np.full(n, decay), (1 - decay) * x, np.zeros(n, bool), np.zeros(n, bool))
+    ours = time.process_time() - t
+    t = time.process_time()
+    st, out = (False, 1.0, 0.0), []
+    for k, v in zip([2] * n, x.tolist()):
+        if k == 2:
+            st = (st[0], st[1] * decay, st[2] * decay + (1.0 - decay) * v)
+        out.append(st[1])
+        out.append(st[2])
+    loop = time.process_time() - t
+    assert ours * 3 < loop, (ours, loop)
