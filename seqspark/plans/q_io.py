@@ -15,6 +15,7 @@ from seqspark.plans.q_kmers import PIPE
 from seqspark.sources import driver_tables as V
 from seqspark.sources import files as IO
 from seqspark.session import materialize
+from seqspark.streaming.foldbest import latest, run_fold_best_stream
 from seqspark.streaming.leader import run_leader_stream
 
 
@@ -105,6 +106,21 @@ def q_stream_best(spark, sf):
     return run_leader_stream(spark, src, ev.schema, f"{root}/log", f"{root}/leader", f"{root}/_checkpoint")
 
 
+@register("stream_fold_best", V.with_views("""
+SELECT trial_id, fold, max(acc) AS best, min(epoch) FILTER (WHERE acc = top) AS epoch, count(*) AS n_events,
+       max(epoch) AS last_epoch
+FROM (SELECT *, max(acc) OVER (PARTITION BY trial_id, fold) AS top FROM eval_log) GROUP BY trial_id, fold""", "eval_log"))
+def q_stream_fold_best(spark, sf):
+    """X5 keyed: the later half of the events (by a hash, so most are late) arrives after a stop and restart."""
+    src, out, ckpt = (IO.scratch_path(spark, n) for n in ("fold-events", "fold-best", "fold-checkpoint"))
+    ev = materialize(V.eval_log(spark, sf))
+    half = F.pmod(F.xxhash64("trial_id", "fold", "epoch"), F.lit(2))
+    for part in (1, 0):
+        ev.where(half == part).write.mode("append").parquet(src)
+        run_fold_best_stream(spark, src, ev.schema, out, ckpt, max_files_per_trigger=6)
+    return latest(spark, out).select("trial_id", "fold", "best", "epoch", "n_events", "last_epoch")
+
+
 HP_OUT = ["lr", "lora_r", "lora_alpha_multiplier", "lora_alpha", "lora_dropout", "weight_decay", "batch_size",
           "gradient_accumulation_steps"]
 

@@ -122,3 +122,32 @@ def test_stream_log_is_complete(spark, tmp_path):
                       max_files_per_trigger=1)
     log = spark.read.parquet(str(tmp_path / "log2"))
     assert log.count() == 7 and log.select("batch_id").distinct().count() >= 2
+
+
+@pytest.mark.parametrize("parts", [[1, 1], [2, 5, 1]])
+def test_fold_best_stream_for_any_split_and_restart(spark, tmp_path, parts):
+    """Events in any order over several files and restarts: the last versions equal one pass over all events."""
+    from seqspark.streaming.foldbest import latest, run_fold_best_stream
+    rnd = random.Random(len(parts))
+    schema = "trial_id long, fold long, epoch long, acc double, note string"
+    rows = [(t, f, e, rnd.choice([None, float("nan"), rnd.randint(1, 6) / 10, rnd.randint(1, 6) / 10]), "x")
+            for t in (1, 2, None) for f in (1, 2) for e in range(1, 12)] + [(9, 1, 1, None, "x"), (9, 1, 2, float("nan"), "x")]
+    rnd.shuffle(rows)
+    src, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ckpt"))
+    step = -(-len(rows) // len(parts))
+    for i, n in enumerate(parts):
+        spark.createDataFrame(rows[i * step:(i + 1) * step], schema).repartition(n).write.mode("append").parquet(src)
+        run_fold_best_stream(spark, src, schema, out, ckpt, max_files_per_trigger=2)
+    run_fold_best_stream(spark, src, schema, out, ckpt)                 # nothing new: nothing changes
+    got = {(r["trial_id"], r["fold"]): r for r in latest(spark, out).collect()}
+    want = {}
+    for t, f, e, a, _ in rows:
+        want.setdefault((t, f), []).append((e, a))
+    assert set(got) == set(want)
+    for k, ev in want.items():
+        ok = [(-a, e) for e, a in ev if a is not None and a == a]
+        r = got[k]
+        assert (r["n_events"], r["n_valid"], r["last_epoch"]) == (len(ev), len(ok), max(e for e, _ in ev))
+        assert (r["best"], r["epoch"]) == ((-min(ok)[0], min(ok)[1]) if ok else (None, None))
+    assert sum(r["n_late"] for r in got.values()) > 0
+    assert spark.read.parquet(out).groupBy("trial_id", "fold", "version").count().where("count > 1").count() == 0
