@@ -76,7 +76,7 @@ def flatten_params(df: DataFrame, params: Sequence[str], prefix: str = "param_")
 def trial_folds(trials: DataFrame, n_splits: int = 5, seed: int = 42, trial_col: str = "trial_id") -> DataFrame:
     """J3 + E6: trial x fold rows (explode, no join) with fold_seed = seed + trial*1000 + fold."""
     t = trials.select(trial_col, F.explode(F.sequence(F.lit(1), F.lit(n_splits))).alias("fold"))
-    return t.withColumn("fold_seed", (F.lit(seed) + F.col(trial_col) * 1000 + F.col("fold")).cast("bigint"))
+    return t.withColumn("fold_seed", F.lit(seed).cast("bigint") + F.col(trial_col).cast("bigint") * 1000 + F.col("fold"))
 
 
 def _valid(acc: str = "acc") -> Column:

@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.functions.dna import BASES, chars
+from seqspark.functions.dna import BASES
 from seqspark.functions.rand import hash32, sql_hash32
 from seqspark.operators.delivery import with_model
 from seqspark.operators.diffusion import random_timestep
+from seqspark.operators.kernels import position_counts
 from seqspark.operators.regions import ACTIVE_REGIONS, Regions
 
 P = 2147483647
@@ -217,9 +218,8 @@ def cell_means(df: DataFrame, x: str = "x") -> DataFrame:
 
 
 def base_means(df: DataFrame, sequence_col: str = "sequence") -> DataFrame:
-    """(mean array): share of each base at each position, position-major; map-side combined counts of L x 4 cells."""
-    c = df.select(F.posexplode(chars(sequence_col)).alias("pos", "ch"))
-    per = c.groupBy("pos").agg(F.array(*[F.count_if(F.col("ch") == b) / F.count(F.lit(1)) for b in BASES]).alias("v"))
+    """(mean array): share of each base at each position, position-major; tasks pass on L x 4 counts."""
+    per = position_counts(df, sequence_col).select("pos", F.array(*[F.col(f"n_{b}") / F.col("n") for b in BASES]).alias("v"))
     return per.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda c: c["v"])).alias("mean"))
 
 

@@ -1,5 +1,5 @@
-"""Sequence scoring: a position-weight-matrix classifier, the batch scorer, mutation importance
-and a pyspark.ml k-mer classifier (X1, X2, X4, R1, R2).
+"""Sequence scoring: a position-weight-matrix classifier, the batch scorer and mutation importance
+(X1, X2, R1, R2).
 
 The model weights (positions x 4 bases) are bounded by the sequence length,
 not by the data, so they are safe to broadcast or to ship to Python workers.
@@ -15,33 +15,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions.dna import BASES, chars
-from seqspark.session import materialize
+from seqspark.operators.delivery import with_model
+from seqspark.operators.kernels import grouped_scores, position_counts, substitution_sums
 
 
 def pwm_weights(train: DataFrame, sequence_col: str = "sequence", label_col: str = "label",
                 pseudo: float = 1.0) -> DataFrame:
     """Log-odds weight per (pos, base): log P(base | strong, pos) - log P(base | weak, pos), add-``pseudo``.
 
-    One explode + one aggregation by position with the 4 x 2 (base, class)
-    counts as columns; the result has at most L x 4 rows.
+    Counts per (class, position) by one Arrow pass; the result has at most L x 4 rows.
     """
-    cells = train.select(F.col(label_col).alias("_y"), F.posexplode(chars(sequence_col)).alias("pos", "base"))
-    counts = [F.count_if((F.col("_y") == y) & (F.col("base") == b)).alias(f"n{y}_{b}")
-              for y in (1, 0) for b in BASES]
-    g = cells.groupBy("pos").agg(*counts)
+    return _log_odds(position_counts(train.where(F.col(label_col).isin(0, 1)), sequence_col, [label_col]), label_col, F.lit(float(pseudo)), [])
+
+
+def _log_odds(counts: DataFrame, label_col: str, pseudo, keys: Sequence[str]) -> DataFrame:
+    """(keys..., pos, base, w) from counts per (keys..., class, position)."""
+    y = F.col(label_col)
+    n = counts.groupBy(*keys, "pos").agg(*[F.coalesce(F.sum(F.when(y == c, F.col(f"n_{b}"))), F.lit(0)).alias(f"n{c}_{b}")
+                                           for c in (1, 0) for b in BASES])
+    return _weights_of(n, pseudo, keys)
+
+
+def _weights_of(n: DataFrame, pseudo, keys: Sequence[str]) -> DataFrame:
     t1 = sum((F.col(f"n1_{b}") for b in BASES), F.lit(0))
     t0 = sum((F.col(f"n0_{b}") for b in BASES), F.lit(0))
     rows = F.array(*[F.struct(F.lit(b).alias("base"), (
         F.log((F.col(f"n1_{b}") + pseudo) / (t1 + 4 * pseudo))
         - F.log((F.col(f"n0_{b}") + pseudo) / (t0 + 4 * pseudo))).alias("w")) for b in BASES])
-    return g.select(F.col("pos").cast("int").alias("pos"), F.explode(rows).alias("r")) \
-        .select("pos", "r.base", "r.w")
+    return n.select(*keys, F.col("pos").cast("int").alias("pos"), F.explode(rows).alias("r")).select(*keys, "pos", "r.base", "r.w")
 
 
 def _base_idx(c):
     return F.instr(F.lit("ACGT"), c) - 1
 
 
+def weight_row(weights: DataFrame) -> DataFrame:
+    """One row: the model as a dense array<double> (index pos*4 + base); empty without weights."""
+    k = (F.col("pos") * 4 + _base_idx(F.col("base"))).cast("int")
+    m = F.map_from_entries(F.collect_list(F.struct(k, F.col("w"))))
+    dense = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys(m)) - F.array_max(F.map_keys(m)) % 4 + 3),
+                        lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))
+    return weights.where(_base_idx(F.col("base")) >= 0).select(F.when(F.count(F.lit(1)) > 0, dense).alias("weights"))
+
+
 def weight_map(weights: DataFrame):
     """The model as one dense array<double> scalar subquery (index pos*4 + base).
 
@@ -49,11 +65,7 @@ def weight_map(weights: DataFrame):
     inlined into every task; lookups are O(1) array accesses, so scoring
     needs no join and no shuffle.  Positions absent from ``weights`` get 0.
     """
-    k = (F.col("pos") * 4 + _base_idx(F.col("base"))).cast("int")
-    m = F.map_from_entries(F.collect_list(F.struct(k, F.col("w"))))
-    dense = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys(m))),
-                        lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))
-    return weights.where(_base_idx(F.col("base")) >= 0).select(dense).scalar()
+    return weight_row(weights).scalar()
 
 
 def _w(m, pos, base):
@@ -83,11 +95,17 @@ class PWMScorer:
     """A loaded-once batch model: scores a pandas batch of sequences with numpy."""
 
     def __init__(self, weights: dict[tuple[int, str], float]):
-        self.L = 1 + max((p for p, _ in weights), default=-1)
+        self.L = 1 + max((p for p, _ in weights), default=-1)     # positions from 0, letters as keys
         self.table = np.zeros((max(self.L, 1), 256))
         for (p, b), w in weights.items():
             self.table[p, ord(b)] = w
 
+    @classmethod
+    def from_array(cls, values) -> PWMScorer:
+        """From the dense array of ``weight_row`` (null: a model without weights)."""
+        flat = [] if values is None else list(values)
+        return cls({(i // 4, BASES[i % 4]): w for i, w in enumerate(flat)})
+
     def __call__(self, seqs: pd.Series) -> np.ndarray:
         """Vectorised: the batch becomes one (rows x L) byte matrix, scored by one gather + row sum."""
         n, L = len(seqs), self.table.shape[0]
@@ -98,26 +116,35 @@ class PWMScorer:
         return self.table[np.arange(L), codes].sum(axis=1)
 
 
-def batch_score(df: DataFrame, model_factory: Callable[[], Callable[[pd.Series], np.ndarray]],
-                sequence_col: str = "sequence", keep: Sequence[str] = ("id",), batch_size: int = 1024) -> DataFrame:
+def batch_score(df: DataFrame, model_factory: Callable, sequence_col: str = "sequence", keep: Sequence[str] = ("id",),
+                batch_size: int = 1024, model: DataFrame | None = None) -> DataFrame:
     """Score rows in Arrow batches with a model built once per task.
 
-    ``model_factory`` is called once per partition (e.g. to load weights from
-    shared storage); its result maps a pandas Series of sequences to logits.
+    ``model_factory`` is called once per partition; its result maps a pandas Series of sequences to logits.
+    With ``model`` (one row and one column, bounded by the model's width) it is called with that value, which
+    Spark hands to every partition's first row; without, it takes no argument (e.g. to load weights from
+    shared storage).  A factory that is called with a model must accept null (an empty model).
     """
     keep = list(keep)
     schema = ", ".join(f"{c} {t}" for c, t in df.select(*keep).dtypes) + ", score double"
+    rows = df.select(*keep, F.col(sequence_col).alias("_text"))
+    rows = rows if model is None else with_model(rows, _model=model)
+
+    delivered = model is not None
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = model_factory()
+        scorer = None if delivered else model_factory()
         for pdf in it:
-            for start in range(0, len(pdf), batch_size):
-                part = pdf.iloc[start:start + batch_size]
-                out = part[keep].copy()
-                out["score"] = model(part[sequence_col])
-                yield out
+            if not len(pdf):
+                continue
+            if scorer is None:
+                scorer = model_factory(pdf["_model"].iloc[0])
+            out = pdf[keep].copy()
+            out["score"] = np.concatenate([np.asarray(scorer(pdf["_text"].iloc[at:at + batch_size]), float)
+                                           for at in range(0, len(pdf), batch_size)])
+            yield out
 
-    return df.select(*keep, sequence_col).mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)
 
 
 def mutation_effects(df: DataFrame, weights: DataFrame, id_col: str = "id",
@@ -182,27 +209,21 @@ def window_mask_effects(df: DataFrame, weights: DataFrame, window: int, id_col:
 def mutation_summary(df: DataFrame, weights: DataFrame, sequence_col: str = "sequence") -> DataFrame:
     """R1 aggregated: per (pos, alt) the number of variants, mean score change and mean |p_mut - p_wt|.
 
-    Same numbers as aggregating ``mutation_effects``, but the three (or four,
-    for a non-ACGT reference) substitutions of a cell are columns of one
-    (sequence, position) row, un-pivoted only after the per-position partial
-    aggregation: 3x fewer rows flow through the scan than one per variant.
+    Same numbers as aggregating ``mutation_effects``.  The score change of a substitution depends on its position
+    and letters only, so its mean comes from the letter counts; the probability change is summed in one Arrow pass
+    over byte matrices, and nothing is exploded.  Null sequences have no variants.
     """
-    p_wt = sigmoid("score")
-    cols = []
+    sums = substitution_sums(df, weight_row(weights), sequence_col)
+    per = weights.groupBy("pos").agg(*[F.coalesce(F.sum(F.when(F.col("base") == b, F.col("w"))), F.lit(0.0)).alias(f"w_{b}") for b in BASES])
+    g = sums.join(per, "pos", "left").na.fill(0.0)
+    structs = []
     for b in BASES:
-        d = F.when(F.col("ref") != b, F.col(f"d_{b}"))
-        cols += [d.alias(f"d_{b}"), F.abs(sigmoid(F.col("score") + d) - p_wt).alias(f"p_{b}")]
-    c = _cells(df, weights, sequence_col).select("pos", *cols)
-    aggs = []
-    for b in BASES:
-        aggs += [F.count(f"d_{b}").alias(f"n_{b}"), F.sum(f"d_{b}").alias(f"sd_{b}"), F.sum(f"p_{b}").alias(f"sp_{b}")]
-    g = c.groupBy("pos").agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(b).alias("alt"), F.col(f"n_{b}").alias("n_variants"),
-                              F.try_divide(F.col(f"sd_{b}"), F.col(f"n_{b}")).alias("mean_delta"),
-                              F.try_divide(F.col(f"sp_{b}"), F.col(f"n_{b}")).alias("mean_dp"),
-                              F.col(f"sp_{b}").alias("sum_dp")) for b in BASES])
-    out = g.select("pos", F.explode(rows).alias("r")).select("pos", "r.*")
-    return out.where(F.col("n_variants") > 0)
+        others = [c for c in BASES if c != b]
+        n = sum((F.col(f"ref_{c}") for c in others), F.col("ref_other"))
+        change = sum((F.col(f"ref_{c}") * (F.col(f"w_{b}") - F.col(f"w_{c}")) for c in others), F.col("ref_other") * F.col(f"w_{b}"))
+        structs.append(F.struct(F.lit(b).alias("alt"), n.cast("bigint").alias("n_variants"), F.try_divide(change, n).alias("mean_delta"),
+                                F.try_divide(F.col(f"p_{b}"), n).alias("mean_dp"), F.col(f"p_{b}").alias("sum_dp")))
+    return g.select("pos", F.explode(F.array(*structs)).alias("r")).select("pos", "r.*").where("n_variants > 0")
 
 
 def cv_pwm_search(df: DataFrame, pseudos: Sequence[float], fold_col: str = "fold", id_col: str = "id",
@@ -210,46 +231,33 @@ def cv_pwm_search(df: DataFrame, pseudos: Sequence[float], fold_col: str = "fold
     """Hyper-parameter search x k-fold cross-validation of the PWM classifier in one job.
 
     PWM counts are additive and do not depend on the hyper-parameter (the
-    pseudo-count), so one aggregation by (fold, pos) fits every (trial, fold)
+    pseudo-count), so one pass by (fold, class) fits every (trial, fold)
     model: the model of fold f is (all counts) - (counts of fold f).  Each
-    row is scored by every trial's model of its held-out fold (rows x #trials,
-    narrow).  Output: trial_id (1-based),
-    pseudo, id, fold, label, score, predicted_label.
+    row is scored by every trial's model of its held-out fold in an Arrow kernel, to which the
+    folds x trials x L x 4 weights come with each partition's first row.  Folds are integers from 0.
+    Output: trial_id (1-based), pseudo, id, fold, label, score, predicted_label.
     """
     from pyspark.sql import Window
-    cells = df.select(F.col(fold_col).alias("_f"), F.col(label_col).alias("_y"),
-                      F.posexplode(chars(sequence_col)).alias("pos", "base"))
-    names = [f"n{y}_{b}" for y in (1, 0) for b in BASES]
-    per_fold = cells.groupBy("_f", "pos").agg(*[F.count_if((F.col("_y") == y) & (F.col("base") == b)).alias(
-        f"n{y}_{b}") for y in (1, 0) for b in BASES])
+    data = df.select(id_col, fold_col, label_col, sequence_col)
+    by = position_counts(data.where(F.col(label_col).isin(0, 1)), sequence_col, [fold_col, label_col])
+    y = F.col(label_col)
+    names = [f"n{c}_{b}" for c in (1, 0) for b in BASES]
+    per_fold = by.groupBy(F.col(fold_col).alias("fold"), "pos").agg(*[
+        F.coalesce(F.sum(F.when(y == c, F.col(f"n_{b}"))), F.lit(0)).alias(f"n{c}_{b}") for c in (1, 0) for b in BASES])
     w = Window.partitionBy("pos")    # k rows per position
-    train = per_fold.select("_f", "pos", *[(F.sum(c).over(w) - F.col(c)).alias(c) for c in names])
-    trials = F.array(*[F.struct(F.lit(i + 1).alias("trial_id"), F.lit(float(p)).alias("pseudo"))
-                       for i, p in enumerate(pseudos)])
+    train = per_fold.select("fold", "pos", *[(F.sum(c).over(w) - F.col(c)).alias(c) for c in names])
+    trials = F.array(*[F.struct(F.lit(i + 1).alias("trial_id"), F.lit(float(p)).alias("pseudo")) for i, p in enumerate(pseudos)])
     train = train.select("*", F.explode(trials).alias("_t")).select("*", "_t.trial_id", "_t.pseudo")
-    ps = F.col("pseudo")
-    t1 = sum((F.col(f"n1_{b}") for b in BASES), F.lit(0))
-    t0 = sum((F.col(f"n0_{b}") for b in BASES), F.lit(0))
-    wcols = F.array(*[F.struct(F.lit(b).alias("base"), (
-        F.log((F.col(f"n1_{b}") + ps) / (t1 + 4 * ps))
-        - F.log((F.col(f"n0_{b}") + ps) / (t0 + 4 * ps))).alias("w")) for b in BASES])
-    weights = train.select("trial_id", "_f", "pos", F.explode(wcols).alias("r")).select(
-        "trial_id", "_f", "pos", "r.base", "r.w")
+    weights = _weights_of(train, F.col("pseudo"), ["trial_id", "fold"])
     k = (F.col("pos") * 4 + _base_idx(F.col("base"))).cast("int")
-    per = weights.groupBy("trial_id", "_f").agg(F.map_from_entries(F.collect_list(F.struct(k, F.col("w")))).alias("_mm"))
-    dense = per.select("trial_id", "_f", F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_mm"))),
-                                                     lambda i: F.coalesce(F.try_element_at("_mm", i), F.lit(0.0))).alias("_a"))
-    # one row per fold with the arrays of its trials: folds x trials x L x 4 numbers, broadcast under that bound;
-    # a row is scored by all trials of its fold before the explode, which carries scores only
-    by_fold = dense.groupBy("_f").agg(F.sort_array(F.collect_list(F.struct("trial_id", "_a"))).alias("_models"))
+    per = weights.groupBy("trial_id", "fold").agg(F.map_from_entries(F.collect_list(F.struct(k, F.col("w")))).alias("_mm"))
+    dense = per.select("fold", "trial_id", F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_mm"))),
+                                                       lambda i: F.coalesce(F.try_element_at("_mm", i), F.lit(0.0))).alias("weights"))
+    models = dense.agg(F.sort_array(F.collect_list(F.struct(F.col("fold").cast("int").alias("fold"), "trial_id", "weights"))).alias("models"))
+    scored = grouped_scores(data, models, fold_col, [id_col, fold_col, label_col], sequence_col)
     pseudo = F.array(*[F.lit(float(p)) for p in pseudos])
-    rows = df.select(id_col, fold_col, label_col, chars(sequence_col).alias("_chars")).join(
-        F.broadcast(by_fold), F.col(fold_col) == F.col("_f"))
-    scores = F.transform("_models", lambda t: F.struct(t["trial_id"].alias("trial_id"), F.aggregate(
-        F.transform(F.col("_chars"), lambda c, i: _w(t["_a"], i, c)), F.lit(0.0), lambda a, x: a + x).alias("score")))
-    rows = rows.select(id_col, fold_col, label_col, F.explode(scores).alias("_s"))
-    return rows.select("_s.trial_id", F.element_at(pseudo, F.col("_s.trial_id")).alias("pseudo"), id_col, fold_col, label_col,
-                       "_s.score", F.when(F.col("_s.score") > 0, 1).otherwise(0).alias("predicted_label"))
+    return scored.select("trial_id", F.element_at(pseudo, F.col("trial_id")).alias("pseudo"), id_col, fold_col, label_col, "score",
+                         F.when(F.col("score") > 0, 1).otherwise(0).alias("predicted_label"))
 
 
 def cv_pwm_predictions(df: DataFrame, fold_col: str = "fold", id_col: str = "id",
@@ -277,34 +285,3 @@ def core_regions(importance: DataFrame, quantile: float = 0.75, score_col: str =
     island = F.col("pos") - F.row_number().over(Window.orderBy("pos"))
     return core.withColumn("_island", island).groupBy("_island").agg(
         F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.avg(mean_col).alias("mean_importance")).drop("_island")
-
-
-def kmer_classifier_search(df: DataFrame, reg_params: Sequence[float], k: int = 4, folds_col: str = "fold",
-                           label_col: str = "label", sequence_col: str = "sequence", max_iter: int = 20,
-                           parallelism: int = 4, n_splits: int = 5) -> DataFrame:
-    """X4 as Spark ML's own search x k-fold loop: CrossValidator over a regParam grid with the
-    caller's (stratified) fold column; fold models are fitted in parallel.
-
-    Returns one row per trial: trial_id, reg_param, mean_auc, std_auc.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import CountVectorizer
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    from seqspark.functions.dna import kmers
-    # every pass of the optimiser rereads its input: it is written once to the shared folder
-    data = materialize(df.select((F.col(folds_col) - 1).cast("int").alias("_fold"),
-                                 F.col(label_col).cast("double").alias("label"), kmers(sequence_col, k).alias("tokens")))
-    lr = LogisticRegression(maxIter=max_iter)
-    pipe = Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=4 ** k), lr])
-    grid = ParamGridBuilder().addGrid(lr.regParam, [float(r) for r in reg_params]).build()
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, foldCol="_fold", numFolds=n_splits,
-                        evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
-                        parallelism=parallelism)
-    model = cv.fit(data)
-    std = list(model.stdMetrics) if model.stdMetrics else [None] * len(grid)
-    rows = [(i + 1, float(r), float(m), None if s is None else float(s))
-            for i, (r, m, s) in enumerate(zip(reg_params, model.avgMetrics, std))]
-    return df.sparkSession.createDataFrame(rows, "trial_id int, reg_param double, mean_auc double, std_auc double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seqspark.operators import logistic as L
 from seqspark.operators import scoring as Sc
 from seqspark.operators.metrics import MODEL_REGISTRY
 from seqspark.plans.catalog import register
@@ -74,11 +75,9 @@ def q_pwm_score(spark, sf):
 SELECT id, round(score, 9) AS score, round(1.0 / (1.0 + exp(-score)), 9) AS prob_strong_promoter,
        CASE WHEN score > 0 THEN 1 ELSE 0 END AS predicted_label FROM wt""", "promoters"))
 def q_batch_score(spark, sf):
-    # the model (<= L x 4 weights, bounded by sequence length) is fitted on the cluster,
-    # shipped to the workers inside the factory and built once per task
+    # the model (<= L x 4 weights, bounded by sequence length) comes with every partition's first row
     d = promoters_clean(spark, sf)
-    w = {(int(r["pos"]), r["base"]): float(r["w"]) for r in weights(spark, sf, d).collect()}
-    s = Sc.batch_score(d, lambda: Sc.PWMScorer(w))
+    s = Sc.batch_score(d, Sc.PWMScorer.from_array, model=Sc.weight_row(weights(spark, sf, d)))
     return s.select("id", F.round("score", 9).alias("score"),
                     F.round(Sc.sigmoid("score"), 9).alias("prob_strong_promoter"),
                     F.when(F.col("score") > 0, 1).otherwise(0).alias("predicted_label"))
@@ -114,13 +113,34 @@ def q_core_identify(spark, sf):
                     F.round("mean_importance", 9).alias("mean_importance"))
 
 
+REG_PARAMS = [0.01, 0.1]
+CLASSIFIER_K = 4
+
+
+def labelled_folds(spark, sf):
+    return folds(spark, sf, pipeline(spark, sf).select("id", "label", "sequence"))
+
+
 @register("kmer_classifier")
 def q_kmer_classifier(spark, sf):
-    """K-mer logistic regression, regParam grid x the stratified folds via CrossValidator
-    (no SQL twin: iterative model fitting)."""
-    f = folds(spark, sf, pipeline(spark, sf).select("id", "label", "sequence"))
-    return Sc.kmer_classifier_search(f, [0.01, 0.1], k=4)
-
+    """K-mer logistic regression, regParam grid x the stratified folds, all models fitted together
+    (no SQL twin: iterative fitting; tests compare with Spark ML)."""
+    return L.kmer_classifier_search(labelled_folds(spark, sf), REG_PARAMS, k=CLASSIFIER_K)
+
+
+@register("kmer_classifier_models", V.with_views(f"""WITH {PIPE}, {SQL_FOLDS},
+t AS (SELECT * FROM (VALUES {", ".join(f"({i + 1}, {r!r}::DOUBLE)" for i, r in enumerate(REG_PARAMS))}) t(trial_id, reg_param)),
+f AS (SELECT fold, count(*) AS n_test, count(*) FILTER (WHERE label = 1) AS p FROM folds GROUP BY fold)
+SELECT trial_id, fold, reg_param, (sum(n_test) OVER (PARTITION BY trial_id) - n_test)::BIGINT AS n_train,
+       (sum(p) OVER (PARTITION BY trial_id) - p)::BIGINT AS n_pos, n_test, 4 ** {CLASSIFIER_K} AS n_features, true AS stationary,
+       true AS has_auc
+FROM t, f""".replace(f"4 ** {CLASSIFIER_K}", f"{4 ** CLASSIFIER_K}::INTEGER"), "promoters"))
+def q_kmer_classifier_models(spark, sf):
+    """X4 per model: sizes of its training and test rows, and whether its mean gradient vanishes at the coefficients."""
+    models, auc = L.kmer_models(labelled_folds(spark, sf), REG_PARAMS, CLASSIFIER_K)
+    return models.join(auc, ["trial_id", "fold"]).select(
+        "trial_id", "fold", "reg_param", "n_train", "n_pos", "n_test", F.size("coefficients").alias("n_features"),
+        (F.col("gradient") < 1e-8).alias("stationary"), F.col("auc").between(0.0, 1.0).alias("has_auc"))
 
 
 def _sql_cv() -> str:
@@ -232,40 +252,60 @@ def q_pwm_search(spark, sf):
         F.col("trial_id").cast("int").alias("trial_id"), "param_pseudo", "n_folds", *r, "rank")
 
 
-# Query parameter: the registered model whose sheet lacks its label column, so that its validation fails.
-BROKEN_MODEL = "nt"
+# Query parameters: a registered model whose sheet lacks its label column, and one whose scorer raises on one row.
+BROKEN_SHEET, RAISING = "nt", "genomeocean"
 VALIDATION_REG = "(VALUES " + ", ".join(f"('{k}', '{n}')" for k, n, *_ in MODEL_REGISTRY) + ") t(key, name)"
+_FAILED = f"key IN ('{BROKEN_SHEET}', '{RAISING}')"
 
 
 @register("validation_lifecycle", V.with_views(f"""WITH {PIPE}, {SQL_PWM}, {SQL_WT},
 res AS (SELECT round(avg(((CASE WHEN wt.score > 0 THEN 1 ELSE 0 END) = p.label)::INTEGER::DOUBLE), 9) AS acc, count(*) AS n
         FROM wt JOIN pipeline p USING (id))
-SELECT key, name, CASE WHEN key <> '{BROKEN_MODEL}' THEN acc END AS acc, CASE WHEN key <> '{BROKEN_MODEL}' THEN n END AS n,
-       CASE WHEN key = '{BROKEN_MODEL}' THEN 'FAILED' ELSE 'OK' END AS status
+SELECT key, name, CASE WHEN NOT {_FAILED} THEN acc END AS acc, CASE WHEN NOT {_FAILED} THEN n END AS n,
+       CASE WHEN {_FAILED} THEN 'FAILED' ELSE 'OK' END AS status
 FROM {VALIDATION_REG}, res""", "promoters"))
 def q_validation_lifecycle(spark, sf):
-    """L3: every registered model reads its own sheet, checks the columns, builds its input with or without the
-    prompt, scores in batches and reports its accuracy; a broken sheet gives a FAILED row and the others go on."""
+    """L3: every registered model checks its sheet, fits on and scores the text it is given (the prompt included where
+    it has one) in its batch size, each in its own job group; one whose sheet is broken and one whose scorer raises
+    on a single row give FAILED rows, and the others go on."""
     from seqspark.functions.dna import prompt_text
     from seqspark.operators import metrics as M
+    from seqspark.operators.validation import validate_models
     from seqspark.plans.q_encode import PROMPT
     from seqspark.sources import files as IO
     d = promoters_clean(spark, sf)
-    scorer = Sc.PWMScorer({(int(r["pos"]), r["base"]): float(r["w"]) for r in weights(spark, sf, d).collect()})
-    results = spark.createDataFrame([], "model string, acc double, n long")
-    for key, _, _, batch_size, _, use_prompt in M.MODEL_REGISTRY:
-        sheet = IO.scratch_path(spark, f"sheet-{key}")
-        IO.write_csv(d.drop("label") if key == BROKEN_MODEL else d, sheet)
-        try:
-            rows = IO.read_csv_checked(spark, sheet, "id string, sequence string, label int", ["sequence", "label"])
-        except ValueError:
-            continue                                            # model_summary reports it as FAILED
-        text = rows.withColumn("text", prompt_text("sequence", PROMPT if use_prompt else None))
-        scored = Sc.batch_score(text, lambda: (lambda t: scorer(t.str.rsplit(" ", n=1).str[-1])), "text",
-                                keep=("id", "label"), batch_size=1024 * batch_size)
-        pred = scored.select(F.lit(key).alias("model"), "label", F.when(F.col("score") > 0, 1).otherwise(0).alias("predicted_label"))
-        results = results.unionByName(M.model_accuracy(pred).select("model", F.round("acc", 9).alias("acc"), "n"))
-    return M.model_summary(M.select_models(M.registry(spark), "all"), results)
+    whole, broken = IO.scratch_path(spark, "sheet"), IO.scratch_path(spark, "sheet-broken")
+    IO.write_csv(d, whole)
+    IO.write_csv(d.drop("label"), broken)
+    bad_row = d.agg(F.max("id").alias("id"))
+
+    def job(key, batch_size, use_prompt):
+        rows = IO.read_csv_checked(spark, broken if key == BROKEN_SHEET else whole, "id string, sequence string, label int",
+                                   ["sequence", "label"])
+        text = rows.select("id", "label", prompt_text("sequence", PROMPT if use_prompt else None).alias("text"))
+        if key == RAISING:
+            text = text.join(F.broadcast(bad_row.select("id", F.lit(True).alias("bad"))), "id", "left").select(     # one row
+                "id", "label", F.when(F.col("bad"), F.concat(F.lit("\0"), "text")).otherwise(F.col("text")).alias("text"))
+        model = Sc.weight_row(Sc.pwm_weights(text, "text"))
+        scored = Sc.batch_score(text, _strict, "text", keep=("label",), batch_size=batch_size, model=model)
+        pred = scored.select("label", F.when(F.col("score") > 0, 1).otherwise(0).alias("predicted_label"))
+        return M.model_accuracy(pred, group_cols=[]).select(F.round("acc", 9).alias("acc"), "n")
+
+    jobs = {key: (lambda k=key, b=batch, p=prompt: job(k, b, p)) for key, _, _, batch, _, prompt in MODEL_REGISTRY}
+    results = validate_models(spark, jobs)
+    return M.model_summary(M.select_models(M.registry(spark), "all"), results.where("error is null").drop("error"))
+
+
+def _strict(weights):
+    """A PWM scorer that refuses texts with a NUL, as a tokenizer may."""
+    scorer = Sc.PWMScorer.from_array(weights)
+
+    def score(texts):
+        if texts.str.contains("\0", regex=False).any():
+            raise ValueError("text with a NUL")
+        return scorer(texts)
+
+    return score
 
 
 MASK_W = 5
