@@ -6,8 +6,9 @@ is not clamped again (as in the reference's loop), so it drifts with the rest an
 
 Noise is a counter-based hash of (row key, step, cell), made of squares modulo 2^31 - 1, with an SQL twin.
 
-Two predictors of the noise: ``mean`` (one x0 estimate per cell, several checkpoints of it at once) and
-``weights`` (a linear map of the noised row per timestep bucket, fitted by least squares on Gram matrices).
+Predictors of the noise: ``mean`` (one x0 estimate per cell; for sequences, shares of the letters per position,
+of which the posterior is taken), several checkpoints at once, and ``weights`` (a linear map of the noised row per
+timestep bucket, fitted by least squares on Gram matrices).
 """
 
 from __future__ import annotations
@@ -87,23 +88,40 @@ def core_cells(width: int, regions: Regions = ACTIVE_REGIONS, channels: int = 1)
     return mask
 
 
-def run_chain(template: np.ndarray, keys: np.ndarray, coefs: list[dict], predict, core: np.ndarray) -> np.ndarray:
-    """x_0 of every row: all T reverse steps with ``predict(x, t)`` as the noise estimate."""
+def run_chains(template: np.ndarray, keys: np.ndarray, coefs: list[dict], predictors: list, core: np.ndarray) -> list[np.ndarray]:
+    """x_0 of every row per predictor (``predict(x, t)`` estimates the noise): all T reverse steps on the same noise."""
     cells = np.arange(template.shape[1])
     T = len(coefs)
-    x = np.where(core[None, :], template, counter_normals(keys, T, cells))
+    begin = np.where(core[None, :], template, counter_normals(keys, T, cells))
+    xs = [begin] * len(predictors)
     for t in range(T - 1, -1, -1):
         c = coefs[t]
-        x = (x - c["remove_noise_coeff"] * predict(x, t)) * c["reciprocal_sqrt_alpha"]
+        xs = [(x - c["remove_noise_coeff"] * predict(x, t)) * c["reciprocal_sqrt_alpha"] for x, predict in zip(xs, predictors)]
         if t > 0:
-            x += c["sigma"] * counter_normals(keys, t, cells)
-    return x
+            noise = c["sigma"] * counter_normals(keys, t, cells)
+            xs = [x + noise for x in xs]
+    return xs
 
 
 def mean_predictor_of(mean: np.ndarray, coefs: list[dict]):
     return lambda x, t: (x - coefs[t]["sqrt_alpha_bar"] * mean) / coefs[t]["sqrt_one_minus_alpha_bar"]
 
 
+def categorical_predictor_of(prior: np.ndarray, coefs: list[dict], channels: int = 4):
+    """Noise estimate from the posterior mean of independent one-hot positions with the given shares of their letters.
+
+    A letter's posterior weight is share x exp(sqrt_alpha_bar x / (1 - alpha_bar)); a position without any share has none.
+    """
+    def predict(x, t):
+        sab, s1m = coefs[t]["sqrt_alpha_bar"], coefs[t]["sqrt_one_minus_alpha_bar"]
+        z = (sab / (s1m * s1m)) * x.reshape(len(x), -1, channels)
+        w = prior.reshape(1, -1, channels) * np.exp(z - z.max(axis=2, keepdims=True))
+        total = w.sum(axis=2, keepdims=True)
+        x0 = (w / np.where(total > 0, total, 1.0)).reshape(len(x), -1)
+        return (x - sab * x0) / s1m
+    return predict
+
+
 def linear_predictor_of(weights: np.ndarray, T: int):
     """``weights`` (buckets, width + 1, width), the last input being 1; a step's bucket is floor(t * buckets / T)."""
     def predict(x, t):
@@ -123,8 +141,8 @@ def models_row(models: DataFrame) -> DataFrame:
     return models.agg(F.array_sort(F.collect_list(F.struct("model", F.col(value).alias("value")))).alias("models"))
 
 
-def _batches(batches, width_of):
-    """(column values by name, coefs, [(model, predict)]) of at most ROWS rows; the models come with the first row."""
+def _batches(batches, of_mean):
+    """(rows, coefs, [(model, predict)]) of at most ROWS rows; the models come with the first row."""
     coefs = predictors = None
     for b in batches:
         if not b.num_rows:
@@ -135,8 +153,8 @@ def _batches(batches, width_of):
             for m in b.column(b.schema.get_field_index("_models"))[0].as_py() or []:
                 v = np.array(m["value"], float)
                 linear = v.ndim == 2
-                predictors.append((m["model"], linear_predictor_of(v.reshape(len(v), -1, width_of(v)), len(coefs)) if linear
-                                   else mean_predictor_of(v, coefs)))
+                predictors.append((m["model"], linear_predictor_of(v.reshape(len(v), -1, _width(v)), len(coefs)) if linear
+                                   else of_mean(v, coefs)))
         for at in range(0, b.num_rows, ROWS):
             yield b.slice(at, ROWS), coefs, predictors
 
@@ -160,15 +178,15 @@ def reverse_chain(templates: DataFrame, schedule: DataFrame, models: DataFrame,
     key_type = templates.schema[key].dataType.simpleString()
 
     def run(batches):
-        for b, coefs, predictors in _batches(batches, _width):
+        for b, coefs, predictors in _batches(batches, mean_predictor_of):
             n = b.num_rows
             flat = b.column(2).flatten().to_numpy(zero_copy_only=False)
             lengths = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
             if len(set(lengths.tolist())) != 1:
                 raise ValueError("reverse_chain: rows of different widths")
             m = flat.reshape(n, -1)
-            for name, predict in predictors:
-                out = run_chain(m, b.column(1).to_numpy(), coefs, predict, core_cells(m.shape[1], regions))
+            outs = run_chains(m, b.column(1).to_numpy(), coefs, [p for _, p in predictors], core_cells(m.shape[1], regions))
+            for (name, _), out in zip(predictors, outs):
                 offsets = pa.array(np.arange(0, out.size + 1, m.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name] * n, pa.int64()),
                                                   pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=["key", "model", "x_0"])
@@ -181,7 +199,7 @@ def generate_sequences(df: DataFrame, schedule: DataFrame, models: DataFrame, id
     """Sequences sampled by the chain from every row's own core: (id, model, sequence, core_changed).
 
     A row's one-hot (A, C, G, T per position; another letter has no cell set) is the template; the result is
-    decoded by the first largest cell.  ``core_changed``: core positions whose letter differs from the template's.
+    decoded by the first largest cell.  ``models(model, mean)`` hold the letters' shares per position.  ``core_changed``: core positions whose letter differs from the template's.
     Null and empty sequences are dropped; sequences of another length than the models' raise.
     """
     rows = df.where(F.length(sequence_col) > 0).select(
@@ -192,7 +210,7 @@ def generate_sequences(df: DataFrame, schedule: DataFrame, models: DataFrame, id
     letters = np.frombuffer("".join(BASES).encode(), np.uint8)
 
     def run(batches):
-        for b, coefs, predictors in _batches(batches, _width):
+        for b, coefs, predictors in _batches(batches, categorical_predictor_of):
             seqs = [s.encode() for s in b.column(2).to_pylist()]
             n, length = len(seqs), len(seqs[0])
             if any(len(s) != length for s in seqs):
@@ -200,8 +218,8 @@ def generate_sequences(df: DataFrame, schedule: DataFrame, models: DataFrame, id
             text = np.frombuffer(b"".join(seqs), np.uint8).reshape(n, length)
             hot = (text[:, :, None] == letters[None, None, :]).astype(float).reshape(n, -1)
             core = core_cells(length, regions)
-            for name, predict in predictors:
-                out = run_chain(hot, b.column(1).to_numpy(), coefs, predict, core_cells(hot.shape[1], regions, len(letters)))
+            outs = run_chains(hot, b.column(1).to_numpy(), coefs, [p for _, p in predictors], core_cells(hot.shape[1], regions, len(letters)))
+            for (name, _), out in zip(predictors, outs):
                 made = letters[out.reshape(n, length, -1).argmax(axis=2)]
                 changed = (made != text)[:, core].sum(axis=1)
                 strings = [r.tobytes().decode() for r in made]

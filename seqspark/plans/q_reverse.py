@@ -19,7 +19,7 @@ from seqspark.sources import driver_tables as V
 
 STEPS = 20                                  # steps of the chains here; the cosine schedule is defined for every T
 EPOCHS = list(range(50, 500, 50))           # fixed values: the checkpoints that generation visits
-START, RATE = 0.25, 0.01                    # x0 estimate before training, step of one epoch
+START, RATE = 0.25, 0.01                    # share of a letter before training, step of one epoch
 BUCKETS = 10
 RIDGE = 1.0
 
@@ -66,34 +66,46 @@ def checkpoints(spark, sf):
     """(natural corpus, generated rows of all checkpoints), both written."""
     p = materialize(pipeline(spark, sf).select("id", "sequence"))
     models = R.mean_checkpoints(R.base_means(p), EPOCHS, START, RATE)
-    return p, materialize(R.generate_sequences(p, cosine(spark), models))
-
-
-_LETTERS = "CASE " + " ".join(
-    f"WHEN {' AND '.join(f'x[{i}] {">=" if j > i else ">"} x[{j}]' for j in range(1, 5) if j != i)} THEN '{b}'"
-    for i, b in enumerate("ACG", 1)) + " ELSE 'T' END"
-
-SQL_CHECKPOINTS = f"""{_sql_steps(STEPS)},
-affine AS (SELECT *, scale * (1 - noise / s1m) AS a, scale * noise * sab / s1m AS b FROM steps),
-after AS (SELECT *, coalesce(product(a) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS rest FROM affine),
-whole AS (SELECT product(a) AS a, sum(b * rest) AS b FROM after),
-hot AS (SELECT id, k, pos, base, pos * 4 + base AS cell, (substr(sequence, pos + 1, 1) = 'ACGT'[base + 1])::INTEGER::DOUBLE AS template
-        FROM (SELECT id, sequence, {R.sql_chain_key('id')} AS k, unnest(range(0, length(sequence))) AS pos FROM pipeline),
-             (SELECT unnest(range(0, 4)) AS base)),
-means AS (SELECT cell, avg(template) AS m FROM hot GROUP BY cell),
-noised AS (
-  SELECT id, pos, base, sum(z * w) AS noise, any_value(template) AS template
-  FROM {R.sql_counter_normal("(SELECT h.*, s.t AS step, s.sigma * s.rest AS w FROM hot h, after s WHERE s.t > 0)", 'k', 'step', 'cell', 'z')}
-  GROUP BY id, pos, base),
-began AS (SELECT id, pos, base, cell, CASE WHEN {sql_in_core('pos')} THEN template ELSE z END AS x
-          FROM {R.sql_counter_normal("hot", 'k', str(STEPS), 'cell', 'z')}),
-cells AS (
-  SELECT id, pos, list(whole.a * x + noise ORDER BY base) AS x, list(m ORDER BY base) AS m, any_value(whole.b) AS b
-  FROM began JOIN noised USING (id, pos, base) JOIN means USING (cell), whole GROUP BY id, pos),
-made AS (
-  SELECT id, epoch, pos, {_LETTERS} AS letter
-  FROM (SELECT id, epoch, pos, list_transform(range(1, 5), lambda i: x[i] + b * ({START} + (m[i] - {START}) * (1 - pow(1 - {RATE}, epoch)))) AS x
-        FROM cells, (SELECT unnest({EPOCHS}) AS epoch))),
+    return p, materialize(R.generate_sequences(p, cosine(spark, SAMPLE_STEPS), models))
+
+
+SAMPLE_STEPS = 10
+
+
+def _sql_samples() -> str:
+    """drawn(id, pos, sequence, e<epoch>): letters of every checkpoint's chain, the steps unrolled as nested selects."""
+    q = f"""(SELECT h.*, {", ".join(f"m{i}" for i in range(4))} FROM
+      (SELECT id, sequence, pos, {R.sql_chain_key('id')} AS k FROM (SELECT id, sequence, unnest(range(0, length(sequence))) AS pos FROM pipeline)) h
+      JOIN means USING (pos))"""
+    for i in range(4):
+        q = R.sql_counter_normal(q, "k", str(SAMPLE_STEPS), f"(pos * 4 + {i})", f"z{i}")
+    start = ", ".join(f"CASE WHEN {sql_in_core('pos')} THEN (substr(sequence, pos + 1, 1) = '{b}')::INTEGER ELSE z{i} END AS x{i}"
+                      for i, b in enumerate("ACGT"))
+    q = f"(SELECT * EXCLUDE (z0, z1, z2, z3), {start} FROM {q})"
+    q = f"(SELECT * EXCLUDE (x0, x1, x2, x3), {', '.join(f'x{i} AS x{e}_{i}' for e in EPOCHS for i in range(4))} FROM {q})"
+    for t in range(SAMPLE_STEPS - 1, -1, -1):
+        for i in range(4):
+            q = R.sql_counter_normal(q, "k", str(t), f"(pos * 4 + {i})", f"z{i}")
+        c = {n: f"(SELECT {n} FROM steps WHERE t = {t})" for n in ("sigma", "noise", "scale", "sab", "s1m")}
+        q = f"(SELECT q.*, {', '.join(f'{v} AS {n}_' for n, v in c.items())} FROM {q} q)"
+        share = lambda e, i: f"({START} + (m{i} - {START}) * (1 - pow(1 - {RATE}, {e})))"
+        w = ", ".join(f"{share(e, i)} * exp(sab_ / (s1m_ * s1m_) * (x{e}_{i} - greatest(x{e}_0, x{e}_1, x{e}_2, x{e}_3))) AS w{e}_{i}"
+                      for e in EPOCHS for i in range(4))
+        x = ", ".join(f"(x{e}_{i} - noise_ * ((x{e}_{i} - sab_ * (w{e}_{i} / (w{e}_0 + w{e}_1 + w{e}_2 + w{e}_3))) / s1m_)) * scale_"
+                      + (f" + sigma_ * z{i}" if t else "") + f" AS x{e}_{i}" for e in EPOCHS for i in range(4))
+        q = f"(SELECT id, sequence, pos, k, m0, m1, m2, m3, {x} FROM (SELECT *, {w} FROM {q}))"
+
+    def letter(e):
+        best = lambda i: " AND ".join(f"x{e}_{i} {'>=' if j > i else '>'} x{e}_{j}" for j in range(4) if j != i)
+        return "CASE " + " ".join(f"WHEN {best(i)} THEN '{b}'" for i, b in enumerate("ACG")) + " ELSE 'T' END"
+    return f"drawn AS (SELECT id, pos, sequence, {', '.join(f'{letter(e)} AS e{e}' for e in EPOCHS)} FROM {q})"
+
+
+SQL_CHECKPOINTS = f"""{_sql_steps(SAMPLE_STEPS)},
+means AS (SELECT pos, {", ".join(f"avg((substr(sequence, pos + 1, 1) = '{b}')::INTEGER::DOUBLE) AS m{i}" for i, b in enumerate("ACGT"))}
+          FROM (SELECT sequence, unnest(range(0, length(sequence))) AS pos FROM pipeline) GROUP BY pos),
+{_sql_samples()},
+made AS ({" UNION ALL ".join(f"SELECT id, pos, sequence, {e} AS epoch, e{e} AS letter FROM drawn" for e in EPOCHS)}),
 gen AS (SELECT id, epoch, string_agg(letter, '' ORDER BY pos) AS sequence FROM made GROUP BY id, epoch)"""
 
 
@@ -107,7 +119,7 @@ al AS (
 r AS (SELECT epoch, CASE WHEN count(*) > 1 AND min(x) <> max(x) AND min(y) <> max(y) THEN round(corr(x, y), 9) END AS r, count(*) AS n_kmers
       FROM al GROUP BY epoch),
 c AS (SELECT epoch, count(DISTINCT id) AS n_generated, count(*) FILTER (WHERE letter <> substr(sequence, pos + 1, 1) AND {sql_in_core('pos')}) AS core_changed
-      FROM made JOIN pipeline USING (id) GROUP BY epoch)
+      FROM made GROUP BY epoch)
 SELECT epoch::INTEGER AS epoch, n_generated, core_changed::BIGINT AS core_changed, r, n_kmers FROM c JOIN r USING (epoch)""", "promoters"))
 def q_checkpoint_compare(spark, sf):
     """L2 per checkpoint 50, 100, .. 450: sample by the chain, decode, core drift in letters, 6-mer r against the natural corpus."""

@@ -19,7 +19,6 @@ from seqspark.operators.rowindex import with_row_index
 
 TILE = 81
 STEPS_PER_EPOCH = 4
-BROADCAST_TYPES = 10_000   # a dictionary of at most so many event types is broadcast, a larger one joined as Spark likes
 
 
 def tile_id(doc: str, tile: str = "tile"):
@@ -114,8 +113,6 @@ def _with_fold(ev: DataFrame) -> DataFrame:
     """fold = 1-based rank of the event type among the sorted distinct types (null last), from a dictionary table."""
     types = with_row_index(ev.select("event_type").distinct(), [F.col("event_type").asc_nulls_last()], name="fold", start=1)
     types = types.select(F.col("event_type").alias("_type"), "fold")
-    if types.count() <= BROADCAST_TYPES:
-        types = F.broadcast(types)
     return ev.join(types, F.col("event_type").eqNullSafe(F.col("_type"))).drop("_type")
 
 

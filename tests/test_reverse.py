@@ -63,7 +63,7 @@ def test_generated_sequences_keep_a_sharp_model(spark):
     """A model that is sure of one sequence gives that sequence outside the core, whatever the noise of few steps."""
     seq = "ACGT" * 20 + "A"
     df = spark.createDataFrame([("a", seq), ("b", seq), ("c", None), ("d", "")], "id string, sequence string")
-    sure = [40.0 * (b == c) for c in seq for b in "ACGT"]
+    sure = [1.0 * (b == c) for c in seq for b in "ACGT"]
     models = spark.createDataFrame([(50, sure)], "model long, mean array<double>")
     got = R.generate_sequences(df, steps(spark, 20), models).collect()
     assert sorted((r["id"], r["sequence"], r["core_changed"]) for r in got) == [("a", seq, 0), ("b", seq, 0)]
@@ -99,3 +99,16 @@ def test_denoiser_equals_least_squares(spark):
     assert [len(w) for w in model["weights"]] == [(width + 1) * width] * buckets and model["weights"][1] == model["weights"][0]
     chained = R.reverse_chain(df, steps(spark, 5), R.denoiser_row(solved, buckets), regions=regions).collect()
     assert len(chained) == 600 and all(np.isfinite(r["x_0"]).all() for r in chained)
+
+
+def test_generated_letters_follow_the_models_shares(spark):
+    """Positions of the samples have the shares of the model, which two checkpoints make different, and differ by row."""
+    df = spark.createDataFrame([(str(i), "ACGT" * 3) for i in range(3000)], "id string, sequence string")
+    means = spark.createDataFrame([([0.7, 0.1, 0.1, 0.1] * 12,)], "mean array<double>")
+    models = R.mean_checkpoints(means, [1, 400], 0.25, 0.02)
+    out = R.generate_sequences(df, steps(spark, 40), models, regions=[]).collect()
+    for model, want in ((1, 0.25 + 0.45 * 0.02), (400, 0.7)):
+        made = [r["sequence"] for r in out if r["model"] == model]
+        assert len(set(made)) > 1000 and all(r["core_changed"] == 0 for r in out)
+        share = sum(s.count("A") for s in made) / (12 * len(made))
+        assert abs(share - want) < 0.03, (model, share)
