@@ -43,6 +43,8 @@ from seqspark.llm.common import LOWER_ASCII, components, process_cache, save, sh
 SHINGLE = 5
 MAX_GROUP = 32                  # a block shared by more sets is frequent
 CHUNK = 1024                    # sets compared at once with as many others
+HELD = 200_000                  # pairs a task holds before it counts them
+MET = 200_000                   # sets a task remembers as signed
 FILTER_BITS = 1 << 23           # size of the bitmap that preselects rows by id
 BAND = (4 / 3) ** 2
 EXACT = 63                      # band of the exact keys; no set is large enough for band 63 itself
@@ -51,7 +53,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 class _WordHashes(dict):
     """word -> 64-bit hash, kept for the life of a worker process and emptied at ``LIMIT`` words."""
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word):
         import xxhash
@@ -172,12 +174,14 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, text_col: str) -> DataFrame:
-    """(key, sh): one row per key of every distinct set; a set that a task has met is not repeated."""
+    """(key, sh): one row per key of every distinct set; a set that a task still remembers is not repeated."""
     def run(batches):
-        met: set[int] = set()
+        met: set[int] = set()                                   # a set met again after ``MET`` others is signed again
         for b in sliced(batches):
             hashes = word_hashes()
             keys, owners, size = [], [], 0
+            if len(met) > MET:
+                met.clear()
             for text in b.column(0).to_pylist():
                 s = shingles(text, hashes)
                 if len(s) < 3 or (sh := set_hash(s)) in met:
@@ -263,7 +267,7 @@ def meetings(keys: DataFrame, max_group: int) -> DataFrame:
                 pairs.append((s[eq], s[eq + d], k[eq] & 63))
                 held += len(eq)
             key, sh = key[rest:], sh[rest:]
-            if pairs and (held > 500_000 or b is None):
+            if pairs and (held > HELD or b is None):
                 yield reduced()
                 pairs, held = [], 0
 
@@ -377,7 +381,8 @@ def cluster_links(members: DataFrame, chunk: int) -> DataFrame:
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()),
                          "n": pa.array([None] * len(edges) + count[hit].tolist(), pa.int64())})
 
-    return spread.groupBy("cluster", "i", "j").applyInArrow(lambda t: run(t), "u long, v long, n long")
+    # dealt by the chunk pair: the join on cluster alone would leave all pairs of a cluster in one task
+    return spread.repartition(shuffle_partitions(members.sparkSession), "cluster", "i", "j").groupBy("cluster", "i", "j").applyInArrow(lambda t: run(t), "u long, v long, n long")
 
 
 def only_ids(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:

@@ -152,18 +152,21 @@ def phrase_counts(texts: list, model: dict) -> tuple[np.ndarray, np.ndarray, np.
     return counts, n, letters
 
 
-def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", shared: list | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, bits): one row per input row, from the whole text alone.
 
     ``lang_pred`` is ``und`` with score 0 for a text that is null, empty or without letters (or when
     nothing was learned).  ``bits`` maps every language to bits per symbol.  The score is the second
     best rate's share, second / (best + second); 1 with a single language.  Ties go to the language that comes first
-    by name.  No shuffle; other columns are ignored.
+    by name.  No shuffle; other columns are ignored.  The broadcast model is appended to ``shared``, so that a caller who
+    has saved the result can destroy it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)    # at most CHARS_PER_LANGUAGE per language
+    sent = docs.sparkSession.sparkContext.broadcast(model)      # at most CHARS_PER_LANGUAGE per language
+    if shared is not None:
+        shared.append(sent)
 
     def run(batches):
-        m = shared.value
+        m = sent.value
         for b in sliced(batches):
             texts = b.column(1).to_pylist()
             langs, scores, rates = [], [], []
