@@ -26,8 +26,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The classifier learns from the stage's own input as ``op8`` does.  Rows that share an id go together.
     """
+    shared: list = []
     model = fit(docs.where(remainder("doc_id", 5) != 0))
-    return without(docs, predict(docs, model).where("lang_pred = 'und'").select("doc_id"))
+    unknown = save(predict(docs, model, shared=shared).where("lang_pred = 'und'").select("doc_id"), "unknown-language")
+    for sent in shared:                                         # the workers of later stages need not hold it
+        sent.destroy()
+    return without(docs, unknown)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
