@@ -40,6 +40,10 @@ MORE_PHRASES = {
     "all rights reserved": "proprietary",
 }
 TAG_WORDS = "spdx license identifier"
+# Families of license identifiers; a version or variant may follow after a hyphen.
+_KNOWN = re.compile(r"(?:0bsd|afl|agpl|apache|apsl|artistic|blueoak|bsd|bsl|cc|cc0|cddl|cecill|cpl|ecl|epl|eupl|fdl|fsfap|gfdl|gpl|isc|lgpl|"
+                    r"licenseref|lppl|mit|mpl|ms|mulanpsl|ncsa|odbl|ofl|openssl|osl|php|postgresql|psf|python|ruby|sgi|unicode|unlicense|upl|"
+                    r"vim|w3c|wtfpl|x11|zlib|zpl)(?:-[a-z0-9.+-]+)?\+?")
 _OPERATORS = {"or": 1, "and": 2, "with": 3}
 _KEEP = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _TAG = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE)
@@ -49,32 +53,34 @@ _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*")
 def parse_expression(text: str) -> list[str] | None:
     """Shunting-yard: the longest leading license expression of ``text`` in postfix order.
 
-    Operators by strength: with, and, or (letter case is free).  Null when no operand stands first.
-    Anything after the expression (prose, comment closers) is left alone; an unclosed parenthesis
-    is closed at the end.
+    Operators by strength: with, and, or (letter case is free); with stands between one license and one
+    exception.  Null when no operand stands first.  Anything after the expression (prose, comment closers)
+    is left alone; an unclosed parenthesis is closed at the end.
     """
     out: list[str] = []
     stack: list[str] = []
-    operand_next, at = True, 0
+    operand_next, at, depth, simple = True, 0, 0, False         # simple: the last token is a license without exception
     while m := _TOKEN.search(text, at):
         if text[at:m.start()].strip():
             break
         tok = m[0]
         low = tok.lower()
         if operand_next:
-            if tok == "(":
+            if tok == "(" and not (stack and stack[-1] == "with"):
                 stack.append("(")
-            elif tok == ")" or low in _OPERATORS:
+                depth += 1
+            elif tok in "()" or low in _OPERATORS:
                 break
             else:
                 out.append(low.rstrip("."))
-                operand_next = False
+                operand_next, simple = False, not (stack and stack[-1] == "with")
         elif tok == ")":
-            if "(" not in stack:
+            if not depth:
                 break
             while (top := stack.pop()) != "(":
                 out.append(top)
-        elif low in _OPERATORS:
+            depth, simple = depth - 1, False
+        elif low in _OPERATORS and (low != "with" or simple):
             while stack and stack[-1] != "(" and _OPERATORS[stack[-1]] >= _OPERATORS[low]:
                 out.append(stack.pop())
             stack.append(low)
@@ -82,29 +88,42 @@ def parse_expression(text: str) -> list[str] | None:
         else:
             break
         at = m.end()
-    if operand_next and stack and stack[-1] in _OPERATORS:      # a dangling operator is prose
-        stack.pop()
+    while operand_next and stack:                               # a dangling operator or parenthesis is prose
+        operand_next = stack.pop() == "("
     out += [x for x in reversed(stack) if x != "("]
     return out or None
 
 
-def evaluate(postfix: list[str]) -> list[frozenset[str]]:
-    """Alternatives of a postfix expression: each is the set of licenses that hold together."""
-    stack: list[list[frozenset[str]]] = []
+def evaluate(postfix: list[str]) -> tuple[str, list[str]]:
+    """(expression with as few parentheses as needed, its licenses in order) of a postfix expression.
+
+    The expression stays a tree, whose nodes are visited once; nothing is multiplied out.  A license with its
+    exception is one license, ``<license> with <exception>``.
+    """
+    stack: list = []
     for tok in postfix:
         if tok not in _OPERATORS:
-            stack.append([frozenset([tok])])
-            continue
-        if len(stack) < 2:
-            break
-        b, a = stack.pop(), stack.pop()
-        if tok == "or":
-            stack.append(list(dict.fromkeys(a + b)))
-        elif tok == "and":
-            stack.append(list(dict.fromkeys(x | y for x in a for y in b)))
-        else:                                                   # an exception belongs to its license
-            stack.append([frozenset(f"{p} with {q}" for p in x for q in y) for x in a for y in b])
-    return stack[0] if stack else []
+            stack.append(tok)
+        elif len(stack) > 1:
+            right, left = stack.pop(), stack.pop()
+            stack.append(f"{left} with {right}" if tok == "with" else (tok, left, right))
+    words, licenses, todo = [], [], stack[:1]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, tuple):
+            op, *sides = node
+            left, right = (["(", x, ")"] if op == "and" and isinstance(x, tuple) and x[0] == "or" else [x] for x in sides)
+            todo += reversed([*left, op, *right])
+        else:
+            words.append(node)
+            if node not in ("(", ")", "and", "or"):
+                licenses.append(node)
+    return " ".join(words).replace("( ", "(").replace(" )", ")"), licenses
+
+
+def license_label(name: str) -> str:
+    """The license itself where its identifier belongs to a known family, else ``unknown``."""
+    return name if _KNOWN.fullmatch(name.split(" with ")[0]) else "unknown"
 
 
 def automaton():
@@ -141,9 +160,9 @@ def scan_text(text: str | None, found) -> dict:
     if tags:
         for m in _TAG.finditer(text):
             if postfix := parse_expression(m[1]):
-                options = evaluate(postfix)
-                expressions.append(" or ".join(" and ".join(sorted(x)) for x in options))
-                more.update(part for x in options for part in x)
+                expression, licenses = evaluate(postfix)
+                expressions.append(expression)
+                more.update(map(license_label, licenses))
     return {"n_words": len(words), "n_base": n_base, "first_word": min(starts) if starts else None,
             "last_word": max(starts) if starts else None, "base_labels": ",".join(sorted(base)),
             "labels": ",".join(sorted(base | more)),

@@ -268,10 +268,28 @@ def test_op5_base_and_expressions(spark, docs, empty):
     assert "gpl-2.0 with foo" in got[len(texts) - 2]["labels"] and "cc-by-nc" in got[len(rows()) + 2]["labels"]
     assert parse_expression("MIT OR (Apache-2.0 AND BSD-3-Clause) rest of line") == ["mit", "apache-2.0", "bsd-3-clause", "and", "or"]
     assert parse_expression("MIT and") == ["mit"] and parse_expression(") MIT") is None and parse_expression("") is None
-    assert set(evaluate(["a", "b", "or", "c", "and"])) == {frozenset("ac"), frozenset("bc")}
+    assert evaluate(["a", "b", "or", "c", "and"]) == ("(a or b) and c", ["a", "b", "c"])
+    assert parse_expression("(MIT or X) with e") == ["mit", "x", "or"] and parse_expression("a with b with c") == ["a", "b", "with"]
+    assert parse_expression("(MIT and (") == ["mit"] and parse_expression("MIT)") == ["mit"]
     assert scan_licenses(docs).count() == len(rows()) and scan_licenses(empty).count() == 0
 
 
+def test_op5_long_expressions_are_linear():
+    """Alternatives are not multiplied out, and neither terms nor parentheses cost more than once."""
+    import time
+    from seqspark.llm.op05_license import automaton, evaluate, parse_expression, scan_text
+    terms = " and ".join(f"(MIT-{i} or Apache-{i}.0)" for i in range(200))
+    expression, licenses = evaluate(parse_expression(terms))
+    assert expression == terms.lower() and len(licenses) == 400
+    start = time.process_time()
+    for text in (" or ".join(f"mit-{i}" for i in range(50_000)), "(" * 50_000 + "mit" + ")" * 50_000,
+                 " and ".join(f"(mit-{i} or x{i})" for i in range(30_000)), "mit) " * 30_000):
+        assert scan_text(f"SPDX-License-Identifier: {text}", automaton())["expressions"]
+    assert time.process_time() - start < 20
+    got = scan_text("SPDX-License-Identifier: see LICENSE\nspdx-license-identifier: GPL-2.0+ WITH Classpath-exception-2.0", automaton())
+    assert got["labels"] == "gpl-2.0+ with classpath-exception-2.0,unknown"
+
+
 def test_op6_law_and_slots(spark, docs, empty):
     from seqspark.llm.op06_shard import assign_shards, lpt
     out = assign_shards(docs, n_shards=4).collect()
