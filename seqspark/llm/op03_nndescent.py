@@ -165,10 +165,17 @@ def _with_end(batches):
 
 
 def pack_vectors(vectors: DataFrame) -> DataFrame:
-    """(node, v binary) of ``vectors(node, v)``."""
+    """(node, v binary) of ``vectors(node, v)``, all divided by one power of two that brings the largest component below 1.
+
+    So float32 squares neither overflow nor vanish, whatever the magnitude of the vectors; the order of distances stays.
+    """
+    largest = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))).first()[0] or 1.0
+    exponent = int(np.frexp(largest)[1])
+
     def pack(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed(matrix(b.column(1))), pa.binary())], ["node", "v"])
+            scaled = np.ldexp(matrix(b.column(1)), -exponent)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed(scaled), pa.binary())], ["node", "v"])
 
     return vectors.select("node", "v").mapInArrow(pack, "node long, v binary")
 

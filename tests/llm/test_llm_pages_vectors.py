@@ -107,6 +107,19 @@ def test_op3_recall_ties_and_bad_vectors(spark):
     assert nearest(df.limit(0)).count() == 0 and nearest(df.where("vec_id = 1")).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1e-150, 1e-30, 1e22, 1e30, 1e150])
+def test_op3_magnitude_does_not_matter(spark, scale):
+    from seqspark.llm.op03_nndescent import nearest
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) * scale for x in rng.standard_normal(6)]) for i in range(150)]
+    want = brute_nearest(rows, 50, 10)
+    got: dict = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), query_mod=50, rounds=2).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert {q: len(v) for q, v in got.items()} == {0: 10, 50: 10, 100: 10}
+    assert sum(len(got[q] & set(want[q])) for q in want) >= 28
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
     bench = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
