@@ -67,6 +67,106 @@ def test_op10_a_part_with_a_state_word_stays():
     assert main_text(page) == f"{LINES}\nOne, two, three more."
 
 
+MENU = "<div><ul>" + "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(8)) + "</ul></div>"
+ADVERT, FOOT = "<div><a href=/x>Cheap watches here, today</a></div>", "<div><span>2024 Example Corp</span></div>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body>{MENU}{ADVERT}<div><h1>Title</h1>{BODY}</div>{FOOT}</body>",
+    f"<body>{MENU}<h1>Title</h1>{BODY}{ADVERT}{FOOT}</body>",
+    f"<body><div>{MENU}</div><div><section><h1>Title</h1>{BODY}</section></div><div>{FOOT}{ADVERT}</div></body>",
+])
+def test_op10_parts_without_telling_names_are_dropped_by_their_ratios(page, monkeypatch):
+    from seqspark.llm import op10_html as M
+    assert main_text(page) == f"Title\n{LINES}"
+    real = M.path_scores
+    monkeypatch.setattr(M, "path_scores", lambda paths, nodes, width=1: (
+        [float(s > 0) for s in real(paths, nodes, width)[0]], *real(paths, nodes, width)[1:]))
+    assert main_text(page) != f"Title\n{LINES}"                    # a constant score keeps what the ratios drop
+
+
+def twin_scores(nodes):
+    """Ratios over tuple paths, step by step: {path: score}."""
+    order = list(dict.fromkeys(p for p, _, _ in nodes))
+    texts = {p: [t for q, _, t in nodes if q == p] for p in order}
+    r = [sum(len(t.strip()) for t in texts[p]) / len(texts[p]) for p in order]
+    q = [sum(t.count(c) for t in texts[p] for c in ".,;:!?…。，、！？；：") / len(texts[p]) for p in order]
+    out = {}
+    for k, p in enumerate(order):
+        near = range(max(0, k - 1), min(len(order), k + 2))
+        a, b = ((sum(x[i] for i in near) / len(near) + 3 * x[k]) / 4 for x in (r, q))
+        prior = 1.0
+        for name, mark, _ in p:
+            prior *= 0 if mark == "!" else 0.25 if mark == "?" else {"p": 2, "blockquote": 2, "pre": 2, "a": 0.1}.get(name, 1)
+        out[p] = a * (1 + b) * prior if r[k] else 0.0
+    return out, {p: r[k] * len(texts[p]) for k, p in enumerate(order)}
+
+
+def test_op10_ratios_and_selection_equal_a_plain_twin():
+    import random
+    from seqspark.llm.op10_html import content_container, path_scores, text_nodes, threshold
+    rng = random.Random(2)
+    tags = ["div", "p", "a", "b", "ul", "li", "section", "h2", "div class=ad", "nav", "article", "span"]
+
+    def piece(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return " ".join(rng.choice(["word", "longer,", "words.", "x", "!"]) for _ in range(rng.randint(1, 12)))
+        tag = rng.choice(tags)
+        inner = "".join(piece(depth - 1) for _ in range(rng.randint(1, 4)))
+        return f"<{tag}>{inner}</{tag.split()[0]}>"
+    for _ in range(150):
+        page = "<body>" + "".join(piece(4) for _ in range(rng.randint(1, 6))) + "</body>"
+        paths, nodes = text_nodes(page)
+
+        def full(k):
+            return (*full(paths.parent[k]), (paths.name[k], paths.mark[k], k)) if k else ()
+
+        def chain(e):
+            return (*chain(paths.up[e]), e) if e else ()
+        want, length = twin_scores([(full(paths.of[e]), b, t) for e, b, t in nodes])
+        scores, lengths, _ = path_scores(paths, nodes)
+        for p in want:
+            k = p[-1][2] if p else 0
+            assert scores[k] == pytest.approx(want[p]) and lengths[k] == pytest.approx(length[p])
+        if not any(want.values()):
+            continue
+        live = sorted((s, length[p]) for p, s in want.items() if s > 0)
+        half, top = sum(n for _, n in live) / 2, 0
+        for top, n in live:
+            half -= n
+            if half <= 0:
+                break
+        marks = [0.05 * top] + [s for s, _ in live if 0.05 * top < s < 0.5 * top] + [0.5 * top]
+        gap = max(range(len(marks) - 1), key=lambda i: marks[i + 1] / marks[i])
+        least = (marks[gap] * marks[gap + 1]) ** 0.5
+        assert threshold(scores, lengths) == pytest.approx(least)
+        chosen = {e for e, _, t in nodes if t.strip() and 0 < want[full(paths.of[e])] >= least}
+        common = chain(min(chosen))
+        for e in chosen:
+            while chain(e)[:len(common)] != common:
+                common = common[:-1]
+        at = content_container(paths, chosen)
+        expect = common
+        for i, e in enumerate(common):
+            if paths.element_name(e) in ("article", "main"):
+                expect = common[:i + 1]
+                break
+            if paths.element_name(e) in ("a", "b", "span", "p", "ul", "li", "h2", "nav"):
+                expect = common[:i]
+                break
+        assert at == (expect[-1] if expect else 0), page
+
+
+def test_op10_is_linear_in_unclosed_tags():
+    import time
+    start = time.process_time()
+    assert main_text("<b>x" * 100_000) == "x" * 100_000
+    main_text("<p>" + "<b>x" * 50_000 + "<h1>y" * 50_000)
+    main_text("<div class=ad>x, y." * 30_000)
+    main_text("<section><p>" + "<b>x" * 50_000 + "<section>" + "<div>z" * 50_000 + "</b>" * 50_000)
+    assert time.process_time() - start < 30
+
+
 def test_op10_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (3, "v", "")],
                                "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(2))
