@@ -18,7 +18,15 @@ from seqspark.llm.op07_winnow import contamination
 from seqspark.llm.op08_langid import fit, predict, remainder
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_WORDS = 200_000           # workers still hold what earlier stages left in them
+CACHE_WORDS = 100_000           # workers still hold what earlier stages left in them
+BATCH_ROWS = 1000               # whole texts that an executor and its Python worker pass on at once
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows (Spark's default is 10,000, which long texts make large)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The classifier learns from the stage's own input as ``op8`` does.  Rows that share an id go together.
     """
+    _bounded_batches(spark)
     shared: list = []
     model = fit(docs.where(remainder("doc_id", 5) != 0))
     unknown = save(predict(docs, model, shared=shared).where("lang_pred = 'und'").select("doc_id"), "unknown-language")
@@ -39,6 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat an id and its text count once; rows without an id stay where their group has no id.
     """
+    _bounded_batches(spark)
     found = save(jaccard_components(docs).select("doc_id", F.expr("doc_id <=> component_id").alias("first")), "groups")
     first = found.where("first").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     gone = found.where("not first").select("doc_id").join(
@@ -56,6 +66,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of at most 2048 tokens."""
+    _bounded_batches(spark)
     return pack(docs, public_tokenizers.path(TOKENIZER), cache_words=CACHE_WORDS)
 
 
