@@ -3,6 +3,8 @@
 One suffix automaton is built per language from labelled text.  A text is parsed greedily into the
 longest phrases that occur in a language's reference; the language whose reference needs the fewest
 phrases, normalised to bits per symbol (phrases x log2 of the reference length / symbols), wins.
+Symbols are the UTF-8 bytes of lower-cased letters, so every alphabet has at most 256 of them and no
+two letters are merged; what is no letter is a separator.
 
 The automata become dense transition tables (state x symbol).  A missing transition is stored as the
 one that starts a new phrase at this symbol, with a mark to be counted, so a step of the parse is one
@@ -16,11 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import sliced
+from seqspark.llm.common import process_cache, save, sliced
 
 CHARS_PER_LANGUAGE = 40_000     # bound of the reference sample, in characters per language
 DOCS_PER_LANGUAGE = 400         # and in documents; the text that reaches the bound is cut
-MAX_SYMBOLS = 250
 SEGMENT = 1024                  # symbols parsed in a row; every segment starts a new phrase
 
 
@@ -75,25 +76,36 @@ class SuffixAutomaton:
         return out
 
 
-def symbol_map(texts: list[str]) -> tuple[np.ndarray, int]:
-    """uint8 per code point: 0 separator (no letter), 1.. the letters of ``texts`` by frequency, last: other letters."""
-    seen: dict[str, int] = {}
+def letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    points = np.zeros(0x110000, bool)
+    points[[i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()]] = True
+    return points
+
+
+def letter_bytes(text: str, points: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes of the lower-cased text, 0 where they are not a letter's."""
+    low = text.lower()
+    code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    raw = np.frombuffer(low.encode("utf-8", "surrogatepass"), np.uint8)
+    width = 1 + (code >= 0x80).astype(np.int8) + (code >= 0x800) + (code >= 0x10000)
+    return np.where(np.repeat(points[code], width), raw, 0).astype(np.uint8)
+
+
+def symbol_codes(texts: list[str], points: np.ndarray) -> tuple[np.ndarray, int]:
+    """uint8 per byte: 0 separator, 1.. the letter bytes of ``texts``, last: bytes that occur in none (no phrase holds them)."""
+    seen = np.zeros(256, bool)
     for t in texts:
-        for c in t.lower():
-            if c.isalpha():
-                seen[c] = seen.get(c, 0) + 1
-    letters = sorted(seen, key=lambda c: (-seen[c], c))[:MAX_SYMBOLS]
-    other = len(letters) + 1
-    points = np.zeros(0x110000, np.uint8)
-    points[[i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()]] = other
-    for k, c in enumerate(letters):
-        points[ord(c)] = k + 1
-    return points, other + 1
-
-
-def to_symbols(text: str, points: np.ndarray) -> np.ndarray:
+        seen[letter_bytes(t, points)] = True
+    seen[0] = False
+    codes = np.full(256, seen.sum() + 1, np.uint8)
+    codes[seen], codes[0] = np.arange(1, seen.sum() + 1), 0
+    return codes, int(seen.sum()) + 2
+
+
+def to_symbols(text: str, points: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Symbols of the lower-cased text; a run of other characters is one separator."""
-    s = points[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    s = codes[letter_bytes(text, points)]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] > 0) | (s[:-1] > 0)
     return s[keep]
@@ -104,30 +116,34 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Fit on a bounded sample: per language, at most ``max_docs`` texts in an order given by a hash of the id, until
     ``chars`` characters are gathered; the last text is cut there.  A text counts from its first letter on; every
     language with a letter is learned.  Rows with null id, text or language and texts without letters are not used."""
-    # No text gives more than ``chars`` characters, so longer ones are cut before they are shuffled.
+    # The sample is picked on narrow rows (hash, id, length); only its texts are fetched, cut to ``chars`` characters.
     start = F.regexp_extract(text_col, rf"(?s)\p{{L}}.{{0,{chars - 1}}}", 0)
-    rows = docs.select(F.col(lang_col).alias("lang"), start.alias("text"), F.xxhash64(id_col).alias("_h"),
-                       F.col(id_col).alias("_i")).where("lang is not null and _i is not null and text <> ''")
-    order = Window.partitionBy("lang").orderBy("_h", "_i", "text")
-    picked = rows.withColumn("_k", F.row_number().over(order)).where(f"_k <= {max_docs}")
-    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))
-    picked = picked.withColumn("_n", F.coalesce(before, F.lit(0))).where(f"_n < {chars}").select("lang", "text", "_k", "_n")
+    rows = docs.select(F.col(lang_col).alias("lang"), start.alias("text"), F.col(id_col).alias("_i")).where(
+        "lang is not null and _i is not null and text <> ''").withColumn("_t", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("_i"), "_i", "_t")
+    picked = (rows.select("lang", "_i", "_t", F.length("text").alias("_c")).withColumn("_k", F.row_number().over(order))
+              .where(f"_k <= {max_docs}"))
+    before = F.sum("_c").over(Window.partitionBy("lang").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))
+    picked = save(picked.withColumn("_n", F.coalesce(before, F.lit(0))).where(f"_n < {chars}").select("lang", "_i", "_t", "_k", "_n"),
+                  "language-sample")
+    texts = rows.join(picked, ["lang", "_i", "_t"]).dropDuplicates(["lang", "_k"])          # rows may repeat
     by_lang: dict[str, list[str]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["_k"])):
+    for r in sorted(texts.select("lang", "text", "_k", "_n").collect(), key=lambda r: (r["lang"], r["_k"])):
         by_lang.setdefault(r["lang"], []).append(r["text"][:chars - r["_n"]])
-    points, n_symbols = symbol_map([t for ts in by_lang.values() for t in ts])
+    points = letters()
+    codes, n_symbols = symbol_codes([t for ts in by_lang.values() for t in ts], points)
     tables, lengths = [], []
     for lang in sorted(by_lang):
-        ref = to_symbols(" ".join(by_lang[lang]), points)
+        ref = to_symbols(" ".join(by_lang[lang]), points, codes)
         tables.append(SuffixAutomaton(ref.tolist()).table(n_symbols))
         lengths.append(len(ref))
-    return {"langs": sorted(by_lang), "points": points, "n_symbols": n_symbols, "tables": tables, "lengths": lengths}
+    return {"langs": sorted(by_lang), "points": points, "codes": codes, "n_symbols": n_symbols, "tables": tables, "lengths": lengths}
 
 
 def phrase_counts(texts: list, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(phrases[text, language], symbols[text], has_letter[text]) by cross-parsing every whole text."""
     n_texts, n_langs = len(texts), len(model["langs"])
-    symbols = [to_symbols(t, model["points"]) if t else np.zeros(0, np.uint8) for t in texts]
+    symbols = [to_symbols(t, model["points"], model["codes"]) if t else np.zeros(0, np.uint8) for t in texts]
     n = np.array([len(s) for s in symbols], np.int64)
     letters = np.array([bool(s.any()) for s in symbols], bool)
     flat = np.concatenate([*symbols, np.zeros(SEGMENT, np.uint8)])
@@ -167,6 +183,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         m = sent.value
+        process_cache("languages")                              # what an earlier operator left in this worker goes
         for b in sliced(batches):
             texts = b.column(1).to_pylist()
             langs, scores, rates = [], [], []

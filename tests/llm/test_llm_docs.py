@@ -380,8 +380,8 @@ def test_op8_cross_parsing(spark, docs, empty):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in predict(df, model).collect()}
     assert [got[i][0] for i in range(1, 7)] == ["en", "fr", "und", "und", "und", "en"] and all(0 <= s <= 1 for _, s in got.values())
     # brute force: greedy longest phrases inside the reference
-    ref = to_symbols(" ".join(t for _, t, x in sorted(train, key=lambda r: 0) if x == "en"), model["points"]).tobytes()
-    s = to_symbols(tests[1][1], model["points"]).tobytes()
+    ref = to_symbols(" ".join(t for _, t, x in sorted(train, key=lambda r: 0) if x == "en"), model["points"], model["codes"]).tobytes()
+    s = to_symbols(tests[1][1], model["points"], model["codes"]).tobytes()
     at = n = 0
     while at < len(s):
         k = 1
@@ -414,6 +414,19 @@ def test_op8_long_texts_are_learned(spark):
     assert {r["lang_pred"] for r in predict(new, alone).collect()} == {"fr"}
 
 
+def test_op8_rare_letters_of_a_large_alphabet_are_told_apart(spark):
+    """Two languages of a thousand letters each, none in common and none frequent."""
+    from seqspark.llm.op08_langid import fit, predict
+    rng = random.Random(4)
+    alphabet = {"a": [chr(0x4E00 + 2 * i) for i in range(1000)], "b": [chr(0x4E00 + 2 * i + 1) for i in range(1000)]}
+    rows = [(i, "".join(rng.choices(alphabet["ab"[i % 2]], k=300)), "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(df.where("doc_id < 40"))
+    assert model["n_symbols"] <= 256
+    got = {r["doc_id"]: r["lang_pred"] for r in predict(df.where("doc_id >= 40"), model).collect()}
+    assert got == {i: "ab"[i % 2] for i in range(40, 60)}
+
+
 def test_op8_held_out_accuracy(spark):
     from seqspark.llm.op08_langid import op8_cross_parsing
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang")
