@@ -1,15 +1,16 @@
 """Adaptive context-mixing range coder for token ids.
 
-A block is coded on its own, from a fresh model.  Three orders predict the next id:
+A frame stores a prior once: the frequencies of its ids (order 0) and each id's most frequent successor.  Given the
+prior, a block is coded on its own, from a fresh model.  Four predictions of the next id are mixed:
 
-* order 2: the id that followed the last two ids (hashed), with a confidence 0..7;
-* order 1: the id that followed the last id (hashed), with a confidence 0..7;
-* order 0: the distribution of the ids of the block's first 2^k positions, taken anew whenever their
-  number has doubled.
+* order 2: the id that followed the last two ids in this block (hashed), with a confidence 0..7;
+* order 1: the id that followed the last id in this block (hashed), with a confidence 0..7;
+* order 1 of the frame: the last id's most frequent successor;
+* order 0: the frequencies of the frame.
 
-The mixer holds, for every pair of confidences (and whether both predict the same id), adaptive
-frequencies of four outcomes: the order-2 id, the order-1 id, an id by order 0, a literal.  An outcome is
-range-coded with these, then an order-0 id with its frequency or a literal with 16 (or 32) bits.
+The mixer holds adaptive frequencies of the four for every pair of confidences and every agreement between the
+predictions.  Which of them gives the id is range-coded with these; order 0 then codes the id with its frequency.
+Ids beyond the ``MOST`` most frequent of a frame are an escape of order 0, followed by 16 (or 32) plain bits.
 
 Blocks are independent, so all blocks of a frame advance together, one id per step and block, with
 NumPy operations over the blocks.  All arithmetic is on integers (a float quotient is exact where it is
@@ -27,8 +28,9 @@ TABLE_BITS = 11                 # entries of each prediction table
 TOP = 14                        # the mixer's frequencies add up to 2^TOP
 RATE = 5                        # and move by 1 / 2^RATE
 FLOOR = 1 << RATE               # smallest frequency
-FIRST = 64                      # order 0 starts after so many ids
-MAX_ID = 1 << 28
+MOST = 1 << 15                  # ids in a frame's prior
+ZERO_BITS = 16                  # the prior's frequencies add up to 2^16
+MAX_ID = (1 << 28) - MOST
 _TARGET = np.array([[FLOOR * j if j <= s else (1 << TOP) - FLOOR * (4 - j) for j in range(5)] for s in range(4)], np.int32)
 
 
@@ -45,39 +47,74 @@ def _learn(table: np.ndarray, at: np.ndarray, entry: np.ndarray, ids: np.ndarray
     table[at] = np.where(right, entry + (sure < 7), np.where(sure > 1, entry - ((sure + 1) >> 1), (ids << 3) | 1))
 
 
-def _ranks(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For columns n..2n-1 of ``ids`` (block x position): start and frequency among the first n ids, sorted."""
-    part = ids[:, :2 * n]
-    order = np.argsort(part, axis=1, kind="stable")
-    values = np.take_along_axis(part, order, 1)
-    old = order < n
-    seen = np.cumsum(old, axis=1, dtype=np.int32)
-    first = np.zeros(part.shape, np.int32)
-    first[:, 1:] = np.where(values[:, 1:] != values[:, :-1], np.arange(1, part.shape[1], dtype=np.int32), 0)
-    first = np.maximum.accumulate(first, axis=1)
-    start = np.take_along_axis(seen - old, first, 1)
-    out = np.zeros((2, *part.shape), np.int32)
-    np.put_along_axis(out[0], order, start, 1)
-    np.put_along_axis(out[1], order, seen - start, 1)
-    return out[0][:, n:], out[1][:, n:]
+class Prior:
+    """Order 0 and first successors of a frame.  An id of the prior is named by its place, another one by ``size`` + id."""
+
+    def __init__(self, ids: np.ndarray, freqs: np.ndarray, following: np.ndarray):
+        self.ids, self.freqs, self.size = ids.astype(np.int64), freqs.astype(np.int64), len(ids)     # freqs: escape last
+        self.starts = np.cumsum(self.freqs) - self.freqs
+        self.following = np.append(following.astype(np.int32), np.int32(-1))                         # -1: none
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Prior:
+        values, counts = np.unique(ids, return_counts=True)
+        top = np.sort(np.lexsort((values, -counts))[:MOST])
+        values, rest, counts = values[top], len(ids) - int(counts[top].sum()), counts[top].astype(np.int64)
+        weights = np.append(counts, rest)
+        freqs = np.where(weights > 0, weights * ((1 << ZERO_BITS) - len(weights)) // max(1, len(ids)) + 1, 0)
+        freqs[np.argmax(freqs)] += (1 << ZERO_BITS) - freqs.sum()
+        prior = cls(values, freqs, np.full(len(values), -1))
+        names = prior.names(ids)
+        pairs, n = np.unique(names[:-1] * (prior.size + 1) + np.minimum(names[1:], prior.size), return_counts=True)
+        first, second = pairs // (prior.size + 1), pairs % (prior.size + 1)
+        known = (first < prior.size) & (second < prior.size)
+        order = np.lexsort((second[known], n[known]))
+        prior.following[first[known][order]] = second[known][order]                                  # the last is the most frequent
+        return prior
+
+    def names(self, ids: np.ndarray) -> np.ndarray:
+        ids = ids.astype(np.int64)
+        if not self.size:
+            return ids
+        at = np.minimum(np.searchsorted(self.ids, ids), self.size - 1)
+        return np.where(self.ids[at] == ids, at, self.size + ids)
+
+    def values(self, names: np.ndarray) -> np.ndarray:
+        if not self.size:
+            return names
+        return np.where(names < self.size, self.ids[np.minimum(names, self.size - 1)], names - self.size)
+
+    def pack(self) -> bytes:
+        delta = np.diff(self.ids, prepend=0).astype("<u4")
+        return zlib.compress(struct.pack("<I", self.size) + delta.tobytes() + self.freqs.astype("<u4").tobytes()
+                             + self.following[:-1].astype("<i2").tobytes(), 9)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Prior:
+        raw = zlib.decompress(data)
+        n = struct.unpack_from("<I", raw)[0]
+        return cls(np.cumsum(np.frombuffer(raw, "<u4", n, 4).astype(np.int64)), np.frombuffer(raw, "<u4", n + 1, 4 + 4 * n),
+                   np.frombuffer(raw, "<i2", n, 8 + 8 * n))
 
 
 class _Mixer:
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, prior: Prior):
+        self.following, self.last = prior.following, prior.size
         self.size = 1 << TABLE_BITS
         self.one, self.two = (np.zeros(lanes * self.size, np.int32) for _ in range(2))
         self.base = np.arange(lanes, dtype=np.int64) * self.size
-        self.cdf = np.tile(np.arange(5, dtype=np.int32) << (TOP - 2), (lanes * 128, 1))
+        self.cdf = np.tile(np.arange(5, dtype=np.int32) << (TOP - 2), (lanes * 256, 1))
         self.flat = self.cdf.reshape(-1)                        # the same numbers
-        self.row = np.arange(lanes, dtype=np.int64) * 128
+        self.row = np.arange(lanes, dtype=np.int64) * 256
 
     def predict(self, prev, prev2):
         a = len(prev)
         h1, h2 = _slots(prev, prev2)
         self.at1, self.at2 = self.base[:a] + h1, self.base[:a] + h2
         self.e1, self.e2 = self.one.take(self.at1), self.two.take(self.at2)
-        self.g1, self.g2 = self.e1 >> 3, self.e2 >> 3
-        self.mix = self.row[:a] + (((self.e2 & 7) << 3) | (self.e1 & 7)) + ((self.g1 == self.g2) << 6)
+        self.g1, self.g2, self.g3 = self.e1 >> 3, self.e2 >> 3, self.following.take(np.minimum(prev, self.last))
+        self.mix = (self.row[:a] + (((self.e2 & 7) << 3) | (self.e1 & 7)) + ((self.g1 == self.g2) << 6)
+                    + ((self.g1 == self.g3) << 7))
         self.c = self.cdf.take(self.mix, axis=0)
 
     def span(self, outcome):
@@ -100,14 +137,13 @@ def _steps(sizes: np.ndarray) -> np.ndarray:
     return np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
 
 
-def encode_blocks(ids: np.ndarray, sizes: np.ndarray, literal_words: int) -> list[bytes]:
-    """Payloads of the blocks ``ids[i, :sizes[i]]``; sizes do not increase."""
-    lanes, longest = ids.shape
-    mixer = _Mixer(lanes)
-    by_step = np.ascontiguousarray(ids.T).astype(np.int32)
+def encode_blocks(names: np.ndarray, sizes: np.ndarray, literal_words: int, prior: Prior) -> list[bytes]:
+    """Payloads of the blocks ``names[i, :sizes[i]]``; sizes do not increase."""
+    lanes, longest = names.shape
+    mixer = _Mixer(lanes, prior)
+    by_step = np.ascontiguousarray(names.T).astype(np.int32)
     low, width = np.zeros(lanes, np.int64), np.full(lanes, 0xFFFFFFFF, np.int64)
-    digits, at = np.zeros((longest * (1 + literal_words) * 2 + 4, lanes), np.int32), np.zeros(lanes, np.int64)
-    small = ids.astype(np.uint16) if ids.max(initial=0) < 65536 else ids
+    digits, at = np.zeros((longest * (2 + literal_words) + 4, lanes), np.int32), np.zeros(lanes, np.int64)
 
     def shift(among):
         k = among[np.flatnonzero(width[among] < 65536)]
@@ -117,32 +153,27 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray, literal_words: int) -> lis
             width[k] <<= 16
             at[k] += 1
 
-    every, zero = np.arange(lanes), np.zeros(lanes, np.int32)
-    n, starts, freqs = 0, None, None
+    every, before = np.arange(lanes), np.full(lanes, prior.size, np.int64)        # no id: an escape's name
     for t, a in enumerate(_steps(sizes)):
-        if t >= FIRST and t & (t - 1) == 0:
-            n = t
-            starts, freqs = (np.ascontiguousarray(x.T) for x in _ranks(small, n))
         now = by_step[t, :a]
-        mixer.predict(by_step[t - 1, :a].astype(np.int64) if t else zero[:a].astype(np.int64),
-                      by_step[t - 2, :a].astype(np.int64) if t > 1 else zero[:a].astype(np.int64))
-        known = freqs[t - n, :a] > 0 if n else np.zeros(a, bool)
-        outcome = np.where(mixer.g2 == now, 0, np.where(mixer.g1 == now, 1, np.where(known, 2, 3)))
+        mixer.predict(by_step[t - 1, :a].astype(np.int64) if t else before[:a], by_step[t - 2, :a].astype(np.int64) if t > 1 else before[:a])
+        outcome = np.where(mixer.g2 == now, 0, np.where(mixer.g1 == now, 1, np.where(mixer.g3 == now, 2, 3)))
         lo, hi = mixer.span(outcome)
         unit = width[:a] >> TOP
         low[:a] += unit * lo
         width[:a] = unit * (hi - lo)
         shift(every[:a])
-        k = np.flatnonzero(outcome == 2)
+        k = np.flatnonzero(outcome == 3)
         if len(k):
-            unit = width[k] >> (n.bit_length() - 1)
-            low[k] += unit * starts[t - n, k]
-            width[k] = unit * freqs[t - n, k]
+            name = np.minimum(now[k], prior.size)
+            unit = width[k] >> ZERO_BITS
+            low[k] += unit * prior.starts[name]
+            width[k] = unit * prior.freqs[name]
             shift(k)
-        k = np.flatnonzero(outcome == 3)
+            k = k[name == prior.size]
         for w in range(literal_words if len(k) else 0):
             unit = width[k] >> 16
-            low[k] += unit * ((now[k] >> (16 * w)) & 0xFFFF)
+            low[k] += unit * (((now[k] - prior.size) >> (16 * w)) & 0xFFFF)
             width[k] = unit
             shift(k)
         mixer.update(outcome, now)
@@ -159,17 +190,17 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray, literal_words: int) -> lis
     return [out[i, :at[i]].tobytes() for i in range(lanes)]
 
 
-def decode_blocks(payloads: list[bytes], sizes: np.ndarray, literal_words: int) -> np.ndarray:
-    """ids[i, :sizes[i]] of the blocks; sizes do not increase."""
+def decode_blocks(payloads: list[bytes], sizes: np.ndarray, literal_words: int, prior: Prior) -> np.ndarray:
+    """names[i, :sizes[i]] of the blocks; sizes do not increase."""
     lanes, longest = len(payloads), int(sizes[0])
     stream = np.concatenate([np.frombuffer(b"".join(payloads), "<u2"), np.zeros(4, "<u2")]).astype(np.int64)
     n_words = np.array([len(p) // 2 for p in payloads], np.int64)
     at = np.cumsum(n_words) - n_words + 2
     code = (stream[at - 2] << 16) | stream[at - 1]
     width = np.full(lanes, 0xFFFFFFFF, np.int64)
-    mixer, every = _Mixer(lanes), np.arange(lanes)
-    ids = np.zeros((longest + 2, lanes), np.int32)              # two zeros first
-    n, values, starts, freqs = 0, None, None, None
+    mixer, every = _Mixer(lanes, prior), np.arange(lanes)
+    names = np.full((longest + 2, lanes), prior.size, np.int32)  # two times no id first
+    by_slot = np.repeat(np.arange(prior.size + 1, dtype=np.int32), prior.freqs)
 
     def shift(among):
         k = among[np.flatnonzero(width[among] < 65536)]
@@ -179,20 +210,7 @@ def decode_blocks(payloads: list[bytes], sizes: np.ndarray, literal_words: int)
             at[k] += 1
 
     for t, a in enumerate(_steps(sizes)):
-        if t >= FIRST and t & (t - 1) == 0:
-            n = t
-            past = np.array(ids[2:2 + n, :a].T, order="C")         # a copy: it is sorted in place
-            if past.max(initial=0) < 65536:
-                past = past.astype(np.uint16)
-            past.sort(axis=1, kind="stable")
-            first = np.zeros(past.shape, np.int32)
-            first[:, 1:] = np.where(past[:, 1:] != past[:, :-1], np.arange(1, n, dtype=np.int32), 0)
-            first = np.maximum.accumulate(first, axis=1)
-            last = np.full(past.shape, n, np.int32)
-            last[:, :-1] = np.where(past[:, 1:] != past[:, :-1], np.arange(1, n, dtype=np.int32), n)
-            last = np.minimum.accumulate(last[:, ::-1], axis=1)[:, ::-1]
-            values, starts, freqs = past.ravel().astype(np.int32), first.ravel(), (last - first).ravel()
-        mixer.predict(ids[t + 1, :a].astype(np.int64), ids[t, :a].astype(np.int64))
+        mixer.predict(names[t + 1, :a].astype(np.int64), names[t, :a].astype(np.int64))
         unit = width[:a] >> TOP
         c, here = mixer.c, code[:a]
         outcome = ((here >= unit * c[:, 1]).astype(np.int64) + (here >= unit * c[:, 2])) + (here >= unit * c[:, 3])
@@ -200,16 +218,16 @@ def decode_blocks(payloads: list[bytes], sizes: np.ndarray, literal_words: int)
         code[:a] -= unit * lo
         width[:a] = unit * (hi - lo)
         shift(every[:a])
-        now = np.where(outcome == 0, mixer.g2, mixer.g1)
-        k = np.flatnonzero(outcome == 2)
+        now = np.where(outcome == 0, mixer.g2, np.where(outcome == 1, mixer.g1, mixer.g3))
+        k = np.flatnonzero(outcome == 3)
         if len(k):
-            unit = width[k] >> (n.bit_length() - 1)
-            slot = k * n + np.minimum((code[k] / unit).astype(np.int64), n - 1)
-            now[k] = values[slot]
-            code[k] -= unit * starts[slot]
-            width[k] = unit * freqs[slot]
+            unit = width[k] >> ZERO_BITS
+            name = by_slot[np.minimum((code[k] / unit).astype(np.int64), (1 << ZERO_BITS) - 1)]
+            code[k] -= unit * prior.starts[name]
+            width[k] = unit * prior.freqs[name]
+            now[k] = name
             shift(k)
-        k = np.flatnonzero(outcome == 3)
+            k = k[name == prior.size]
         if len(k):
             word = np.zeros(len(k), np.int64)
             for w in range(literal_words):
@@ -219,43 +237,45 @@ def decode_blocks(payloads: list[bytes], sizes: np.ndarray, literal_words: int)
                 code[k] -= unit * part
                 width[k] = unit
                 shift(k)
-            now[k] = word
-        ids[t + 2, :a] = now
+            now[k] = word + prior.size
+        names[t + 2, :a] = now
         mixer.update(outcome, now)
-    return np.ascontiguousarray(ids[2:].T)
+    return np.ascontiguousarray(names[2:].T)
 
 
-MAGIC = b"TIDF\x01"
-_HEAD = "<5sBIIQ"
+MAGIC = b"TIDF\x02"
+_HEAD = "<5sBIIQII"                # .., bytes and crc32 of the prior
 _BLOCK = np.dtype([("tokens", "<u4"), ("bytes", "<u4"), ("crc32", "<u4")])
 
 
 def encode_frame(doc_ids: list, ids: np.ndarray, lengths: np.ndarray, block_tokens: int = 2048) -> bytes:
-    """A self-contained frame: header, documents (id, null mark, length), block table, payloads, checksum.
+    """A self-contained frame: header, documents (id, null mark, length), prior, block table, payloads, checksum.
 
     ``ids``: all ids of the documents in order; few ids make shorter blocks, so that many advance together.
     """
     n = len(ids)
     if n and int(ids.max()) >= MAX_ID:
-        raise ValueError("ids of 2^28 and more are not supported")
+        raise ValueError("ids of 2^28 - 2^15 and more are not supported")
     block_tokens = int(min(block_tokens, max(256, 1 << max(0, n // 512).bit_length())))
     words = 1 if not n or int(ids.max()) < 65536 else 2
     lanes = -(-n // block_tokens)
+    prior = Prior.of(ids)
     grid = np.zeros(lanes * block_tokens, np.int32)
-    grid[:n] = ids
+    grid[:n] = prior.names(ids)
     grid = grid.reshape(lanes, block_tokens)
     sizes = np.full(lanes, block_tokens, np.int64)
     if lanes:
         sizes[-1] = n - (lanes - 1) * block_tokens
-    payloads = encode_blocks(grid, sizes, words) if lanes else []
+    payloads = encode_blocks(grid, sizes, words, prior) if lanes else []
+    stored = prior.pack()
     table = np.zeros(lanes, _BLOCK)
     raw = ids.astype("<u4")
     for i in range(lanes):
         table[i] = (sizes[i], len(payloads[i]), zlib.crc32(raw[i * block_tokens:(i + 1) * block_tokens].tobytes()))
     body = b"".join([
-        struct.pack(_HEAD, MAGIC, words, len(doc_ids), lanes, n), np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
+        struct.pack(_HEAD, MAGIC, words, len(doc_ids), lanes, n, len(stored), zlib.crc32(stored)), np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
         np.array([d is None for d in doc_ids], np.uint8).tobytes(), np.asarray(lengths).astype("<u8").tobytes(),
-        table.tobytes(), *payloads])
+        stored, table.tobytes(), *payloads])
     return body + struct.pack("<I", zlib.crc32(body))
 
 
@@ -263,7 +283,7 @@ def decode_frame(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     """(document ids, lengths, all ids); raises on a wrong checksum of the frame or of any block."""
     if struct.unpack("<I", data[-4:])[0] != zlib.crc32(data[:-4]):
         raise ValueError("frame checksum does not match")
-    magic, words, n_docs, lanes, n = struct.unpack_from(_HEAD, data)
+    magic, words, n_docs, lanes, n, n_prior, crc_prior = struct.unpack_from(_HEAD, data)
     if magic != MAGIC:
         raise ValueError("not a token-id frame")
     at = struct.calcsize(_HEAD)
@@ -271,6 +291,11 @@ def decode_frame(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     null = np.frombuffer(data, np.uint8, n_docs, at + 8 * n_docs)
     lengths = np.frombuffer(data, "<u8", n_docs, at + 9 * n_docs).astype(np.int64)
     at += 17 * n_docs
+    stored = data[at:at + n_prior]
+    if zlib.crc32(stored) != crc_prior:
+        raise ValueError("prior checksum does not match")
+    prior = Prior.unpack(stored)
+    at += n_prior
     table = np.frombuffer(data, _BLOCK, lanes, at)
     at += lanes * _BLOCK.itemsize
     ends = at + np.cumsum(table["bytes"].astype(np.int64))
@@ -278,7 +303,7 @@ def decode_frame(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     ids = np.zeros(0, np.uint32)
     if lanes:
         sizes = table["tokens"].astype(np.int64)
-        grid = decode_blocks(payloads, sizes, words)
+        grid = prior.values(decode_blocks(payloads, sizes, words, prior))
         for row, k, crc in zip(grid, sizes.tolist(), table["crc32"].tolist()):
             if zlib.crc32(row[:k].astype("<u4").tobytes()) != crc:
                 raise ValueError("block checksum does not match")

@@ -89,6 +89,28 @@ def test_codec_round_trip(high):
         encode_frame([1], np.array([1 << 28], np.uint32), np.array([1]))
 
 
+def test_codec_beats_zlib_and_order_zero():
+    """Bits an id over all documents of sf0.01 as one frame, the header and the prior included."""
+    import duckdb
+    from seqspark.llm.codec import decode_frame, encode_frame
+    from seqspark.llm.common import WordTokenizer
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM read_parquet('/root/testdata/sf0.01/documents.parquet') ORDER BY doc_id").fetchall()]
+    flat, bounds = WordTokenizer(BPE).encode(texts)
+    lengths = np.diff(bounds) + 1
+    ids = np.concatenate([np.append(flat[a:b], np.uint32(2)) for a, b in zip(bounds, bounds[1:])])
+    data = encode_frame(list(range(len(texts))), ids, lengths)
+    assert (decode_frame(data)[2] == ids).all()
+    bits = 8 * len(data) / len(ids)
+    assert bits < 8.0 and bits < 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids) - 0.8
+
+
+def test_codec_escapes():
+    """More distinct ids than a prior holds: the rest is escaped, also in the first and last place of a block."""
+    from seqspark.llm.codec import MOST, decode_frame, encode_frame
+    ids = np.random.default_rng(1).permutation(np.arange(2 * MOST, dtype=np.uint32) * 3001)
+    assert (decode_frame(encode_frame([1], ids, np.array([len(ids)])))[2] == ids).all()
+
+
 def test_op1_files_in_document_order(spark, docs, empty):
     from seqspark.llm.common import shared_path
     from seqspark.llm.op01_tokens import read_token_files, write_token_files
