@@ -130,8 +130,8 @@ class WordTokenizer:
     The byte-level pattern of the file always ends a pre-token in three places: before a single space
     between two non-white characters, on both sides of a single line feed between two such characters, and
     before a comma or full stop that follows a letter or digit and precedes white space.  A text is cut at
-    the spaces; a piece that is met for the first time is cut at the other places into atoms, which the
-    library encodes, and the ids are joined.  Pieces are kept in a cache; at ``max_words`` entries those that
+    the spaces; new pieces without white space are encoded by the library many at a time, with line feeds
+    between them; a new piece with white space is cut at the other places into atoms, whose ids are joined.  Pieces are kept in a cache; at ``max_words`` entries those that
     were met once are forgotten.  Texts are never shortened.  Special-token strings inside a text are ordinary text.
 
     A piece is written without its leading space; ``BARE`` before it marks that it has none.
@@ -196,35 +196,45 @@ class WordTokenizer:
                 out.append(line)
         return out
 
+    def _easy(self, piece: str) -> bool:
+        """Without white space: it can stand on a line of its own."""
+        return piece != self.BARE and piece.rfind(self.BARE) < 1 and piece.split() == [piece]
+
+    def _add(self, names: list[str], flat: np.ndarray, n: np.ndarray):
+        s = self.state
+        s["index"].update(zip(names, range(len(s["n"]), len(s["n"]) + len(n))))
+        s["start"] = np.concatenate([s["start"], len(s["flat"]) + np.cumsum(n) - n])
+        s["flat"], s["n"] = np.concatenate([s["flat"], flat]), np.concatenate([s["n"], n])
+        s["uses"] = np.concatenate([s["uses"], np.zeros(len(n), np.int32)])
+
     def _learn(self, pieces: list[str]):
-        """Encode new pieces: plain atoms many in one call with line feeds between them, those with white space alone."""
+        """Encode new pieces: easy ones many in one call with line feeds between them, those with white space by their atoms."""
         tok, newline, s = self.state["tok"], self.state["newline"], self.state
-        index = s["index"]
-        made = [(p, self._atoms(p)) for p in pieces]
-        new = list(dict.fromkeys(a for _, atoms in made for a in atoms if a not in index))
+        index, easy, hard = s["index"], [], []
+        for p in pieces:
+            (easy if len(newline) == 1 and self._easy(p) else hard).append(p)
+        atoms = [self._atoms(p) for p in hard]
+        met = set(easy)
+        new = dict.fromkeys(a for some in atoms for a in some if a not in index and a not in met)
+        easy += [a for a in new if len(newline) == 1 and self._easy(a)]
+        met.update(easy)
         text = lambda p: p[1:] if p[0] == self.BARE else " " + p
-        plain, other = [], []
-        for p in new:
-            body = text(p).removeprefix(" ")
-            easy = len(newline) == 1 and body and self.BARE not in body and body.split() == [body]
-            (plain if easy else other).append(p)
-        parts: list[np.ndarray] = []
-        for i in range(0, len(plain), 2000):
-            some = plain[i:i + 2000]
-            ids = np.array(tok.encode("\n".join(map(text, some)), add_special_tokens=False).ids, np.uint32)
-            parts += np.split(ids, np.flatnonzero(ids == newline[0]))
-        parts = [p[1:] if len(p) and p[0] == newline[0] else p for p in parts]
+        flats, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(easy), 2000):
+            ids = np.array(tok.encode("\n".join(map(text, easy[i:i + 2000])), add_special_tokens=False).ids, np.uint32)
+            line = ids == newline[0]
+            counts.append(np.diff(np.flatnonzero(line), prepend=-1, append=len(ids)) - 1)
+            flats.append(ids[~line])
+        other = [a for a in new if a not in met]
         for e in tok.encode_batch(list(map(text, other)), add_special_tokens=False):
-            parts.append(np.array(e.ids, np.uint32))
-        at = dict(zip(plain + other, range(len(parts))))
-        known = lambda a: parts[at[a]] if a in at else s["flat"][s["start"][index[a]]:][:s["n"][index[a]]]
-        joined = [(p, np.concatenate([known(a) for a in atoms])) for p, atoms in made if len(atoms) > 1]
-        names, parts = plain + other + [p for p, _ in joined], parts + [x for _, x in joined]
-        n = np.array([len(p) for p in parts], np.int64)
-        index.update(zip(names, range(len(s["n"]), len(s["n"]) + len(n))))
-        s["start"] = np.concatenate([s["start"], len(s["flat"]) + np.cumsum(n) - n])
-        s["flat"], s["n"] = np.concatenate([s["flat"], *parts]), np.concatenate([s["n"], n])
-        s["uses"] = np.concatenate([s["uses"], np.zeros(len(n), np.int32)])
+            flats.append(np.array(e.ids, np.uint32))
+            counts.append(np.array([len(e.ids)], np.int64))
+        self._add(easy + other, np.concatenate(flats), np.concatenate(counts))
+        several = [(p, [index[a] for a in some]) for p, some in zip(hard, atoms) if len(some) > 1]
+        if several:
+            start, n, flat = s["start"], s["n"], s["flat"]
+            parts = [np.concatenate([flat[start[k]:start[k] + n[k]] for k in ks]) for _, ks in several]
+            self._add([p for p, _ in several], np.concatenate(parts), np.array([len(x) for x in parts], np.int64))
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(flat uint32 ids, int64 bounds): ids of text i are ``flat[bounds[i]:bounds[i + 1]]``; null is empty.
@@ -256,11 +266,9 @@ class WordTokenizer:
                 words += p
                 counts[i] = len(p)
         index = self.state["index"]
-        got = list(map(index.get, words))
-        if None in got:
-            self._learn(list(dict.fromkeys(w for w, k in zip(words, got) if k is None)))
-            got = list(map(index.get, words))
-        k = np.array(got, np.int64)
+        if new := set(words) - index.keys():
+            self._learn(list(new))
+        k = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
         self.state["uses"] += np.bincount(k, minlength=len(self.state["uses"])).astype(np.int32)
         n = self.state["n"][k] if len(k) else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(n)])
