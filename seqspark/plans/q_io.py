@@ -183,6 +183,6 @@ def q_generate_compare(spark, sf):
     gen = R.random_infill(p.select("id", "sequence"), seed=INFILL_SEED)
     path = IO.scratch_path(spark, "generated")
     IO.write_fasta(gen, path, ["row_idx"])
-    back = IO.read_fasta(spark, path)
+    back = IO.read_fasta(spark, path, indexed=False)            # k-mer frequencies need no order
     r = K.kmer_correlation(back, p, 6).select(F.round("r", 9).alias("r"), "n_kmers")
     return r.select(back.select(F.count(F.lit(1))).scalar().alias("n_generated"), "r", "n_kmers")

@@ -24,8 +24,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/seqspark-out/{name}-{uuid.uuid4().hex}"
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(row_idx, id, sequence) per record in file order.
+def read_fasta(spark: SparkSession, path: str, indexed: bool = True) -> DataFrame:
+    """(row_idx, id, sequence) per record in file order; ``indexed=False`` skips row_idx where no order is needed.
 
     Multi-line records are joined, whitespace (incl. CR of CRLF files) is
     removed from the sequence, case is kept, the first word of the header is the id.
@@ -40,6 +40,8 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     rec = rec.select("_f", "_b", "_m",
                      F.regexp_extract(parts[0], f"{WHITESPACE_CLASS}*([^{WHITESPACE_CLASS[1:]}*)", 1).alias("id"),
                      F.regexp_replace(F.coalesce(F.get(parts, 1), F.lit("")), WHITESPACE_CLASS, "").alias("sequence"))
+    if not indexed:
+        return rec.select("id", "sequence")
     return with_row_index(rec, ["_f", "_b", "_m"]).select("row_idx", "id", "sequence")
 
 
