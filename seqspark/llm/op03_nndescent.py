@@ -49,7 +49,9 @@ def matrix(column) -> np.ndarray:
 
 def best_edges(edges: DataFrame, degree: int) -> DataFrame:
     """(u, v, d, fresh): the ``degree`` nearest distinct v of every u; an edge known before is not fresh."""
-    known = edges.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
+    # dealt by u first: one exchange serves the aggregate and the window
+    dealt = edges.repartition(shuffle_partitions(edges.sparkSession), "u")
+    known = dealt.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
     rank = Window.partitionBy("u").orderBy("d", "v")
     return known.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= degree).drop("_r")
 
@@ -97,36 +99,40 @@ def first_graph(nodes: DataFrame, dim: int, n_nodes: int, orders: int, run: int,
     """Edges between nodes that are close together in one of ``orders`` random orders."""
     bits = max(0, min(40, int(n_nodes / (2 * run)).bit_length()))
     rng = np.random.default_rng(seed)
-    out = None
-    for _ in range(orders):
-        planes = rng.standard_normal((dim, bits + 1)).astype(np.float32)
+    planes = [rng.standard_normal((dim, bits + 1)).astype(np.float32) for _ in range(orders)]
 
-        def place(batches, w=planes):
-            for b in batches:
-                p = unpacked(b.column(1), dim) @ w
+    def place(batches):
+        for b in batches:
+            vec = unpacked(b.column(1), dim)
+            for order, w in enumerate(planes):
+                p = vec @ w
                 side = ((p[:, 1:] > 0) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(side), pa.array(p[:, 0])],
-                                                 ["node", "v", "side", "p"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(len(p), order, np.int32)), pa.array(side),
+                                                  pa.array(p[:, 0])], ["node", "v", "order", "side", "p"])
 
-        def compare(batches):
-            for b in batches:
-                ids, vec = b.column(0).to_numpy(), unpacked(b.column(1), dim)
+    def compare(batches):
+        for b in batches:
+            order = b.column(2).to_numpy()
+            starts = np.flatnonzero(np.diff(order, prepend=-1))
+            for first, end in zip(starts, np.append(starts[1:], len(order))):
+                part = b.slice(first, end - first)
+                ids, vec = part.column(0).to_numpy(), unpacked(part.column(1), dim)
                 free = np.full(len(ids), np.inf)
                 cuts = [slice(max(at, 0), at + run) for shift in (0, run // 2) for at in range(-shift, len(ids), run)]
                 yield _edge_batch([offers(ids[c], vec[c], degree // 2, free[c]) for c in cuts])
 
-        near = (nodes.select("node", "v").mapInArrow(place, "node long, v binary, side long, p float")
-                .repartitionByRange(shuffle_partitions(nodes.sparkSession), "side", "p")
-                .sortWithinPartitions("side", "p", "node").select("node", "v").mapInArrow(compare, _EDGE))
-        out = near if out is None else out.unionByName(near)
-    return out
+    # all orders in one exchange: their tasks do not multiply with the number of orders
+    placed = nodes.select("node", "v").mapInArrow(place, "node long, v binary, order int, side long, p float")
+    return (placed.repartitionByRange(shuffle_partitions(nodes.sparkSession), "order", "side", "p")
+            .sortWithinPartitions("order", "side", "p", "node").select("node", "v", "order").mapInArrow(compare, _EDGE))
 
 
 def descend(nodes: DataFrame, graph: DataFrame, dim: int, degree: int, meet: int) -> DataFrame:
     """One round: the neighbours of every node (both directions) meet there and are compared."""
     both = graph.select(F.col("u").alias("at"), F.col("v").alias("node"), "d", "fresh").unionByName(
         graph.select(F.col("v").alias("at"), F.col("u").alias("node"), "d", "fresh"))
-    once = both.groupBy("at", "node").agg(F.min("d").alias("d"), F.max("fresh").alias("fresh"))
+    parts = shuffle_partitions(nodes.sparkSession)
+    once = both.repartition(parts, "at").groupBy("at", "node").agg(F.min("d").alias("d"), F.max("fresh").alias("fresh"))
     order = Window.partitionBy("at").orderBy(F.desc("fresh"), "d", "node")
     called = (once.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= meet)
               .withColumn("_any", F.max("fresh").over(Window.partitionBy("at")))
@@ -134,7 +140,7 @@ def descend(nodes: DataFrame, graph: DataFrame, dim: int, degree: int, meet: int
     radius = graph.groupBy(F.col("u").alias("node")).agg(
         F.when(F.count(F.lit(1)) >= degree, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("radius"))
     sent = called.join(nodes.select("node", "v").join(radius, "node"), "node").repartition(
-        shuffle_partitions(nodes.sparkSession), "at").sortWithinPartitions("at")
+        parts, "at").sortWithinPartitions("at")
 
     def run(batches):
         held = None
@@ -195,31 +201,49 @@ def neighbour_graph(nodes: DataFrame, dim: int, degree: int = DEGREE, rounds: in
 
 def search(starts: DataFrame, nodes: DataFrame, graph: DataFrame, dim: int, beam: int = BEAM, hops: int = HOPS,
            open_at_once: int = 32) -> DataFrame:
-    """(query, node): the ``beam`` nearest nodes found for the nodes ``starts(query)`` by greedy search from themselves."""
+    """(query, node): the ``beam`` nearest nodes found for the nodes ``starts(query)`` by greedy search from themselves.
+
+    A hop takes three exchanges of what is reached: by the opened node to its links, by the linked node to its
+    vector (those held already are dropped there), and by the query to its beam.
+    """
+    parts = shuffle_partitions(nodes.sparkSession)
     links = save(graph.select(F.col("u").alias("from"), F.col("v").alias("node")).unionByName(
         graph.select(F.col("v").alias("from"), F.col("u").alias("node"))).distinct(), "links")
     asked = save(starts.join(nodes.select(F.col("node").alias("query"), F.col("v").alias("q")), "query"), "asked")
-
-    def distances(batches):
-        for b in batches:
-            apart = unpacked(b.column(2), dim) - unpacked(b.column(3), dim)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((apart * apart).sum(1)),
-                                              pa.array(np.zeros(b.num_rows, np.int32))], ["query", "node", "d", "opened"])
+    none = F.lit(None).cast("binary")
+
+    def step(held: pa.Table, scored: pa.Table) -> pa.Table:
+        q = held.column("q").drop_null()
+        held = held.filter(held.column("node").is_valid())
+        node, d = held.column("node").to_numpy(), held.column("d").to_numpy()
+        opened = np.maximum(held.column("opened").to_numpy(), held.column("now").to_numpy())
+        if scored.num_rows:
+            apart = unpacked(scored.column("v"), dim) - unpacked(q, dim)
+            node = np.concatenate([node, scored.column("node").to_numpy()])
+            d = np.concatenate([d, (apart * apart).sum(1)])
+            opened = np.concatenate([opened, np.zeros(scored.num_rows, opened.dtype)])
+        best = np.lexsort((node, d))[:beam]
+        opened = opened[best]
+        now = np.zeros(len(best), np.int32)
+        now[np.flatnonzero(opened == 0)[:open_at_once]] = 1
+        query = held.column("query")[0].as_py()                     # a query holds itself at least
+        return pa.table({"query": pa.array(np.full(len(best), query)), "node": pa.array(node[best]),
+                         "d": pa.array(d[best].astype(np.float32)), "opened": pa.array(opened.astype(np.int32)), "now": pa.array(now)})
 
     held = save(starts.select("query", F.col("query").alias("node"), F.lit(0.0).cast("float").alias("d"),
-                              F.lit(0).alias("opened")), "beam")
-    best = Window.partitionBy("query").orderBy("d", "node")
+                              F.lit(0).alias("opened"), F.lit(1).alias("now")), "beam")
     for _ in range(hops):
-        opening = save(held.where("opened = 0").withColumn("_k", F.row_number().over(best))
-                       .where(F.col("_k") <= open_at_once).select("query", F.col("node").alias("from")), "opening")
-        reached = (opening.join(links, "from").select("query", "node").distinct()
-                   .join(held.select("query", "node"), ["query", "node"], "left_anti"))
-        scored = (reached.join(nodes, "node").join(asked, "query").select("query", "node", "v", "q")
-                  .mapInArrow(distances, "query long, node long, d float, opened int"))
-        now = held.join(opening.select("query", F.col("from").alias("node"), F.lit(1).alias("_o")), ["query", "node"], "left")
-        now = now.select("query", "node", "d", F.greatest("opened", F.coalesce("_o", F.lit(0))).alias("opened"))
-        held = save(now.unionByName(scored).withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= beam).drop("_k"), "beam")
-        if held.where("opened = 0").limit(1).count() == 0:
+        reached = held.where("now = 1").select("query", F.col("node").alias("from")).join(links, "from").select(
+            "query", "node", F.lit(0).alias("_h"))
+        new = (reached.unionByName(held.select("query", "node", F.lit(1).alias("_h"))).repartition(parts, "node")
+               .groupBy("node", "query").agg(F.max("_h").alias("_h")).where("_h = 0"))
+        scored = new.join(nodes, "node").select(F.col("query").alias("to"), "node", "v")
+        beams = held.select("query", "node", "d", "opened", "now", none.alias("q")).unionByName(asked.select(
+            "query", F.lit(None).cast("long").alias("node"), F.lit(None).cast("float").alias("d"),
+            F.lit(None).cast("int").alias("opened"), F.lit(None).cast("int").alias("now"), "q"))
+        held = save(beams.groupBy("query").cogroup(scored.groupBy("to")).applyInArrow(
+            lambda left, right: step(left, right), "query long, node long, d float, opened int, now int"), "beam")
+        if held.where("now = 1").limit(1).count() == 0:
             break
     return held.select("query", "node")
 

@@ -220,6 +220,23 @@ def test_op3_magnitude_does_not_matter(spark, scale):
     assert sum(len(got[q] & set(want[q])) for q in want) >= 28
 
 
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("- Exchange ")
+
+
+def test_op3_orders_share_one_exchange(spark):
+    from seqspark.llm.op03_nndescent import best_edges, first_graph, pack_vectors
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.standard_normal(6)]) for i in range(300)]
+    nodes = pack_vectors(spark.createDataFrame(rows, "node long, v array<double>"))
+    graph = first_graph(nodes, 6, 300, orders=8, run=96, degree=24, seed=17)
+    assert exchanges(graph) == 1                                # tasks do not multiply with the orders
+    edges = best_edges(spark.createDataFrame(graph.collect(), graph.schema), 24)
+    assert exchanges(edges) == 1
+    rows = edges.collect()
+    assert {r["u"] for r in rows} == set(range(300)) and max(np.bincount([r["u"] for r in rows])) <= 24
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
     bench = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
