@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import types
@@ -72,10 +73,24 @@ def process_cache(name: str) -> dict:
 
 
 def sliced(batches, rows: int = 1000):
-    """Arrow batches of at most ``rows`` rows, so that only so many texts are Python strings at a time."""
+    """Arrow batches of at most ``rows`` rows, so that only so many texts are Python strings at a time.
+
+    At the end of the task's rows the worker gives back what it no longer needs (see ``release``).
+    """
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    release()
+
+
+def release() -> None:
+    """Return freed memory of this Python worker to the system; an idle worker would hold it through later stages."""
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):                           # a C library without it
+        pass
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import LOWER_ASCII, components, process_cache, save, shuffle_partitions, sliced
+from seqspark.llm.common import LOWER_ASCII, components, process_cache, release, save, shuffle_partitions, sliced
 
 SHINGLE = 5
 MAX_GROUP = 32                  # a block shared by more sets is frequent
@@ -209,7 +209,6 @@ def meetings(keys: DataFrame, max_group: int) -> DataFrame:
     Each task streams its keys in order and holds one group of at most ``max_group`` sets.
     """
     def run(batches):
-        import pandas as pd
         key, sh = np.zeros(0, np.int64), np.zeros(0, np.int64)
         frequent = hub = None                                   # key and smallest member of an open frequent group
         pairs: list[tuple] = []
@@ -222,10 +221,10 @@ def meetings(keys: DataFrame, max_group: int) -> DataFrame:
 
         def reduced():
             a, b, v = (np.concatenate(x) for x in zip(*pairs))
-            g = pd.DataFrame({"a": a, "b": b, "v": v}).groupby(["a", "b", "v"], sort=False).size()
-            ix = g.index
-            return out(ix.get_level_values(0).to_numpy(), ix.get_level_values(1).to_numpy(),
-                       (ix.get_level_values(2).to_numpy(), g.to_numpy()))
+            order = np.lexsort((v, b, a))
+            a, b, v = a[order], b[order], v[order]
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (v[1:] != v[:-1])]))
+            return out(a[first], b[first], (v[first], np.diff(np.append(first, len(a)))))
 
         def hot(k, h, s):
             return out(h, s, (k & 63, np.zeros(len(k))))
@@ -248,6 +247,7 @@ def meetings(keys: DataFrame, max_group: int) -> DataFrame:
             if not len(key):
                 if b is None and pairs:
                     yield reduced()
+                    pairs = []
                 continue
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(start, len(key)))
@@ -270,6 +270,7 @@ def meetings(keys: DataFrame, max_group: int) -> DataFrame:
             if pairs and (held > HELD or b is None):
                 yield reduced()
                 pairs, held = [], 0
+        release()
 
     parts = shuffle_partitions(keys.sparkSession)
     return (keys.repartition(parts, "key").sortWithinPartitions("key", "sh")
@@ -376,6 +377,7 @@ def cluster_links(members: DataFrame, chunk: int) -> DataFrame:
                 root[ry] = rx
                 edges.append((x, y))
         hit = np.flatnonzero(count)
+        release()
         u = np.concatenate([sh[[e[0] for e in edges]] if edges else sh[:0], sh[hit]])
         v = [int(sh[e[1]]) for e in edges] + [None] * len(hit)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()),
@@ -385,8 +387,11 @@ def cluster_links(members: DataFrame, chunk: int) -> DataFrame:
     return spread.repartition(shuffle_partitions(members.sparkSession), "cluster", "i", "j").groupBy("cluster", "i", "j").applyInArrow(lambda t: run(t), "u long, v long, n long")
 
 
-def only_ids(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows of ``docs(doc_id, text)`` whose id may be in ``wanted(doc_id)``: a bitmap of fixed size, no id is missed."""
+def texts_of(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(sh, text) of the rows of ``docs(doc_id, text)`` that have a shingle and whose id may be in ``wanted(doc_id)``.
+
+    A bitmap of fixed size tells which ids may; none is missed.  Filter and hash are one pass, so a task has one Python worker.
+    """
     at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     words = wanted.select(at.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("b")).collect()        # at most bits / 64 rows
@@ -395,27 +400,18 @@ def only_ids(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> Dat
         bitmap[r["w"]] = r["b"]
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def run(batches):
-        for b in batches:
-            p = b.column(2).to_numpy()
-            keep = (shared.value[p >> 6].view(np.uint64) >> (p & 63).astype(np.uint64)) & np.uint64(1)
-            yield b.filter(pa.array(keep.astype(bool)))
-
-    return docs.select("doc_id", "text", at.alias("_p")).mapInArrow(run, "doc_id long, text string, _p long").drop("_p")
-
-
-def with_set_hash(docs: DataFrame) -> DataFrame:
-    """(sh, text) of ``docs(doc_id, text)`` with at least one shingle."""
     def run(batches):
         for b in sliced(batches):
+            p = b.column(1).to_numpy()
+            keep = (shared.value[p >> 6].view(np.uint64) >> (p & 63).astype(np.uint64)) & np.uint64(1)
             hashes = word_hashes()
-            texts = b.column(0).to_pylist()
+            texts = b.column(0).filter(pa.array(keep.astype(bool))).to_pylist()
             sets = [shingles(t, hashes) for t in texts]
-            keep = [i for i, s in enumerate(sets) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_hash(sets[i]) for i in keep], pa.int64()),
-                                              pa.array([texts[i] for i in keep], pa.string())], ["sh", "text"])
+            full = [i for i, s in enumerate(sets) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_hash(sets[i]) for i in full], pa.int64()),
+                                              pa.array([texts[i] for i in full], pa.string())], ["sh", "text"])
 
-    return docs.select("text").mapInArrow(run, "sh long, text string")
+    return docs.select("text", at.alias("_p")).mapInArrow(run, "sh long, text string")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_group: int = MAX_GROUP,
@@ -435,7 +431,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = save(meetings(signatures(rows, "text"), max_group), "jaccard-meetings")
     clusters = components(candidate_edges(met, sets)).select(F.col("node").alias("sh"), F.col("component").alias("cluster"))
     members = save(sets.join(clusters, "sh").select("sh", "doc_id", "copies", "cluster"), "jaccard-members")
-    texts = with_set_hash(only_ids(rows, members))
+    texts = texts_of(rows, members)
     joined = members.join(texts, "sh").dropDuplicates(["sh"]).select("cluster", "sh", "copies", "text")
     found = save(cluster_links(save(joined, "jaccard-texts"), chunk), "jaccard-links")
     links = found.where("v is null").groupBy(F.col("u").alias("sh")).agg(F.sum("n").alias("_links"))

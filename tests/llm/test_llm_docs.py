@@ -515,3 +515,16 @@ def test_op9_default_order(spark):
     have = {r["doc_id"]: r["score"] for r in got}
     for (d, _), s in zip(data, brute_ppm(raw[:3], raw, 4)):
         assert have[d] == pytest.approx(s, abs=1e-7)
+
+
+def test_op2_texts_take_one_python_pass(spark):
+    from seqspark.llm.op02_jaccard import meetings, set_hash, shingles, texts_of, word_hashes
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "x y"), (3, ""), (4, None), (None, "p q r")], "doc_id long, text string")
+    wanted = spark.createDataFrame([(1,), (3,), (4,), (None,)], "doc_id long")
+    got = texts_of(docs, wanted)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1      # one worker for each task
+    assert {(r["sh"], r["text"]) for r in got.collect()} == {
+        (set_hash(shingles(t, word_hashes())), t) for t in ("a b c d e f", "p q r")}
+    keys = spark.createDataFrame([(64 * k + 1, s) for k in range(3) for s in (5, 6)] + [(2, 5), (2, 7), (1, 7), (4, 9)], "key long, sh long")
+    found = sorted(tuple(r) for r in meetings(keys, 32).groupBy("a", "b", "band").sum("n").collect())
+    assert found == [(5, 6, 1, 3), (5, 7, 1, 1), (5, 7, 2, 1), (6, 7, 1, 1)]
