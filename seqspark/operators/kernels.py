@@ -6,15 +6,18 @@ only, so that nothing is exploded to one row per cell.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from seqspark.functions.dna import BASES
+from seqspark.functions.dna import BASES, LEGAL
 from seqspark.operators.delivery import with_model
 
 NONE = 4                        # code of a letter that is no base, and of the cells behind a shorter sequence
@@ -70,13 +73,96 @@ def position_counts(df: DataFrame, sequence_col: str = "sequence", group_cols: S
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(len(s), dtype=np.int32)), *[pa.array(s[:, i]) for i in range(5)]],
                                              names=schema.names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
     types = [to_arrow_type(g.dataType) for g in groups]
     parts = df.select(*group_cols, sequence_col).mapInArrow(run, schema)
     out = parts.groupBy(*group_cols, "pos").agg(*[F.sum(c).alias(c) for c in names])
     return out.where("n > 0")
 
 
+_LEGAL_ONLY = re.compile(f"[{LEGAL}]*").fullmatch
+_LETTERS = np.frombuffer(LEGAL.encode(), np.uint8)
+_DIGIT = np.full(256, len(LEGAL), np.uint8)
+_DIGIT[_LETTERS] = np.arange(len(LEGAL))
+DENSE = 1 << 20                 # counters a task holds per group and k; a larger k is counted batch by batch
+
+
+def _digits_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """(base-5 digits of all letters, their text number) of texts of legal letters."""
+    digits = _DIGIT[np.frombuffer("".join(texts).encode(), np.uint8)]
+    return digits, np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+
+
+def _kmer_codes(digits: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
+    """Base-5 codes of all k-mers that lie in one text."""
+    n = len(digits) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    code = np.zeros(n, np.int64)
+    for i in range(k):
+        code *= len(LEGAL)
+        code += digits[i:n + i]
+    return code[owner[:n] == owner[k - 1:]]
+
+
+def _kmer_strings(codes: np.ndarray, k: int) -> pa.Array:
+    letters = np.empty((len(codes), k), np.uint8)
+    for i in range(k - 1, -1, -1):
+        codes, digit = np.divmod(codes, len(LEGAL))
+        letters[:, i] = _LETTERS[digit]
+    return pa.StringArray.from_buffers(len(letters), pa.py_buffer(np.arange(0, (len(letters) + 1) * k, k, dtype=np.int32).tobytes()),
+                                       pa.py_buffer(letters.tobytes()))
+
+
+def kmer_sums(df: DataFrame, ks: Sequence[int], group_col: str, sequence_col: str = "sequence") -> DataFrame:
+    """(group, k, kmer, n): partial counts of all overlapping k-mers; a k-mer may have several rows, one or more per task.
+
+    Letters A, C, G, T, N are counted as numbers and only a task's sums become strings; a text with another
+    letter is counted by its substrings.  Null texts and those below k letters have no k-mers.
+    """
+    ks = sorted(set(ks))
+    schema = StructType([df.schema[group_col], StructField("k", IntegerType()), StructField("kmer", StringType()), StructField("n", LongType())])
+    kind = to_arrow_type(df.schema[group_col].dataType)
+
+    def rows_of(group, k, kmers, n):
+        return pa.RecordBatch.from_arrays([pa.array([group] * len(n), kind), pa.array(np.full(len(n), k, np.int32)), kmers,
+                                           pa.array(n.astype(np.int64))], names=schema.names)
+
+    def run(batches):
+        sums: dict = {}
+        for b in batches_of(batches):
+            groups, texts, other = b.column(0).to_pylist(), b.column(1).to_pylist(), Counter()
+            by_group: dict = {}
+            for g, t in zip(groups, texts):
+                if t:
+                    by_group.setdefault(g, []).append(t)
+            for g, some in by_group.items():
+                odd = [t for t in some if not _LEGAL_ONLY(t)] if not _LEGAL_ONLY("".join(some)) else []
+                for t in odd:
+                    other.update((g, k, t[i:i + k]) for k in ks for i in range(len(t) - k + 1))
+                legal = [t for t in some if _LEGAL_ONLY(t)] if odd else some
+                digits, owner = _digits_of(legal)
+                for k in ks:
+                    if k > 26:                                  # 5^27 exceeds 64 bits
+                        other.update((g, k, t[i:i + k]) for t in legal for i in range(len(t) - k + 1))
+                        continue
+                    codes = _kmer_codes(digits, owner, k)
+                    if len(LEGAL) ** k <= DENSE:
+                        part = np.bincount(codes, minlength=len(LEGAL) ** k)
+                        sums[g, k] = sums[g, k] + part if (g, k) in sums else part
+                    elif len(codes):
+                        found, n = np.unique(codes, return_counts=True)
+                        yield rows_of(g, k, _kmer_strings(found, k), n)
+            for g, k in {x[:2] for x in other}:
+                mine = [(x[2], n) for x, n in other.items() if x[:2] == (g, k)]
+                yield rows_of(g, k, pa.array([x for x, _ in mine], pa.string()), np.array([n for _, n in mine], np.int64))
+        for (g, k), n in sums.items():
+            found = np.flatnonzero(n)
+            if len(found):
+                yield rows_of(g, k, _kmer_strings(found, k), n[found])
+
+    return df.select(group_col, F.col(sequence_col).cast("string")).mapInArrow(run, schema)
+
+
 def weight_table(values) -> np.ndarray:
     """(positions, 5) from a dense array of position x base weights; code 4 weighs nothing."""
     flat = np.array(values or [], float).reshape(-1, 4)

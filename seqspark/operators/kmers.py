@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions.dna import kmers
+from seqspark.operators.kernels import kmer_sums
 from seqspark.operators.superkmers import kmer_counts_by_minimizer
 from seqspark.session import materialize
 
@@ -112,17 +113,15 @@ def corpus_comparison(corpora: DataFrame, reference: str, others: Sequence[str],
                       sequence_col: str = "sequence") -> DataFrame:
     """r(k) of every corpus in ``others`` against ``reference``, for several k, in one job.
 
-    ``corpora`` is a long table (corpus, sequence).  One explode and one
-    aggregation over (k, kmer) with a count per corpus (single shuffle, at most
-    5^k rows per k afterwards, written once); then each pair is restricted to the union of
+    ``corpora`` is a long table (corpus, sequence).  Each task counts its
+    k-mers as numbers (see ``kmer_sums``), one aggregation over (k, kmer) adds them
+    up per corpus (single shuffle, at most 5^k rows per k afterwards, written once); then each pair is restricted to the union of
     its two observed k-mer sets (missing -> 0) and correlated.
     """
     ks, names = list(ks), [reference, *others]
-    ex = corpora.where(F.col(corpus_col).isin(names)).select(corpus_col, F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), kmers(sequence_col, k).alias("km")) for k in ks])).alias("_k"))
-    ex = ex.select(corpus_col, F.col("_k.k").alias("k"), F.explode("_k.km").alias("kmer"))
-    counts = ex.groupBy("k", "kmer").agg(*[F.count_if(F.col(corpus_col) == n).alias(f"_n{i}")
-                                          for i, n in enumerate(names)])
+    counted = kmer_sums(corpora.where(F.col(corpus_col).isin(names)), ks, corpus_col, sequence_col)
+    counts = counted.groupBy("k", "kmer").agg(*[F.sum(F.when(F.col(corpus_col) == n, F.col("n")).otherwise(F.lit(0))).alias(f"_n{i}")
+                                               for i, n in enumerate(names)])
     counts = materialize(counts)   # <= 5^k rows per k; read for the totals, the means and the sums
     totals = counts.groupBy(F.col("k").alias("_k")).agg(*[F.sum(f"_n{i}").alias(f"_t{i}") for i in range(len(names))])
     freqs = counts.join(totals, F.col("k") == F.col("_k")).select(

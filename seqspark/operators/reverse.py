@@ -48,12 +48,32 @@ def _square(x: np.ndarray) -> np.ndarray:
     return _mod(x * x)
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A number congruent to x modulo P, at most P + 2^(bits of x - 31); x is overwritten."""
+    high = x >> 31
+    x &= P
+    x += high
+    return x
+
+
 def counter_normals(keys: np.ndarray, step: int, cells: np.ndarray) -> np.ndarray:
     """Standard normals (len(keys), len(cells)) of a step; ``keys`` are integers below 2^32."""
     row = _square(keys.astype(np.int64) + ROW_SHIFT)
-    h = _square(_square(row + STEP * step + STEP_SHIFT)[:, None] + (CELL * cells.astype(np.int64) + CELL_SHIFT)[None, :])
-    a = _square(h * FACTOR + U1_SHIFT)
-    b = _square(a + U2_SHIFT)
+    h = _square(row + STEP * step + STEP_SHIFT)[:, None] + (CELL * cells.astype(np.int64) + CELL_SHIFT)[None, :]
+    _fold(h)
+    h *= h
+    _fold(_fold(h))
+    h *= FACTOR                                                 # below 2^48: one fold leaves less than 2^31.1
+    h += U1_SHIFT
+    _fold(h)
+    h *= h
+    a = _fold(_fold(h))
+    a[a >= P] -= P
+    b = a + U2_SHIFT
+    _fold(b)
+    b *= b
+    _fold(_fold(b))
+    b[b >= P] -= P
     return np.sqrt(-2.0 * np.log((a + 1) / (P + 1.0))) * np.cos(2.0 * math.pi * (b / float(P)))
 
 
@@ -103,6 +123,55 @@ def run_chains(template: np.ndarray, keys: np.ndarray, coefs: list[dict], predic
     return xs
 
 
+def sample_letters(text: np.ndarray, keys: np.ndarray, coefs: list[dict], priors: list[np.ndarray], core: np.ndarray,
+                   channels: int = 4, rows: int = 64) -> list[np.ndarray]:
+    """Letter numbers (len(text), length) per prior: ``run_chains`` with ``categorical_predictor_of`` and the first largest cell.
+
+    ``text``: letter numbers of the templates (``channels`` and more: no cell set); ``core``: mask of positions; ``priors``:
+    position-major shares.  ``rows`` templates at a time stay in the processor's cache, one matrix per letter.
+    """
+    n, length = text.shape
+    T, shares = len(coefs), [np.ascontiguousarray(p.reshape(length, channels).T)[:, None, :] for p in priors]
+    steps = []
+    for c in coefs:
+        sab, s1m, scale = c["sqrt_alpha_bar"], c["sqrt_one_minus_alpha_bar"], c["reciprocal_sqrt_alpha"]
+        noise = c["remove_noise_coeff"] / s1m
+        steps.append((sab / (s1m * s1m), (1.0 - noise) * scale, noise * sab * scale, c["sigma"]))
+    cells = np.arange(length * channels).reshape(length, channels).T.ravel()
+    out = [np.empty((n, length), np.uint8) for _ in priors]
+    for at in range(0, n, rows):
+        part, key = text[at:at + rows], keys[at:at + rows]
+        normals = lambda t: np.ascontiguousarray(
+            counter_normals(key, t, cells).reshape(len(key), channels, length).transpose(1, 0, 2))
+        begin = np.where(core[None, None, :], part[None] == np.arange(channels)[:, None, None], normals(T))
+        xs = [begin.copy() for _ in priors]
+        w = np.empty_like(begin)
+        for t in range(T - 1, -1, -1):
+            k, own, of_x0, sigma = steps[t]
+            noise = normals(t) * sigma if t > 0 else None
+            for x, share in zip(xs, shares):
+                if t < T - 1 or x is xs[0]:                     # the first step is from the same numbers
+                    np.multiply(x, k, out=w)
+                    if max(float(w.max(initial=0.0)), -float(w.min(initial=0.0))) > 300.0:     # exp would leave the range
+                        w -= w.max(axis=0)
+                    np.exp(w, out=w)
+                    weights = w.copy() if t == T - 1 else w
+                np.multiply(weights, share, out=w)
+                total = w.sum(axis=0)
+                w *= of_x0 / np.where(total > 0, total, 1.0)
+                x *= own
+                x += w
+                if noise is not None:
+                    x += noise
+        for x, made in zip(xs, out):
+            top, best = x[0], np.zeros(x.shape[1:], np.uint8)
+            for c in range(1, channels):
+                np.copyto(best, c, where=x[c] > top)
+                top = np.maximum(top, x[c])
+            made[at:at + rows] = best
+    return out
+
+
 def mean_predictor_of(mean: np.ndarray, coefs: list[dict]):
     return lambda x, t: (x - coefs[t]["sqrt_alpha_bar"] * mean) / coefs[t]["sqrt_one_minus_alpha_bar"]
 
@@ -208,22 +277,24 @@ def generate_sequences(df: DataFrame, schedule: DataFrame, models: DataFrame, id
     rows = with_model(rows, _coefs=schedule_row(schedule), _models=models_row(models))
     id_type = df.schema[id_col].dataType.simpleString()
     letters = np.frombuffer("".join(BASES).encode(), np.uint8)
+    number = np.full(256, len(letters), np.uint8)
+    number[letters] = np.arange(len(letters))
 
     def run(batches):
-        for b, coefs, predictors in _batches(batches, categorical_predictor_of):
+        for b, coefs, priors in _batches(batches, lambda prior, _: prior):
             seqs = [s.encode() for s in b.column(2).to_pylist()]
             n, length = len(seqs), len(seqs[0])
             if any(len(s) != length for s in seqs):
                 raise ValueError("generate_sequences: sequences of different lengths")
             text = np.frombuffer(b"".join(seqs), np.uint8).reshape(n, length)
-            hot = (text[:, :, None] == letters[None, None, :]).astype(float).reshape(n, -1)
             core = core_cells(length, regions)
-            outs = run_chains(hot, b.column(1).to_numpy(), coefs, [p for _, p in predictors], core_cells(hot.shape[1], regions, len(letters)))
-            for (name, _), out in zip(predictors, outs):
-                made = letters[out.reshape(n, length, -1).argmax(axis=2)]
+            outs = sample_letters(number[text], b.column(1).to_numpy(), coefs, [p for _, p in priors], core, len(letters))
+            offsets = pa.py_buffer(np.arange(0, (n + 1) * length, length, dtype=np.int32).tobytes())
+            for (name, _), out in zip(priors, outs):
+                made = letters[out]
                 changed = (made != text)[:, core].sum(axis=1)
-                strings = [r.tobytes().decode() for r in made]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name] * n, pa.int64()), pa.array(strings),
+                strings = pa.StringArray.from_buffers(n, offsets, pa.py_buffer(made.tobytes()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name] * n, pa.int64()), strings,
                                                   pa.array(changed.astype(np.int64))], names=["id", "model", "sequence", "core_changed"])
 
     return rows.mapInArrow(run, f"id {id_type}, model long, sequence string, core_changed long").withColumnRenamed("id", id_col)

@@ -107,3 +107,19 @@ def test_length_report_counts_without_filtering(spark):
     df = spark.createDataFrame([("a", "ACGT", 1), ("b", "ACG", 1), ("c", "ACGTA", 0)], "id string, sequence string, g int")
     r = {x["g"]: (x["n_rows"], x["n_wrong_length"]) for x in C.length_report(df, 4, group_cols=["g"]).collect()}
     assert r == {1: (2, 1), 0: (1, 1)}
+
+
+def test_corpus_counts_explode_nothing(spark):
+    """k-mers of any letters are summed inside the tasks: no row per position is made."""
+    from collections import Counter
+
+    from seqspark.operators.kernels import kmer_sums
+    rows = [("a", "ACGTNACGT"), ("a", "acgtß\U0001F600A"), ("a", None), ("a", ""), ("b", "AC"), ("b", "ACGTACGTACGTACGTACGTACGTACGTACGT"), (None, "TTT")]
+    df = spark.createDataFrame(rows, "corpus string, sequence string").repartition(3)
+    ks = [1, 2, 6, 12, 28]
+    got = kmer_sums(df, ks, "corpus")
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    have = Counter()
+    for r in got.collect():
+        have[r["corpus"], r["k"], r["kmer"]] += r["n"]
+    assert have == Counter((c, k, s[i:i + k]) for c, s in rows if s for k in ks for i in range(len(s) - k + 1))
