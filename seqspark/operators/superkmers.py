@@ -6,8 +6,11 @@ m-mers inside the k-mer) names its bucket, consecutive positions of one bucket a
 that holds them all, and only super-k-mers are shuffled and counted per bucket.  Equal k-mers have equal
 minimizers, so a bucket's counts are final.
 
-Buckets are few (``BUCKETS``), so their loads are a bounded table.  A bucket above ``HOT`` times the mean load
-is dealt over several salts and its partial counts are added up in a second step; the others need one step.
+There is a bucket for every ``LOAD`` / 4 k-mers (at least ``BUCKETS``), so the table of their loads is small.
+Consecutive buckets are one task up to about ``LOAD`` k-mers: a task's counters do not grow with the data, which
+Spark's own choice by shuffled bytes would let them, as a packed piece is a small part of its k-mers.  A bucket
+above ``HOT`` times the mean load is dealt over several salts and its partial counts are added up in a second step;
+the others need one step.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -27,7 +30,8 @@ M = 7                           # letters of a minimizer (at most k)
 BUCKETS = 1024
 LETTERS = 31                    # of a piece that is packed into 64 bits
 PACKED = "ACGT"
-HOT = 4                         # times the mean load
+LOAD = 500_000                  # k-mers of a task
+HOT = 8                         # times the mean load
 ROWS = 10_000                   # sequences worked on at a time
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -137,23 +141,38 @@ def super_kmers(df: DataFrame, k: int, sequence_col: str = "sequence", group_col
     return rows.mapInArrow(run, schema)
 
 
+def n_buckets(total: int, load: int = LOAD) -> int:
+    """A power of two: a bucket for every ``load`` / 4 k-mers, at least ``BUCKETS``."""
+    return max(BUCKETS, 1 << max(0, 4 * total // load - 1).bit_length())
+
+
 def kmer_counts_by_minimizer(df: DataFrame, k: int, sequence_col: str = "sequence", group_cols: Sequence[str] = (),
-                             m: int = M, buckets: int = BUCKETS, hot: float = HOT) -> DataFrame:
+                             m: int | None = None, buckets: int | None = None, hot: float = HOT, load: int = LOAD) -> DataFrame:
     """A5 for large k: (group..., kmer, n), equal to exploding all k-mers and counting them."""
+    total = df.agg(F.sum(F.greatest(F.length(sequence_col) - F.lit(k - 1), F.lit(0)).cast("long"))).first()[0] or 0
+    buckets = buckets or n_buckets(total, load)
+    m = m or max(M, (16 * buckets).bit_length() // 2)                                        # 4^m minimizers for the buckets
+    most = max(1.0, total / buckets * hot)
     pieces = materialize(super_kmers(df, k, sequence_col, group_cols, m, buckets))
-    loads = pieces.groupBy("bucket").agg(F.sum("n_kmers").alias("_load"))                   # <= buckets rows
-    mean = loads.agg(F.sum("_load") / buckets).scalar()
-    salts = materialize(loads.select(F.col("bucket").alias("_b"), F.greatest(F.lit(1), F.ceil(F.col("_load") / (mean * hot))).cast("int").alias("_salts")))
-    dealt = pieces.join(F.broadcast(salts), F.col("bucket") == F.col("_b")).withColumn(
-        "_salt", F.pmod(F.xxhash64("codes", "texts"), F.col("_salts")).cast("int"))
-
-    def counted(rows, *place):
-        spread = rows.repartition(*place)
+    loads = pieces.groupBy(F.col("bucket").alias("_b")).agg(F.sum("n_kmers").alias("_load"))     # <= buckets rows
+    loads = loads.withColumn("_salts", F.greatest(F.lit(1), F.ceil(F.col("_load") / most)).cast("int"))
+    before = F.sum(F.when(F.col("_salts") == 1, F.col("_load")).otherwise(0)).over(
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))                     # over the bucket table
+    places = materialize(loads.withColumn("_task", F.floor(F.coalesce(before, F.lit(0)) / load).cast("int")))
+    warm_load = places.where("_salts > 1").agg(F.sum("_load")).first()[0] or 0
+    tasks, warm_tasks = total // load + 1, 2 * (warm_load // load + 1)
+    dealt = pieces.join(F.broadcast(places), F.col("bucket") == F.col("_b"))
+
+    def counted(spread, *place):
         piece = F.concat(F.transform("codes", unpack), F.col("texts"))
         each = spread.select(*place, *group_cols, F.explode(piece).alias("_piece"))
         return each.select(*place, *group_cols, F.explode(kmers("_piece", k)).alias("kmer")).groupBy(
             *place, *group_cols, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
-    cold = counted(dealt.where("_salts = 1"), "bucket")
-    warm = counted(dealt.where("_salts > 1"), "bucket", "_salt").groupBy(*group_cols, "kmer").agg(F.sum("n").alias("n"))
-    return cold.select(*group_cols, "kmer", "n").unionByName(warm.select(*group_cols, "kmer", "n"))
+    cold = counted(dealt.where("_salts = 1").repartitionById(tasks, F.col("_task")), "_task").select(*group_cols, "kmer", "n")
+    if not warm_load:
+        return cold
+    salted = dealt.where("_salts > 1").withColumn("_salt", F.pmod(F.xxhash64("codes", "texts"), F.col("_salts")).cast("int"))
+    warm = counted(salted.repartition(warm_tasks, "bucket", "_salt"), "bucket", "_salt")
+    warm = warm.repartition(warm_tasks, *group_cols, "kmer").groupBy(*group_cols, "kmer").agg(F.sum("n").alias("n"))
+    return cold.unionByName(warm)

@@ -58,3 +58,14 @@ def test_shuffles_at_most_a_third(spark):
     ours = kmer_counts(df, 15)
     a, b = shuffled_bytes(plain), shuffled_bytes(ours)
     assert 0 < b < a / 3, (a, b)
+
+
+def test_tasks_grow_with_the_kmers(spark):
+    """A task counts about ``load`` k-mers, however few bytes their pieces take in the shuffle."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ACGT") for _ in range(81)) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "sequence string")
+    counts = S.kmer_counts_by_minimizer(df, 15, load=20_000)
+    per_task = [r["n"] for r in counts.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("n").alias("n")).collect()]
+    assert sum(per_task) == 4000 * 67 and max(per_task) < 40_000 and len(per_task) > 8, per_task
+    assert S.n_buckets(0) == S.BUCKETS and S.n_buckets(10**10) * S.LOAD / 4 >= 10**10
