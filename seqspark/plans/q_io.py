@@ -106,6 +106,9 @@ def q_stream_best(spark, sf):
     return run_leader_stream(spark, src, ev.schema, f"{root}/log", f"{root}/leader", f"{root}/_checkpoint")
 
 
+EVENT_FILES = 12                            # event files of a half: two batches of six
+
+
 @register("stream_fold_best", V.with_views("""
 SELECT trial_id, fold, max(acc) AS best, min(epoch) FILTER (WHERE acc = top) AS epoch, count(*) AS n_events,
        max(epoch) AS last_epoch
@@ -116,7 +119,8 @@ def q_stream_fold_best(spark, sf):
     ev = materialize(V.eval_log(spark, sf))
     half = F.pmod(F.xxhash64("trial_id", "fold", "epoch"), F.lit(2))
     for part in (1, 0):
-        ev.where(half == part).write.mode("append").parquet(src)
+        # A batch meets nearly every key, so batches must not grow in number with the events: the files grow instead.
+        ev.where(half == part).coalesce(EVENT_FILES).write.mode("append").parquet(src)
         run_fold_best_stream(spark, src, ev.schema, out, ckpt, max_files_per_trigger=6)
     return latest(spark, out).select("trial_id", "fold", "best", "epoch", "n_events", "last_epoch")
 

@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
@@ -22,6 +21,8 @@ _STATE = StructType([StructField("best", DoubleType()), StructField("epoch", Lon
                      StructField("n_valid", LongType()), StructField("n_late", LongType()), StructField("last_epoch", LongType()),
                      StructField("version", LongType())])
 
+_VERSION = Row("_key", *_STATE.names)
+
 
 class FoldBest(StatefulProcessor):
     """Merges a batch's events of one key into its record and emits the record as a new version."""
@@ -32,28 +33,22 @@ class FoldBest(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         best = epoch = last = newest = None
         n = valid = late = version = 0
-        if self.state.exists():
-            best, epoch, n, valid, late, last, version = self.state.get()
-        for part in rows:
-            if part.empty:
-                continue
-            at = part["epoch"].astype("int64")
-            newest = int(at.max()) if newest is None else max(newest, int(at.max()))
-            n += len(part)
-            late += int((at < last).sum()) if last is not None else 0      # behind an epoch of an earlier batch
-            ok = part["acc"].notna()
-            valid += int(ok.sum())
-            if ok.any():
-                acc = part["acc"][ok]
-                top = float(acc.max())
-                first = int(at[ok][acc == top].min())
-                if best is None or top > best or (top == best and first < epoch):
-                    best, epoch = top, first
+        if (held := self.state.get()) is not None:              # one call: an absent record is None
+            best, epoch, n, valid, late, last, version = held
+        for _, at, acc in rows:                                 # plain rows: a frame for every key costs more than its events
+            n += 1
+            if last is not None and at < last:                  # behind an epoch of an earlier batch
+                late += 1
+            if newest is None or at > newest:
+                newest = at
+            if acc is not None:
+                valid += 1
+                if best is None or acc > best or (acc == best and at < epoch):
+                    best, epoch = acc, at
         last = max((x for x in (last, newest) if x is not None), default=None)
-        version += 1
-        record = (best, epoch, n, valid, late, last, version)
+        record = (best, epoch, n, valid, late, last, version + 1)
         self.state.update(record)
-        yield pd.DataFrame([(*key, *record)], columns=["_key", *_STATE.names])
+        yield _VERSION(*key, *record)
 
     def close(self) -> None:
         pass
@@ -75,7 +70,7 @@ def run_fold_best_stream(spark: SparkSession, source_dir: str, schema: StructTyp
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKSDB)
     try:
-        versions = events.groupBy("_key").transformWithStateInPandas(      # as text, a null key is a key like others
+        versions = events.groupBy("_key").transformWithState(      # as text, a null key is a key like others
             statefulProcessor=FoldBest(), outputStructType=out_schema, outputMode="Append", timeMode="None")
         versions = versions.select(F.from_json("_key", key_schema).alias("_k"), *_STATE.names).select("_k.*", *_STATE.names)
         query = (versions.writeStream.format("parquet").outputMode("append").option("path", out_dir)

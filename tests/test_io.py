@@ -151,3 +151,21 @@ def test_fold_best_stream_for_any_split_and_restart(spark, tmp_path, parts):
         assert (r["best"], r["epoch"]) == ((-min(ok)[0], min(ok)[1]) if ok else (None, None))
     assert sum(r["n_late"] for r in got.values()) > 0
     assert spark.read.parquet(out).groupBy("trial_id", "fold", "version").count().where("count > 1").count() == 0
+
+
+def test_stream_batches_do_not_grow_with_the_events(spark, tmp_path):
+    """However many partitions the events have, each half is streamed in two batches."""
+    import glob
+
+    from seqspark.plans import q_io
+    rows = [(i, f"2024-01-01 00:{i // 60 % 60:02d}:{i % 60:02d}", i % 7, "abc"[i % 3], float(i % 50)) for i in range(3000)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    seen = {}
+    scratch, log = q_io.IO.scratch_path, q_io.V.eval_log
+    q_io.IO.scratch_path = lambda s, n: seen.setdefault(n, f"{tmp_path}/{n}")
+    q_io.V.eval_log = lambda s, sf: log(s, sf).repartition(40)
+    try:
+        assert q_io.q_stream_fold_best(spark, str(tmp_path)).count() == 21
+    finally:
+        q_io.IO.scratch_path, q_io.V.eval_log = scratch, log
+    assert len(glob.glob(f"{seen['fold-checkpoint']}/commits/[0-9]*")) <= 4
