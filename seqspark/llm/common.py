@@ -139,14 +139,36 @@ def _stamp(df: DataFrame):
     return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+class _Numbering(dict):
+    """Numbers names in the order in which they are first asked for; ``new``: those numbered since it was emptied."""
+
+    def __init__(self, items=()):
+        super().__init__(items)
+        self.new: list[str] = []
+
+    def __missing__(self, name: str) -> int:
+        self.new.append(name)
+        self[name] = number = len(self)
+        return number
+
+
+def _take(flat: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The lists ``at`` of those of lengths ``n`` that lie in ``flat``, one after the other."""
+    import pyarrow as pa
+    bounds = pa.array(np.concatenate([[0], np.cumsum(n)]))
+    return pa.LargeListArray.from_arrays(bounds, pa.array(flat)).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+
+
 class WordTokenizer:
     """Ids of whole texts by a ``tokenizers`` file, each distinct piece encoded once per worker process.
 
-    The byte-level pattern of the file always ends a pre-token in three places: before a single space
-    between two non-white characters, on both sides of a single line feed between two such characters, and
-    before a comma or full stop that follows a letter or digit and precedes white space.  A text is cut at
-    the spaces; new pieces without white space are encoded by the library many at a time, with line feeds
-    between them; a new piece with white space is cut at the other places into atoms, whose ids are joined.  Pieces are kept in a cache; at ``max_words`` entries those that
+    The byte-level pattern of the file always ends a pre-token in four places: before a single space
+    between two non-white characters, on both sides of a single line feed between two such characters,
+    and between a letter and an ASCII character that is none.  A text is cut at the spaces and a new piece
+    at the other places into atoms, whose ids are joined.  A space and letters alone are one pre-token: the
+    file's model gets them without its pattern, in the byte alphabet, many at a time; which characters are
+    letters is asked of the pattern itself.  Other atoms without white space are encoded many at a time with
+    line feeds between them, the rest alone.  Pieces are kept in a cache; at ``max_words`` entries those that
     were met once are forgotten.  Texts are never shortened.  Special-token strings inside a text are ordinary text.
 
     A piece is written without its leading space; ``BARE`` before it marks that it has none.
@@ -162,17 +184,36 @@ class WordTokenizer:
     def __init__(self, path: str, max_words: int = 600_000, chars: int = 2_000_000):
         cache = process_cache("tokenizers")
         if path not in cache:
-            from tokenizers import Tokenizer
-            tok = Tokenizer.from_file(path)
-            tok.encode_special_tokens = True
-            cache[path] = {"tok": tok, "newline": tok.encode("\n", add_special_tokens=False).ids}
+            cache[path] = self._load(path)
         self.state, self.max_words, self.chars = cache[path], max_words, chars
         if "index" not in self.state:
             self._reset()
 
+    @staticmethod
+    def _load(path: str) -> dict:
+        from tokenizers import Tokenizer, models, pre_tokenizers
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True
+        state = {"tok": tok, "newline": tok.encode("\n", add_special_tokens=False).ids, "letters": set(), "others": set()}
+        # The byte alphabet: printable Latin-1 characters stand for themselves, the others, in order, from U+0100.
+        alphabet = np.arange(256, dtype="<u2")
+        hidden = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174)]
+        alphabet[hidden] = np.arange(256, 256 + len(hidden))
+        if isinstance(tok.model, models.BPE):
+            tok.model._resize_cache(0)                          # atoms come once; the library's cache costs more than it saves
+            cut, vocab = tok.pre_tokenizer and tok.pre_tokenizer.pre_tokenize_str("a b"), tok.get_vocab()
+            if tok.normalizer is None and cut == [("a", (0, 1)), ("\u0120b", (1, 3))] and all(
+                    chr(c) in vocab for c in alphabet):
+                state["model"] = Tokenizer(tok.model)
+                state["model"].pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+                state["first"] = np.zeros(max(vocab.values()) + 1, bool)                # ids that begin with a space
+                state["first"][[i for w, i in vocab.items() if w[0] == "\u0120"]] = True
+        alphabet[10] = 10                                       # a line feed stays: it ends a word
+        state["alphabet"] = alphabet
+        return state
+
     def _reset(self):
-        self.state.update(index={}, flat=np.zeros(0, np.uint32), start=np.zeros(0, np.int64), n=np.zeros(0, np.int64),
-                          uses=np.zeros(0, np.int32))
+        self.state.update(index=_Numbering(), flat=np.zeros(0, np.uint32), n=np.zeros(0, np.int64), uses=np.zeros(0, np.int32))
 
     def _forget(self):
         """Keep the pieces met most often, at most half of ``max_words``."""
@@ -181,20 +222,52 @@ class WordTokenizer:
             least *= 2
         kept = [(w, i) for w, i in s["index"].items() if s["uses"][i] >= least]
         old = np.array([i for _, i in kept], np.int64)
-        n = s["n"][old]
-        ends = np.cumsum(n)
-        at = np.repeat(s["start"][old] - (ends - n), n) + np.arange(int(n.sum()))
-        s.update(index={w: k for k, (w, _) in enumerate(kept)}, flat=s["flat"][at], start=ends - n, n=n, uses=s["uses"][old] // 2)
-
-    def _pieces(self, text: str) -> list[str]:
-        if text[0].isspace() or text[-1].isspace() or any(x in text for x in self.UNSAFE):
-            pieces = [text] if self.BARE in text else self.SAFE_CUT.split(text)
-        else:
-            pieces = text.split(" ")
-        pieces[0] = self.BARE + pieces[0]
-        return pieces
+        s.update(index=_Numbering((w, k) for k, (w, _) in enumerate(kept)), flat=_take(s["flat"], s["n"], old),
+                 n=s["n"][old], uses=s["uses"][old] // 2)
+
+    def _plain(self, text: str) -> bool:
+        """Every space is a place to cut, and every place to cut at is a space."""
+        return not (text[0].isspace() or text[-1].isspace() or any(x in text for x in self.UNSAFE))
+
+    def _numbers(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the pieces of all texts in order, number of pieces of each text); new pieces are numbered."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        number, parts, plain = self.state["index"].__getitem__, [np.zeros(0, np.int64)] * len(texts), []
+        for i, t in enumerate(texts):
+            if t and self._plain(t):
+                plain.append(i)
+            elif t:
+                pieces = [t] if self.BARE in t else self.SAFE_CUT.split(t)
+                pieces[0] = self.BARE + pieces[0]
+                parts[i] = np.fromiter(map(number, pieces), np.int64, len(pieces))
+        if plain:                                               # each distinct piece is looked up once
+            text = pa.array([" ".join([self.BARE + texts[i] for i in plain])], pa.large_string())
+            words = pc.split_pattern(text, " ").flatten().dictionary_encode()
+            names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+            k = np.fromiter(map(number, names), np.int64, len(names))[words.indices.to_numpy()]
+            ends = np.cumsum([texts[i].count(" ") + 1 for i in plain]).tolist()
+            for i, a, b in zip(plain, [0, *ends], ends):
+                parts[i] = k[a:b]
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def _know(self, chars: set[str]):
+        """Ask the file's pattern which of the characters are letters; ``word``: letters, then the rest of a line."""
+        s = self.state
+        asked = [c for c in chars - s["letters"] - s["others"] if c.isalnum() and not c.isdecimal()]
+        for c in asked:
+            one = "model" in s and len(s["tok"].pre_tokenizer.pre_tokenize_str(f"a{c}a")) == 1
+            s["letters" if one else "others"].add(c)
+        if asked or "word" not in s:
+            not_letters = "".join(map(re.escape, sorted(s["others"])))
+            s["word"] = re.compile(rf"(\0?[^\W\d_{not_letters}]++)([\x01-\x7f].*)?", re.S)
 
     def _atoms(self, piece: str) -> list[str]:
+        word = self.state["word"].fullmatch
+        if "\n" not in piece:
+            if (m := word(piece)) and m[2] and self.BARE not in m[2]:
+                return [m[1], self.BARE + m[2]]
+            return [piece]
         body = piece[1:] if piece[0] == self.BARE else piece
         lines = body.split("\n")
         if "" in lines or self.BARE in body or len(body.split()) != len(lines):
@@ -205,8 +278,8 @@ class WordTokenizer:
             if k:
                 line = self.BARE + line
                 out.append(self.BARE + "\n")
-            if line[-1] in ",." and len(line) > 1 and line[-2].isalnum() and ord(line[-2]) < 0x250:
-                out += [line[:-1], self.BARE + line[-1]]
+            if (m := word(line)) and m[2]:
+                out += [m[1], self.BARE + m[2]]
             else:
                 out.append(line)
         return out
@@ -215,41 +288,66 @@ class WordTokenizer:
         """Without white space: it can stand on a line of its own."""
         return piece != self.BARE and piece.rfind(self.BARE) < 1 and piece.split() == [piece]
 
-    def _add(self, names: list[str], flat: np.ndarray, n: np.ndarray):
+    def _of_letters(self, pieces: list[str]):
+        """(ids, numbers of ids) of pieces that are single pre-tokens and have a leading space, by the model alone."""
+        s = self.state
+        for i in range(0, len(pieces), 200):
+            data = np.frombuffer((" " + "\n ".join(pieces[i:i + 200])).encode(), np.uint8)
+            text = s["alphabet"][data].tobytes().decode("utf-16-le")
+            ids = np.array(s["model"].encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            yield ids, np.diff(np.flatnonzero(s["first"][ids]), append=len(ids))
+
+    def _of_lines(self, pieces: list[str], text):
+        """(ids, numbers of ids) of pieces without white space, by the tokenizer, a piece a line."""
         s = self.state
-        s["index"].update(zip(names, range(len(s["n"]), len(s["n"]) + len(n))))
-        s["start"] = np.concatenate([s["start"], len(s["flat"]) + np.cumsum(n) - n])
-        s["flat"], s["n"] = np.concatenate([s["flat"], flat]), np.concatenate([s["n"], n])
-        s["uses"] = np.concatenate([s["uses"], np.zeros(len(n), np.int32)])
-
-    def _learn(self, pieces: list[str]):
-        """Encode new pieces: easy ones many in one call with line feeds between them, those with white space by their atoms."""
-        tok, newline, s = self.state["tok"], self.state["newline"], self.state
-        index, easy, hard = s["index"], [], []
-        for p in pieces:
-            (easy if len(newline) == 1 and self._easy(p) else hard).append(p)
-        atoms = [self._atoms(p) for p in hard]
-        met = set(easy)
-        new = dict.fromkeys(a for some in atoms for a in some if a not in index and a not in met)
-        easy += [a for a in new if len(newline) == 1 and self._easy(a)]
-        met.update(easy)
-        text = lambda p: p[1:] if p[0] == self.BARE else " " + p
-        flats, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for i in range(0, len(easy), 2000):
-            ids = np.array(tok.encode("\n".join(map(text, easy[i:i + 2000])), add_special_tokens=False).ids, np.uint32)
-            line = ids == newline[0]
-            counts.append(np.diff(np.flatnonzero(line), prepend=-1, append=len(ids)) - 1)
-            flats.append(ids[~line])
-        other = [a for a in new if a not in met]
-        for e in tok.encode_batch(list(map(text, other)), add_special_tokens=False):
-            flats.append(np.array(e.ids, np.uint32))
-            counts.append(np.array([len(e.ids)], np.int64))
-        self._add(easy + other, np.concatenate(flats), np.concatenate(counts))
-        several = [(p, [index[a] for a in some]) for p, some in zip(hard, atoms) if len(some) > 1]
-        if several:
-            start, n, flat = s["start"], s["n"], s["flat"]
-            parts = [np.concatenate([flat[start[k]:start[k] + n[k]] for k in ks]) for _, ks in several]
-            self._add([p for p, _ in several], np.concatenate(parts), np.array([len(x) for x in parts], np.int64))
+        for i in range(0, len(pieces), 2000):
+            ids = np.array(s["tok"].encode("\n".join(map(text, pieces[i:i + 2000])), add_special_tokens=False).ids, np.uint32)
+            line = ids == s["newline"][0]
+            yield ids[~line], np.diff(np.flatnonzero(line), prepend=-1, append=len(ids)) - 1
+
+    def _learn(self):
+        """Encode the pieces that were numbered last, by their atoms."""
+        s = self.state
+        index, base, new = s["index"], len(s["n"]), s["index"].new
+        chars = set("".join(new))
+        self._know(chars)
+        word, whole, bare = s["word"].fullmatch, len(s["newline"]) == 1, self.BARE
+        model = "model" in s
+        clean = model and not any(map(str.isalpha, chars & s["others"]))    # then Python's letters are the pattern's
+        kinds: tuple[list, list, list] = ([], [], [])               # numbers: of letters, on a line, others
+        letter, joined, atoms_of, sizes = kinds[0].append, [], [], []
+        for number, p in enumerate(new, base):                      # atoms are added to ``new``
+            if clean and p.isalpha():
+                letter(number)
+                continue
+            if clean and p[-1:] in (",", ".") and p[:-1].isalpha():
+                atoms = [p[:-1], bare + p[-1]]
+            else:
+                atoms = self._atoms(p)
+            if len(atoms) > 1:
+                joined.append(number)
+                sizes.append(len(atoms))
+                atoms_of += map(index.__getitem__, atoms)
+            else:
+                alone = model and p and p[0] != bare and (m := word(p)) and not m[2]
+                kinds[0 if alone else 1 if whole and self._easy(p) else 2].append(number)
+        letters, lines, others = ([new[i - base] for i in k] for k in kinds)
+        text = lambda p: p[1:] if p[0] == bare else " " + p
+        found = [(s["flat"], s["n"]), *self._of_letters(letters), *self._of_lines(lines, text)]
+        for e in s["tok"].encode_batch(list(map(text, others)), add_special_tokens=False):
+            found.append((np.array(e.ids, np.uint32), np.array([len(e.ids)], np.int64)))
+        flat, n = (np.concatenate(x) for x in zip(*found))
+        # Place of each number among the lists found; the number itself where it was known before.
+        place = np.arange(base + len(new))
+        place[[i for k in kinds for i in k]] = np.arange(base, len(n))
+        parts_in = np.ones(base + len(new), np.int64)
+        parts_in[joined] = sizes
+        ends = np.cumsum(parts_in)
+        parts = np.repeat(place, parts_in)
+        parts[np.repeat(np.isin(np.arange(len(place)), joined), parts_in)] = place[atoms_of]
+        s["flat"], s["n"] = _take(flat, n, parts), np.add.reduceat(n[parts], ends - parts_in)
+        s["uses"] = np.concatenate([s["uses"], np.zeros(len(new), np.int32)])
+        index.new = []
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(flat uint32 ids, int64 bounds): ids of text i are ``flat[bounds[i]:bounds[i + 1]]``; null is empty.
@@ -273,21 +371,14 @@ class WordTokenizer:
     def _encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         if len(self.state["index"]) > self.max_words:
             self._forget()
-        words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                p = self._pieces(t)
-                words += p
-                counts[i] = len(p)
-        index = self.state["index"]
-        if new := set(words) - index.keys():
-            self._learn(list(new))
-        k = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        self.state["uses"] += np.bincount(k, minlength=len(self.state["uses"])).astype(np.int32)
-        n = self.state["n"][k] if len(k) else np.zeros(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(n)])
-        total = int(ends[-1])
-        at = np.repeat(self.state["start"][k] - ends[:-1], n) + np.arange(total) if total else np.zeros(0, np.int64)
-        bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
-        return self.state["flat"][at], bounds
+        s = self.state
+        try:
+            k, counts = self._numbers(texts)
+            if s["index"].new:
+                self._learn()
+        except BaseException:
+            self._reset()                                       # no name stays without ids
+            raise
+        s["uses"] += np.bincount(k, minlength=len(s["uses"])).astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(s["n"][k])])
+        return _take(s["flat"], s["n"], k), ends[np.concatenate([[0], np.cumsum(counts)])]

@@ -71,6 +71,32 @@ def test_word_tokenizer_equals_library():
                 assert flat[bounds[i]:bounds[i + 1]].tolist() == tokens(t), t
 
 
+def test_word_tokenizer_letters_and_the_rest():
+    """Letters alone go to the model without the pattern: what is a letter there, and where a word ends."""
+    from seqspark.llm.common import WordTokenizer
+    inside = ["", ".", "'s", "'", "''s", "'ſ", "x", "é", "²", "½", "Ⅷ", "ª", "º", "3", "٣", "_", "\u0301", "中", "Ｚ", "ʼ", "\u200d", "ẞ", "\n",
+              "\n\n", ".\nB", "\0", "\ud7a3", "\U00013000", "\U0001e900", "\U0002ebf0", "\u1c89", "\U00010d4a", "Ġ", "Ċ", "<|endoftext|>"]
+    texts = [f"{a}{b}{c}" for a in ("", "a", "de ab", "é") for b in inside for c in ("", "c", ".", " 7z d", "\nt")]
+    texts += [f"x{a}{b}. y{b}{a},\nz" for a in inside for b in inside]
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(BPE)
+    library.encode_special_tokens = True
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for limit, chars in ((10, 200), (100_000, 10_000)):
+        flat, bounds = WordTokenizer(BPE, max_words=limit, chars=chars).encode(texts)
+        assert [(t, flat[a:b].tolist()) for t, a, b in zip(texts, bounds, bounds[1:])] == list(zip(texts, want))
+
+
+def test_word_tokenizer_words_of_letters_skip_the_pattern(monkeypatch):
+    """New words of letters, alone or before ASCII marks, are not sent through the file's pattern."""
+    from seqspark.llm.common import WordTokenizer, process_cache
+    process_cache("another")                                    # empties the cache
+    seen, lines = [], WordTokenizer._of_lines
+    monkeypatch.setattr(WordTokenizer, "_of_lines", lambda self, pieces, text: (seen.extend(pieces), lines(self, pieces, text))[1])
+    WordTokenizer(BPE).encode(["one two, three. fünf\nsechs sieben!! été"])
+    assert sorted(seen) == sorted(["\0one", "\0,", "\0.", "\0sechs", "\0!!"])
+
+
 @pytest.mark.parametrize("high", [2, 300, 50257, 70_000, 1 << 27])
 def test_codec_round_trip(high):
     from seqspark.llm.codec import decode_frame, encode_frame
