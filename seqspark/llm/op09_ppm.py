@@ -16,6 +16,7 @@ the data.  The same exchange brings the corpus counts of the unigram base score.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,53 @@ def in_parts(texts: list, marks: list, size: int = 1 << 20):
         at = stop
 
 
+def word_counts(texts: list[bytes], train: list) -> dict[bytes, int]:
+    """Every lower-cased word of the texts with its count in those marked ``train``."""
+    own: Counter[bytes] = Counter()
+    others: set[bytes] = set()
+    for t, use in zip(texts, train):
+        words = t.translate(LOWER_ASCII).split()
+        (own if use else others).update(words)
+    for w in others:
+        own.setdefault(w, 0)
+    return own
+
+
+class Places:
+    """Places of codes in an array of distinct codes, by tables of hashes: what one table has no room for is in the next."""
+
+    FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.tables, left = keys, [], np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            turn, which = divmod(len(self.tables), len(self.FACTORS))
+            bits = max(4, (2 * len(left) - 1).bit_length())
+            factor, shift = np.uint64(self.FACTORS[which] + 2 * turn), np.uint64(64 - bits)
+            table = np.zeros(1 << bits, np.int32)
+            slot = self._slots(keys[left], factor, shift)
+            table[slot] = left
+            self.tables.append((factor, shift, table))
+            left = left[table[slot] != left]                    # one of those that share a slot stays in it
+
+    @staticmethod
+    def _slots(codes: np.ndarray, factor: np.uint64, shift: np.uint64) -> np.ndarray:
+        return ((codes.view(np.uint64) * factor) >> shift).view(np.int64)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        at, open_ = np.zeros(len(codes), np.int32), np.arange(len(codes))
+        for factor, shift, table in self.tables:
+            some = codes if len(open_) == len(codes) else codes[open_]
+            found = table[self._slots(some, factor, shift)]
+            at[open_] = found
+            open_ = open_[self.keys[found] != some]
+            if not len(open_):
+                break
+        if len(open_):
+            raise KeyError(int(codes[open_[0]]))
+        return at
+
+
 def word_hash(word: bytes) -> int:
     import xxhash
     h = xxhash.xxh3_64_intdigest(word)
@@ -91,18 +139,21 @@ def block_features(blocks: DataFrame, order: int) -> DataFrame:
     """(block, kind, key, own): distinct words (as 64-bit hashes) and grams with their counts in training texts."""
 
     def emit(block, texts, train):
-        words: dict[bytes, int] = {}
-        for t, use in zip(texts, train):
-            for w in t.translate(LOWER_ASCII).split():
-                words[w] = words.get(w, 0) + use
+        words = word_counts(texts, train)
         yield block, WORD, np.array([word_hash(w) for w in words], np.int64), np.array(list(words.values()), np.int64)
-        keys = counts = np.zeros(0, np.int64)
+        found, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for part, use in in_parts(texts, train):
             code, owner = grams(part, order)
-            new, at = np.unique(code, return_inverse=True)
-            seen = np.bincount(at, np.array(use)[owner], len(new)).astype(np.int64)
-            keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, seen]), len(keys)).astype(np.int64)
+            learned = np.array(use, bool)[owner]
+            for some, weight in ((code[learned], 1), (code[~learned], 0)):
+                new, n = np.unique(some, return_counts=True)
+                found.append(new)
+                seen.append(n * weight)
+        keys, counts = np.concatenate(found), np.concatenate(seen)
+        by = np.argsort(keys)
+        keys, counts = keys[by], counts[by]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))       # codes are not negative
+        keys, counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
         yield block, GRAM, keys, counts
 
     def run(batches):
@@ -215,15 +266,12 @@ def score_corpus(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: st
         kind, key, x = (right.column(c).to_numpy() for c in ("kind", "key", "x"))
         known = dict(zip(key[kind == WORD].tolist(), x[kind == WORD].tolist()))
         g_key, g_val = key[kind == GRAM], x[kind == GRAM]
-        by = np.argsort(g_key)
-        g_key, g_val = g_key[by], g_val[by]
+        once = np.unique(g_key, return_index=True)[1] if len(g_key) else slice(0)     # a block read by two tasks asks twice
+        g_key, g_val = g_key[once], g_val[once]
+        places = Places(g_key)
         texts = [t or b"" for t in left.column("text").cast(pa.binary()).to_pylist()]
         held = left.column("held_out").to_pylist()
-        own: dict[bytes, int] = {}
-        for t, h in zip(texts, held):
-            use = int(not h)
-            for w in t.translate(LOWER_ASCII).split():
-                own[w] = own.get(w, 0) + use
+        own = word_counts(texts, [not h for h in held])
         for w, c in own.items():
             own[w] = known.get(word_hash(w), c)
         unknown = {w for w, c in own.items() if not c}
@@ -238,7 +286,7 @@ def score_corpus(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: st
         total = []
         for part, _ in in_parts(texts, held):
             code, owner = grams(part, order)
-            total += np.bincount(owner, g_val[np.searchsorted(g_key, code)], len(part)).tolist() if len(code) else [0.0] * len(part)
+            total += np.bincount(owner, g_val[places.of(code)], len(part)).tolist() if len(code) else [0.0] * len(part)
         return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"),
                          "n_tokens": pa.array(n_tokens, pa.int64()),
                          "n_known": pa.array(n_known, pa.int64()),

@@ -532,6 +532,17 @@ def test_op9_equals_brute_force(docs, empty, block):
     assert score_corpus(empty, held).count() == 0
 
 
+def test_op9_places_without_searching():
+    """Codes are found by hashing, whatever their number; one that is not there is an error."""
+    from seqspark.llm.op09_ppm import Places
+    rng = np.random.default_rng(5)
+    for keys in (np.zeros(0, np.int64), np.array([0]), np.arange(5000) << 36, np.unique(rng.integers(0, 1 << 45, 200_000))):
+        codes = keys[rng.integers(0, len(keys), 300_000)] if len(keys) else keys
+        assert (Places(keys).of(codes) == np.searchsorted(keys, codes)).all()
+        with pytest.raises(KeyError):
+            Places(keys).of(np.array([(1 << 46) + 1]))
+
+
 def test_op9_default_order(spark):
     """Unless told otherwise, four bytes are the context."""
     from seqspark.llm.op09_ppm import score_corpus
