@@ -14,6 +14,7 @@ import re
 import sys
 import types
 import uuid
+from itertools import compress, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -220,9 +221,9 @@ class WordTokenizer:
         s, least = self.state, 2
         while (s["uses"] >= least).sum() > self.max_words // 2:
             least *= 2
-        kept = [(w, i) for w, i in s["index"].items() if s["uses"][i] >= least]
-        old = np.array([i for _, i in kept], np.int64)
-        s.update(index=_Numbering((w, k) for k, (w, _) in enumerate(kept)), flat=_take(s["flat"], s["n"], old),
+        old = np.flatnonzero(s["uses"] >= least)                # names lie in the order of their numbers
+        kept = compress(s["index"], (s["uses"] >= least).tolist())
+        s.update(index=_Numbering(zip(kept, range(len(old)))), flat=_take(s["flat"], s["n"], old),
                  n=s["n"][old], uses=s["uses"][old] // 2)
 
     def _plain(self, text: str) -> bool:
@@ -233,19 +234,25 @@ class WordTokenizer:
         """(numbers of the pieces of all texts in order, number of pieces of each text); new pieces are numbered."""
         import pyarrow as pa
         import pyarrow.compute as pc
-        number, parts, plain = self.state["index"].__getitem__, [np.zeros(0, np.int64)] * len(texts), []
+        index, parts, plain = self.state["index"], [np.zeros(0, np.int64)] * len(texts), []
         for i, t in enumerate(texts):
             if t and self._plain(t):
                 plain.append(i)
             elif t:
                 pieces = [t] if self.BARE in t else self.SAFE_CUT.split(t)
                 pieces[0] = self.BARE + pieces[0]
-                parts[i] = np.fromiter(map(number, pieces), np.int64, len(pieces))
+                parts[i] = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
         if plain:                                               # each distinct piece is looked up once
             text = pa.array([" ".join([self.BARE + texts[i] for i in plain])], pa.large_string())
             words = pc.split_pattern(text, " ").flatten().dictionary_encode()
             names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-            k = np.fromiter(map(number, names), np.int64, len(names))[words.indices.to_numpy()]
+            k = np.fromiter(map(index.get, names, repeat(-1)), np.int64, len(names))
+            unknown = np.flatnonzero(k < 0)
+            new = [names[i] for i in unknown.tolist()]
+            k[unknown] = np.arange(len(index), len(index) + len(new))
+            index.update(zip(new, k[unknown].tolist()))
+            index.new += new
+            k = k[words.indices.to_numpy()]
             ends = np.cumsum([texts[i].count(" ") + 1 for i in plain]).tolist()
             for i, a, b in zip(plain, [0, *ends], ends):
                 parts[i] = k[a:b]
@@ -337,15 +344,16 @@ class WordTokenizer:
         for e in s["tok"].encode_batch(list(map(text, others)), add_special_tokens=False):
             found.append((np.array(e.ids, np.uint32), np.array([len(e.ids)], np.int64)))
         flat, n = (np.concatenate(x) for x in zip(*found))
-        # Place of each number among the lists found; the number itself where it was known before.
-        place = np.arange(base + len(new))
-        place[[i for k in kinds for i in k]] = np.arange(base, len(n))
-        parts_in = np.ones(base + len(new), np.int64)
-        parts_in[joined] = sizes
+        # The list of each new number among all that are known or found; those of its atoms, if it has several.
+        place, parts_in, several = np.zeros(len(new), np.int64), np.ones(len(new), np.int64), np.zeros(len(new), bool)
+        place[np.concatenate([np.array(k, np.int64) for k in kinds]) - base] = np.arange(base, len(n))
+        at, atoms_of = np.array(joined, np.int64) - base, np.array(atoms_of, np.int64)
+        parts_in[at], several[at] = sizes, True
         ends = np.cumsum(parts_in)
         parts = np.repeat(place, parts_in)
-        parts[np.repeat(np.isin(np.arange(len(place)), joined), parts_in)] = place[atoms_of]
-        s["flat"], s["n"] = _take(flat, n, parts), np.add.reduceat(n[parts], ends - parts_in)
+        parts[np.repeat(several, parts_in)] = np.where(atoms_of < base, atoms_of, place[np.maximum(atoms_of - base, 0)])
+        s["flat"] = np.concatenate([s["flat"], _take(flat, n, parts)])
+        s["n"] = np.concatenate([s["n"], np.add.reduceat(n[parts], ends - parts_in)])
         s["uses"] = np.concatenate([s["uses"], np.zeros(len(new), np.int32)])
         index.new = []
 

@@ -97,6 +97,17 @@ def test_word_tokenizer_words_of_letters_skip_the_pattern(monkeypatch):
     assert sorted(seen) == sorted(["\0one", "\0,", "\0.", "\0sechs", "\0!!"])
 
 
+def test_word_tokenizer_adds_new_pieces_only(monkeypatch):
+    """A batch's new pieces are added to the cache; what is known is not written again."""
+    from seqspark.llm import common
+    common.process_cache("another")                             # empties the cache
+    w, taken, take = common.WordTokenizer(BPE), [], common._take
+    w.encode([" ".join(f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx")])
+    monkeypatch.setattr(common, "_take", lambda flat, n, at: (taken.append(len(at)), take(flat, n, at))[1])
+    flat, _ = w.encode(["aiq new, words"])
+    assert flat.tolist() == tokens("aiq new, words") and max(taken) <= 5
+
+
 @pytest.mark.parametrize("high", [2, 300, 50257, 70_000, 1 << 27])
 def test_codec_round_trip(high):
     from seqspark.llm.codec import decode_frame, encode_frame
