@@ -32,6 +32,7 @@ RATE = 5                        # and move by 1 / 2^RATE
 MOST = 1 << 15                  # ids in a frame's prior
 ZERO_BITS = 16                  # the prior's frequencies add up to 2^16
 MAX_ID = (1 << 28) - MOST
+STEPS = 128                     # after so many the encoder puts its digits in place
 SMALL = 1 << 20                 # ids below are looked up in a list
 
 # The range coder keeps 2^32 <= width <= 2^48 between ids.  An id narrows it by 2^30 at most, so two digits restore it.
@@ -91,7 +92,8 @@ class Prior:
         freqs[np.argmax(freqs)] += (1 << ZERO_BITS) - freqs.sum()
         prior = cls(values, freqs, np.full(len(values), -1))
         if len(ids) > 1:
-            names = np.minimum(prior.names(ids), prior.size).astype(np.uint32)
+            names = prior.names(ids)
+            names = np.minimum(names, prior.size, out=names).astype(np.uint32, copy=False)
             pairs = np.sort(names[:-1] * np.uint32(prior.size + 1) + names[1:])                      # below 2^31
             starts = np.concatenate([[0], np.flatnonzero(pairs[1:] != pairs[:-1]) + 1])
             n, (first, second) = np.diff(starts, append=len(pairs)), np.divmod(pairs[starts], np.uint32(prior.size + 1))
@@ -104,10 +106,10 @@ class Prior:
 
     def names(self, ids: np.ndarray) -> np.ndarray:
         if not self.size:
-            return ids.astype(np.int64)
+            return ids.astype(np.int32)
         if len(ids) and int(ids.max()) < SMALL:
             highest = int(ids.max())
-            listed = np.arange(self.size, self.size + highest + 1)
+            listed = np.arange(self.size, self.size + highest + 1, dtype=np.int32)
             here = self.ids <= highest
             listed[self.ids[here]] = np.flatnonzero(here)
             return listed.take(ids)
@@ -119,7 +121,7 @@ class Prior:
         if not self.size:
             return names
         if not self.freqs[-1]:                                  # no id was escaped
-            return self.ids.take(names, mode="clip")
+            return self.ids.astype(np.uint32).take(names, mode="clip")
         return np.where(names < self.size, self.ids[np.minimum(names, self.size - 1)], names - self.size)
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
@@ -225,15 +227,35 @@ def encode_blocks(names: np.ndarray, literal_words: int, prior: Prior) -> list[b
     """Payloads of the blocks ``names[i]``."""
     lanes, longest = names.shape
     mixer, (starts, freqs), escapes = _Mixer(lanes, prior), prior.spans(), bool(prior.freqs[-1])
-    by_step = np.ascontiguousarray(names.T.astype(np.uint32)) << 2
+    by_step = np.ascontiguousarray(names.T).astype(np.uint32, copy=False)
+    by_step <<= 2
     low, width = np.zeros(lanes, np.int64), np.full(lanes, _WIDE)
     rows = 1 + literal_words * escapes                          # a step's first record has two digits, of which ``emitted`` count
-    records = np.empty((longest * rows + 2, lanes), np.int64)
-    emitted, shifts = np.zeros(records.shape, np.uint8), np.empty((2, lanes), bool)
+    records, emitted = np.empty((STEPS * rows, lanes), np.int64), np.zeros((STEPS * rows, lanes), np.uint8)
+    room = longest * (2 + literal_words) + 4
+    digits, n_digits = np.zeros(lanes * room, np.int32), np.arange(lanes, dtype=np.int32 if lanes * room < 1 << 31 else np.int64) * room
+    ends, shifts = np.empty(records.shape, n_digits.dtype), np.empty((2, lanes), bool)
+
+    def write(n_rows):
+        """The digits of the records behind those before; only ``emitted`` of each count."""
+        for i in range(n_rows):
+            np.add(ends[i - 1] if i else n_digits, emitted[i], out=ends[i])
+        k = np.flatnonzero(emitted[:n_rows])
+        record, n, end = records.reshape(-1)[k], emitted.reshape(-1)[k], ends.reshape(-1)[k]
+        digits[end - n] = record >> 16
+        k = np.flatnonzero(n == 2)
+        digits[end[k] - 1] = record[k] & _DIGIT
+        n_digits[:] = ends[n_rows - 1]
+        emitted[:] = 0
+
     wrong, differ, more = np.empty((3, lanes), bool), np.empty((3, lanes), np.uint32), np.empty(lanes, np.int64)
     flags, guess, outcome = wrong.view(np.uint8), mixer.guess[:3], np.empty(lanes, np.int64)
     prev, place = np.full(lanes, prior.size << 2, np.uint32), np.full(lanes, prior.size, np.int64)
-    for at, now in zip(range(0, longest * rows, rows), by_step):
+    at = 0
+    for now in by_step:
+        if at == len(records):
+            write(at)
+            at = 0
         mixer.predict(prev, place)
         place = np.right_shift(now, _U2).astype(np.int64)
         if escapes:
@@ -264,21 +286,15 @@ def encode_blocks(names: np.ndarray, literal_words: int, prior: Prior) -> list[b
             here = low[k] + width[k] * (((now[k].astype(np.int64) >> 2) - prior.size >> (16 * w)) & 0xFFFF)
             records[at + 1 + w, k], emitted[at + 1 + w, k] = here >> 16, 1
             low[k], width[k] = (here & _LOW32) << 16, width[k] << 16
+        at += rows
         prev = now
-    records[-2], emitted[-2], records[-1], emitted[-1] = low >> 16, 2, (low & _DIGIT) << 16, 1
-    before = np.zeros(records.shape, np.int32)
-    before[0] = emitted[0]
-    for i in range(1, len(before)):
-        np.add(before[i - 1], emitted[i], out=before[i])
-    ends = np.cumsum(before[-1], dtype=np.int64)
-    k = np.flatnonzero(emitted)
-    record, n = records.reshape(-1)[k], emitted.reshape(-1)[k]
-    before += (ends - before[-1]).astype(np.int32)
-    place = before.reshape(-1)[k]                               # of the digit after the record
-    out = np.empty(int(ends[-1]), np.int32)
-    out[place - n] = record >> 16
-    k = np.flatnonzero(n == 2)
-    out[place[k] - 1] = record[k] & _DIGIT
+    write(at)
+    for i in range(3):                                          # what is left, two digits and one
+        records[i], emitted[i] = (low >> 32 - 16 * i & _DIGIT if i else low >> 32) << 16, 1
+    write(3)
+    first = np.arange(lanes) * room
+    out = np.concatenate([digits[a:b] for a, b in zip(first.tolist(), n_digits.tolist())])
+    ends = np.cumsum(n_digits - first)
     while len(k := np.flatnonzero(out > 0xFFFF)):               # carries; none leaves the first digit of a block
         out[k] &= 0xFFFF
         out[k - 1] += 1

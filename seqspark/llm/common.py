@@ -243,7 +243,10 @@ class WordTokenizer:
                 pieces[0] = self.BARE + pieces[0]
                 parts[i] = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
         if plain:                                               # each distinct piece is looked up once
-            text = pa.array([" ".join([self.BARE + texts[i] for i in plain])], pa.large_string())
+            # A single line feed is a piece of its own, as spaces stand around it.
+            lines = f" {self.BARE}\n {self.BARE}"
+            cut = [texts[i] if "\n\n" in texts[i] else texts[i].replace("\n", lines) for i in plain]
+            text = pa.array([" ".join([self.BARE + t for t in cut])], pa.large_string())
             words = pc.split_pattern(text, " ").flatten().dictionary_encode()
             names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
             k = np.fromiter(map(index.get, names, repeat(-1)), np.int64, len(names))
@@ -253,7 +256,7 @@ class WordTokenizer:
             index.update(zip(new, k[unknown].tolist()))
             index.new += new
             k = k[words.indices.to_numpy()]
-            ends = np.cumsum([texts[i].count(" ") + 1 for i in plain]).tolist()
+            ends = np.cumsum([t.count(" ") + 1 for t in cut]).tolist()
             for i, a, b in zip(plain, [0, *ends], ends):
                 parts[i] = k[a:b]
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
@@ -327,16 +330,19 @@ class WordTokenizer:
             if clean and p.isalpha():
                 letter(number)
                 continue
+            m = None
             if clean and p[-1:] in (",", ".") and p[:-1].isalpha():
                 atoms = [p[:-1], bare + p[-1]]
+            elif (m := word(p)) and m[2] and "\n" not in p and bare not in m[2]:
+                atoms = [m[1], bare + m[2]]
             else:
-                atoms = self._atoms(p)
+                atoms = self._atoms(p) if "\n" in p else [p]
             if len(atoms) > 1:
                 joined.append(number)
                 sizes.append(len(atoms))
                 atoms_of += map(index.__getitem__, atoms)
             else:
-                alone = model and p and p[0] != bare and (m := word(p)) and not m[2]
+                alone = model and m and not m[2] and p[0] != bare
                 kinds[0 if alone else 1 if whole and self._easy(p) else 2].append(number)
         letters, lines, others = ([new[i - base] for i in k] for k in kinds)
         text = lambda p: p[1:] if p[0] == bare else " " + p
