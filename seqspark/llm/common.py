@@ -165,8 +165,8 @@ class WordTokenizer:
 
     The byte-level pattern of the file always ends a pre-token in four places: before a single space
     between two non-white characters, on both sides of a single line feed between two such characters,
-    and between a letter and an ASCII character that is none.  A text is cut at the spaces and a new piece
-    at the other places into atoms, whose ids are joined.  A space and letters alone are one pre-token: the
+    and between a letter and an ASCII character that is none.  A text is cut at the spaces, and at line feeds if
+    all are single, and a new piece at the other places into atoms, whose ids are joined.  A space and letters alone are one pre-token: the
     file's model gets them without its pattern, in the byte alphabet, many at a time; which characters are
     letters is asked of the pattern itself.  Other atoms without white space are encoded many at a time with
     line feeds between them, the rest alone.  Pieces are kept in a cache; at ``max_words`` entries those that
@@ -273,11 +273,8 @@ class WordTokenizer:
             s["word"] = re.compile(rf"(\0?[^\W\d_{not_letters}]++)([\x01-\x7f].*)?", re.S)
 
     def _atoms(self, piece: str) -> list[str]:
+        """Atoms of a piece that has a line feed."""
         word = self.state["word"].fullmatch
-        if "\n" not in piece:
-            if (m := word(piece)) and m[2] and self.BARE not in m[2]:
-                return [m[1], self.BARE + m[2]]
-            return [piece]
         body = piece[1:] if piece[0] == self.BARE else piece
         lines = body.split("\n")
         if "" in lines or self.BARE in body or len(body.split()) != len(lines):
